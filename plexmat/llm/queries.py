@@ -18,8 +18,24 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    from plexmat.llm import line_rules
+
+    return line_rules.document_rules(_table(spark, sf_dir, "documents"))
+
+
+def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    from plexmat.llm import rule_ensemble
+
+    return rule_ensemble.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
+    "op4_line_frequency_rules": op4_line_frequency_rules,
+    "op5_rule_ensemble_quality": op5_rule_ensemble_quality,
 }
 
 #: crc32 has no built-in in DuckDB: the bytes of a text are folded over the 256 remainders of its polynomial.
