@@ -32,10 +32,28 @@ def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    from public_tokenizers import path
+
+    from plexmat.llm import bpe
+
+    return bpe.digest_documents(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    from plexmat.llm import toxicity
+
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_rule_ensemble_quality": op5_rule_ensemble_quality,
+    "op7_subword_toxicity": op7_subword_toxicity,
 }
 
 #: crc32 has no built-in in DuckDB: the bytes of a text are folded over the 256 remainders of its polynomial.
