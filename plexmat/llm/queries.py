@@ -32,6 +32,15 @@ def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to grammar files and read back."""
+    from public_tokenizers import path
+
+    from plexmat.llm import grammar
+
+    return grammar.round_trip(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), end_id=1)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     from public_tokenizers import path
@@ -50,6 +59,7 @@ def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
+    "op2_repair_token_files": op2_repair_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_rule_ensemble_quality": op5_rule_ensemble_quality,
