@@ -57,6 +57,20 @@ def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, held against its edited text and the next document."""
+    from plexmat.llm import iblt
+
+    return iblt.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    from plexmat.llm import mixing
+
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_repair_token_files": op2_repair_token_files,
@@ -64,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_rule_ensemble_quality": op5_rule_ensemble_quality,
     "op7_subword_toxicity": op7_subword_toxicity,
+    "op8_iblt_fingerprints": op8_iblt_fingerprints,
+    "op10_block_mixture": op10_block_mixture,
 }
 
 #: crc32 has no built-in in DuckDB: the bytes of a text are folded over the 256 remainders of its polynomial.
