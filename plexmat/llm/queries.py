@@ -64,6 +64,13 @@ def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and the number of links of every document."""
+    from plexmat.llm import chosen_path
+
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of all sources takes."""
     from plexmat.llm import mixing
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rule_ensemble_quality": op5_rule_ensemble_quality,
     "op7_subword_toxicity": op7_subword_toxicity,
     "op8_iblt_fingerprints": op8_iblt_fingerprints,
+    "op9_chosen_path_join": op9_chosen_path_join,
     "op10_block_mixture": op10_block_mixture,
 }
 
