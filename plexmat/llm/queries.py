@@ -50,6 +50,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op6_license_minhash_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices in every document."""
+    from plexmat.llm import license_scan
+
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     from plexmat.llm import toxicity
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_rule_ensemble_quality": op5_rule_ensemble_quality,
+    "op6_license_minhash_scan": op6_license_minhash_scan,
     "op7_subword_toxicity": op7_subword_toxicity,
     "op8_iblt_fingerprints": op8_iblt_fingerprints,
     "op9_chosen_path_join": op9_chosen_path_join,
