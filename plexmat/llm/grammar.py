@@ -2,7 +2,7 @@
 
 Documents are put in ascending order of id over range partitions, encoded, and cut into shards of about SHARD_TOKENS ids.
 In a shard the most frequent neighbouring pairs are replaced by nonterminals, round after round, until no pair is
-frequent enough; pairs never cross the end of a document. A file holds the rules, the length that each nonterminal
+frequent enough or a round replaces less than one symbol in 64; pairs never cross the end of a document. A file holds the rules, the length that each nonterminal
 expands to, the compressed symbols, and where each document starts in ids and in symbols, so any range of ids of any
 document is decoded from its own symbols alone.
 
@@ -12,6 +12,7 @@ Null and empty texts hold the end id only; null ids come first; repeated rows ar
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -24,14 +25,20 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from plexmat.llm.bpe import SPACES
+from plexmat.llm.bpe import SPACES, byte_alphabet
 from plexmat.llm.common import shared_dir
 
 MAGIC = b"RPG1"
 #: Ids to a shard at least (the last shard of a partition may have fewer); pairs rarer than MIN_COUNT stay as they are.
 SHARD_TOKENS, MIN_COUNT = 1_000_000, 12
 _HEAD = struct.Struct("<4sIIIII")
+#: Characters past Latin Extended-B, separators that are no white space here, and a letter whose lower case is two.
+_ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]").search
+#: The letters that stand for the bytes of a character.
+_BYTES = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -54,50 +61,45 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
     room = 65_536 - base if base < 65_536 else 1 << 30  # symbols stay in 16 bits where ids fit
     cells = 1 << max(10, min(20, int(len(symbols)).bit_length()))
     while len(symbols) > 1 and made < room:
-        # pairs are counted in cells by a hash; only those in full enough cells are sorted and counted one by one
-        cell = (symbols[:-1] * np.int32(-1640531527) + symbols[1:] * np.int32(40503 * 31 + 2)) & np.int32(cells - 1)
+        # Pairs are counted in cells of a hash. Of the pairs in a full cell one is replaced, and the others wait.
+        cell = (symbols[:-1] * np.int32(-1640531527) + symbols[1:] * np.int32(1255595)) & np.int32(cells - 1)
         cell[last[:-1]] = cells
         load = np.bincount(cell, minlength=cells + 1)
         load[cells] = 0
-        often = np.flatnonzero(load[cell] >= max(min_count, int(load.max()) // 128))
-        pairs = symbols[often].astype(np.int64) << 32 | symbols[often + 1]
-        order = np.sort(pairs)
-        if not len(order):
+        full = load >= max(min_count, int(load.max()) // 32)
+        at = np.flatnonzero(full[cell])
+        if not len(at):
             break
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        count = np.diff(np.append(edge, len(order)))
-        most = int(count.max())
-        if most < min_count:
-            break
-        good = np.flatnonzero(count >= max(min_count, most // 32))
-        good = good[np.argsort(-count[good], kind="stable")][: room - made]
-        chosen = order[edge[good]]
-        # of chosen pairs that share a cell the most frequent is replaced, the others in a later round
-        first, second = (chosen >> 32).astype(np.int32), (chosen & 0xFFFFFFFF).astype(np.int32)
-        slot = (first * np.int32(-1640531527) + second * np.int32(40503 * 31 + 2)) & np.int32(cells - 1)
-        of_cell = np.full(cells + 1, -1, np.int32)
-        of_cell[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        at = of_cell[cell]
-        hit = at >= 0
-        hit &= (symbols[:-1] == first[at]) & (symbols[1:] == second[at])
+        own = cell[at]
+        chosen = np.zeros(cells, np.int64)
+        chosen[own] = at
+        like = chosen[own]
+        same = (symbols[at] == symbols[like]) & (symbols[at + 1] == symbols[like + 1])
+        at, own = at[same], own[same]
         # of pairs that overlap in a run, every other one is replaced, the leftmost first
-        place = np.arange(len(hit))
-        start = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), place, -1))
-        hit &= (place - start) % 2 == 0
-        used = np.bincount(at[hit], minlength=len(chosen))
-        worth = used >= 2
-        hit &= worth[at]
-        if not hit.any():
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), place, 0))
+        free = (place - start) % 2 == 0
+        at, own = at[free], own[free]
+        used = np.bincount(own, minlength=cells)
+        worth = np.flatnonzero(used >= max(2, min_count // 2))
+        worth = worth[np.argsort(-used[worth], kind="stable")][: room - made]
+        if not len(worth):
             break
-        number = np.cumsum(worth) - 1 + base + made
-        left = np.flatnonzero(hit)
-        symbols[left] = number[at[left]].astype(np.int32)
-        last[left] |= last[left + 1]
+        number = np.full(cells, -1, np.int32)
+        number[worth] = base + made + np.arange(len(worth), dtype=np.int32)
+        new = number[own]
+        at, new = at[new >= 0], new[new >= 0]
+        rules.append(np.stack([symbols[chosen[worth]], symbols[chosen[worth] + 1]], 1).astype(np.int64))
+        made += len(worth)
+        few = len(at) < len(symbols) // 64
+        symbols[at] = new
+        last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
-        keep[left + 1] = False
+        keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([first[worth], second[worth]], 1).astype(np.int64))
-        made += int(worth.sum())
+        if few:  # further rounds would cost more than the symbols they save
+            break
     stops = np.flatnonzero(last) + 1
     # documents without ids end where the one before them ends
     empty = np.diff(np.concatenate([[0], ends])) == 0
@@ -185,11 +187,13 @@ class Shard:
 class WordEncoder(dict):
     """Encodes by a tokenizer that drops white space; keeps the ids (as bytes) of up to `most` words it has met."""
 
-    def __init__(self, definition: str, most: int = 500_000):
+    def __init__(self, definition: str, most: int = 700_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_str(definition), most
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
         self.kind, self.base = ("<u2" if size <= 65_536 else "<u4"), size
         vocab = self.tokenizer.get_vocab()
@@ -198,38 +202,46 @@ class WordEncoder(dict):
         self.words = re.compile(f"[^{SPACES}]+").findall
 
     def learn(self, words: list[str]) -> None:
-        """Plain words go to the tokenizer together, and are told apart by the ids that close a word; others go alone."""
-        plain = [w for w in words if w.isalpha()]
+        """Plain words (lower-case letters of Latin scripts) go to the tokenizer's model together, as the bytes that its
+        normaliser would make of them, and are told apart by the ids that close a word; others go through all of it, alone.
+        """
+        plain = [w for w in words if w.isalpha() and w.islower() and not _ODD(w)]
         done = False
         if plain:
-            got = self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)], add_special_tokens=False)
+            lines = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
+            got = self.bare.encode_batch_fast([x if x.isascii() else x.translate(_BYTES) for x in lines], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
             stops = np.flatnonzero(self.closes[ids]) + 1
             if done := len(stops) == len(plain):
                 data, wide = ids.astype(self.kind).tobytes(), 2 if self.kind == "<u2" else 4
-                at = 0
-                for w, stop in zip(plain, (stops * wide).tolist(), strict=True):
-                    self[w] = data[at:stop]
-                    at = stop
-        rest = [w for w in words if not (done and w.isalpha())]
+                ends = (stops * wide).tolist()
+                self.update(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = [w for w in words if w not in self] if done else words
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, np.int64).astype(self.kind).tobytes()
 
+    def split(self, text: str | None) -> list[str]:
+        """The words of a text. Letters of Latin scripts are put in lower case first, as the tokenizer does with all."""
+        if not text:
+            return []
+        if "<|" in text or _ODD(text):  # special tokens are matched before case is changed
+            return self.words(text)
+        return text.lower().split()
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        docs = [self.words(t or "") for t in texts]
-        new = {w for ws in docs for w in ws}
-        if len(self) + len(new) > self.most:
+        docs = [self.split(t) for t in texts]
+        met = set().union(*docs)
+        new = met.difference(self)
+        if len(self) + len(new) > self.most:  # the words of this batch stay, frequent ones among them
+            kept = {w: self[w] for w in met.intersection(self)}
             self.clear()
-        new = [w for w in new if w not in self]
-        # A word with a comma or full stop after it has the ids of both, and case makes no difference.
-        tails = {w: w[:-1].lower() for w in new if len(w) > 1 and w[-1] in ",." and w[:-1].isascii() and w[:-1].isalpha()}
-        lowered = {w: w.lower() for w in new if w not in tails and w.isascii() and w.isalpha()}
-        need = {*tails.values(), *lowered.values(), *(w for w in new if w not in tails and w not in lowered), ",", "."}
+            self.update(kept)
+        # A word with a comma or full stop after it has the ids of both.
+        tails = {w: w[:-1] for w in new if w[-1] in ",." and w[:-1].isalpha()}
+        need = new.difference(tails).union(tails.values(), ",.")
         self.learn([w for w in need if w not in self])
         for w, stem in tails.items():
             self[w] = self[stem] + self[w[-1]]
-        for w, low in lowered.items():
-            self[w] = self[low]
         return [b"".join(map(self.__getitem__, ws)) for ws in docs]
 
 
