@@ -42,7 +42,7 @@ def byte_alphabet() -> list[str]:
 class ByteBPE(dict):
     """A tokenizer. As a dict it maps a chunk of text to its ids as decimal text, and fills itself."""
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 900_000):
         super().__init__()
         spec = json.loads(definition)
         model, self.most = spec["model"], most
@@ -90,13 +90,20 @@ class ByteBPE(dict):
         return [i for i in ids if i >= 0]
 
     def __missing__(self, chunk: str) -> str:
+        pieces = self.pieces.findall(chunk)
+        if len(pieces) > 1:  # a word and the marks around it, each of which may be known
+            return self.keep(chunk, ",".join(map(self.__getitem__, pieces)))
         of_byte = self.byte_ids
-        out = ",".join(str(i) for piece in self.pieces.findall(chunk) for i in self.merge([of_byte[b] for b in piece.encode()]))
+        return self.keep(chunk, ",".join(map(str, self.merge([of_byte[b] for b in chunk.encode()]))))
+
+    def keep(self, chunk: str, ids: str) -> str:
         if len(chunk) <= KEEP_CHARS:
-            if len(self) >= self.most:
+            if len(self) >= self.most:  # the older half goes
+                late = list(self.items())[self.most // 2 :]
                 self.clear()
-            self[chunk] = out
-        return out
+                self.update(late)
+            self[chunk] = ids
+        return ids
 
     def encode_text(self, text: str | None) -> str:
         """The ids of a text, as decimal numbers joined by commas."""
