@@ -5,6 +5,363 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plexmat.functions import special
+from plexmat.operators import analyze, clean, clinical, profile, select, similarity
+from plexmat.sources import frames
+from plexmat.sources.frames import rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# Named parts of the DuckDB texts: the views of plexmat.sources.frames, and what many queries start from.
+PARTS = {
+    "x": "SELECT vec_id::VARCHAR AS sample_id, generate_subscripts(embedding, 1) - 1 AS fpos, 'f' || lpad((generate_subscripts(embedding, 1) - 1)::VARCHAR, 3, '0') AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings",
+    "y": "SELECT vec_id::VARCHAR AS sample_id, label::DOUBLE AS y FROM embeddings",
+    "e0": "SELECT user_id::VARCHAR AS sample_id, ts::DATE AS day, value FROM events",
+    "ev": "SELECT g.sample_id, g.fpos, strftime(g.day, '%Y%m%d') AS feature, s.value FROM (SELECT u.sample_id, i AS fpos, (SELECT min(day) FROM e0) + i::INTEGER AS day FROM (SELECT DISTINCT sample_id FROM e0) u, range((SELECT max(day) - min(day) + 1 FROM e0)) r(i)) g LEFT JOIN (SELECT sample_id, day, sum(value) AS value FROM e0 GROUP BY 1, 2) s ON s.sample_id = g.sample_id AND s.day = g.day::DATE",
+    "nodes": "SELECT n_name AS node, n_nationkey AS npos, r_name AS modality FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "tr": "SELECT a.n_name AS src, b.n_name AS dst, rev / sum(rev) OVER (PARTITION BY sn) AS weight FROM (SELECT s_nationkey AS sn, c_nationkey AS cn, sum(l_extendedprice * (1 - l_discount)) AS rev FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) t JOIN nation a ON sn = a.n_nationkey JOIN nation b ON cn = b.n_nationkey",
+    "clin": "SELECT c_custkey::VARCHAR AS sample_id, c_mktsegment AS segment, c_acctbal AS balance, c_nationkey AS nation, priority FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders GROUP BY 1) o ON o_custkey = c_custkey",
+    "xc": "SELECT *, value - avg(value) OVER (PARTITION BY feature) AS c FROM x",
+    "g": "SELECT a.feature AS src, b.feature AS dst, a.fpos AS src_pos, b.fpos AS dst_pos, sum(a.c * b.c) AS p FROM xc a JOIN xc b USING (sample_id) GROUP BY 1, 2, 3, 4",
+    "pear": "SELECT g.src, g.dst, g.src_pos, g.dst_pos, g.p / greatest(sqrt(d.p * e.p), 1e-8) AS s FROM g JOIN g d ON d.src = g.src AND d.dst = g.src JOIN g e ON e.src = g.dst AND e.dst = g.dst WHERE g.src <> g.dst",
+    "xd": "SELECT a.feature AS src, b.feature AS dst, a.fpos AS src_pos, b.fpos AS dst_pos, sum(a.value * b.value) AS p FROM x a JOIN x b USING (sample_id) GROUP BY 1, 2, 3, 4",
+    "cosi": "SELECT g.src, g.dst, g.src_pos, g.dst_pos, g.p / greatest(sqrt(d.p * e.p), 1e-8) AS s FROM xd g JOIN xd d ON d.src = g.src AND d.dst = g.src JOIN xd e ON e.src = g.dst AND e.dst = g.dst WHERE g.src <> g.dst",
+    "dist": "SELECT g.src, g.dst, g.src_pos, g.dst_pos, greatest(d.p + e.p - 2 * g.p, 0) AS s FROM xd g JOIN xd d ON d.src = g.src AND d.dst = g.src JOIN xd e ON e.src = g.dst AND e.dst = g.dst WHERE g.src <> g.dst",
+    "med": "SELECT quantile_disc(s, 0.5) AS m FROM (SELECT s FROM dist UNION ALL SELECT DISTINCT ON (feature) 0.0 FROM x)",
+}
+_NEEDS = {"ev": ["e0"], "xc": ["x"], "g": ["xc"], "pear": ["g"], "xd": ["x"], "cosi": ["xd"], "dist": ["xd"], "med": ["dist"]}
+SUMMARY = "avg(v) AS mean, median(v) AS median, min(v) AS min, max(v) AS max, stddev_samp(v) AS std"
+
+
+def sql(body: str, *parts: str) -> str:
+    """body with the parts it names, and what those need, as common tables."""
+    found: dict[str, str] = {}
+
+    def add(p: str) -> None:
+        for q in _NEEDS.get(p, []):
+            add(q)
+        found.setdefault(p, PARTS[p])
+
+    for p in parts:
+        add(p)
+    head = ", ".join(f"{n} AS ({t})" for n, t in found.items())
+    return (f"WITH {head} " if head else "") + body.replace("{R(", "(round(").replace(")R}", ", 6) + 0.0)")
+
+
+def query(name: str, oracle: str | None = None, *parts: str) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = sql(oracle, *parts)
+        return f
+
+    return add
+
+
+def tidy(df: DataFrame, *doubles: str) -> DataFrame:
+    """df with its double columns rounded for comparison."""
+    own = set(doubles) or {c for c, t in df.dtypes if t == "double"}
+    return df.select(*[rounded(F.col(c)).alias(c) if c in own else F.col(c) for c in df.columns])
+
+
+R = "{R("
+_SUM = "SELECT {R(avg(v))R} AS mean, {R(median(v))R} AS median, {R(min(v))R} AS min, {R(max(v))R} AS max, {R(stddev_samp(v))R} AS std"
+
+# ---- profiling ------------------------------------------------------------------------------------
+
+
+@query("profile_variance", _SUM + ", count(*) FILTER (v < 0.0001) AS n_low FROM (SELECT var_samp(value) AS v FROM x GROUP BY feature)", "x")
+def _(s, d):
+    return tidy(profile.variance_summary(frames.emb(s, d), 1e-4))
+
+
+@query("profile_zero", _SUM + ", count(*) FILTER (v > 0.5) AS n_high FROM (SELECT count(*) FILTER (value = 0) / count(*) AS v FROM ev GROUP BY feature)", "ev")
+def _(s, d):
+    return tidy(profile.zero_summary(frames.evt(s, d), 0.5))
+
+
+@query("profile_expression", _SUM + " FROM (SELECT avg(value) AS v FROM x GROUP BY feature)", "x")
+def _(s, d):
+    return tidy(profile.expression_summary(frames.emb(s, d)))
+
+
+@query("profile_correlation", _SUM + " FROM (SELECT max(abs(s)) AS v FROM pear GROUP BY src)", "pear")
+def _(s, d):
+    return tidy(profile.correlation_summary(frames.emb(s, d)))
+
+
+@query("profile_missing", "SELECT {R(100.0 * count(*) FILTER (value IS NULL) / count(*))R} AS pct FROM ev", "ev")
+def _(s, d):
+    return tidy(profile.missing(frames.evt(s, d))["global"])
+
+
+@query("profile_missing_features", "SELECT feature, {R(100.0 * count(*) FILTER (value IS NULL) / count(*))R} AS pct FROM ev GROUP BY feature ORDER BY 100.0 * count(*) FILTER (value IS NULL) / count(*) DESC, feature LIMIT 5", "ev")
+def _(s, d):
+    return tidy(profile.missing(frames.evt(s, d))["features"])
+
+
+@query("profile_missing_samples", "SELECT sample_id, {R(100.0 * count(*) FILTER (value IS NULL) / count(*))R} AS pct FROM ev GROUP BY sample_id ORDER BY 100.0 * count(*) FILTER (value IS NULL) / count(*) DESC, sample_id LIMIT 5", "ev")
+def _(s, d):
+    return tidy(profile.missing(frames.evt(s, d))["samples"])
+
+
+@query("profile_missing_above", "SELECT (SELECT count(*) FROM (SELECT feature FROM ev GROUP BY 1 HAVING 100.0 * count(*) FILTER (value IS NULL) / count(*) > 20)) AS n_features, (SELECT count(*) FROM (SELECT sample_id FROM ev GROUP BY 1 HAVING 100.0 * count(*) FILTER (value IS NULL) / count(*) > 20)) AS n_samples", "ev")
+def _(s, d):
+    return profile.missing(frames.evt(s, d))["above"]
+
+
+@query("profile_report")
+def _(s, d):
+    return tidy(profile.report(frames.emb(s, d), correlation=True))
+
+
+# ---- cleaning -------------------------------------------------------------------------------------
+
+_CELL = "SELECT sample_id, feature, {R(%s)R} AS value FROM %s"
+
+
+def cells(long: DataFrame) -> DataFrame:
+    return tidy(long.select("sample_id", "feature", "value"))
+
+
+@query("beta_to_m", _CELL % ("log2(b / (1 - b))", "(SELECT *, CASE WHEN value IS NOT NULL THEN least(greatest(value, 1e-6), 1 - 1e-6) END AS b FROM x)"), "x")
+def _(s, d):
+    return cells(clean.beta_to_m(frames.emb(s, d)))
+
+
+for _m, _f in (("mean", "avg(value)"), ("median", "median(value)")):
+    query(f"impute_{_m}", _CELL % ("coalesce(value, fill)", f"ev JOIN (SELECT feature, {_f} AS fill FROM ev GROUP BY 1) USING (feature)"), "ev")(lambda s, d, m=_m: cells(clean.impute_simple(frames.evt(s, d), m)))
+query("impute_zero", _CELL % ("coalesce(value, 0)", "ev"), "ev")(lambda s, d: cells(clean.impute_simple(frames.evt(s, d), "zero")))
+
+
+@query(
+    "impute_knn",
+    "SELECT sample_id, feature, {R(coalesce(value, knn, mean))R} AS value FROM ev LEFT JOIN (SELECT sample_id, feature, avg(given) AS knn FROM (SELECT m.sample_id, m.feature, h.value AS given, row_number() OVER (PARTITION BY m.sample_id, m.feature ORDER BY round(q.dist, 9), q.donor) AS r FROM ev m JOIN (SELECT a.sample_id, b.sample_id AS donor, sqrt((SELECT count(DISTINCT feature) FROM ev)::DOUBLE / count(*) * sum((a.value - b.value) ** 2)) AS dist FROM ev a JOIN ev b ON a.feature = b.feature AND a.sample_id <> b.sample_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2) q ON q.sample_id = m.sample_id JOIN ev h ON h.sample_id = q.donor AND h.feature = m.feature AND h.value IS NOT NULL WHERE m.value IS NULL) WHERE r <= 5 GROUP BY 1, 2) k USING (sample_id, feature) JOIN (SELECT feature, avg(value) AS mean FROM ev GROUP BY 1) USING (feature)",
+    "ev",
+)
+def _(s, d):
+    return cells(clean.impute_knn(frames.evt(s, d), 5))
+
+
+@query("normalize_standard", _CELL % ("(value - a) / coalesce(nullif(b, 0), 1)", "x JOIN (SELECT feature, avg(value) AS a, stddev_pop(value) AS b FROM x GROUP BY 1) USING (feature)"), "x")
+def _(s, d):
+    return cells(clean.normalize(frames.emb(s, d), "standard"))
+
+
+@query("normalize_minmax", _CELL % ("(value - a) / coalesce(nullif(b, 0), 1)", "x JOIN (SELECT feature, min(value) AS a, max(value) - min(value) AS b FROM x GROUP BY 1) USING (feature)"), "x")
+def _(s, d):
+    return cells(clean.normalize(frames.emb(s, d), "minmax"))
+
+
+@query("normalize_log2", _CELL % ("log2(abs(value) + 1)", "ev"), "ev")
+def _(s, d):
+    return cells(clean.normalize(frames.evt(s, d).withColumn("value", F.abs("value")), "log2"))
+
+
+@query("scale_sample", _CELL % ("(value - a) / coalesce(nullif(b, 0), 1)", "x JOIN (SELECT feature, avg(value) AS a, stddev_samp(value) AS b FROM x GROUP BY 1) USING (feature)"), "x")
+def _(s, d):
+    return cells(clean.scale_sample(frames.emb(s, d)))
+
+
+@query("clean_inf", _CELL % ("coalesce(value, m)", "ev JOIN (SELECT feature, median(value) AS m FROM ev GROUP BY 1) USING (feature) WHERE feature IN (SELECT feature FROM (SELECT feature, coalesce(value, m) AS v FROM ev JOIN (SELECT feature, median(value) AS m FROM ev GROUP BY 1) USING (feature)) GROUP BY 1 HAVING stddev_pop(v) > 0)"), "ev")
+def _(s, d):
+    return cells(clean.clean_inf(frames.evt(s, d)))
+
+
+@query("clean_internal", _CELL % ("coalesce(value, m)", "ev JOIN (SELECT feature, median(value) AS m FROM ev GROUP BY 1 HAVING count(*) FILTER (value IS NULL) / count(*) <= 0.1 AND stddev_pop(value) > 0) USING (feature)"), "ev")
+def _(s, d):
+    return cells(clean.clean_internal(frames.evt(s, d), 0.1))
+
+
+@query("sparse_filter", "SELECT sample_id, feature, {R(value)R} AS value FROM k WHERE sample_id IN (SELECT sample_id FROM k GROUP BY 1 HAVING count(value) >= floor(count(*) * 0.9))".replace("FROM k ", "FROM (SELECT * FROM ev WHERE feature IN (SELECT feature FROM ev GROUP BY 1 HAVING count(value) >= floor(count(*) * 0.9))) k "), "ev")
+def _(s, d):
+    return cells(clean.sparse_filter(frames.evt(s, d), 0.1))
+
+
+@query("variation_filter", _CELL % ("value", "x WHERE feature IN (SELECT feature FROM c WHERE cv > (SELECT quantile_cont(cv, 0.5) FROM c))".replace("FROM c)", "FROM (SELECT feature, abs(stddev_samp(value) / CASE WHEN avg(value) = 0 THEN 1 ELSE avg(value) END) AS cv FROM x GROUP BY 1) c2)").replace("FROM c WHERE", "FROM (SELECT feature, abs(stddev_samp(value) / CASE WHEN avg(value) = 0 THEN 1 ELSE avg(value) END) AS cv FROM x GROUP BY 1) c WHERE")), "x")
+def _(s, d):
+    return cells(clean.variation_filter(frames.emb(s, d)))
+
+
+@query("regress_out", _CELL % ("value - (i + b * y)", "x JOIN y USING (sample_id) JOIN (SELECT feature, regr_slope(value, y) AS b, regr_intercept(value, y) AS i FROM x JOIN y USING (sample_id) GROUP BY 1) USING (feature)"), "x", "y")
+def _(s, d):
+    return cells(clean.regress_out(frames.emb(s, d), frames.emb_label(s, d), ["y"]))
+
+
+@query("clean_names", "SELECT DISTINCT CASE WHEN regexp_matches(n, '^[A-Za-z]') THEN n ELSE 'X' || n END AS name FROM (SELECT regexp_replace(p_name, '[^0-9A-Za-z_]', '.', 'g') AS n FROM part)")
+def _(s, d):
+    return clean.clean_names(frames.table(s, d, "part").select(F.col("p_name").alias("name")), "name").distinct()
+
+
+@query("average_samples", "SELECT substr(sample_id, 1, 1) AS sample_id, feature, {R(avg(value))R} AS value FROM x GROUP BY 1, 2", "x")
+def _(s, d):
+    return cells(clean.average_samples(frames.emb(s, d), 1))
+
+
+@query("binarize", "SELECT sample_id, (y > (SELECT median(y) FROM y))::INTEGER AS label FROM y", "y")
+def _(s, d):
+    return clean.binarize(frames.emb_label(s, d), "y", "label").select("sample_id", "label")
+
+
+# ---- clinical tables ------------------------------------------------------------------------------
+
+
+@query("clinical_ordinal", "SELECT sample_id, {R(coalesce(p, (SELECT median(p) FROM o)))R} AS priority FROM o".replace("FROM o)", "FROM (SELECT %s AS p FROM clin))").replace("FROM o", "FROM (SELECT sample_id, %s AS p FROM clin)") % (("CASE lower(trim(priority)) WHEN '1-urgent' THEN 1::DOUBLE WHEN '2-high' THEN 2 WHEN '3-medium' THEN 3 WHEN '4-not specified' THEN 4 END",) * 2), "clin")
+def _(s, d):
+    return tidy(clinical.ordinal(frames.clinical(s, d), {"priority": {"1-urgent": 1, "2-high": 2, "3-medium": 3, "4-not specified": 4}}, impute=True).select("sample_id", "priority"))
+
+
+@query("clinical_robust_scale", "SELECT sample_id, {R((balance - m) / coalesce(nullif(b - a, 0), 1))R} AS balance FROM clin, (SELECT median(balance) AS m, quantile_cont(balance, 0.25) AS a, quantile_cont(balance, 0.75) AS b FROM clin)", "clin")
+def _(s, d):
+    return tidy(clinical.numeric(frames.clinical(s, d), ["balance"], scale=True).select("sample_id", "balance"))
+
+
+@query("clinical_one_hot", "SELECT sample_id, " + ", ".join(f"(CASE WHEN lower(trim(segment)) = '{x}' THEN 1 ELSE 0 END) AS \"segment_{x}\"" for x in ("building", "furniture", "household", "machinery")) + ", (CASE WHEN segment IS NULL THEN 1 ELSE 0 END) AS segment_nan FROM clin", "clin")
+def _(s, d):
+    return clinical.one_hot(frames.clinical(s, d).select("sample_id", "segment"), ["segment"])
+
+
+@query("clinical_assemble")
+def _(s, d):
+    return clinical.preprocess(frames.clinical(s, d), ordinal_maps={"priority": {"1-urgent": 1, "2-high": 2, "3-medium": 3, "4-not specified": 4}}, continuous=["balance"], drop=["absent"], scale=True)
+
+
+# ---- similarity and networks ----------------------------------------------------------------------
+
+_PAIR = "SELECT src, dst, {R(%s)R} AS s FROM %s"
+
+
+def pairs(df: DataFrame, name: str = "s") -> DataFrame:
+    return tidy(df.select("src", "dst", name))
+
+
+query("pearson_matrix", _PAIR % ("s", "pear"), "pear")(lambda s, d: pairs(similarity.pearson(frames.emb(s, d))))
+query("cosine_matrix", _PAIR % ("s", "cosi"), "cosi")(lambda s, d: pairs(similarity.cosine(frames.emb(s, d))))
+query("signed_map", _PAIR % ("(s + 1) / 2", "pear"), "pear")(lambda s, d: pairs(similarity.signed(similarity.pearson(frames.emb(s, d)))))
+query("soft_threshold_matrix", _PAIR % ("pow(abs(s), 6)", "pear"), "pear")(lambda s, d: pairs(similarity.soft_threshold(similarity.pearson(frames.emb(s, d)))))
+query("gaussian_matrix", _PAIR % ("exp(-s / (m + 1e-8))", "dist, med"), "med")(lambda s, d: pairs(similarity.gaussian(frames.emb(s, d), eps=1e-8, factor=1.0)))
+query("rbf_matrix", _PAIR % ("exp(-s / (2 * m))", "dist, med"), "med")(lambda s, d: pairs(similarity.gaussian(frames.emb(s, d))))
+PARTS |= {
+    "xr": "SELECT sample_id, fpos, feature, rk - avg(rk) OVER (PARTITION BY feature) AS c FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value, sample_id)::DOUBLE AS rk FROM x)",
+    "gr": PARTS["g"].replace("xc", "xr"),
+    "spear": PARTS["pear"].replace("FROM g JOIN g d", "FROM gr g JOIN gr d").replace("JOIN g e", "JOIN gr e"),
+}
+_NEEDS |= {"xr": ["x"], "gr": ["xr"], "spear": ["gr"]}
+query("spearman_matrix", _PAIR % ("s", "spear"), "spear")(lambda s, d: pairs(similarity.spearman(frames.emb(s, d))))
+
+_KNN = "(SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 9) DESC, dst_pos) AS r FROM %s) WHERE r <= %d"
+_NORM = "SELECT src, dst, {R(s / sum(abs(s)) OVER (PARTITION BY src))R} AS weight FROM (%s)"
+_LOOPS = " UNION ALL SELECT DISTINCT feature, feature, 1.0 FROM x"
+_COS_KNN = f"SELECT src, dst, s FROM {_KNN % ('cosi', 15)}"
+_COR = "(SELECT src, dst, src_pos, dst_pos, (s + 1) / 2 AS s FROM pear)"
+_MUTUAL = "SELECT a.src, a.dst, a.s FROM ({0}) a JOIN ({0}) b ON a.src = b.dst AND a.dst = b.src"
+
+
+def net(df: DataFrame) -> DataFrame:
+    return tidy(df.select("src", "dst", "weight"))
+
+
+query("similarity_network", _NORM % _COS_KNN, "cosi")(lambda s, d: net(similarity.similarity_network(frames.emb(s, d))))
+query("similarity_network_mutual", _NORM % _MUTUAL.format(_COS_KNN), "cosi")(lambda s, d: net(similarity.similarity_network(frames.emb(s, d), mutual_only=True)))
+query("similarity_network_gaussian", _NORM % f"SELECT src, dst, s FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, exp(-s / (m + 1e-8)) AS s FROM dist, med)', 15)}", "med")(lambda s, d: net(similarity.similarity_network(frames.emb(s, d), metric="gaussian")))
+query("similarity_network_global", "SELECT src, dst, {R(s)R} AS weight FROM cosi WHERE s >= (SELECT s FROM cosi ORDER BY s DESC LIMIT 1 OFFSET 15 * 64)", "cosi")(lambda s, d: net(similarity.similarity_network(frames.emb(s, d), per_node=False, normalize=False)))
+query("similarity_network_compat", "SELECT src, dst, {R(s)R} AS weight FROM cosi WHERE s >= (SELECT s FROM (SELECT s FROM cosi UNION ALL SELECT DISTINCT ON (feature) 1.0 FROM x) ORDER BY s LIMIT 1 OFFSET 15 * 64 - 1)", "cosi")(lambda s, d: net(similarity.similarity_network(frames.emb(s, d), per_node=False, normalize=False, compat=True)))
+query("correlation_network", _NORM % f"SELECT src, dst, s FROM {_KNN % (_COR, 15)}", "pear")(lambda s, d: net(similarity.correlation_network(frames.emb(s, d))))
+query("correlation_network_unsigned_loops", _NORM % (f"SELECT src, dst, s FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, abs(s) AS s FROM pear)', 10)}" + _LOOPS), "pear")(lambda s, d: net(similarity.correlation_network(frames.emb(s, d), k=10, signed_map=False, self_loops=True)))
+query("correlation_network_spearman", _NORM % f"SELECT src, dst, s FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, (s + 1) / 2 AS s FROM spear)', 15)}", "spear")(lambda s, d: net(similarity.correlation_network(frames.emb(s, d), method="spearman")))
+query("correlation_network_threshold", "SELECT src, dst, {R((s + 1) / 2)R} AS weight FROM pear WHERE (s + 1) / 2 >= 0.53", "pear")(lambda s, d: net(similarity.correlation_network(frames.emb(s, d), k=None, per_node=False, threshold=0.53, normalize=False)))
+query("correlation_network_full", _NORM % f"SELECT src, dst, s FROM {_COR}", "pear")(lambda s, d: net(similarity.correlation_network(frames.emb(s, d), k=None)))
+query("threshold_network", _NORM % f"SELECT src, dst, s FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, pow(abs(s), 2) AS s FROM pear)', 15)}", "pear")(lambda s, d: net(similarity.threshold_network(frames.emb(s, d), b=2.0)))
+query("gaussian_knn_network", _NORM % (f"SELECT src, dst, s FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, exp(-s / (2 * m)) AS s FROM dist, med)', 15)}" + _LOOPS), "med")(lambda s, d: net(similarity.gaussian_knn_network(frames.emb(s, d))))
+
+# ---- pruning and analytics over the trade network -------------------------------------------------
+
+T = 0.04
+query("prune_network", "SELECT src, dst, {R(weight)R} AS weight FROM tr WHERE weight >= 0.04", "tr")(lambda s, d: net(clean.prune(frames.trade(s, d), T)))
+_LOWER = "(SELECT least(i, j) AS i, greatest(i, j) AS j, arg_max(weight, (i > j)::INTEGER) AS weight FROM (SELECT a.npos AS i, b.npos AS j, weight FROM tr JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node) GROUP BY 1, 2)"
+query("undirected_network", f"SELECT a.node AS src, b.node AS dst, {R}weight)R}} AS weight FROM {_LOWER} u JOIN nodes a ON u.i = a.npos JOIN nodes b ON u.j = b.npos", "tr", "nodes")(lambda s, d: net(clean.undirected(frames.trade(s, d), "lower", frames.nations(s, d))))
+query("prune_network_quantile", f"SELECT a.node AS src, b.node AS dst, {R}weight)R}} AS weight FROM {_LOWER} u JOIN nodes a ON u.i = a.npos JOIN nodes b ON u.j = b.npos WHERE weight >= (SELECT quantile_cont(weight, 0.5) FROM {_LOWER})", "tr", "nodes")(lambda s, d: net(clean.prune_quantile(clean.undirected(frames.trade(s, d), "lower", frames.nations(s, d)), 0.5)))
+_KEPT = "SELECT src, dst, {R(weight)R} AS weight FROM (SELECT * FROM tr WHERE weight > 0.04) e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)"
+_COLS = "(SELECT node, (coalesce(q, 0) - coalesce(s, 0) ** 2 / 25) / 24 AS variance, 1 - coalesce(c, 0) / 25 AS zeros FROM nodes LEFT JOIN (SELECT dst, sum(weight) AS s, sum(weight ** 2) AS q, count(*) AS c FROM tr WHERE weight > 0.04 GROUP BY 1) ON dst = node)"
+query("drop_low_variance_nodes", _KEPT.replace("FROM k", f"FROM {_COLS} WHERE variance > 0.0004"), "tr", "nodes")(lambda s, d: net(clean.drop_low_variance(frames.trade(s, d).where("weight > 0.04"), frames.nations(s, d), 0.0004)))
+query("drop_high_zero_nodes", _KEPT.replace("FROM k", f"FROM {_COLS} WHERE zeros < 0.6"), "tr", "nodes")(lambda s, d: net(clean.drop_high_zero(frames.trade(s, d).where("weight > 0.04"), frames.nations(s, d), 0.6)))
+
+PARTS |= {
+    "hi": "SELECT src, dst FROM tr WHERE weight > 0.04",
+    "dg": "SELECT node, npos, modality, coalesce(k, 0) AS degree FROM nodes LEFT JOIN (SELECT src, count(*) AS k FROM hi GROUP BY 1) ON src = node",
+}
+_NEEDS |= {"hi": ["tr"], "dg": ["nodes", "hi"]}
+
+
+def _trade(f: Callable) -> Callable:
+    return lambda s, d: tidy(f(frames.trade(s, d), frames.nations(s, d)))
+
+
+query("net_basic", "SELECT count(*) AS nodes, {R(sum(degree) / 2)R} AS edges, {R(sum(degree) / 2 / (count(*) * (count(*) - 1) / 2))R} AS density, {R(avg(degree))R} AS avg_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS isolated FROM dg", "dg")(_trade(lambda e, n: analyze.basic(e, n, T)))
+query("net_degrees", "SELECT degree, count(*) AS n, {R(100.0 * count(*) / sum(count(*)) OVER ())R} AS pct FROM dg GROUP BY degree", "dg")(_trade(lambda e, n: analyze.degree_distribution(e, n, T)))
+query("net_trade_hubs", "SELECT row_number() OVER (ORDER BY degree DESC, npos) AS rank, node, modality, degree FROM dg ORDER BY degree DESC, npos LIMIT 10", "dg")(_trade(lambda e, n: analyze.hubs(e, n, T)))
+query("net_clustering", "SELECT node, {R(CASE WHEN k >= 2 THEN coalesce(links, 0) / (k * (k - 1)) ELSE 0 END)R} AS coefficient FROM (SELECT node, coalesce(k, 0) AS k FROM nodes LEFT JOIN (SELECT src, count(*) AS k FROM hi WHERE src <> dst GROUP BY 1) ON src = node) LEFT JOIN (SELECT a.src AS v, count(*) AS links FROM hi a JOIN hi b ON a.src = b.src AND a.dst <> b.dst JOIN hi c ON c.src = a.dst AND c.dst = b.dst WHERE a.src <> a.dst AND b.src <> b.dst AND c.src <> c.dst GROUP BY 1) ON v = node", "nodes", "hi")(_trade(lambda e, n: analyze.clustering(e, n, T)))
+query("net_cross_modality", "SELECT m1, m2, {R(c)R} AS edges, {R(p)R} AS possible, {R(c / p)R} AS density FROM (SELECT a.modality AS m1, b.modality AS m2, (coalesce(n, 0) * CASE WHEN a.modality = b.modality THEN 0.5 ELSE 1 END)::DOUBLE AS c, CASE WHEN a.modality = b.modality THEN a.k * (a.k - 1) / 2 ELSE a.k * b.k END::DOUBLE AS p FROM (SELECT modality, count(*) AS k FROM nodes GROUP BY 1) a JOIN (SELECT modality, count(*) AS k FROM nodes GROUP BY 1) b ON a.modality <= b.modality LEFT JOIN (SELECT s.modality AS x1, t.modality AS x2, count(*) AS n FROM hi JOIN nodes s ON src = s.node JOIN nodes t ON dst = t.node GROUP BY 1, 2) ON x1 = a.modality AND x2 = b.modality)", "nodes", "hi")(_trade(lambda e, n: analyze.cross_modality(e, n, T)))
+PARTS |= {"up": "SELECT src, dst, a.npos AS i, b.npos AS j, weight FROM tr JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node WHERE a.npos < b.npos"}
+_NEEDS |= {"up": ["tr", "nodes"]}
+_PCT = ", ".join(f"{R}quantile_cont(weight, {p / 100}))R}} AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + ", " + ", ".join(f"count(*) FILTER (weight > {t}) AS above_{str(t).replace('.', '_')}" for t in (0.001, 0.1, 0.3, 0.5, 0.7, 0.8, 0.9))
+query("net_edge_weights", f"SELECT count(*) AS n, {R}avg(weight))R}} AS mean, {R}stddev_pop(weight))R}} AS std, {R}median(weight))R}} AS median, {R}min(weight))R}} AS min, {R}max(weight))R}} AS max, {_PCT} FROM up WHERE weight > 0", "up")(_trade(analyze.edge_weights))
+query("net_strongest_edges", "SELECT src, dst, {R(weight)R} AS weight FROM up ORDER BY round(weight, 9) DESC, i, j LIMIT 50", "up")(_trade(analyze.strongest_edges))
+_CC = "WITH RECURSIVE {0}, two AS (SELECT a.npos AS a, b.npos AS b FROM (SELECT src, dst FROM tr WHERE weight > 0.05 UNION SELECT dst, src FROM tr WHERE weight > 0.05) JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node), reach AS (SELECT npos AS a, npos AS r FROM nodes UNION SELECT two.b, reach.r FROM reach JOIN two USING (a)), lab AS (SELECT a, min(r) AS label FROM reach GROUP BY 1)"
+_CC = _CC.format(", ".join(f"{p} AS ({PARTS[p]})" for p in ("tr", "nodes")))
+QUERIES["net_components"] = _trade(lambda e, n: analyze.components(e, n, 0.05))
+ORACLES["net_components"] = _CC + " SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS component FROM lab JOIN nodes ON a = npos"
+QUERIES["net_topology_quality"] = _trade(lambda e, n: analyze.topology_quality(e, n, 0.05))
+ORACLES["net_topology_quality"] = _CC + " SELECT round(0.5::DOUBLE * (SELECT count(DISTINCT src) FROM tr WHERE weight > 0.05) / 25 + 0.5::DOUBLE * max(k) / 25, 6) + 0.0 AS quality FROM (SELECT count(*) AS k FROM lab GROUP BY label)"
+query("net_node_table", "SELECT row_number() OVER (ORDER BY k DESC, npos) AS index, nodes.node, modality, k AS degree FROM nodes JOIN (SELECT node, count(*) AS k FROM (SELECT unnest([a, b]) AS node FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE abs(weight) >= 0.05 AND src <> dst)) GROUP BY 1) u USING (node)", "tr", "nodes")(_trade(lambda e, n: analyze.node_table(e, n, 0.05)))
+query("net_modality_by_name", "SELECT feature AS node, CASE WHEN fpos < 32 THEN 'low' ELSE 'Unknown' END AS modality FROM (SELECT DISTINCT feature, fpos FROM x)", "x")(
+    lambda s, d: analyze.with_modality(similarity.features_of(frames.emb(s, d)).select(F.col("feature").alias("node"), "fpos"), similarity.features_of(frames.emb(s, d)).where("fpos < 32").select(F.col("feature").alias("node"), F.lit("low").alias("modality"))).select("node", "modality")
+)
+_LAP = "(SELECT src, dst, weight / sqrt(a.d * b.d) AS w FROM (SELECT src, dst, s AS weight FROM (%s)) e JOIN (SELECT src AS n, sum(s) AS d FROM (%s) GROUP BY 1) a ON a.n = src JOIN (SELECT src AS n, sum(s) AS d FROM (%s) GROUP BY 1) b ON b.n = dst)" % ((_COS_KNN,) * 3)
+_FULLCOR = f"SELECT src, dst, s FROM {_COR}"
+query("net_smoothing", "SELECT x.sample_id, x.feature, {R(value + coalesce(a, 0))R} AS value FROM x LEFT JOIN (SELECT sample_id, dst AS feature, sum(value * w) AS a FROM x JOIN %s ON feature = src GROUP BY 1, 2) USING (sample_id, feature)" % _LAP.replace(_COS_KNN, _FULLCOR), "pear")(
+    lambda s, d: cells(analyze.smoothed(frames.emb(s, d), similarity.correlation_network(frames.emb(s, d), k=None, normalize=False)))
+)
+query("net_profile_correlation", "SELECT a.node AS src, b.node AS dst, {R(coalesce((25 * coalesce(p, 0) - coalesce(sa, 0) * coalesce(sb, 0)) / nullif(sqrt((25 * coalesce(qa, 0) - coalesce(sa, 0) ** 2) * (25 * coalesce(qb, 0) - coalesce(sb, 0) ** 2)), 0), 0))R} AS s FROM nodes a JOIN nodes b ON a.node <> b.node LEFT JOIN (SELECT dst AS d1, sum(weight) AS sa, sum(weight ** 2) AS qa FROM tr WHERE weight > 0.04 GROUP BY 1) ON d1 = a.node LEFT JOIN (SELECT dst AS d2, sum(weight) AS sb, sum(weight ** 2) AS qb FROM tr WHERE weight > 0.04 GROUP BY 1) ON d2 = b.node LEFT JOIN (SELECT t.dst AS d3, u.dst AS d4, sum(t.weight * u.weight) AS p FROM tr t JOIN tr u USING (src) WHERE t.weight > 0.04 AND u.weight > 0.04 GROUP BY 1, 2) ON d3 = a.node AND d4 = b.node", "tr", "nodes")(
+    lambda s, d: pairs(similarity.profile_correlation(frames.trade(s, d).where("weight > 0.04"), frames.nations(s, d)))
+)
+
+PARTS |= {"ce": f"SELECT src, dst, src_pos, s / sum(abs(s)) OVER (PARTITION BY src) AS weight FROM (SELECT * FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, abs(s) AS s FROM pear)', 15)})"}
+_NEEDS |= {"ce": ["pear"]}
+
+
+@query("net_hubs", "SELECT row_number() OVER (ORDER BY k DESC, fpos) AS rank, feature AS node, 'b' || (fpos // 16)::VARCHAR AS modality, k AS degree FROM (SELECT feature, fpos, coalesce(k, 0) AS k FROM (SELECT DISTINCT feature, fpos FROM x) LEFT JOIN (SELECT dst, count(*) AS k FROM ce GROUP BY 1) ON dst = feature) ORDER BY k DESC, fpos LIMIT 10", "ce")
+def _(s, d):
+    x = frames.emb(s, d)
+    e = similarity.correlation_network(x, signed_map=False)
+    nodes = similarity.features_of(x).select(F.col("feature").alias("node"), F.col("fpos").alias("npos"), F.concat(F.lit("b"), F.expr("(fpos div 16)").cast("string")).alias("modality"))
+    return analyze.hubs(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), nodes, 0.0)
+
+
+# ---- selection ------------------------------------------------------------------------------------
+
+_TOP = "SELECT fpos, feature, {R(score)R} AS score FROM (%s) ORDER BY round(score, 9) DESC, fpos LIMIT %d"
+_RY = "SELECT fpos, feature, n, ab / CASE WHEN aa * bb > 1e-24 THEN sqrt(aa * bb) END AS r FROM (SELECT fpos, feature, count(*) AS n, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb FROM (SELECT fpos, feature, value - avg(value) OVER (PARTITION BY feature) AS a, y - avg(y) OVER (PARTITION BY feature) AS b FROM x JOIN y USING (sample_id)) GROUP BY 1, 2)"
+PARTS |= {"ry": _RY}
+_NEEDS |= {"ry": ["x", "y"]}
+query("select_variance", _TOP % ("SELECT fpos, feature, var_pop(value) AS score FROM x GROUP BY 1, 2", 20), "x")(lambda s, d: tidy(select.variance_top(frames.emb(s, d), 20)))
+query("select_mad", _TOP % ("SELECT fpos, feature, median(abs(value - m)) AS score FROM x JOIN (SELECT feature, median(value) AS m FROM x GROUP BY 1) USING (feature) GROUP BY 1, 2", 20), "x")(lambda s, d: tidy(select.mad_top(frames.emb(s, d), 20)))
+query("select_correlation", _TOP % ("SELECT fpos, feature, coalesce(abs(r), 0) AS score FROM ry", 20), "ry")(lambda s, d: tidy(select.correlation_top(frames.emb(s, d), frames.emb_label(s, d), 20)))
+query("select_correlation_unsupervised", _TOP % ("SELECT src_pos AS fpos, src AS feature, avg(abs(s)) AS score FROM pear GROUP BY 1, 2", 20), "pear")(lambda s, d: tidy(select.correlation_top(frames.emb(s, d), None, 20)))
+query(
+    "select_laplacian",
+    "SELECT fpos, feature, {R(score)R} AS score FROM (SELECT fpos, feature, (den - num) / (den + 1e-8) AS score FROM (SELECT fpos, feature, sum(d * c * c) AS den FROM c GROUP BY 1, 2) JOIN (SELECT a.fpos, sum(a.c * b.c) AS num FROM c a JOIN w ON a.sample_id = w.a JOIN c b ON b.sample_id = w.b AND b.fpos = a.fpos GROUP BY 1) USING (fpos)) ORDER BY round(score, 9), fpos LIMIT 20",
+    "x",
+)(lambda s, d: tidy(select.laplacian_top(frames.emb(s, d), 20)))
+ORACLES["select_laplacian"] = ORACLES["select_laplacian"].replace(") SELECT fpos, feature, (round", "), z AS (SELECT sample_id, fpos, feature, (value - avg(value) OVER p) / coalesce(nullif(stddev_pop(value) OVER p, 0), 1) AS z FROM x WINDOW p AS (PARTITION BY feature)), v AS (SELECT sample_id, list(z ORDER BY fpos) AS v FROM z GROUP BY 1), kn AS (SELECT a, b FROM (SELECT p.sample_id AS a, q.sample_id AS b, row_number() OVER (PARTITION BY p.sample_id ORDER BY round(list_cosine_similarity(p.v, q.v), 9) DESC, q.sample_id) AS r FROM v p JOIN v q ON p.sample_id <> q.sample_id) WHERE r <= 5), w AS (SELECT a, b FROM kn UNION SELECT b, a FROM kn), dd AS (SELECT a AS sample_id, count(*)::DOUBLE AS d FROM w GROUP BY 1), c AS (SELECT sample_id, fpos, feature, d, z - sum(d * z) OVER p / sum(d) OVER p AS c FROM z JOIN dd USING (sample_id) WINDOW p AS (PARTITION BY feature)) SELECT fpos, feature, (round", 1)
+query("anova_f", "SELECT feature, {R(between / d1 / (within / d2))R} AS f, d1, d2 FROM (SELECT feature, sum(n * (m - gm) ** 2) AS between, sum(n * v) AS within, (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2 FROM (SELECT feature, y, count(*) AS n, avg(value) AS m, var_pop(value) AS v, sum(sum(value)) OVER (PARTITION BY feature) / sum(count(*)) OVER (PARTITION BY feature) AS gm FROM x JOIN y USING (sample_id) GROUP BY 1, 2) GROUP BY 1)", "x", "y")(lambda s, d: tidy(select.anova(frames.emb(s, d), frames.emb_label(s, d)).select("feature", "f", "d1", "d2")))
+query("regression_f", "SELECT feature, {R(r * r / (1 - r * r) * (n - 2))R} AS f FROM ry", "ry")(lambda s, d: tidy(select.regression_f(frames.emb(s, d), frames.emb_label(s, d)).select("feature", "f")))
+query("select_f_classification")(lambda s, d: tidy(select.f_top(frames.emb(s, d), frames.emb_label(s, d), 20).select("fpos", "feature", "f", "p", "q", "significant")))
+query("select_f_regression")(lambda s, d: tidy(select.f_top(frames.emb(s, d), frames.emb_label(s, d), 20, task="regression").select("fpos", "feature", "f", "p", "q", "significant")))
+query("select_pca")(lambda s, d: tidy(select.pca_top(frames.emb(s, d), 20)))
+query("select_forest")(lambda s, d: tidy(select.forest_top(frames.emb(s, d), frames.emb_label(s, d), 20, trees=20)))
+query("select_in_both", "SELECT feature FROM (SELECT feature FROM (SELECT fpos, feature, var_pop(value) AS score FROM x GROUP BY 1, 2) ORDER BY round(score, 9) DESC, fpos LIMIT 32) INTERSECT SELECT feature FROM (SELECT fpos, feature, coalesce(abs(r), 0) AS score FROM ry ORDER BY round(score, 9) DESC, fpos LIMIT 32)", "ry")(lambda s, d: select.in_both(select.variance_top(frames.emb(s, d), 32), select.correlation_top(frames.emb(s, d), frames.emb_label(s, d), 32)))
+query("pearson_pvalues")(lambda s, d: tidy(select.pearson_with(frames.emb(s, d), frames.emb_label(s, d)).select("feature", "r", special.pearson_pvalue("r", F.col("n").cast("double")).alias("p"))))
