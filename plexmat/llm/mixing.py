@@ -168,7 +168,8 @@ class Mixture:
         docs = self.docs.join(F.broadcast(self.laws().select("_source", "_number")), "_source").where(F.col("size") > 0)
         blocks = F.sequence(F.expr(f"start div {self.block}"), F.expr(f"(start + size - 1) div {self.block}"))
         parts = docs.select("doc_id", "_source", "_text_key", "_number", "start", "size", F.explode(blocks).alias("_block"))
-        got = parts.join(self.slots(), ["_number", "_block"])
+        # the slots are made by few task rows but are many: without the hint their size is taken for the rows'
+        got = parts.join(self.slots().hint("merge"), ["_number", "_block"])
         begin = F.col("_block") * self.block - F.col("start")
         low, high = F.greatest(begin, F.lit(0)), F.least(begin + F.col("_words"), F.col("size"))
         return got.select("doc_id", "_source", "_text_key", "start", "shard", "_pass", low.alias("from"), high.alias("upto")).where(F.col("upto") > F.col("from"))
