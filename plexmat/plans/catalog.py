@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import analyze, clean, clinical, profile, select, similarity
+from plexmat.operators import analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
 from plexmat.sources import frames
 from plexmat.sources.frames import rounded
 
@@ -365,3 +365,174 @@ query("select_pca")(lambda s, d: tidy(select.pca_top(frames.emb(s, d), 20)))
 query("select_forest")(lambda s, d: tidy(select.forest_top(frames.emb(s, d), frames.emb_label(s, d), 20, trees=20)))
 query("select_in_both", "SELECT feature FROM (SELECT feature FROM (SELECT fpos, feature, var_pop(value) AS score FROM x GROUP BY 1, 2) ORDER BY round(score, 9) DESC, fpos LIMIT 32) INTERSECT SELECT feature FROM (SELECT fpos, feature, coalesce(abs(r), 0) AS score FROM ry ORDER BY round(score, 9) DESC, fpos LIMIT 32)", "ry")(lambda s, d: select.in_both(select.variance_top(frames.emb(s, d), 32), select.correlation_top(frames.emb(s, d), frames.emb_label(s, d), 32)))
 query("pearson_pvalues")(lambda s, d: tidy(select.pearson_with(frames.emb(s, d), frames.emb_label(s, d)).select("feature", "r", special.pearson_pvalue("r", F.col("n").cast("double")).alias("p"))))
+
+# ---- partitions, cuts and ranks over the undirected trade network ---------------------------------
+
+
+def trade_undirected(s: SparkSession, d: str) -> DataFrame:
+    return clean.undirected(frames.trade(s, d), "mean")
+
+
+def by_region(s: SparkSession, d: str) -> DataFrame:
+    return frames.nations(s, d).select("node", F.col("modality").alias("community"))
+
+
+PARTS |= {
+    "und": "SELECT least(src, dst) AS src, greatest(src, dst) AS dst, avg(weight) AS weight FROM tr GROUP BY 1, 2",
+    "sy": "SELECT src, dst, weight FROM und UNION ALL SELECT dst, src, weight FROM und WHERE src <> dst",
+    "sc": "SELECT sy.*, a.modality AS c1, b.modality AS c2 FROM sy JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node",
+}
+_NEEDS |= {"und": ["tr"], "sy": ["und"], "sc": ["sy", "nodes"]}
+query("modularity", "SELECT {R(sum(i / m - (t / m) ** 2))R} AS modularity FROM (SELECT c1, sum(weight) AS t, sum(weight) FILTER (c1 = c2) AS i, sum(sum(weight)) OVER () AS m FROM sc GROUP BY c1)", "sc")(lambda s, d: tidy(community.modularity(trade_undirected(s, d), by_region(s, d))))
+query("contract", "SELECT c1 AS src, c2 AS dst, {R(sum(weight))R} AS weight FROM sc GROUP BY 1, 2", "sc")(lambda s, d: net(community.contract(trade_undirected(s, d), by_region(s, d))))
+query("conductance", "SELECT {R(sum(weight) FILTER (c1 = 'ASIA' AND c2 <> 'ASIA') / least(sum(w) FILTER (c1 = 'ASIA'), sum(w) FILTER (c1 <> 'ASIA')))R} AS conductance FROM (SELECT *, CASE WHEN src = dst THEN 2 * weight ELSE weight END AS w FROM sc)", "sc")(lambda s, d: tidy(community.conductance(trade_undirected(s, d), by_region(s, d).where("community = 'ASIA'").select("node"))))
+_PR = ", v AS (SELECT node, CASE WHEN node IN ('CHINA', 'INDIA') THEN 0.5 ELSE 0 END::DOUBLE AS v FROM nodes), st AS (SELECT src, sum(weight) AS t FROM sy GROUP BY 1), p AS (SELECT sy.src, dst, weight / t AS p FROM sy JOIN st USING (src)), r0 AS (SELECT node, 1.0 / 25 AS score FROM nodes)"
+for _i in range(10):
+    _PR += f", r{_i + 1} AS (SELECT node, 0.9 * coalesce(g, 0) + 0.1 * v AS score FROM v LEFT JOIN (SELECT dst, sum(p * score) AS g FROM p JOIN r{_i} ON src = node GROUP BY 1) ON dst = node)"
+query("pagerank", "SELECT node, {R(score)R} AS score FROM r10", "sy", "nodes")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("CHINA", 1.0), ("INDIA", 1.0)], "node string, weight double"), fixed=10)))
+ORACLES["pagerank"] = ORACLES["pagerank"].replace(" SELECT node, (round(score", _PR + " SELECT node, (round(score")
+query("pagerank_converged")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("CHINA", 1.0)], "node string, weight double"))))
+_KZ = ", k0 AS (SELECT node, 1.0::DOUBLE AS score FROM nodes)"
+for _i in range(5):
+    _KZ += f", k{_i + 1} AS (SELECT nodes.node, 1 + 0.1 * coalesce(g, 0) AS score FROM nodes LEFT JOIN (SELECT dst, sum(weight * score) AS g FROM sy JOIN k{_i} ON src = node GROUP BY 1) ON dst = nodes.node)"
+query("katz", "SELECT node, {R(score / sqrt(sum(score * score) OVER ()))R} AS score FROM k5", "sy", "nodes")(lambda s, d: tidy(community.katz(trade_undirected(s, d), rounds=5)))
+ORACLES["katz"] = ORACLES["katz"].replace(" SELECT node, (round(score", _KZ + " SELECT node, (round(score")
+query("eigenvector")(lambda s, d: tidy(community.eigenvector(trade_undirected(s, d), rounds=20)))
+
+
+def emb_net(s: SparkSession, d: str) -> DataFrame:
+    """The undirected network of the 5 strongest correlations of each embedding feature."""
+    return clean.undirected(similarity.correlation_network(frames.emb(s, d), k=5, signed_map=False, normalize=False), "max")
+
+
+query("louvain")(lambda s, d: community.louvain(emb_net(s, d), [0, 1, 2]))
+query("louvain_history")(lambda s, d: community.louvain_history(emb_net(s, d)))
+query("correlated_louvain")(lambda s, d: tidy(community.correlated_louvain(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), [0.2, 0.8])))
+query("top_communities")(lambda s, d: tidy(community.top_communities(community.correlated_louvain(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d)), 3)))
+query("combined_quality")(lambda s, d: tidy(community.combined_quality(emb_net(s, d), community.correlated_louvain(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d)))))
+query("correlated_pagerank")(lambda s, d: tidy(community.correlated_pagerank(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), ["f000", "f001", "f002"])))
+query("hybrid_louvain")(lambda s, d: tidy(community.hybrid(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d))))
+query("hybrid_best_subgraph")(lambda s, d: net(community.best_subgraph(emb_net(s, d), community.hybrid(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d)))))
+
+# ---- phenotype ------------------------------------------------------------------------------------
+
+
+def blocks_of(s: SparkSession, d: str) -> DataFrame:
+    """Four sets of 16 embedding features."""
+    return similarity.features_of(frames.emb(s, d)).select(F.expr("(fpos div 16)").cast("long").alias("set_id"), "feature")
+
+
+query("phenotype_correlation")(lambda s, d: tidy(phenotype.omics_correlation(frames.emb(s, d), frames.emb_label(s, d))))
+query("phenotype_sets")(lambda s, d: tidy(phenotype.set_correlations(frames.emb(s, d), frames.emb_label(s, d), blocks_of(s, d), standardize=False)))
+query("phenotype_cluster")(lambda s, d: tidy(phenotype.cluster_correlation(frames.emb(s, d), frames.emb_label(s, d), ["f000", "f001", "f002"])))
+query("phenotype_compare_sets")(lambda s, d: tidy(phenotype.compare_sets(frames.emb(s, d), frames.emb_label(s, d), blocks_of(s, d), blocks_of(s, d).where("set_id < 2"))))
+
+# ---- canonical correlation ------------------------------------------------------------------------
+
+
+def with_modality(s: SparkSession, d: str) -> DataFrame:
+    return frames.emb(s, d).withColumn("modality", F.concat(F.lit("b"), F.expr("(fpos div 16)").cast("string")))
+
+
+def as_weights(s: SparkSession, d: str) -> DataFrame:
+    """Embedding values above 0.2 read as weights of a subsample (the vector)."""
+    return frames.emb(s, d).where("abs(value) > 0.2").select("fpos", F.col("sample_id").alias("subsample"), F.col("value").alias("w"))
+
+
+def two_classes(s: SparkSession, d: str) -> DataFrame:
+    return frames.emb_label(s, d).select("sample_id", (F.col("y") >= 5).cast("double").alias("y"))
+
+
+query("abar", "SELECT a, b, {R(s / max(s) OVER ())R} AS s FROM (SELECT p.fpos::INTEGER AS a, q.fpos::INTEGER AS b, sum(abs(p.value) * abs(q.value)) AS s FROM x p JOIN x q USING (sample_id) WHERE p.fpos <> q.fpos AND abs(p.value) > 0.2 AND abs(q.value) > 0.2 GROUP BY 1, 2)", "x")(lambda s, d: tidy(cca.similarity(as_weights(s, d))))
+query("modules")(lambda s, d: cca.modules(cca.similarity(as_weights(s, d))))
+query("soft_threshold", _CELL % ("sign(value) * greatest(0, abs(value) - 0.1)", "x"), "x")(lambda s, d: cells(frames.emb(s, d).withColumn("value", F.signum("value") * F.greatest(F.lit(0.0), F.abs("value") - 0.1))))
+query("is_binary", "SELECT count(DISTINCT b) = 2 AND min(b) = 0 AND max(b) = 1 AS is_binary FROM (SELECT (y >= 5)::DOUBLE AS b FROM y)", "y")(lambda s, d: cca.is_binary(two_classes(s, d)))
+PARTS |= {"sco": "SELECT (y >= 5)::DOUBLE AS y, round(value, 2) + 0.5 AS score FROM x JOIN y USING (sample_id) WHERE fpos = 0"}
+_NEEDS |= {"sco": ["x", "y"]}
+query(
+    "binary_metrics",
+    "SELECT {R(avg(((score >= 0.5) = (y = 1))::INTEGER))R} AS accuracy, {R(count(*) FILTER (score >= 0.5 AND y = 1) / count(*) FILTER (score >= 0.5))R} AS precision, {R(count(*) FILTER (score >= 0.5 AND y = 1) / count(*) FILTER (y = 1))R} AS recall, {R(2 * count(*) FILTER (score >= 0.5 AND y = 1) / (count(*) FILTER (score >= 0.5) + count(*) FILTER (y = 1)))R} AS f1, (SELECT {R((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)))R} FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM sco)) AS auc FROM sco",
+    "sco",
+)(lambda s, d: tidy(cca.binary_metrics(frames.emb(s, d).where("fpos = 0").join(two_classes(s, d), "sample_id").select("y", (F.round("value", 2) + 0.5).alias("score")))))
+query("cv_folds", "SELECT sample_id, (ntile(5) OVER (ORDER BY md5(sample_id || ':0'), sample_id) - 1)::INTEGER AS fold FROM y", "y")(lambda s, d: cca.folds(frames.emb_label(s, d).select("sample_id"), 5))
+query("stratified_folds", "SELECT sample_id, y, ((row_number() OVER (PARTITION BY y ORDER BY md5(sample_id || ':0'), sample_id) - 1) % 5)::INTEGER AS fold FROM y", "y")(lambda s, d: learn.stratified(frames.emb_label(s, d), 5))
+query("holdout_split", "SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(sample_id || ':0'), sample_id) <= round(0.3 * count(*) OVER (PARTITION BY y)) AS test FROM y", "y")(lambda s, d: learn.holdout(frames.emb_label(s, d), 0.3))
+query("cca_weights")(lambda s, d: tidy(cca.robust_weights(with_modality(s, d), frames.emb_label(s, d), [0.3] * 4, subsamples=10)))
+query("cca_weights_binary")(lambda s, d: tidy(cca.robust_weights(with_modality(s, d), two_classes(s, d), [0.3] * 4, subsamples=6, binary=True)))
+query("cca_tuning")(lambda s, d: tidy(cca.tune(with_modality(s, d).where("fpos < 32"), frames.emb_label(s, d), [[0.2, 0.2], [0.4, 0.4]], k=3)))
+query("cca_auto_network")(lambda s, d: tidy(cca.auto_network(with_modality(s, d).where("fpos < 32"), frames.emb_label(s, d), tuning=2, k=3, subsamples=10)["pruned"]))
+
+# ---- learning -------------------------------------------------------------------------------------
+
+_CLIN = "SELECT vec_id::VARCHAR AS sample_id, label::DOUBLE AS y, (label % 2)::DOUBLE AS b FROM embeddings"
+PARTS |= {
+    "cl": _CLIN,
+    "rb": _RY.replace("value - avg", "value - avg").replace("y - avg(y)", "b - avg(b)").replace("AS b FROM x JOIN y", "AS b FROM x JOIN cl"),
+}
+_NEEDS |= {"cl": [], "rb": ["x", "cl"]}
+
+
+def clin_vars(s: SparkSession, d: str) -> DataFrame:
+    return frames.emb_label(s, d).select("sample_id", "y", (F.col("y") % 2).alias("b"))
+
+
+_FZ = "atanh(greatest(least(coalesce(r, 0), 0.999999), -0.999999))"
+query("clinical_node_features", f"SELECT feature, 'y' AS variable, {R}{_FZ})R}} AS z FROM ry UNION ALL SELECT feature, 'b', {R}{_FZ})R}} FROM rb", "ry", "rb")(lambda s, d: tidy(learn.clinical_features(frames.emb(s, d), clin_vars(s, d), ["y", "b"])))
+query("adaptive_node_features", f"SELECT feature, variable, {R}(z - avg(z) OVER p) / stddev_samp(z) OVER p)R}} AS z FROM (SELECT feature, 'y' AS variable, {_FZ} AS z FROM ry UNION ALL SELECT feature, 'b', {_FZ} FROM rb) WINDOW p AS (PARTITION BY variable)", "ry", "rb")(lambda s, d: tidy(learn.adaptive_features(frames.emb(s, d), clin_vars(s, d), ["y", "b"], clin_vars(s, d).select("sample_id"))))
+query("abs_pearson_node_features", "SELECT feature, 'y' AS variable, {R(coalesce(abs(r), 0))R} AS score FROM ry", "ry")(lambda s, d: tidy(learn.abs_pearson_features(frames.emb(s, d), clin_vars(s, d), ["y"], clin_vars(s, d).select("sample_id"))))
+query("statistical_node_features", "SELECT feature, {R(any_value(m))R} AS mean, {R(sign(avg(((value - m) / s) ** 3)) * ln(1 + abs(avg(((value - m) / s) ** 3))))R} AS skew, {R(median(abs(value - md)))R} AS mad FROM x JOIN (SELECT feature, avg(value) AS m, stddev_pop(value) AS s, median(value) AS md FROM x GROUP BY 1) USING (feature) GROUP BY 1", "x")(lambda s, d: tidy(learn.statistical_features(frames.emb(s, d), frames.emb_label(s, d))))
+query("node_labels", f"SELECT feature, {R}(z - avg(z) OVER ()) / stddev_samp(z) OVER ())R}} AS label FROM (SELECT feature, {_FZ} AS z FROM ry)", "ry")(lambda s, d: tidy(learn.node_labels(frames.emb(s, d), frames.emb_label(s, d))))
+query("both_directions", "SELECT src, dst, {R(weight)R} AS weight FROM sy WHERE src <> dst", "sy")(lambda s, d: net(learn.both_directions(trade_undirected(s, d))))
+query("normalized_edges", "SELECT e.src, e.dst, {R(weight / sqrt(a.d * b.d))R} AS weight FROM (SELECT src, dst, weight FROM sy WHERE src <> dst UNION ALL SELECT n, n, m FROM (SELECT DISTINCT src AS n FROM sy WHERE src <> dst), (SELECT avg(weight) AS m FROM sy WHERE src <> dst)) e JOIN (SELECT dst AS n, count(*) + 1 AS d FROM sy WHERE src <> dst GROUP BY 1) a ON a.n = e.src JOIN (SELECT dst AS n, count(*) + 1 AS d FROM sy WHERE src <> dst GROUP BY 1) b ON b.n = e.dst", "sy")(lambda s, d: net(learn.normalized_edges(trade_undirected(s, d))))
+
+
+def reduced(s: SparkSession, d: str) -> DataFrame:
+    """The first two vectors read as two components of the features."""
+    return frames.emb(s, d).where("sample_id in ('0', '1')").select("feature", F.col("sample_id").cast("int").alias("component"), "value")
+
+
+PARTS |= {"fw": "SELECT feature, 2 * (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 - 1) / (count(*) OVER () - 1) - 1 AS w FROM (SELECT feature, round(avg(u), 9) AS m FROM (SELECT feature, (value - min(value) OVER p) / (max(value) OVER p - min(value) OVER p) AS u FROM x WHERE sample_id IN ('0', '1') WINDOW p AS (PARTITION BY sample_id)) GROUP BY 1)"}
+_NEEDS |= {"fw": ["x"]}
+query("feature_weights", "SELECT feature, {R(w)R} AS w FROM fw", "fw")(lambda s, d: tidy(learn.feature_weights(reduced(s, d))))
+query("fuse_embeddings", _CELL % ("value * (0.5 + 0.5 * 2 * w)", "x JOIN fw USING (feature)"), "fw")(lambda s, d: cells(learn.fuse(frames.emb(s, d), learn.feature_weights(reduced(s, d)))))
+
+
+def fixed_scores(s: SparkSession, d: str) -> DataFrame:
+    """Class scores for three classes from the first three features: no model, but a table to compute metrics of."""
+    own = frames.emb(s, d).where("fpos < 3").join(frames.emb_label(s, d), "sample_id")
+    return own.select(F.lit(0).alias("fold"), "sample_id", (F.col("y") % 3).alias("y"), F.col("fpos").cast("double").alias("class"), F.round("value", 2).alias("score"))
+
+
+PARTS |= {
+    "fs": "SELECT sample_id, y % 3 AS y, fpos::DOUBLE AS class, round(value, 2) AS score FROM x JOIN y USING (sample_id) WHERE fpos < 3",
+    "best": "SELECT sample_id, y, arg_max(class, (score, -class)) AS guess FROM fs GROUP BY 1, 2",
+    "per": "SELECT c, n, hit, coalesce(said, 0) AS said FROM (SELECT y AS c, count(*) AS n, count(*) FILTER (guess = y) AS hit FROM best GROUP BY 1) LEFT JOIN (SELECT guess AS c, count(*) AS said FROM best GROUP BY 1) USING (c)",
+    "area": "SELECT class, (sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc, sum(tp / seen) FILTER (pos) / count(*) FILTER (pos) AS ap FROM (SELECT class, y = class AS pos, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS r, sum((y = class)::INTEGER) OVER (PARTITION BY class ORDER BY score DESC) AS tp, count(*) OVER (PARTITION BY class ORDER BY score DESC) AS seen FROM fs) GROUP BY 1",
+}
+_NEEDS |= {"fs": ["x", "y"], "best": ["fs"], "per": ["best"], "area": ["fs"]}
+query("classification_metrics", "SELECT 0 AS fold, {R(sum(hit) / sum(n))R} AS accuracy, {R(avg(2 * hit / (n + said)))R} AS f1_macro, {R(sum(2 * hit / (n + said) * n) / sum(n))R} AS f1_weighted, {R(avg(hit / n))R} AS recall_macro, {R(avg(hit / said))R} AS precision_macro, (SELECT {R(avg(auc))R} FROM area) AS auc, (SELECT {R(avg(ap))R} FROM area) AS aupr FROM per", "per", "area")(lambda s, d: tidy(learn.metrics(fixed_scores(s, d), ["fold"])))
+
+
+def node_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    x = frames.emb(s, d)
+    return emb_net(s, d), learn.clinical_features(x, clin_vars(s, d), ["y", "b"]), learn.node_labels(x, frames.emb_label(s, d))
+
+
+for _m in ("GCN", "GAT", "SAGE", "GIN"):
+    query(f"embed_{_m.lower()}")(lambda s, d, m=_m: learn.embed_nodes(*node_inputs(s, d), kind=m, epochs=40))
+query("embed_tuning")(lambda s, d: tidy(learn.tune_embedding(*node_inputs(s, d), trials=4, epochs=20)))
+query("subject_representation_pca")(lambda s, d: cells(learn.represent(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d), epochs=20), "PCA")))
+query("subject_representation_ae")(lambda s, d: cells(learn.represent(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d), epochs=20), "AE")))
+query("outcome_prediction")(lambda s, d: tidy(learn.metrics(learn.predict(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), clin_vars(s, d), ["b"], epochs=10), ["fold"])))
+query("outcome_tuning")(lambda s, d: tidy(learn.tune_outcome(emb_net(s, d), frames.emb(s, d), two_classes(s, d), trials=2, k=2, epochs=5)))
+query("baseline_logistic")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "lr", k=2)))
+query("baseline_tree")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "dt", k=2)))
+query("network_search")(lambda s, d: tidy(learn.network_search(frames.emb(s, d), frames.emb_label(s, d), [{"method": "correlation", "k": 5}, {"method": "similarity", "k": 5}])))
+
+# ---- alignment ------------------------------------------------------------------------------------
+
+query("align_inner", "SELECT sample_id, feature, {R(value)R} AS value, y FROM x JOIN y USING (sample_id) WHERE fpos < 4 AND y > 4", "x", "y")(lambda s, d: tidy(frames.emb(s, d).where("fpos < 4").join(frames.emb_label(s, d).where("y > 4"), "sample_id").select("sample_id", "feature", "value", "y"), "value"))
+query("align_left", "SELECT sample_id, priority, y FROM clin LEFT JOIN y USING (sample_id)", "clin", "y")(lambda s, d: frames.clinical(s, d).select("sample_id", "priority").join(frames.emb_label(s, d), "sample_id", "left"))
+query("missing_features", "SELECT DISTINCT feature FROM x WHERE feature NOT IN (SELECT feature FROM x WHERE fpos < 60)", "x")(lambda s, d: frames.emb(s, d).select("feature").distinct().join(frames.emb(s, d).where("fpos < 60").select("feature").distinct(), "feature", "left_anti"))
+query("bind_modalities", "SELECT sample_id, 'e' AS modality, feature, {R(value)R} AS value FROM x WHERE fpos < 2 UNION ALL SELECT sample_id, 'v', feature, {R(value)R} FROM ev WHERE fpos < 2", "x", "ev")(lambda s, d: tidy(frames.emb(s, d).where("fpos < 2").select("sample_id", F.lit("e").alias("modality"), "feature", "value").unionByName(frames.evt(s, d).where("fpos < 2").select("sample_id", F.lit("v").alias("modality"), "feature", "value"))))
+query("wide_matrix", "SELECT sample_id, " + ", ".join(f"{R}max(value) FILTER (fpos = {i}))R}} AS f00{i}" for i in range(4)) + " FROM x GROUP BY 1", "x")(lambda s, d: tidy(frames.to_wide(frames.emb(s, d), [f"f00{i}" for i in range(4)])))
