@@ -3,8 +3,8 @@
 Equal texts are one class from the start; what follows joins different texts. In each run a set chooses the tokens
 whose hash is below CHOSEN / size, about CHOSEN of them, and joins their buckets. Two sets that share most tokens choose
 a common one with known probability. Buckets up to SMALL sets are compared pair by pair; a larger one whose sets
-mostly resemble one another is compared in blocks; any other is split by choosing again, seeded by the path so far. The
-number of runs follows from the target recall at the deepest level.
+mostly resemble one another is compared in blocks; any other is split by choosing again, among the bins of the sets' sketches,
+seeded by the path so far. The number of runs follows from the target recall at the deepest level.
 
 Comparing takes two steps. Sketches (64 bins, the lowest token of each) drop pairs that can't reach the threshold,
 and for the rest the whole token sets (40-bit hashes) give the exact index. A pair that meets in several buckets
@@ -56,10 +56,10 @@ def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
     Sets of equal size with Jaccard index j share 2j / (1 + j) of their tokens, so a path has a Poisson number of
     common children with mean CHOSEN times that; q is the chance that some path survives to the given level.
     """
-    j = THRESHOLD_NUM / THRESHOLD_DEN
-    mean, q = CHOSEN * 2 * j / (1 + j), 1.0
-    for _ in range(depth):
-        q = 1 - math.exp(-mean * q)
+    j, q = THRESHOLD_NUM / THRESHOLD_DEN, 1.0
+    for _ in range(depth - 1):  # below the first level sets choose among the bins of their sketches, a share j of which agree
+        q = 1 - math.exp(-CHOSEN * j * q)
+    q = 1 - math.exp(-CHOSEN * 2 * j / (1 + j) * q)
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
@@ -117,6 +117,12 @@ def sketch(own: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def sketch_tokens(data: bytes) -> np.ndarray:
+    """The full bins of a sketch as tokens."""
+    s = np.frombuffer(data, np.uint16).astype(np.uint64)
+    return (np.arange(BINS, dtype=np.uint64) << np.uint64(16) | s)[s > 0]
+
+
 def to_bytes(own: np.ndarray) -> bytes:
     """40-bit tokens, 5 bytes each."""
     return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -224,8 +230,9 @@ class Join:
         return self.docs.mapInPandas(run, "id long, digest string, size int, sketch binary, keys array<long>")
 
     def _sets(self, active: DataFrame) -> DataFrame:
-        """Token sets of the texts named (rep, digest)."""
-        wanted = self.docs.join(active.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
+        """Token sets of the texts named by rep. The texts are shuffled once, whatever the number of reps."""
+        named = active.join(self.texts.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "digest")
+        wanted = self.docs.join(named.hint("merge"), ["id", "digest"], "left_semi")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes = word_hashes()
@@ -264,35 +271,28 @@ class Join:
         leaves = leaves.unionByName(large.where("dense").select(F.col("key").alias("bucket"), "rep", "n"))
         return leaves, large.where("dense is null").select("key", "rep")
 
-    def leaves(self) -> tuple[DataFrame, DataFrame]:
-        """All leaves (bucket, rep, n), and the token sets of the texts in them."""
+    def leaves(self) -> DataFrame:
+        """All leaves (bucket, rep, n)."""
         rows = self.texts.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
         found, rest = self._sort_out(rows, 1)
-        parts = [written(found, "leaves")]
-        left = rest.select("rep").distinct()
-        active = parts[0].select("rep").distinct().unionByName(left).distinct().join(self.texts.select("rep", "digest"), "rep")
-        sets = written(self._sets(active), "sets")
+        out = written(found, "leaves")
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
-                keys = [choose(from_bytes(s), int(mix(np.uint64([k & 0xFFFFFFFFFFFFFFFF]))[0])) for s, k in zip(x["set"], x["key"], strict=True)]
-                sizes = [len(k) for k in keys]
-                yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "rep": np.repeat(x["rep"].to_numpy(), sizes)})
+                keys = [choose(sketch_tokens(s), int(mix(np.uint64([k & 0xFFFFFFFFFFFFFFFF]))[0])) for s, k in zip(x["sketch"], x["key"], strict=True)]
+                yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "rep": np.repeat(x["rep"].to_numpy(), [len(k) for k in keys])})
 
         for level in range(2, DEPTH + 1):
             if rest.isEmpty():
                 break
-            rows = rest.join(sets, "rep").select("key", "rep", "set").mapInPandas(split, "key long, rep long").distinct()
+            rows = rest.join(self.texts.select("rep", "sketch"), "rep").select("key", "rep", "sketch").mapInPandas(split, "key long, rep long").distinct()
             found, rest = self._sort_out(rows, level)
-            parts.append(written(found, "leaves"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out, sets
+            out = out.unionByName(written(found, "leaves"))
+        return out
 
     def stars(self) -> DataFrame:
         """For each comparison and set in it with links: rep, root (the lowest set it is connected to), n_links."""
-        leaves, sets = self.leaves()
+        leaves = self.leaves()
         of_text = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("leaves"))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -313,8 +313,10 @@ class Join:
                     keep = pairs.any(0) | pairs.any(1)
                     yield x.loc[keep, ["task", "bucket", "side", "rep", "leaves"]]
 
-        screened = rows.repartition("task").sortWithinPartitions("task").mapInPandas(screen, "task long, bucket long, side int, rep long, leaves array<long>")
-        screened = written(screened, "screened").join(sets, "rep")
+        tasks = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+        screened = rows.repartition(tasks, "task").sortWithinPartitions("task").mapInPandas(screen, "task long, bucket long, side int, rep long, leaves array<long>")
+        screened = written(screened, "screened")
+        screened = screened.join(written(self._sets(screened.select("rep").distinct()), "sets"), "rep")
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in _tasks(batches):
@@ -336,7 +338,7 @@ class Join:
                 if some.any():
                     yield pd.DataFrame({"rep": reps[some], "root": root[some], "n_links": count[some].astype(np.int64)})
 
-        out = screened.repartition("task").sortWithinPartitions("task").mapInPandas(verify, "rep long, root long, n_links long")
+        out = screened.repartition(tasks, "task").sortWithinPartitions("task").mapInPandas(verify, "rep long, root long, n_links long")
         return written(out, "stars")
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
