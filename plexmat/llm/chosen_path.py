@@ -268,7 +268,12 @@ class Join:
 
         dense = probe.mapInPandas(likeness, "key long, like double").where(F.col("like") >= DENSE).select("key", F.lit(True).alias("dense"))
         large = written(large.join(dense, "key", "left"), f"large{level}")
-        leaves = leaves.unionByName(large.where("dense").select(F.col("key").alias("bucket"), "rep", "n"))
+        # Dense buckets that share their lowest member (by a hash) hold mostly the same sets: they are compared as one.
+        full = large.where("dense").select("key", "rep")
+        anchor = full.groupBy("key").agg(F.xxhash64(F.lit(level), F.min_by("rep", F.struct(F.xxhash64("rep"), "rep"))).alias("bucket"))
+        merged = full.join(anchor, "key").select("bucket", "rep").distinct()
+        merged = merged.join(merged.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        leaves = leaves.unionByName(merged.select("bucket", "rep", "n"))
         return leaves, large.where("dense is null").select("key", "rep")
 
     def leaves(self) -> DataFrame:

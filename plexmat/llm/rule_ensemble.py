@@ -147,7 +147,7 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 5e-4) -> Rules:
     """The rule ensemble for statistics x and labels y (0 or 1)."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Rules(names, float(np.log(share / (1 - share))))
     paths = tree_rules(x, y)

@@ -1,0 +1,412 @@
+"""The text operators against brute force, round trips and held-out labels, on small fixtures with every odd case."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as vocabularies
+import pytest
+from tokenizers import Tokenizer
+
+from plexmat.llm import bpe, chosen_path, grammar, iblt, license_scan, line_rules, mixing, rule_ensemble, sharding, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng: random.Random, n: int) -> str:
+    parts = [rng.choice(["ka", "lo", "mi", "ter", "an", "so", "ve", "du", "ri", "pel"]) for _ in range(4 * n)]
+    words = ["".join(parts[4 * i : 4 * i + rng.randint(1, 4)]) for i in range(n)]
+    return "".join(w + (".\n" if i % 9 == 8 else ", " if i % 7 == 6 else " ") for i, w in enumerate(words))
+
+
+def rows() -> list[tuple]:
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(60, 160)) for _ in range(40)]
+    texts += [texts[0], texts[0], None, "", " ", "one", "one two three four five", "x" * 5000, prose(rng, 4000)]
+    out = [(i, t, "en", f"s{i % 3}" if i % 11 else None, len(t or "")) for i, t in enumerate(texts)]
+    return [*out, (None, "no id here at all", None, None, None), out[1], out[1]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(df):
+    """Extra columns named like what operators make."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit(7) for c in ("size", "shard", "slot", "start", "kept", "score", "n_words", "digest", "rep", "_text", "_key", "_own", "h")})
+
+
+def by_id(df) -> dict:
+    out = collections.defaultdict(list)
+    for r in df.collect():
+        out[r["doc_id"]].append(r)
+    return out
+
+
+# ---- sharding
+
+
+def test_sharding_slots_and_growth(docs, empty):
+    found = sharding.shard_documents(docs).collect()
+    assert len(found) == docs.count()
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 40) and 0 <= r["shard"] < 40
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    text = {r[0]: r[1] or "" for r in rows()}
+    for r in found:
+        assert r["size"] == len(text[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode())
+    assert sharding.shard_documents(empty).count() == 0
+    assert sharding.shard_documents(clashing(docs)).count() == docs.count()
+
+
+def test_weighted_shards_follow_weights(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(6000)
+    counts = {r["s"]: r["count"] for r in ids.groupBy(sharding.rendezvous_shard(F.col("id"), {0: 1.0, 1: 1.0, 2: 2.0}).alias("s")).count().collect()}
+    assert abs(counts[2] / 6000 - 0.5) < 0.03
+    with pytest.raises(ValueError):
+        sharding.scores(F.col("id"), {0: 0.0})
+
+
+# ---- token files
+
+
+def test_grammar_round_trip(docs, empty):
+    path = vocabularies.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    ordered = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
+    expected, start = collections.defaultdict(list), 0
+    for r in ordered:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids + [1]
+        expected[r[0]].append((start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    found = by_id(grammar.round_trip(docs, path))
+    assert {k: sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in v) for k, v in found.items()} == dict(expected)
+    assert grammar.round_trip(empty, path).count() == 0
+
+
+def test_grammar_random_access():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 9, n).tolist() + [1] for n in (0, 50, 3000, 7)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    shard = grammar.Shard(grammar.pack([5, None, 7, 8], ids, ends, 300))
+    assert shard.decode().tolist() == ids.tolist() and len(shard.rules) and len(shard.symbols) < len(ids)
+    assert [shard.document(k) for k in range(4)] == docs
+    assert shard.document(2, 100, 140) == docs[2][100:140]
+    assert shard.known.tolist() == [1, 0, 1, 1]
+
+
+def test_word_encoder_equals_library():
+    path = vocabularies.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = grammar.WordEncoder(f.read(), most=50)
+    library = Tokenizer.from_file(path)
+    texts = ["It's <|endoftext|> x<|endoftext|>", "a\x1cb \x85 c\xa0d", "Don't I'M 12 345 6, İstanbul ΑΣ.", "é é ̈a", "日本", "<|ENDOFTEXT|> Word, word. WORD.", "", None]
+    for _ in range(2):
+        got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.batch(texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+# ---- BPE
+
+
+def test_bpe_equals_library_and_decodes(docs, empty):
+    path = vocabularies.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = bpe.ByteBPE(f.read(), most=40)
+    odd = ["  a  b \n\n c\t\td  ", "it's <|endoftext|> x<|endoftext|>", "a\x1cb \x85 c\xa0\xa0d e", " \n \n", "\r\n\r\n a", "日本語 \U0001f389", "x" * 3000, "don't we'll I'M 's"]
+    for t in odd + [r[1] or "" for r in rows()]:
+        ids = own.encode(t)
+        assert ids == library.encode(t, add_special_tokens=False).ids
+        assert own.decode(ids) == t
+    found = by_id(bpe.digest_documents(docs, path))
+    for r in rows():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        x = found[r[0]][0]
+        assert (x["n_tokens"], x["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert x["decoded_sha256"] == hashlib.sha256((r[1] or "").encode()).hexdigest()
+    back = by_id(bpe.decode_documents(bpe.encode_documents(docs, path), path))
+    assert all(back[r[0]][0]["text"] == (r[1] or "") for r in rows())
+    assert bpe.digest_documents(empty, path).count() == 0
+
+
+# ---- quality rules
+
+
+def counts(t: str | None) -> tuple:
+    w = WORD.findall(t or "")
+    g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    c = collections.Counter(g)
+    covered = {j for i, x in enumerate(g) if c[x] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules_counts(docs, empty, spark):
+    odd = spark.createDataFrame([(900, "a b c a b c | # x\na b\na b\n \nq\x0bz", None, "h", 3), (901, "w " * 200, None, "h", 3), (902, "a b c d a b c", None, None, 1)], SCHEMA)
+    found = by_id(line_rules.document_rules(docs.unionByName(odd)))
+    every = [*rows(), *[tuple(r) for r in odd.collect()]]
+    for r in every:
+        n = counts(r[1])
+        for x in found[r[0]]:
+            assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == n
+            assert x["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and (x["kept"] is False or not x["base_failed"])
+    assert sum(map(len, found.values())) == len(every)
+    assert line_rules.document_rules(empty).count() == 0
+    assert line_rules.document_rules(clashing(docs)).count() == docs.count()
+    assert line_rules.apply_rules(clashing(docs)).columns == clashing(docs).columns
+
+
+def test_rules_remove_boilerplate_and_spare_copies(spark):
+    rng = random.Random(5)
+    head = " ".join(f"banner{i}" for i in range(80))
+    depleted = [(i, f"{head}\n{prose(rng, 15)}", "en", "host", 0) for i in range(30)]
+    light = [(100 + i, f"see also this page\n{prose(rng, 120)}", "en", "host", 0) for i in range(30)]
+    base = prose(rng, 200).split("\n")
+    family = [(200 + i, "\n".join(x if j != i % len(base) else prose(rng, 9).replace("\n", " ") for j, x in enumerate(base)), "en", "host", 0) for i in range(60)]
+    df = spark.createDataFrame(depleted + light + family, SCHEMA)
+    found = by_id(line_rules.document_rules(df))
+    assert not any(found[i][0]["kept"] for i in range(30))
+    assert all(found[100 + i][0]["kept"] and found[100 + i][0]["removed_words"] == 4 for i in range(30))
+    assert all(found[200 + i][0]["kept"] for i in range(60))
+    kept = by_id(line_rules.apply_rules(df))
+    assert "see also" not in kept[100][0]["text"] and kept[100][0]["n_chars"] == len(kept[100][0]["text"])
+    assert kept[200][0]["text"] == family[0][1]
+
+
+# ---- quality and toxicity
+
+
+def labelled(spark, kind: str):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        t = prose(rng, 120)
+        if kind == "quality" and bad:
+            t = " ".join(w.upper() + "!!" for w in t.split()) if i % 10 else " | ".join(t.split())
+        if kind == "toxic" and bad:
+            w = t.split(" ")
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["zorgface", "zorgfaces", "blixhead", "blixheads", "zorgfacex"]))
+            t = " ".join(w)
+        docs.append((i, t, "en", "s", 0))
+        labels.append((i, int(not bad), int(bad)))
+    odd = [(1000, None, None, None, None), (1001, "", None, None, None), (None, "text without id", None, None, None)]
+    return spark.createDataFrame(docs + odd, SCHEMA), spark.createDataFrame([*labels, (0, None, None), (5000, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_quality_held_out(spark, empty):
+    docs, labels = labelled(spark, "quality")
+    found = by_id(rule_ensemble.score_documents(clashing(docs), labels))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(found[i][0]["held_out"] for i in held)
+    assert np.mean([found[i][0]["predicted"] == truth[i] for i in held]) > 0.95
+    assert len(found[1000]) == len(found[1001]) == len(found[None]) == 1 and 0 <= found[1001][0]["score"] <= 1
+    assert rule_ensemble.score_documents(empty, labels).count() == 0
+    alone = rule_ensemble.score_documents(docs, labels.where("quality = 1"))
+    assert {r["predicted"] for r in alone.collect()} == {1}
+    assert rule_ensemble.keep_good(docs, labels).columns == docs.columns
+
+
+def test_rules_column_equals_numpy(spark):
+    x = np.random.default_rng(2).normal(size=(500, 3))
+    y = ((x[:, 0] > 0.3) & (x[:, 1] <= 0.5)).astype(float)
+    model = rule_ensemble.fit(x, y, ["a", "b", "c"])
+    frame = spark.createDataFrame(x.tolist(), "a double, b double, c double").select("a", model.column().alias("s")).toPandas()
+    assert np.allclose(frame["s"], model.predict(frame.assign(b=x[:, 1], c=x[:, 2])[["a", "b", "c"]].to_numpy()))
+    assert ((model.predict(x) >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_toxicity_held_out_and_misspellings(spark, empty):
+    docs, labels = labelled(spark, "toxic")
+    found = by_id(toxicity.score_documents(clashing(docs), labels))
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(found[i][0]["held_out"] for i in held)
+    assert np.mean([found[i][0]["predicted"] == truth[i] for i in held]) > 0.9
+    assert len(found[1000]) == 1 and 0 <= found[1000][0]["score"] <= 1
+    fold = labels.doc_id % 5 == 1
+    scorer = toxicity.Scorer(toxicity.train(docs, labels, "toxic", fold))
+    clean = prose(random.Random(77), 60)
+    assert scorer([clean + " zorgfacez blixhead"])[0] > scorer([clean])[0]
+    assert toxicity.score_documents(empty, labels).count() == 0
+
+
+# ---- licences
+
+
+def test_license_scan_against_brute_force(spark, docs, empty):
+    rng = random.Random(13)
+    body = [prose(rng, 100) for _ in range(26)]
+    notices = list(license_scan.NOTICES.values())
+    planted = [(2000 + i, b[: len(b) // 3] + "\n" + notices[i % 13] + "\n" + b[len(b) // 3 :], "en", "s", 0) for i, b in enumerate(body)]
+    found = {(r["doc_id"], r["license"]) for r in license_scan.scan(clashing(docs.unionByName(spark.createDataFrame(planted, SCHEMA)))).collect()}
+    assert {(2000 + i, list(license_scan.NOTICES)[i % 13]) for i in range(26)} <= found
+    assert not {d for d, _ in found} & {r[0] for r in rows()}
+    assert license_scan.scan(empty).count() == 0
+    assert 1 - (1 - license_scan.least_jaccard(3)) ** license_scan.bands_for(3) >= license_scan.TARGET
+
+
+# ---- fingerprints
+
+
+def test_fingerprints_against_sets(docs, empty, spark):
+    found = iblt.fingerprint_documents(clashing(docs)).collect()
+    ordered = [r[1] or "" for r in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    assert len(found) == len(ordered)
+
+    def keys(t: str) -> set:
+        return set(iblt.digests([t])[0].tolist())
+
+    def jaccard(a: str, b: str) -> float:
+        x, y = keys(a), keys(b)
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    expected = collections.Counter()
+    for i, t in enumerate(ordered):
+        after = ordered[(i + 1) % len(ordered)]
+        e = iblt.edited(t, after)
+        expected[len(t), hashlib.sha256(e.encode()).hexdigest(), round(jaccard(t, e), 9), round(jaccard(t, after), 9)] += 1
+    assert collections.Counter((r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == expected
+    equal = [r["fingerprint"] for r in found if r["doc_id"] in (0, 40, 41)]
+    assert len(set(equal)) == 1
+    assert iblt.fingerprint_documents(empty).count() == 0
+    alone = iblt.fingerprint_documents(spark.createDataFrame([(1, "a. b.", None, None, None)], SCHEMA)).collect()
+    assert alone[0]["near_next"] == 1.0
+
+
+# ---- near duplicates
+
+
+def exact_classes(texts: dict) -> dict:
+    """Class, first id and links of every id, by all pairs of different texts."""
+    first: dict = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+
+    def shingles(t: str) -> frozenset:
+        w = WORD.findall(t)
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets, parent, links = {i: shingles(t) for t, i in first.items()}, {}, collections.Counter()
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (root(first[t]), first[t], links[first[t]]) for i, t in texts.items()}
+
+
+def family(rng: random.Random, n: int, size: int, edits: int) -> list[str]:
+    base = prose(rng, n).split(" ")
+    out = []
+    for _ in range(size):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_against_all_pairs(spark, empty):
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 150) for _ in range(60)] + family(rng, 150, 150, 2) + family(rng, 120, 7, 4) + [passage + prose(rng, 150) for _ in range(120)]
+    texts += [texts[3]] * 5 + ["", "", "one two", "one two", "one two three", "a b c d e"]
+    texts += [x for k in range(15) for x in family(rng, 90, 2, 3)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: (r["class_id"], r["rep"], r["n_links"]) for r in chosen_path.near_duplicates(clashing(df)).collect()}
+    assert found == exact_classes(dict(enumerate(texts)))
+    kept = {r["doc_id"] for r in chosen_path.keep_first(df).collect()}
+    assert kept == {c for c, _, _ in found.values()}
+    assert chosen_path.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_odd_rows(docs):
+    found = by_id(chosen_path.near_duplicates(docs))
+    assert sum(map(len, found.values())) == docs.count()
+    assert {found[i][0]["class_id"] for i in (0, 40, 41)} == {0}
+    assert {found[i][0]["class_id"] for i in (42, 43)} == {42}
+    assert len(chosen_path.keep_first(docs).where("doc_id = 1").collect()) == 1
+
+
+# ---- mixing
+
+
+def test_mixture_law(docs, empty):
+    found = mixing.mix_documents(clashing(docs), block=16).collect()
+    assert len(found) == docs.count()
+    source = {r[0]: r[3] for r in rows()}
+    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in found:
+        s = source[r["doc_id"]]
+        sizes[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    for r in found:
+        assert r["source_size"] == sizes[source[r["doc_id"]]]
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [target[s] for s in order] == pytest.approx(mixing.targets([sizes[s] for s in order]))
+    again = mixing.mix_documents(docs, block=16).collect()
+    key = lambda x: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in x)
+    assert key(found) == key(again)
+    assert mixing.mix_documents(empty).count() == 0
+
+
+def test_mixture_documents(docs):
+    words = collections.Counter()
+    for r in mixing.mix_documents(docs, block=16).collect():
+        words[r["doc_id"]] += r["taken"]
+    mixed = mixing.apply_mix(clashing(docs), block=16)
+    assert mixed.columns == clashing(docs).columns
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert +got == +words
+
+
+def test_permutation_and_plans():
+    for n in (1, 2, 3, 10, 257, 1000):
+        p = mixing.permuted(np.arange(n), n, 5)
+        assert sorted(p) == list(range(n)) and (mixing.permuted(p, n, 5, back=True) == np.arange(n)).all()
+    for size, target in ((1000, 1500.0), (1000, 2000.0), (1000, 1.0), (999, 998.0), (5, 7.5), (16, 0.0), (0, 0.0)):
+        plan = mixing.source_plan(size, target, 16, 3)
+        lengths = [min(16, size - 16 * b) for b in mixing.permuted(np.arange(plan["slots"]), max(plan["blocks"], 1), 3)] if plan["slots"] else []
+        if lengths:
+            lengths[-1] = min(lengths[-1], plan["cut"])
+        assert plan["passes"] * size + sum(lengths) == int(np.floor(target + 0.5))
+    dealt = mixing.deal([100, 7, 0, 3], 8, 1)
+    assert dealt.sum(0).tolist() == [100, 7, 0, 3] and (dealt >= 0).all()
