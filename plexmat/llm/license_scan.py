@@ -27,8 +27,8 @@ from plexmat.llm.textstats import held
 WINDOW, STRIDE, TARGET, MIN_CONTAINED = 8, 4, 0.999, 0.8
 #: Templates together may have this many windows; they are broadcast and spelled out in the plan.
 MOST_WINDOWS = 4_000
-#: Candidates are broadcast up to this many (about 40 bytes each); beyond it they are joined by shuffle.
-BROADCAST_CANDIDATES = 200_000
+#: Texts with candidates are broadcast up to this many (a few KB each); beyond it they are joined by shuffle.
+BROADCAST_CANDIDATES = 2_000
 #: Notices of common public licences.
 NOTICES = {
     "rights-reserved": "All rights reserved.",
@@ -116,13 +116,17 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, min_contained:
     found = minima.where(hit)
     bands = F.array(*[F.struct(F.lit(k).alias("_band"), F.col(f"m{k}").alias("_value")) for k in range(templates.bands)])
     found = found.select("_key", "_window", F.inline(bands)).join(F.broadcast(templates.index), ["_band", "_value"])
-    found = written(found.groupBy("_key", "_window", "license").agg(F.lit(1).alias("_one")).drop("_one"), "candidates")
+    found = found.groupBy("_key", "_window", "license").agg(F.lit(1).alias("_one")).drop("_one").join(F.broadcast(templates.grams), "license")
+    # the candidates of a text together, so that its words are cut and hashed once
+    found = written(found.groupBy("_key").agg(F.collect_list(F.struct("license", "_window", "_words", "_own")).alias("_found")), "candidates")
     few = found.count() <= BROADCAST_CANDIDATES
-    near = keyed.join(F.broadcast(found) if few else found, "_key").join(F.broadcast(templates.grams), "license")
-    near = near.select("doc_id", "license", "_window", "_words", "_own", words_column(F.col("text")).alias("_all"))
-    begin = F.greatest(F.col("_window") * STRIDE - F.col("_words"), F.lit(0))
-    near = held(near, drop=("_all",), _near=F.slice("_all", (begin + 1).cast("int"), F.col("_words") * 2 + WINDOW))
-    near = held(near, drop=("_near",), _grams=pair_hashes("_near"))
-    contained = F.size(F.array_intersect("_own", "_grams")) / F.size("_own")
-    near = near.select("doc_id", "license", "_window", contained.alias("contained")).where(F.col("contained") >= min_contained)
-    return near.groupBy("doc_id", "license").agg(F.max("contained").alias("contained"), F.min(F.col("_window") * STRIDE).cast("long").alias("first_word"))
+    near = keyed.join(F.broadcast(found) if few else found, "_key").select("doc_id", "_found", words_column(F.col("text")).alias("_all"))
+    near = held(near, drop=("_all",), _grams=pair_hashes("_all"))
+
+    def contained(c: Column) -> Column:
+        begin = F.greatest(c["_window"] * STRIDE - c["_words"], F.lit(0))
+        around = F.slice("_grams", (begin + 1).cast("int"), c["_words"] * 2 + (WINDOW - 1))
+        return F.struct(c["license"].alias("license"), c["_window"].alias("_window"), (F.size(F.array_intersect(c["_own"], around)) / F.size(c["_own"])).alias("contained"))
+
+    checked = near.select("doc_id", F.inline(F.filter(F.transform("_found", contained), lambda c: c["contained"] >= min_contained)))
+    return checked.groupBy("doc_id", "license").agg(F.max("contained").alias("contained"), F.min(F.col("_window") * STRIDE).cast("long").alias("first_word"))
