@@ -71,3 +71,12 @@ def report(long: DataFrame, correlation: bool = False) -> DataFrame:
     of = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
     advice = F.when(of("missing_pct") > 30, 1.0).when((of("mean_min") >= 0) & (of("mean_max") <= 1), 2.0).when(of("zero_flagged") > 0, 3.0).otherwise(0.0)
     return out.unionByName(out.agg(advice.alias("value")).select(F.lit("advice").alias("metric"), "value"))
+
+
+def variance_histogram(long: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, low, n): features by equal ranges of variance; the data of a histogram."""
+    per = long.groupBy("feature").agg(F.var_samp("value").alias("v"))
+    span = F.broadcast(per.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    step = (F.col("hi") - F.col("lo")) / bins
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1))
+    return per.join(span).groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.min(F.col("lo") + F.coalesce(at, F.lit(0)) * step).alias("low"), F.count("*").alias("n"))

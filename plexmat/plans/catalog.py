@@ -11,6 +11,7 @@ from plexmat.functions import special
 from plexmat.operators import analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
 from plexmat.sources import frames
 from plexmat.sources.frames import rounded
+from plexmat.streaming import profile as stream_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -536,3 +537,6 @@ query("align_left", "SELECT sample_id, priority, y FROM clin LEFT JOIN y USING (
 query("missing_features", "SELECT DISTINCT feature FROM x WHERE feature NOT IN (SELECT feature FROM x WHERE fpos < 60)", "x")(lambda s, d: frames.emb(s, d).select("feature").distinct().join(frames.emb(s, d).where("fpos < 60").select("feature").distinct(), "feature", "left_anti"))
 query("bind_modalities", "SELECT sample_id, 'e' AS modality, feature, {R(value)R} AS value FROM x WHERE fpos < 2 UNION ALL SELECT sample_id, 'v', feature, {R(value)R} FROM ev WHERE fpos < 2", "x", "ev")(lambda s, d: tidy(frames.emb(s, d).where("fpos < 2").select("sample_id", F.lit("e").alias("modality"), "feature", "value").unionByName(frames.evt(s, d).where("fpos < 2").select("sample_id", F.lit("v").alias("modality"), "feature", "value"))))
 query("wide_matrix", "SELECT sample_id, " + ", ".join(f"{R}max(value) FILTER (fpos = {i}))R}} AS f00{i}" for i in range(4)) + " FROM x GROUP BY 1", "x")(lambda s, d: tidy(frames.to_wide(frames.emb(s, d), [f"f00{i}" for i in range(4)])))
+query("variance_histogram", "SELECT b AS bin, {R(lo + b * (hi - lo) / 10)R} AS low, n FROM (SELECT least(floor((v - lo) / ((hi - lo) / 10)), 9)::INTEGER AS b, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n FROM (SELECT v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM (SELECT var_samp(value) AS v FROM x GROUP BY feature)) GROUP BY 1)", "x")(lambda s, d: tidy(profile.variance_histogram(frames.emb(s, d))))
+query("variance_by_feature", "SELECT feature, {R(var_samp(value))R} AS variance FROM x GROUP BY 1", "x")(lambda s, d: tidy(frames.emb(s, d).groupBy("feature").agg(F.var_samp("value").alias("variance"))))
+query("stream_profile", "SELECT event_type, count(value) AS n, {R(avg(value))R} AS mean, {R(var_samp(value))R} AS variance FROM events GROUP BY 1")(lambda s, d: tidy(stream_profile.merged(stream_profile.windowed(frames.table(s, d, "events")))))
