@@ -81,7 +81,9 @@ def test_selection(spark):
         select.f_top(x, y, 1, task="other")
     # with 2 and n degrees of freedom the tail is (1 + 2 f / n) ** (-n / 2)
     assert special.f_tail(4.0, 2, 10) == pytest.approx(1.8**-5)
-    assert special.pearson_tail(0.5, 20) == pytest.approx(0.0247776, abs=1e-6)
+    t = np.linspace(0.5 * math.sqrt(18 / 0.75), 400, 2_000_001)  # Student's density with 18 degrees, integrated
+    density = math.gamma(9.5) / (math.sqrt(18 * math.pi) * math.gamma(9)) * (1 + t * t / 18) ** -9.5
+    assert special.pearson_tail(0.5, 20) == pytest.approx(2 * np.trapezoid(density, t), abs=1e-6)
 
 
 def test_networks_invariants(spark):
