@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +32,54 @@ def impute_simple(long: DataFrame, method: str = "mean") -> DataFrame:
     return per_feature(long, _fill=fill).withColumn("value", F.coalesce("value", "_fill")).drop("_fill")
 
 
-def impute_knn(long: DataFrame, k: int = 5) -> DataFrame:
+def impute_knn(long: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """Missing cells filled by the mean of the k nearest samples that have the feature; the feature's mean if none does.
 
-    The distance of two samples is over features that both have, scaled up to all features.
+    The distance of two samples is over features that both have, scaled up to all features. Samples are dealt into blocks
+    and a task compares two blocks by matrix products; it passes on the k nearest donors of each gap, and the nearest
+    of all are averaged. Ties, after rounding to 9 places, go to the lower donor id.
     """
-    n_features = long.select("feature").distinct().count()
-    have = long.where("value is not null").select("sample_id", "feature", "value")
-    gaps = long.where("value is null").select("sample_id", "fpos", "feature")
-    left = have.join(gaps.select("sample_id").distinct(), "sample_id", "left_semi")
-    pairs = left.alias("a").join(have.alias("b"), (F.col("a.feature") == F.col("b.feature")) & (F.col("a.sample_id") != F.col("b.sample_id")))
-    square = (F.col("a.value") - F.col("b.value")) ** 2
-    dist = pairs.groupBy(F.col("a.sample_id").alias("sample_id"), F.col("b.sample_id").alias("donor")).agg(F.sqrt(F.lit(float(n_features)) / F.count("*") * F.sum(square)).alias("dist"))
-    near = gaps.join(dist, "sample_id").join(have.select(F.col("sample_id").alias("donor"), "feature", F.col("value").alias("given")), ["donor", "feature"])
-    rank = F.row_number().over(Window.partitionBy("sample_id", "feature").orderBy(F.round("dist", 9), "donor"))
-    filled = near.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("sample_id", "feature").agg(F.avg("given").alias("_knn"))
+    size = long.agg(F.count_distinct("feature").alias("d"), F.count_distinct("sample_id").alias("n")).head()
+    blocks = max(1, -(-size["n"] // block))
+    names = long.select("fpos").distinct().select("fpos", (F.row_number().over(Window.orderBy("fpos")) - 1).alias("_col"))
+    cells = F.sort_array(F.collect_list(F.struct("_col", "value")))
+    rows = long.join(F.broadcast(names), "fpos").groupBy("sample_id").agg(F.transform(cells, lambda c: c["value"]).alias("x"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.where(F.exists("x", lambda v: v.isNull())).select("sample_id", "x", F.lit(0).alias("side"), F.col("_block").alias("i"), other.alias("j"))
+    right = rows.select("sample_id", "x", F.lit(1).alias("side"), F.col("_block").alias("j"), other.alias("i")).select("sample_id", "x", "side", "i", "j")
+
+    def nearest(p: pd.DataFrame) -> pd.DataFrame:
+        sides = [p[p["side"] == s].sort_values("sample_id") for s in (0, 1)]
+        out = {c: [] for c in ("sample_id", "_col", "dist", "donor", "given")}
+        if all(map(len, sides)):
+            a, b = (np.stack([np.array(v, float) for v in s["x"]]) for s in sides)
+            ma, mb = ~np.isnan(a), ~np.isnan(b)
+            fa, fb = np.nan_to_num(a), np.nan_to_num(b)
+            both = ma.astype(float) @ mb.T
+            square = np.maximum((fa**2) @ mb.T + ma @ (fb**2).T - 2 * fa @ fb.T, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = np.round(np.sqrt(np.where(both > 0, a.shape[1] / both * square, np.inf)), 9)
+            ia, ib = sides[0]["sample_id"].to_numpy(), sides[1]["sample_id"].to_numpy()
+            dist[ia[:, None] == ib[None, :]] = np.inf
+            for f in range(a.shape[1]):
+                need, have = np.flatnonzero(~ma[:, f]), np.flatnonzero(mb[:, f])
+                if not len(need) or not len(have):
+                    continue
+                sub = dist[np.ix_(need, have)]
+                pick = np.argsort(sub, axis=1, kind="stable")[:, :k]
+                own = np.take_along_axis(sub, pick, 1)
+                r, c = np.nonzero(np.isfinite(own))
+                donor = have[pick[r, c]]
+                for name, v in zip(out, (ia[need[r]], np.full(len(r), f), own[r, c], ib[donor], b[donor, f]), strict=True):
+                    out[name].append(v)
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(nearest, "sample_id string, _col int, dist double, donor string, given double")
+    rank = F.row_number().over(Window.partitionBy("sample_id", "_col").orderBy("dist", "donor"))
+    filled = found.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("sample_id", "_col").agg(F.avg("given").alias("_knn")).join(F.broadcast(names), "_col")
     mean = long.groupBy("feature").agg(F.avg("value").alias("_mean"))
-    return long.join(filled, ["sample_id", "feature"], "left").join(mean, "feature").select("sample_id", "fpos", "feature", F.coalesce("value", "_knn", "_mean").alias("value"))
+    return long.join(filled, ["sample_id", "fpos"], "left").join(mean, "feature").select("sample_id", "fpos", "feature", F.coalesce("value", "_knn", "_mean").alias("value"))
 
 
 def normalize(long: DataFrame, method: str = "standard") -> DataFrame:
@@ -103,8 +136,6 @@ def regress_out(long: DataFrame, covariates: DataFrame, names: list[str]) -> Dat
     The normal equations are aggregates, (p + 1) squared numbers and p + 1 for each feature, solved inside Spark by elimination
     in one small task; the residual is a join back.
     """
-    import numpy as np
-
     known = covariates.select("sample_id", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in names]).alias("z")).where(F.forall("z", lambda v: v.isNotNull()))
     p = len(names) + 1
     both = long.join(known, "sample_id")
