@@ -36,6 +36,7 @@ SHARD_TOKENS, MIN_COUNT = 1_000_000, 12
 _HEAD = struct.Struct("<4sIIIII")
 #: Characters past Latin Extended-B, separators that are no white space here, and a letter whose lower case is two.
 _ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]").search
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: The letters that stand for the bytes of a character.
 _BYTES = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -202,10 +203,10 @@ class WordEncoder(dict):
         self.words = re.compile(f"[^{SPACES}]+").findall
 
     def learn(self, words: list[str]) -> None:
-        """Plain words (lower-case letters of Latin scripts) go to the tokenizer's model together, as the bytes that its
+        """Plain words (lower-case letters of Latin-1) go to the tokenizer's model together, as the bytes that its
         normaliser would make of them, and are told apart by the ids that close a word; others go through all of it, alone.
         """
-        plain = [w for w in words if w.isalpha() and w.islower() and not _ODD(w)]
+        plain = [w for w in words if _PLAIN(w)]
         done = False
         if plain:
             lines = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
@@ -256,7 +257,7 @@ def worker_encoder(shared: Broadcast) -> WordEncoder:
     return _LAST[key]
 
 
-def _chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[slice]:
+def _chunks(texts: list[str | None], most: int = 3_000_000) -> Iterator[slice]:
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
