@@ -5,9 +5,11 @@ documents with a line are counted; lines above the limit are removed, and a docu
 is rejected as depleted. DataFrame functions only.
 
 Copies must not condemn each other: a family of thousands of near copies shares its lines, but that is no
-boilerplate. So a line also has to stand in documents that otherwise differ. Seen from a line, a document is known
-by the lowest hash among its other lines; copies mostly agree on it, and a line is over the limit only where the
-distinct ones number more than the limit and more than half of its documents.
+boilerplate. So near copies count as one document. A document is one of a family if lines within the limit make up
+at most 1/9 of its lines and of its words (two documents with s shared lines and r own ones have a Jaccard index of
+0.8 where r is 1/9 of s + r); it is known by the line over the limit that stands in the fewest documents, which copies
+mostly agree on and boilerplate hardly ever is. Any other document is known by a digest of all its lines within the
+limit, whatever the number of lines that it shares. A line is removed where more of these than the limit hold it.
 
 Null and empty texts have no words and fail the base rule; a null host is a host of its own; repeated rows (equal
 id and text) count as one document and get equal verdicts; other columns of the input are left alone.
@@ -36,48 +38,64 @@ def host_key(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
 
 
-def document_lines(docs: DataFrame, host: str) -> DataFrame:
-    """One row for each line of each document: doc_id, _text_key, _host, _row, _line, _seen_as, _line_words."""
+def document_lines(docs: DataFrame, host: str, whole: bool = False) -> DataFrame:
+    """One row for each line of each document: doc_id, _text_key, _host, _row, _line, _line_words.
+
+    whole: also _all (a digest of the set of its lines), _n_lines (different ones) and _all_words of the document.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", F.xxhash64(text).alias("_text_key"), host_key(host).alias("_host"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
     hashed = F.transform(worded_lines(F.col("_text")), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
     df = held(df, drop=("_text",), _lines=hashed)
-    df = held(df, _low=F.array_min(F.transform("_lines", lambda x: x["h"])))
-    df = held(df, _next=F.array_min(F.transform(F.filter("_lines", lambda x: x["h"] != F.col("_low")), lambda x: x["h"])))
-    exploded = df.select("doc_id", "_text_key", "_host", "_row", "_low", "_next", F.inline("_lines"))
-    seen_as = F.when(F.col("h") == F.col("_low"), F.coalesce(F.col("_next"), F.col("_low"))).otherwise(F.col("_low"))
-    return exploded.select("doc_id", "_text_key", "_host", "_row", F.col("h").alias("_line"), seen_as.alias("_seen_as"), F.col("n").alias("_line_words"))
-
-
-def frequent_lines(docs: DataFrame, host: str, max_docs: int, min_diverse: float) -> tuple[DataFrame, DataFrame]:
-    """The lines over the limit (_host, _line), and the rows of document_lines that hold a candidate line."""
-    lines = document_lines(docs, host)
-    often = lines.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs).select("_host", "_line")
+    of_all: list[str] = []
+    if whole:
+        df = held(df, _distinct=F.array_distinct(F.transform("_lines", lambda x: x["h"])))
+        digest = F.aggregate("_distinct", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.xxhash64(h)))
+        n_words = F.aggregate("_lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        df = held(df, drop=("_distinct",), _all=digest, _n_lines=F.size("_distinct").cast("long"), _all_words=n_words)
+        of_all = ["_all", "_n_lines", "_all_words"]
+    exploded = df.select("doc_id", "_text_key", "_host", "_row", *of_all, F.inline("_lines"))
+    return exploded.select("doc_id", "_text_key", "_host", "_row", *of_all, F.col("h").alias("_line"), F.col("n").alias("_line_words"))
+
+
+def frequent_lines(docs: DataFrame, host: str, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The lines to remove (_host, _line), and a row (_host, _line, doc_id, _text_key, _words) for each document with a candidate line."""
+    often = document_lines(docs, host).groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs).select("_host", "_line")
     often = written(often, "often")
     few = often.count() <= BROADCAST_LINES
-    marked = written(lines.join(F.broadcast(often) if few else often, ["_host", "_line"]), "marked")
-    held_by = marked.groupBy("_host", "_line", "_seen_as", "doc_id", "_text_key").agg(F.lit(1).alias("_one"))
-    by_looks = held_by.groupBy("_host", "_line", "_seen_as").agg(F.count("*").alias("_docs"))
-    counts = by_looks.groupBy("_host", "_line").agg(F.sum("_docs").alias("_docs"), F.count("*").alias("_distinct"))
-    over = counts.where((F.col("_distinct") > max_docs) & (F.col("_distinct") >= min_diverse * F.col("_docs")))
+    marked = document_lines(docs, host, whole=True).join(F.broadcast(often) if few else often, ["_host", "_line"])
+    # A document may hold a line twice, and a repeated row holds it as often again.
+    words = (F.sum("_line_words") / F.count_distinct("_row")).alias("_words")
+    marked = marked.groupBy("_host", "_line", "doc_id", "_text_key").agg(words, *[F.max(c).alias(c) for c in ("_all", "_n_lines", "_all_words")])
+    marked = written(marked, "marked")
+    counts = marked.groupBy("_host", "_line").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_docs)
+    shared = marked.join(F.broadcast(counts) if few else counts, ["_host", "_line"])
+    # Doublings of the number, so that lines of one family, edited now and then, are told apart by hash alone.
+    rank = F.struct(F.floor(F.log2("_docs")).alias("times"), F.col("_line").alias("line"))
+    each = shared.groupBy("_host", "doc_id", "_text_key").agg(
+        F.bit_xor(F.xxhash64("_line")).alias("_xor"), F.count("*").alias("_n"), F.sum("_words").alias("_shared_words"), F.min(rank).alias("_low"),
+        *[F.max(c).alias(c) for c in ("_all", "_n_lines", "_all_words")], F.collect_list("_line").alias("_lines"),
+    )
+    family = (9 * (F.col("_n_lines") - F.col("_n")) <= F.col("_n_lines")) & (9 * (F.col("_all_words") - F.col("_shared_words")) <= F.col("_all_words"))
+    known_by = F.when(family, F.xxhash64(F.lit("family"), F.col("_low")["line"])).otherwise(F.xxhash64(F.lit("own"), F.col("_all").bitwiseXOR(F.col("_xor"))))
+    distinct = each.select("_host", known_by.alias("_known_by"), F.explode("_lines").alias("_line")).distinct()
+    over = distinct.groupBy("_host", "_line").agg(F.count("*").alias("_distinct")).where(F.col("_distinct") > max_docs)
     return written(over.select("_host", "_line"), "over"), marked
 
 
-def removed_lines(docs: DataFrame, host: str = "source", max_docs: int = 10, min_diverse: float = 0.5) -> DataFrame:
+def removed_lines(docs: DataFrame, host: str = "source", max_docs: int = 10) -> DataFrame:
     """For each document that holds lines over the limit: doc_id, _text_key, _removed (their hashes), _removed_words."""
-    over, marked = frequent_lines(docs, host, max_docs, min_diverse)
+    over, marked = frequent_lines(docs, host, max_docs)
     few = over.count() <= BROADCAST_LINES
     hit = marked.join(F.broadcast(over) if few else over, ["_host", "_line"])
-    # A document may hold a line twice, and a repeated row holds it as often again.
-    each = hit.groupBy("doc_id", "_text_key", "_host", "_line").agg((F.sum("_line_words") / F.count_distinct("_row")).alias("_words"))
-    return each.groupBy("doc_id", "_text_key", "_host").agg(F.collect_set("_line").alias("_removed"), F.sum("_words").alias("_removed_words"))
+    return hit.groupBy("doc_id", "_text_key", "_host").agg(F.collect_set("_line").alias("_removed"), F.sum("_words").alias("_removed_words"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = 10, min_diverse: float = 0.5, min_left: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = 10, min_left: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
     """The counts, base_failed, removed_words, _removed and kept of every document, with the columns `carry`."""
     tagged = docs.withColumns({"_text_key": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "_host": host_key(host)})
     counts = base_counts(tagged, ("doc_id", *carry, "_text_key", "_host"))
-    lost = removed_lines(docs, host, max_docs, min_diverse)
+    lost = removed_lines(docs, host, max_docs)
     # A null id is an id here, so the keys are compared as text that tells it apart.
     key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_key")
     lost = lost.select(key, "_text_key", "_host", "_removed", "_removed_words")

@@ -192,6 +192,35 @@ def test_rules_remove_boilerplate_and_spare_copies(spark):
     assert kept[200][0]["text"] == family[0][1]
 
 
+def test_rules_remove_boilerplate_of_several_lines(spark):
+    rng = random.Random(6)
+    line = lambda n: prose(rng, n).replace("\n", " ")
+    every, lines = [], {}
+    for k, (shared, own) in enumerate([(2, 3), (5, 6), (10, 10), (20, 6)]):
+        lines[k] = [f"menu{k} {i} of the site" for i in range(shared)]
+        every += [(1000 * k + i, "\n".join(lines[k] + [line(30) for _ in range(own)]), "en", f"host{k}", 0) for i in range(40)]
+    found = by_id(line_rules.document_rules(spark.createDataFrame(every, SCHEMA)))
+    for i, *_ in every:
+        assert found[i][0]["removed_words"] == 5 * len(lines[i // 1000])
+
+
+def test_rules_remove_boilerplate_from_copies(spark):
+    rng = random.Random(7)
+    line = lambda n: prose(rng, n).replace("\n", " ")
+
+    def copies(first: int, size: int, host: str, menu: list[str]) -> list[tuple]:
+        base = [line(12) for _ in range(20)]
+        return [(first + i, "\n".join([line(12) if j == i % 20 else x for j, x in enumerate(base)] + menu), "en", host, 0) for i in range(size)]
+
+    menu = ["see also this page"]
+    mixed = copies(0, 300, "a", menu) + [(1000 + i, "\n".join([line(40), line(40), *menu]), "en", "a", 0) for i in range(15)]
+    families = [x for k in range(20) for x in copies(2000 + 100 * k, 15, "b", [*menu, "all pages"])]
+    alone = copies(5000, 300, "c", menu)
+    found = by_id(line_rules.document_rules(spark.createDataFrame(mixed + families + alone, SCHEMA)))
+    for rows_of, removed in ((mixed, 4), (families, 6), (alone, 0)):
+        assert {found[i][0]["removed_words"] for i, *_ in rows_of} == {removed}
+
+
 # ---- quality and toxicity
 
 
