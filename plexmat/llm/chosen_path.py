@@ -12,8 +12,8 @@ is counted in the lowest one. No pairs are written: each comparison writes, for
 lowest set that it is connected to there; components of these stars are the classes.
 
 Words are runs of anything but ASCII white space, as they stand; a text of 1 to 4 words is one token. Null texts count
-as empty, and empty texts are equal texts. Repeated rows are copies; a null id sorts before all others. Long texts
-are taken whole.
+as empty, and empty texts are equal texts. Repeated rows are copies; a null id sorts before all others. Texts
+are told apart by digest, not by id, so several may share an id or have none. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexmat.llm.common import SPACE_CLASS, written
@@ -41,7 +41,11 @@ BINS = 64
 _FIND = re.compile(f"[^{SPACE_CLASS}]+").findall
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_FIRST = -(1 << 63)
+
+
+def id_key(name: str) -> Column:
+    """An id as text that tells null from all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -199,11 +203,11 @@ def _tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = x.iloc[a:b]
             if held and held[-1]["task"].iloc[0] != part["task"].iloc[0]:
-                yield pd.concat(held).drop_duplicates("rep") if len(held) > 1 else held[0].drop_duplicates("rep")
+                yield pd.concat(held).drop_duplicates("num") if len(held) > 1 else held[0].drop_duplicates("num")
                 held = []
             held.append(part)
     if held:
-        yield pd.concat(held).drop_duplicates("rep")
+        yield pd.concat(held).drop_duplicates("num")
 
 
 class Join:
@@ -212,10 +216,12 @@ class Join:
     def __init__(self, docs: DataFrame, recall: float = RECALL):
         self.runs = runs_for(recall)
         text = F.coalesce(F.col("text"), F.lit(""))
-        self.docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
-        self.seen = written(self._chosen(), "chosen")
-        texts = self.seen.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-        self.texts = written(texts, "texts")
+        self.docs = docs.select(F.col("doc_id").alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+        seen = self._chosen()
+        self.seen = written(seen.select(F.when(F.col("known"), F.col("id")).alias("id"), *seen.columns[2:]), "chosen")
+        texts = self.seen.groupBy("digest").agg(F.min(F.struct("id"))["id"].alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        # Ids may be null or stand for several texts, so a text is known by a number of its own.
+        self.texts = written(texts.withColumn("num", F.monotonically_increasing_id()), "texts")
 
     def _chosen(self) -> DataFrame:
         seeds = [0x51ED270B + r for r in range(self.runs)]
@@ -225,34 +231,36 @@ class Join:
             for x in batches:
                 sets = [tokens(t, hashes) for t in x["text"]]
                 keys = [np.concatenate([choose(s, int(mix(np.uint64([seed]))[0])) for seed in seeds]) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pd.DataFrame({"id": x["id"], "digest": x["digest"], "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "keys": keys})
+                yield pd.DataFrame({"id": x["id"], "known": x["known"], "digest": x["digest"], "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "keys": keys})
 
-        return self.docs.mapInPandas(run, "id long, digest string, size int, sketch binary, keys array<long>")
+        # pandas would turn a column of ids with nulls into doubles
+        given = self.docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "digest", "text")
+        return given.mapInPandas(run, "id long, known boolean, digest string, size int, sketch binary, keys array<long>")
 
     def _sets(self, active: DataFrame) -> DataFrame:
-        """Token sets of the texts named by rep. The texts are shuffled once, whatever the number of reps."""
-        named = active.join(self.texts.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "digest")
-        wanted = self.docs.join(named.hint("merge"), ["id", "digest"], "left_semi")
+        """Token sets of the texts of these numbers. The texts are shuffled once, whatever how many are asked for."""
+        named = active.join(self.texts.select("num", "rep", "digest"), "num").select("num", id_key("rep").alias("_key"), "digest")
+        wanted = self.docs.select(id_key("id").alias("_key"), "digest", "text").join(named.hint("merge"), ["_key", "digest"]).select("num", "text")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes = word_hashes()
             for x in batches:
-                yield pd.DataFrame({"rep": x["id"], "set": [to_bytes(tokens(t, hashes)) for t in x["text"]]})
+                yield pd.DataFrame({"num": x["num"], "set": [to_bytes(tokens(t, hashes)) for t in x["text"]]})
 
-        return wanted.mapInPandas(run, "rep long, set binary")
+        return wanted.mapInPandas(run, "num long, set binary")
 
     def _sort_out(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Leaves that are small or dense (bucket, rep, n), and rows (key, rep) of the buckets to split further."""
+        """Leaves that are small or dense (bucket, num, n), and rows (key, num) of the buckets to split further."""
         sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         rows = written(rows.join(sizes, "key"), f"buckets{level}")
         small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
         # equal small buckets are one
-        lists = small.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps")).groupBy("reps").agg(F.min("key").alias("bucket"))
-        leaves = lists.select("bucket", F.explode("reps").alias("rep"), F.size("reps").cast("long").alias("n"))
+        lists = small.groupBy("key").agg(F.sort_array(F.collect_list("num")).alias("nums")).groupBy("nums").agg(F.min("key").alias("bucket"))
+        leaves = lists.select("bucket", F.explode("nums").alias("num"), F.size("nums").cast("long").alias("n"))
         if level >= DEPTH:
-            return leaves.unionByName(large.select(F.col("key").alias("bucket"), "rep", "n")), large.where("false")
+            return leaves.unionByName(large.select(F.col("key").alias("bucket"), "num", "n")), large.where("false")
         # about SMALL members of each large bucket show how alike its sets are
-        probe = large.where(F.pmod(F.xxhash64("key", "rep"), F.col("n")) < SMALL).join(self.texts.select("rep", "sketch"), "rep")
+        probe = large.where(F.pmod(F.xxhash64("key", "num"), F.col("n")) < SMALL).join(self.texts.select("num", "sketch"), "num")
         probe = probe.groupBy("key").agg(F.collect_list("sketch").alias("sketches"))
 
         def likeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,43 +277,43 @@ class Join:
         dense = probe.mapInPandas(likeness, "key long, like double").where(F.col("like") >= DENSE).select("key", F.lit(True).alias("dense"))
         large = written(large.join(dense, "key", "left"), f"large{level}")
         # Dense buckets that share their lowest member (by a hash) hold mostly the same sets: they are compared as one.
-        full = large.where("dense").select("key", "rep")
-        anchor = full.groupBy("key").agg(F.xxhash64(F.lit(level), F.min_by("rep", F.struct(F.xxhash64("rep"), "rep"))).alias("bucket"))
-        merged = full.join(anchor, "key").select("bucket", "rep").distinct()
+        full = large.where("dense").select("key", "num")
+        anchor = full.groupBy("key").agg(F.xxhash64(F.lit(level), F.min_by("num", F.struct(F.xxhash64("num"), "num"))).alias("bucket"))
+        merged = full.join(anchor, "key").select("bucket", "num").distinct()
         merged = merged.join(merged.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-        leaves = leaves.unionByName(merged.select("bucket", "rep", "n"))
-        return leaves, large.where("dense is null").select("key", "rep")
+        leaves = leaves.unionByName(merged.select("bucket", "num", "n"))
+        return leaves, large.where("dense is null").select("key", "num")
 
     def leaves(self) -> DataFrame:
-        """All leaves (bucket, rep, n)."""
-        rows = self.texts.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+        """All leaves (bucket, num, n)."""
+        rows = self.texts.select("num", F.explode(F.array_distinct("keys")).alias("key"))
         found, rest = self._sort_out(rows, 1)
         out = written(found, "leaves")
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 keys = [choose(sketch_tokens(s), int(mix(np.uint64([k & 0xFFFFFFFFFFFFFFFF]))[0])) for s, k in zip(x["sketch"], x["key"], strict=True)]
-                yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "rep": np.repeat(x["rep"].to_numpy(), [len(k) for k in keys])})
+                yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "num": np.repeat(x["num"].to_numpy(), [len(k) for k in keys])})
 
         for level in range(2, DEPTH + 1):
             if rest.isEmpty():
                 break
-            rows = rest.join(self.texts.select("rep", "sketch"), "rep").select("key", "rep", "sketch").mapInPandas(split, "key long, rep long").distinct()
+            rows = rest.join(self.texts.select("num", "sketch"), "num").select("key", "num", "sketch").mapInPandas(split, "key long, num long").distinct()
             found, rest = self._sort_out(rows, level)
             out = out.unionByName(written(found, "leaves"))
         return out
 
     def stars(self) -> DataFrame:
-        """For each comparison and set in it with links: rep, root (the lowest set it is connected to), n_links."""
+        """For each comparison and set in it with links: num, root (the lowest set it is connected to), n_links."""
         leaves = self.leaves()
-        of_text = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("leaves"))
+        of_text = leaves.groupBy("num").agg(F.sort_array(F.collect_set("bucket")).alias("leaves"))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        own = F.pmod(F.xxhash64("num"), blocks).cast("int")
         # a bucket of several blocks is compared block by block, each pair of blocks a task
         pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j"), (own > b).cast("int").alias("side")))
-        dealt = leaves.select("bucket", "rep", F.inline(F.when(blocks > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))))))
+        dealt = leaves.select("bucket", "num", F.inline(F.when(blocks > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))))))
         dealt = dealt.withColumn("task", F.xxhash64("bucket", "i", "j"))
-        rows = dealt.join(self.texts.select("rep", "size", "sketch").join(of_text, "rep"), "rep")
+        rows = dealt.join(self.texts.select("num", "size", "sketch").join(of_text, "num"), "num")
 
         def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in _tasks(batches):
@@ -316,12 +324,12 @@ class Join:
                 if pairs.any():
                     pairs &= ~_shared_leaf_before(leaf, int(x["bucket"].iloc[0]))
                     keep = pairs.any(0) | pairs.any(1)
-                    yield x.loc[keep, ["task", "bucket", "side", "rep", "leaves"]]
+                    yield x.loc[keep, ["task", "bucket", "side", "num", "leaves"]]
 
         tasks = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
-        screened = rows.repartition(tasks, "task").sortWithinPartitions("task").mapInPandas(screen, "task long, bucket long, side int, rep long, leaves array<long>")
+        screened = rows.repartition(tasks, "task").sortWithinPartitions("task").mapInPandas(screen, "task long, bucket long, side int, num long, leaves array<long>")
         screened = written(screened, "screened")
-        screened = screened.join(written(self._sets(screened.select("rep").distinct()), "sets"), "rep")
+        screened = screened.join(written(self._sets(screened.select("num").distinct()), "sets"), "num")
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in _tasks(batches):
@@ -331,8 +339,8 @@ class Join:
                 pairs = links([from_bytes(s) for s in x["set"]], pairs)
                 either = pairs | pairs.T
                 count = either.sum(1)
-                reps = x["rep"].to_numpy()
-                root = reps.copy()
+                nums = x["num"].to_numpy()
+                root = nums.copy()
                 while True:  # the lowest set reachable, by repeated minima over links
                     low = np.where(either, root[None, :], np.iinfo(np.int64).max).min(1)
                     new = np.minimum(root, low)
@@ -341,34 +349,41 @@ class Join:
                     root = new
                 some = count > 0
                 if some.any():
-                    yield pd.DataFrame({"rep": reps[some], "root": root[some], "n_links": count[some].astype(np.int64)})
+                    yield pd.DataFrame({"num": nums[some], "root": root[some], "n_links": count[some].astype(np.int64)})
 
-        out = screened.repartition(tasks, "task").sortWithinPartitions("task").mapInPandas(verify, "rep long, root long, n_links long")
+        out = screened.repartition(tasks, "task").sortWithinPartitions("task").mapInPandas(verify, "num long, root long, n_links long")
         return written(out, "stars")
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(rep, class_id) of all texts in links, by lowest labels and pointer jumping; and (rep, n_links)."""
+        """(num, label) of all texts in links, by lowest labels and pointer jumping; and (num, n_links)."""
         stars = self.stars()
-        counts = stars.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-        edges = stars.where("rep <> root").select("rep", "root").distinct()
-        both = written(edges.unionByName(edges.select(F.col("root").alias("rep"), F.col("rep").alias("root"))).distinct(), "edges")
-        labels = written(both.groupBy("rep").agg(F.min("root").alias("_low")).select("rep", F.least("rep", "_low").alias("label")), "labels")
+        counts = stars.groupBy("num").agg(F.sum("n_links").alias("n_links"))
+        edges = stars.where("num <> root").select("num", "root").distinct()
+        both = written(edges.unionByName(edges.select(F.col("root").alias("num"), F.col("num").alias("root"))).distinct(), "edges")
+        labels = written(both.groupBy("num").agg(F.min("root").alias("_low")).select("num", F.least("num", "_low").alias("label")), "labels")
         while True:
-            near = both.join(labels.select(F.col("rep").alias("root"), "label"), "root").groupBy("rep").agg(F.min("label").alias("_near"))
-            step = labels.join(near, "rep").select("rep", F.least("label", "_near").alias("label"), F.col("label").alias("was"))
-            jump = step.join(labels.select(F.col("rep").alias("label"), F.col("label").alias("_far")), "label", "left")
-            labels = written(jump.select("rep", F.least("label", F.coalesce("_far", "label")).alias("label"), "was"), "labels")
+            near = both.join(labels.select(F.col("num").alias("root"), "label"), "root").groupBy("num").agg(F.min("label").alias("_near"))
+            step = labels.join(near, "num").select("num", F.least("label", "_near").alias("label"), F.col("label").alias("was"))
+            jump = step.join(labels.select(F.col("num").alias("label"), F.col("label").alias("_far")), "label", "left")
+            labels = written(jump.select("num", F.least("label", F.coalesce("_far", "label")).alias("label"), "was"), "labels")
             if labels.where("label <> was").isEmpty():
-                return labels.select("rep", F.col("label").alias("class_id")), counts
-            labels = labels.select("rep", "label")
+                return labels.select("num", "label"), counts
+            labels = labels.select("num", "label")
 
     def result(self) -> DataFrame:
-        """One row for each document: doc_id, digest, rep, class_id, n_links (different texts), n_copies (documents with its text)."""
+        """One row for each document: doc_id, digest, rep, class_id, _first (digest), n_links (different texts), n_copies (documents with its text).
+
+        rep is the lowest id with the text, class_id that of its class; _first is the text of the class with the lowest (id, digest).
+        """
         labels, counts = self.classes()
-        named = self.texts.select("digest", "rep", "n_copies").join(labels, "rep", "left").join(counts, "rep", "left")
-        rows = self.seen.select("id", "digest").join(named, "digest")
-        none = lambda c: F.when(c == _FIRST, F.lit(None)).otherwise(c)
-        return rows.select(none(F.col("id")).alias("doc_id"), "digest", none(F.col("rep")).alias("rep"), none(F.coalesce("class_id", "rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+        linked = written(self.texts.select("num", "digest", "rep").join(labels, "num"), "linked")
+        firsts = linked.groupBy("label").agg(F.min(F.struct("rep", "digest")).alias("_low"))
+        found = linked.select("num", "label").join(firsts, "label").select("num", "_low")
+        named = self.texts.select("num", "digest", "rep", "n_copies").join(found, "num", "left").join(counts, "num", "left")
+        low = F.coalesce("_low", F.struct("rep", "digest"))
+        named = named.select("digest", "rep", low["rep"].alias("class_id"), low["digest"].alias("_first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+        rows = self.seen.select(F.col("id").alias("doc_id"), "digest").join(named, "digest")
+        return rows.select("doc_id", "digest", "rep", "class_id", "_first", "n_links", "n_copies")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -377,8 +392,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one of lowest id; of repeated rows one stays."""
-    found = Join(docs.select("doc_id", "text")).result().where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keys = found.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("_id"), "digest").distinct()
-    own = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), F.struct(*docs.columns).alias("_own"))
+    """docs with one document of each class: the one of lowest id, then digest; of repeated rows one stays."""
+    found = Join(docs.select("doc_id", "text")).result().where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("_first")))
+    keys = found.select(id_key("doc_id").alias("_id"), "digest").distinct()
+    own = docs.select(id_key("doc_id").alias("_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), F.struct(*docs.columns).alias("_own"))
     return own.join(keys, ["_id", "digest"], "left_semi").dropDuplicates(["_id", "digest"]).select("_own.*")

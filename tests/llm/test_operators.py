@@ -389,6 +389,25 @@ def test_near_duplicates_odd_rows(docs):
     assert len(chosen_path.keep_first(docs).where("doc_id = 1").collect()) == 1
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    rng = random.Random(31)
+    pairs = [family(rng, 100, 1, 0) for _ in range(4)]
+    near = [[p[0], p[0] + " one more word", p[0] + " another end"] for p in pairs]
+    alone = [prose(rng, 100) for _ in range(3)]
+    given = [(None, t) for t in near[0] + near[1] + alone] + [(7, t) for t in near[2]] + [(7, near[3][0]), (8, near[3][1]), (None, near[3][2])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in given], SCHEMA)
+    found = chosen_path.Join(df).result().collect()
+    of = {r["digest"]: r for r in found}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert len(found) == len(of) == len(given)
+    for k, first in enumerate((None, None, 7, None)):
+        assert {(of[md5(t)]["n_links"], of[md5(t)]["class_id"]) for t in near[k]} == {(2, first)}
+    assert {of[md5(t)]["n_links"] for t in alone} == {0}
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in chosen_path.keep_first(df).collect())
+    lowest = [min(near[k], key=md5) for k in range(3)]
+    assert kept == collections.Counter([(None, lowest[0]), (None, lowest[1]), (7, lowest[2]), (None, near[3][2]), *[(None, t) for t in alone]])
+
+
 # ---- mixing
 
 
