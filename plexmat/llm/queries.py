@@ -127,6 +127,32 @@ SELECT d.doc_id, d.size::BIGINT AS size, d.text_crc32::BIGINT AS text_crc32, 'ke
 FROM summed d JOIN placed p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
+_SPACE = r"[\x20\x09-\x0D]"
+#: The line rule on normalised lines themselves, which the query knows by 64-bit hashes.
+_OP4_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT r, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+places AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS p FROM cut),
+grams AS (SELECT r, list(p) AS held FROM places GROUP BY r, words[p], words[p + 1], words[p + 2] HAVING count(*) > 1),
+repeats AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([p, p + 1, p + 2]) AS p FROM (SELECT r, unnest(held) AS p FROM grams)) GROUP BY r),
+counts AS (
+    SELECT d.r, d.doc_id, d.source, d.text, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM docs d JOIN cut USING (r) LEFT JOIN repeats USING (r)
+),
+lines AS (SELECT r, trim(lower(regexp_replace(x, '{_SPACE}+', ' ', 'g'))) AS line, len(list_filter(regexp_split_to_array(x, '{_SPACE}+'), lambda w: w <> '')) AS n FROM (SELECT r, unnest(lines) AS x FROM cut)),
+hosts AS (SELECT source, greatest(10, 0.001 * count(*)) AS most FROM documents GROUP BY source),
+over_limit AS (
+    SELECT c.source, line FROM (SELECT source, line, count(DISTINCT (coalesce('=' || doc_id, ''), text)) AS n FROM lines JOIN docs USING (r) GROUP BY 1, 2) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE n > most
+),
+lost AS (SELECT r, sum(n) AS removed FROM lines JOIN docs USING (r) JOIN over_limit o ON o.line = lines.line AND o.source IS NOT DISTINCT FROM docs.source GROUP BY r),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(removed, 0)::BIGINT AS removed_words FROM counts LEFT JOIN lost USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+    base_failed, NOT base_failed AND 100 * (n_words - removed_words) >= 30 * n_words AS kept, removed_words
+FROM judged
+"""
+
 ORACLES: dict[str, str] = {
     "op1_rendezvous_sharding": _OP1_SQL,
+    "op4_line_frequency_rules": _OP4_SQL,
 }

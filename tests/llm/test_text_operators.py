@@ -183,11 +183,11 @@ def test_rules_remove_boilerplate_and_spare_copies(spark):
     base = prose(rng, 200).split("\n")
     family = [(200 + i, "\n".join(x if j != i % len(base) else prose(rng, 9).replace("\n", " ") for j, x in enumerate(base)), "en", "host", 0) for i in range(60)]
     df = spark.createDataFrame(depleted + light + family, SCHEMA)
-    found = by_id(line_rules.document_rules(df))
+    found = by_id(line_rules.document_rules(df, spare_copies=True))
     assert not any(found[i][0]["kept"] for i in range(30))
     assert all(found[100 + i][0]["kept"] and found[100 + i][0]["removed_words"] == 4 for i in range(30))
     assert all(found[200 + i][0]["kept"] for i in range(60))
-    kept = by_id(line_rules.apply_rules(df))
+    kept = by_id(line_rules.apply_rules(df, spare_copies=True))
     assert "see also" not in kept[100][0]["text"] and kept[100][0]["n_chars"] == len(kept[100][0]["text"])
     assert kept[200][0]["text"] == family[0][1]
 
@@ -199,7 +199,7 @@ def test_rules_remove_boilerplate_of_several_lines(spark):
     for k, (shared, own) in enumerate([(2, 3), (5, 6), (10, 10), (20, 6)]):
         lines[k] = [f"menu{k} {i} of the site" for i in range(shared)]
         every += [(1000 * k + i, "\n".join(lines[k] + [line(30) for _ in range(own)]), "en", f"host{k}", 0) for i in range(40)]
-    found = by_id(line_rules.document_rules(spark.createDataFrame(every, SCHEMA)))
+    found = by_id(line_rules.document_rules(spark.createDataFrame(every, SCHEMA), spare_copies=True))
     for i, *_ in every:
         assert found[i][0]["removed_words"] == 5 * len(lines[i // 1000])
 
@@ -216,11 +216,44 @@ def test_rules_remove_boilerplate_from_copies(spark):
     mixed = copies(0, 300, "a", menu) + [(1000 + i, "\n".join([line(40), line(40), *menu]), "en", "a", 0) for i in range(15)]
     families = [x for k in range(20) for x in copies(2000 + 100 * k, 15, "b", [*menu, "all pages"])]
     alone = copies(5000, 300, "c", menu)
-    found = by_id(line_rules.document_rules(spark.createDataFrame(mixed + families + alone, SCHEMA)))
+    found = by_id(line_rules.document_rules(spark.createDataFrame(mixed + families + alone, SCHEMA), spare_copies=True))
     for rows_of, removed in ((mixed, 4), (families, 6), (alone, 0)):
         assert {found[i][0]["removed_words"] for i, *_ in rows_of} == {removed}
 
 
+def line_verdicts(every: list[tuple], share: float, floor: int, min_left: int = 30) -> list[tuple]:
+    """(doc_id, removed words, kept) of each row by the rule as it is stated."""
+    words = lambda x: WORD.findall(x)
+    lines_of = [[(" ".join(words(x)).lower(), len(words(x))) for x in (r[1] or "").split("\n") if words(x)] for r in every]
+    hosts, holders = collections.Counter(r[3] for r in every), collections.defaultdict(set)
+    for r, own in zip(every, lines_of, strict=True):
+        for x, _ in own:
+            holders[r[3], x].add((r[0], r[1]))
+    out = []
+    for r, own in zip(every, lines_of, strict=True):
+        lost = sum(n for x, n in own if len(holders[r[3], x]) > max(floor, share * hosts[r[3]]))
+        c = counts(r[1])
+        base = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        out.append((r[0], lost, not base and 100 * (c[0] - lost) >= min_left * c[0]))
+    return out
+
+
+def test_rules_verdict_against_brute_force(spark):
+    rng = random.Random(8)
+    line = lambda n: prose(rng, n).replace("\n", " ")
+    head, every = [f"Banner {i} of  the site" for i in range(12)], []
+    for i in range(120):  # from lines of the host alone to lines of the document alone
+        own = [line(12) for _ in range(i % 9)]
+        every.append((i if i % 10 else None, "\n".join([x.upper() if i % 2 else x for x in head[: i % 13]] + own + [line(20)] * (i % 2)), "en", ["a", "b", None][i % 3], 0))
+    every += [every[4], every[4], (5, "another text of id five " * 12, "en", "a", 0), (900, None, "en", "a", 0), (901, "", "en", None, 0)]
+    df = spark.createDataFrame(every, SCHEMA)
+    for share, floor in ((0.001, 10), (0.2, 3), (0.0, 1_000)):
+        found = [(r["doc_id"], r["removed_words"], r["kept"]) for r in line_rules.document_rules(df, share=share, floor=floor).collect()]
+        expected = line_verdicts(every, share, floor)
+        assert collections.Counter(found) == collections.Counter(expected)
+        assert floor == 1_000 or {k for _, lost, k in expected if lost} == {True, False}
+
+
 # ---- quality and toxicity
 
 
