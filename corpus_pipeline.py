@@ -20,8 +20,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and aren't depleted, without the lines over their host's limit."""
-    return line_rules.apply_rules(docs)
+    """Documents that pass the counts and aren't depleted, without the lines over their host's limit; near copies count as one there, as the next stage is theirs."""
+    return line_rules.apply_rules(docs, spare_copies=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
