@@ -7,16 +7,20 @@ a template whose window has the same lowest shingle in any band. The number of b
 alike pair of a whole notice and the window that holds it collides with probability TARGET. Candidates are checked
 exactly: the share of the template's shingles that stand around the window must be at least MIN_CONTAINED.
 
-DataFrame functions only. The texts are shuffled once, by a key of the row, so that the windows of a text are formed in one
-place without moving. The templates are a parameter of bounded size; they are broadcast. Null and empty texts have no windows;
-repeated rows give one result; a null id is an id; all hits are reported, one row for each document and template.
+DataFrame functions only. Two windows can only share a lowest shingle that both hold, so texts that hold none of the lowest
+shingles of the templates' windows are passed over where they stand, and only the hashes of the others are written and
+shuffled. Templates may be many and long: up to LITERALS different lowest shingles are spelled out in the plan, beyond
+that templates are tables like any other and all joins are shuffled.
+
+Null and empty texts, and texts of one word, have no windows; very long texts are scanned whole; every row counts for
+itself, so repeated rows and rows of equal or null id each give their own results; of equal hits of a template in a
+text the first window is told; a table without rows gives none; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +29,8 @@ from plexmat.llm.common import written
 from plexmat.llm.textstats import held
 
 WINDOW, STRIDE, TARGET, MIN_CONTAINED = 8, 4, 0.999, 0.8
-#: Templates together may have this many windows; they are broadcast and spelled out in the plan.
-MOST_WINDOWS = 4_000
-#: Texts with candidates are broadcast up to this many (a few KB each); beyond it they are joined by shuffle.
-BROADCAST_CANDIDATES = 2_000
+#: Templates with up to this many different lowest shingles are spelled out and broadcast; results are the same beyond it.
+LITERALS = 4_000
 #: Notices of common public licences.
 NOTICES = {
     "rights-reserved": "All rights reserved.",
@@ -45,7 +47,7 @@ NOTICES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-_LOW31, _LOW46 = (1 << 31) - 1, (1 << 46) - 1
+_LOW46 = (1 << 46) - 1
 
 
 def least_jaccard(words: int) -> float:
@@ -71,62 +73,66 @@ def pair_hashes(words: str) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(F.col(words), i), F.get(F.col(words), i + 1)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def window_minima(rows: DataFrame, key: str, bands: int, seed: int = 41) -> DataFrame:
-    """For each window of `words` of each row: key, _window, and the lowest value m0 .. of its pairs in every band.
+def window_minima(grams: DataFrame, key: str, bands: int, named: bool = False, seed: int = 41) -> DataFrame:
+    """For each window of each row: key, _window, and the lowest value m0 .. of its pairs (`_grams`) in every band.
 
-    rows must be partitioned by key already; no row moves then.
+    named: with the pair that has it, as (_value, _gram).
     """
     rng = random.Random(seed)
     factors = [rng.getrandbits(31) | 1 for _ in range(bands)]
-    grams = held(rows, drop=("words",), _grams=pair_hashes("words"))
     each = grams.select(key, F.posexplode("_grams").alias("_at", "_hash"))
     place = F.expr(f"_at div {STRIDE}")
     both = F.array(place, F.when((place > 0) & (F.col("_at") % STRIDE < WINDOW - 1 - STRIDE), place - 1))
-    each = each.select(key, F.shiftrightunsigned("_hash", 33).alias("_hash"), F.explode(both).alias("_window")).where("_window is not null")
-    return each.groupBy(key, "_window").agg(*[F.min((F.col("_hash") * f).bitwiseAND(_LOW46)).alias(f"m{k}") for k, f in enumerate(factors)])
+    each = each.select(key, F.col("_hash").alias("_gram"), F.shiftrightunsigned("_hash", 33).alias("_hash"), F.explode(both).alias("_window")).where("_window is not null")
+    values = [(F.col("_hash") * f).bitwiseAND(_LOW46) for f in factors]
+    lowest = [F.min(F.struct(v.alias("_value"), "_gram") if named else v).alias(f"m{k}") for k, v in enumerate(values)]
+    return each.groupBy(key, "_window").agg(*lowest)
+
+
+def _bands(minima: DataFrame, key: str, bands: int) -> DataFrame:
+    """One row for each window and band: key, _window, _band, _value."""
+    return minima.select(key, "_window", F.inline(F.array(*[F.struct(F.lit(k).alias("_band"), F.col(f"m{k}").alias("_value")) for k in range(bands)])))
 
 
 class Templates:
-    """The notices as shingles and bands; small, and computed by the same columns as the texts."""
+    """The notices as shingles and as lowest shingles of bands, computed by the same columns as the texts."""
 
     def __init__(self, spark: SparkSession, notices: dict[str, str]):
-        frame = spark.createDataFrame(list(notices.items()), "license string, notice string").select("license", words_column(F.col("notice")).alias("words"))
-        sizes = {r["license"]: r["n"] for r in frame.select("license", F.size("words").alias("n")).collect()}
-        if min(sizes.values(), default=2) < 2:
+        given = spark.createDataFrame(list(notices.items()), "license string, notice string")
+        frame = held(given.select("license", words_column(F.col("notice")).alias("words")), drop=("words",), _words=F.size("words"), _grams=pair_hashes("words"))
+        sizes = [r["_words"] for r in frame.select("_words").distinct().collect()]
+        if min(sizes, default=2) < 2:
             raise ValueError("a template needs two words")
-        self.bands = max((bands_for(n) for n in sizes.values()), default=1)
-        minima = window_minima(frame, "license", self.bands).collect()
-        if len(minima) > MOST_WINDOWS:
-            raise ValueError(f"templates have {len(minima)} windows; {MOST_WINDOWS} are allowed")
-        rows = [(r["license"], k, r[f"m{k}"]) for r in minima for k in range(self.bands)]
-        self.values = [sorted({v for _, b, v in rows if b == k}) for k in range(self.bands)]
-        self.index = spark.createDataFrame(sorted(set(rows)), "license string, _band int, _value long")
-        self.grams = frame.select("license", F.size("words").alias("_words"), F.array_distinct(pair_hashes("words")).alias("_own"))
+        self.bands = max((bands_for(n) for n in sizes), default=1)
+        named = _bands(window_minima(frame, "license", self.bands, named=True), "license", self.bands)
+        self.index = written(named.select("license", "_band", "_value._value", "_value._gram").distinct(), "templates")
+        found = self.index.select("_gram").distinct().limit(LITERALS + 1).collect()
+        self.anchors = [r["_gram"] for r in found] if len(found) <= LITERALS else None
+        self.index = self.index.drop("_gram")
+        self.grams = frame.select("license", "_words", F.array_distinct("_grams").alias("_own"))
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A table of the templates, broadcast where they are few."""
+        return F.broadcast(df) if self.anchors is not None else df
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, min_contained: float = MIN_CONTAINED) -> DataFrame:
     """One row for each document and template found in it: doc_id, license, contained, first_word (of the first window)."""
-    spark = docs.sparkSession
-    templates = Templates(spark, notices or NOTICES)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_key"), text.alias("text"))
-    dealt = keyed.select("_key", "text").repartition("_key")
-    minima = window_minima(dealt.select("_key", words_column(F.col("text")).alias("words")), "_key", templates.bands)
-    hit = reduce(lambda a, b: a | b, [F.col(f"m{k}").isin(v) for k, v in enumerate(templates.values)])
-    found = minima.where(hit)
-    bands = F.array(*[F.struct(F.lit(k).alias("_band"), F.col(f"m{k}").alias("_value")) for k in range(templates.bands)])
-    found = found.select("_key", "_window", F.inline(bands)).join(F.broadcast(templates.index), ["_band", "_value"])
-    found = found.groupBy("_key", "_window", "license").agg(F.lit(1).alias("_one")).drop("_one").join(F.broadcast(templates.grams), "license")
-    # the candidates of a text together, so that its words are cut and hashed once
-    found = written(found.groupBy("_key").agg(F.collect_list(F.struct("license", "_window", "_words", "_own")).alias("_found")), "candidates")
-    few = found.count() <= BROADCAST_CANDIDATES
-    near = keyed.join(F.broadcast(found) if few else found, "_key").select("doc_id", "_found", words_column(F.col("text")).alias("_all"))
-    near = held(near, drop=("_all",), _grams=pair_hashes("_all"))
-
-    def contained(c: Column) -> Column:
-        begin = F.greatest(c["_window"] * STRIDE - c["_words"], F.lit(0))
-        around = F.slice("_grams", (begin + 1).cast("int"), c["_words"] * 2 + (WINDOW - 1))
-        return F.struct(c["license"].alias("license"), c["_window"].alias("_window"), (F.size(F.array_intersect(c["_own"], around)) / F.size(c["_own"])).alias("contained"))
-
-    checked = near.select("doc_id", F.inline(F.filter(F.transform("_found", contained), lambda c: c["contained"] >= min_contained)))
-    return checked.groupBy("doc_id", "license").agg(F.max("contained").alias("contained"), F.min(F.col("_window") * STRIDE).cast("long").alias("first_word"))
+    templates = Templates(docs.sparkSession, notices or NOTICES)
+    grams = held(docs.select("doc_id", words_column(F.col("text")).alias("_all")), drop=("_all",), _grams=pair_hashes("_all"))
+    if templates.anchors is not None:
+        grams = grams.where(F.exists("_grams", lambda h: h.isin(templates.anchors)))
+    # a written row keeps its number, whatever is computed again
+    suspects = written(grams.withColumn("_row", F.monotonically_increasing_id()), "suspects")
+    met = _bands(window_minima(suspects.repartition("_row"), "_row", templates.bands), "_row", templates.bands)
+    found = met.join(templates.small(templates.index), ["_band", "_value"]).select("_row", "_window", "license").distinct()
+    # the candidates of a text together, so that its shingles are read once; a template is told by its shingles after that
+    near = found.groupBy("_row", "license").agg(F.sort_array(F.collect_list("_window")).alias("_windows")).join(templates.small(templates.grams), "license").join(suspects, "_row")
+
+    def contained(w: Column) -> Column:
+        begin = F.greatest(w * STRIDE - F.col("_words"), F.lit(0))
+        around = F.slice("_grams", (begin + 1).cast("int"), F.col("_words") * 2 + (WINDOW - 1))
+        return F.struct((F.size(F.array_intersect("_own", around)) / F.size("_own")).alias("contained"), (-w * STRIDE).cast("long").alias("before"))
+
+    hits = held(near.select("doc_id", "_row", "license", "_words", "_own", "_windows", "_grams"), drop=("_windows", "_grams", "_own", "_words"), _best=F.array_max(F.transform("_windows", contained)))
+    return hits.where(F.col("_best")["contained"] >= min_contained).select("doc_id", "license", F.col("_best")["contained"].alias("contained"), (-F.col("_best")["before"]).alias("first_word"))

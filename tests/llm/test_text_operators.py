@@ -317,18 +317,61 @@ def test_toxicity_held_out_and_misspellings(spark, empty):
 # ---- licences
 
 
+def exhaustive_scan(texts: list[str | None], notices: dict[str, str]) -> set:
+    """(place of the text, license, contained) where any window's surroundings hold enough of a template's word pairs."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    out = set()
+    for i, t in enumerate(texts):
+        grams = pairs(words(t or ""))
+        for name, notice in notices.items():
+            n, own = len(words(notice)), set(pairs(words(notice)))
+            best = 0.0
+            for at in range(0, len(grams), license_scan.STRIDE):
+                begin = max(at - n, 0)
+                best = max(best, len(own & set(grams[begin : begin + 2 * n + license_scan.WINDOW - 1])) / len(own))
+            if best >= license_scan.MIN_CONTAINED:
+                out.add((i, name, round(best, 9)))
+    return out
+
+
 def test_license_scan_against_brute_force(spark, docs, empty):
     rng = random.Random(13)
-    body = [prose(rng, 100) for _ in range(26)]
-    notices = list(license_scan.NOTICES.values())
-    planted = [(2000 + i, b[: len(b) // 3] + "\n" + notices[i % 13] + "\n" + b[len(b) // 3 :], "en", "s", 0) for i, b in enumerate(body)]
-    found = {(r["doc_id"], r["license"]) for r in license_scan.scan(clashing(docs.unionByName(spark.createDataFrame(planted, SCHEMA)))).collect()}
-    assert {(2000 + i, list(license_scan.NOTICES)[i % 13]) for i in range(26)} <= found
-    assert not {d for d, _ in found} & {r[0] for r in rows()}
-    assert license_scan.scan(empty).count() == 0
+    notices = license_scan.NOTICES
+    names, texts = list(notices), []
+    for i in range(60):  # whole notices, notices with words changed, and parts of them, at any place
+        words = notices[names[i % 13]].split()
+        if i % 3 == 1:
+            words[rng.randrange(len(words))] = "other"
+        if i % 5 == 4:
+            words = words[: max(2, len(words) * 2 // 3)]
+        body = prose(rng, 100)
+        at = rng.randrange(len(body))
+        texts.append(body[:at] + " " + " ".join(words) + " " + body[at:])
+    texts += [texts[0] * 300, " ".join(notices.values()), "All", "", None, texts[3]]
+    # null and repeated ids tell nothing: every row is a text of its own
+    table = spark.createDataFrame([(None if i % 7 == 0 else 5 if i % 7 == 1 else i, t, str(i), "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    expected = exhaustive_scan(texts, notices)
+    got = license_scan.scan(clashing(table)).collect()
+    by_doc = collections.Counter((None if i % 7 == 0 else 5 if i % 7 == 1 else i, name, c) for i, name, c in expected)
+    assert collections.Counter((r["doc_id"], r["license"], round(r["contained"], 9)) for r in got) == by_doc
+    assert sum(n for (d, _, _), n in by_doc.items() if d is None) > 5
+    assert not license_scan.scan(docs).count() and not license_scan.scan(empty).count()
     assert 1 - (1 - license_scan.least_jaccard(3)) ** license_scan.bands_for(3) >= license_scan.TARGET
 
 
+def test_license_scan_of_long_templates(spark, monkeypatch):
+    rng = random.Random(14)
+    long = {f"long{k}": " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(6_000)) for k in range(3)}
+    texts = [prose(rng, 50) + " " + long["long0"] + " " + prose(rng, 50), prose(rng, 80), long["long2"]]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert license_scan.Templates(spark, long).anchors is None
+    assert {(r["doc_id"], r["license"], r["contained"]) for r in license_scan.scan(table, long).collect()} == {(0, "long0", 1.0), (2, "long2", 1.0)}
+    few = license_scan.scan(table, {"t": long["long0"][:200]}).collect()
+    monkeypatch.setattr(license_scan, "LITERALS", 1)
+    assert license_scan.scan(table, {"t": long["long0"][:200]}).collect() == few
+
+
 # ---- fingerprints
 
 
