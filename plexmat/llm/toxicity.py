@@ -6,12 +6,17 @@ words' vectors, its two class scores are linear in that average, and a document
 Vectors and class weights are learnt together by Adam on a bounded sample of labelled documents. A misspelling
 that was never seen shares most of its n-grams, hence most of its vector, with the word it stands for.
 
+Rows of the table that fewer than MIN_DOCS training documents touch stay zero and n-grams are dropped at random while
+training, so that documents aren't learnt by heart; a part of the labelled documents is kept from the fit, and the
+log-odds of passages are moved to where 0.5 parts its classes best (by F1).
+
 Since everything after the lookup is linear, a word's share of a passage's score is one number, which workers
-keep for words seen before; whole texts are scored in one pass.
+keep for words seen before; whole texts are scored in one pass, whatever their length.
 
 Null and empty texts have no passage and score the fitted prior of an empty passage; null labels and labels
-without a document are left out, of a document labelled more than once the highest label counts; without labels of
-both kinds the score is the share of label 1 (0.5 without any). Repeated rows get equal scores.
+without a document are left out, of a document labelled more than once the highest label counts, of labelled rows with the
+same id the lowest text; without labels of both kinds the score is the share of label 1 (0.5 without any). Repeated rows
+get equal scores; null ids are scored and never learnt from; a table without rows gives none; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -23,15 +28,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexmat.llm.common import SPACE_CLASS
+from plexmat.llm.common import SPACE_CLASS, written
 
 #: Fixed parameters of the features: words to a passage, rows of the vector table, length of the n-grams.
-WINDOW, ROWS, GRAMS = 24, 1 << 17, (3, 4, 5)
-#: Labelled documents to fit on at most, of either class, chosen by a hash of their id.
-SAMPLE = 3_000
+WINDOW, ROWS, GRAMS = 2, 1 << 17, (3, 4, 5)
+#: Training documents that a row of the table must be touched by; share of n-grams dropped; share of labelled documents kept from the fit.
+MIN_DOCS, DROP, KEPT_OUT = 5, 0.2, 0.2
+#: Labelled documents to fit on at most, of either class, chosen by a hash of their id; and the characters that they may have together.
+SAMPLE, MOST_CHARS = 3_000, 30_000_000
 _WORD = re.compile(f"[^{SPACE_CLASS}]+")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _OUTER = ".,;:!?\"'()[]{}|#*$%&<>-"
@@ -144,17 +151,38 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return first + np.arange(lengths.sum())
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, dim: int = 4, epochs: int = 8, batch: int = 128, rate: float = 0.05, scale: float = 20.0, seed: int = 11) -> Model:
-    """Joint training of n-gram vectors and class weights on whole texts by Adam over batches of documents; weight undoes the sampling of classes."""
+def f1(y: np.ndarray, said: np.ndarray, weight: np.ndarray) -> float:
+    hit, extra, missed = (float(weight[m].sum()) for m in ((y == 1) & said, (y == 0) & said, (y == 1) & ~said))
+    return 2 * hit / max(2 * hit + extra + missed, 1e-12)
+
+
+def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> Model:
+    """A model learnt on most of the documents, its passages' log-odds moved to suit the others; weight undoes the sampling of classes."""
     share = float((y * weight).sum() / weight.sum()) if len(y) else 0.5
     if not len(y) or y.min() == y.max():
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(ROWS), float(np.log(share / (1 - share))))
+    apart = np.random.default_rng(seed).random(len(y)) < KEPT_OUT
+    if len(set(y[~apart])) < 2 or len(set(y[apart])) < 2 or apart.sum() < 50:  # too few to move by
+        return learn(texts, y, weight, seed=seed)
+    model = learn([t for t, k in zip(texts, apart, strict=True) if not k], y[~apart], weight[~apart], seed=seed)
+    others = [t for t, k in zip(texts, apart, strict=True) if k]
+    moves = sorted(np.arange(-4, 4.25, 0.25).tolist(), key=abs)
+    return max((Model(model.share, model.bias + m) for m in moves), key=lambda m: round(f1(y[apart], Scorer(m)(others) >= 0.5, weight[apart]), 9))
+
+
+def learn(texts: list[str], y: np.ndarray, weight: np.ndarray, dim: int = 4, epochs: int = 8, batch: int = 128, rate: float = 0.1, scale: float = 20.0, seed: int = 11) -> Model:
+    """Joint training of n-gram vectors and class weights on whole texts by Adam over batches of documents."""
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(normal(w), len(vocab)) for w in _WORD.findall(text or "")], np.int64) for text in texts]
     owner_of, row_of = grams_of(list(vocab) or [""])
     flat, per = row_of[np.argsort(owner_of, kind="stable")], np.bincount(owner_of)
     where = np.concatenate([[0], np.cumsum(per)[:-1]])
+    touched = np.zeros(ROWS, np.int64)
+    for d in docs:
+        own = np.unique(d)
+        touched[np.unique(flat[_spans(where[own], per[own])])] += 1
+    live = (touched >= MIN_DOCS).astype(float)
     rng = np.random.default_rng(seed)
     e, v = rng.normal(0, 0.05, (ROWS, dim)), rng.normal(0, 0.3, (dim, 2))
     bias = np.array([0.0, -4.0])
@@ -170,6 +198,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, dim: int = 4, epoch
             rows = flat[_spans(where[words], per[words])]
             of = np.repeat(np.arange(len(words)), per[words])
             n = per[words][:, None] if len(words) else np.ones((0, 1))
+            kept = live[rows] * (rng.random(len(rows)) >= DROP) / (1 - DROP)
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             begins = [windows(k) for k in sizes]
             starts = np.concatenate([a + s for a, s in zip(at, begins, strict=True)])
@@ -177,7 +206,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, dim: int = 4, epoch
             owner = np.repeat(np.arange(len(part)), [len(s) for s in begins])
             length = np.maximum(ends - starts, 1)[:, None]
             # forward: n-gram vectors, word vectors, passage averages, class scores, documents
-            wv = np.stack([np.bincount(of, weights=e[rows, k], minlength=len(words)) for k in range(dim)], 1) / n
+            wv = np.stack([np.bincount(of, weights=e[rows, k] * kept, minlength=len(words)) for k in range(dim)], 1) / n
             run = np.concatenate([np.zeros((1, dim)), np.cumsum(wv[ids], 0)])
             h = scale * (run[ends] - run[starts]) / length
             z = h @ v + bias
@@ -194,12 +223,12 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, dim: int = 4, epoch
                 edge[:, k] = np.bincount(starts, weights=dh[:, k], minlength=len(ids) + 1) - np.bincount(ends, weights=dh[:, k], minlength=len(ids) + 1)
             dwords = np.cumsum(edge, 0)[:-1]
             dwv = np.stack([np.bincount(ids, weights=dwords[:, k], minlength=len(words)) for k in range(dim)], 1) / n
-            de = np.stack([np.bincount(rows, weights=dwv[of, k], minlength=ROWS) for k in range(dim)], 1)
+            de = np.stack([np.bincount(rows, weights=dwv[of, k] * kept, minlength=ROWS) for k in range(dim)], 1)
             for p, g, m in zip((e, v, bias), (de, h.T @ dz, dz.sum(0)), moments, strict=True):
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.02 * (g * g - m[1])
                 p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.98**step)) + 1e-9)
-    return Model(scale * (e @ (v[:, 1] - v[:, 0])), float(bias[1] - bias[0]))
+    return Model(scale * live * (e @ (v[:, 1] - v[:, 0])), float(bias[1] - bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int = SAMPLE) -> Model:
@@ -208,9 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, samp
     counts = {int(r["_y"]): r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()
-    rows["text"] = rows["text"].fillna("")
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row an id, however often it comes; documents whose turn is past MOST_CHARS are left out whole.
+    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y")), "labelled")
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    turn = texts.select("doc_id", F.coalesce(so_far, F.lit(0)).alias("_before")).where(F.col("_before") < MOST_CHARS)
+    rows = texts.join(F.broadcast(turn.select("doc_id")), "doc_id").toPandas().sort_values("doc_id")
     y = rows["_y"].to_numpy(float)
     weight = np.array([counts.get(int(k), 1) / max(1, int((y == k).sum())) for k in y])
     return fit(rows["text"].tolist(), y, weight)
