@@ -6,7 +6,9 @@ gradient keeps a few dozen of them; and these are compiled into one Spark column
 
 Null and empty texts have all statistics 0 and are scored like any other; labels that are null or whose document is
 missing are left out, of a document labelled more than once the lowest label counts, and without labels of both
-kinds every score is the share of label 1 (0.5 without any). Repeated rows get equal scores.
+kinds every score is the share of label 1 (0.5 without any). Repeated rows get equal scores; of labelled rows with the same
+id one counts; null ids are scored and never learnt from; texts of any length are read whole; ties of cuts go to the first
+statistic and the lowest cut; a table without rows gives none; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, samp
     known = known.groupBy("doc_id").agg(F.min(label).cast("double").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     stats, names = statistics(texts, ("doc_id", "_y"))
-    rows = stats.toPandas().sort_values(["doc_id", *names], kind="stable").drop_duplicates("doc_id")
+    one = stats.groupBy("doc_id").agg(F.min(F.struct("_y", *names)).alias("_s")).select("doc_id", "_s.*")  # however often an id comes
+    rows = one.toPandas().sort_values("doc_id")
     return fit(rows[names].to_numpy(float), rows["_y"].to_numpy(float), names)
 
 
