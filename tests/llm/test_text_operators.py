@@ -377,7 +377,7 @@ def test_license_scan_of_long_templates(spark, monkeypatch):
 
 def test_fingerprints_against_sets(docs, empty, spark):
     found = iblt.fingerprint_documents(clashing(docs)).collect()
-    ordered = [r[1] or "" for r in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    ordered = [r[1] or "" for r in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))]  # rows of equal id have equal texts
     assert len(found) == len(ordered)
 
     def keys(t: str) -> set:
@@ -400,6 +400,41 @@ def test_fingerprints_against_sets(docs, empty, spark):
     assert alone[0]["near_next"] == 1.0
 
 
+def test_fingerprints_of_one_id_for_most_rows(spark):
+    rng = random.Random(15)
+    every = [(None if i % 3 else i, prose(rng, 40) if i % 5 else "the same. text.", "en", "s", 0) for i in range(300)]
+    found = iblt.fingerprint_documents(spark.createDataFrame(every, SCHEMA)).collect()
+    assert collections.Counter(r["doc_id"] for r in found) == collections.Counter(r[0] for r in every)
+    # one cycle through all rows: the edited texts are those of some order, in which every row is once the next
+    halves = collections.Counter(t[1] for t in every)
+    texts = {r[0]: r[1] for r in every if r[0] is not None}
+    named = sorted(texts)
+    by = {r["doc_id"]: r for r in found if r["doc_id"] is not None}
+    for a, b in zip(named, named[1:], strict=False):
+        assert by[a]["edited_sha256"] == hashlib.sha256(iblt.edited(texts[a], texts[b]).encode()).hexdigest()
+    assert sum(r["near_next"] == 1.0 for r in found) >= halves["the same. text."] // 2
+
+
+def test_stored_fingerprints_subtract(spark):
+    rng = random.Random(16)
+    text = prose(rng, 300)
+    parts = iblt.paragraphs(text)
+    after = "".join(p for i, p in enumerate(parts) if i not in (3, 7)) + "Something new. "
+    keys, at = iblt.digests([text, after, prose(rng, 400)])
+    stored = iblt.fingerprints(iblt.base_tables(keys, at), range(3))
+    a, b = set(keys[at[0] : at[1]].tolist()), set(keys[at[1] : at[2]].tolist())
+    gone, new = iblt.changed(stored[:1], stored[1:2])[0]
+    assert set(gone.tolist()) == a - b and set(new.tolist()) == b - a and len(a - b) >= 2
+    assert iblt.changed(stored[:1], stored[2:])[0] is None
+    for other in (after, prose(rng, 400), "", text, text * 50):
+        gone, new = iblt.changed_digests(text, other)
+        x, y = (set(iblt.digests([t])[0].tolist()) for t in (text, other))
+        assert set(gone.tolist()) == x - y and set(new.tolist()) == y - x
+    one, two = (spark.createDataFrame([(1, t, None, None, 0), (2, "same", None, None, 0), (None, t, None, None, 0), (3 + k, t, None, None, 0)], SCHEMA) for k, t in enumerate((text, after)))
+    got = iblt.changed_documents(one, two).collect()
+    assert [(r["doc_id"], len(r["gone"]), len(r["new"])) for r in got] == [(1, len(a - b), len(b - a))]
+
+
 # ---- near duplicates
 
 
