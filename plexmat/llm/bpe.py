@@ -6,7 +6,8 @@ is merged; entries whose symbols have changed since are stale and skipped. Decod
 vocabulary. Workers keep the ids of chunks they have met, up to a fixed number, since words recur.
 
 Null and empty texts have no ids and decode to the empty text. Texts of any length are encoded whole. Repeated
-rows give equal rows. The tokenizer file is read on the driver and broadcast (a few MB, whatever the input).
+rows give equal rows; null ids stay null; a table without rows gives none; other columns are left alone, whatever their
+names. A tokenizer file with another normaliser, pattern or model is an error, since it would be encoded wrongly. The file is read on the driver and broadcast (a few MB, whatever the input).
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ CHUNKS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 KEEP_CHARS = 64
 
 
+#: What the tokenizer file says of the kind that is encoded here.
+_KIND = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in the vocabulary."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("\xa1"), ord("\xac") + 1), *range(ord("\xae"), ord("\xff") + 1)]
@@ -46,6 +52,8 @@ class ByteBPE(dict):
         super().__init__()
         spec = json.loads(definition)
         model, self.most = spec["model"], most
+        if {k: spec[k] for k in _KIND} != _KIND or any(model.get(k) != v for k, v in _MODEL.items()):
+            raise ValueError("not a plain byte-level tokenizer")
         vocab = model["vocab"]
         self.byte_ids = [vocab[c] for c in byte_alphabet()]
         self.ranks: dict[int, int] = {}

@@ -1,17 +1,21 @@
 """Token-ID files compressed by a Re-Pair grammar for each shard, with random access.
 
 Documents are put in ascending order of id over range partitions, encoded, and cut into shards of about SHARD_TOKENS ids.
-In a shard the most frequent neighbouring pairs are replaced by nonterminals, round after round, until no pair is
-frequent enough or a round replaces less than one symbol in 64; pairs never cross the end of a document. A file holds the rules, the length that each nonterminal
-expands to, the compressed symbols, and where each document starts in ids and in symbols, so any range of ids of any
-document is decoded from its own symbols alone.
+In a shard the most frequent neighbouring pairs are replaced by nonterminals, round after round, until no pair is left that
+comes MIN_COUNT times; pairs never cross the end of a document. A file holds the rules, the length that each nonterminal
+expands to, the compressed symbols in as many bits as they need, and where each document starts in ids and in symbols, so
+any range of ids of any document is decoded from its own symbols alone (`read_ranges`).
 
 Shards are rows of a Parquet table (shard_part, shard_no, n_tokens, file): (shard_part, shard_no) is their order.
-Null and empty texts hold the end id only; null ids come first; repeated rows are encoded as often as they come.
+Null and empty texts hold the end id only; null ids come first; rows of equal id follow by a hash of the text, and repeated
+rows are encoded as often as they come; texts of any length are encoded whole; a table without rows gives no shard; other
+columns are left alone, whatever their names. A tokenizer of another kind than the words here assume (see WordEncoder) is
+run by the library on whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -30,7 +34,7 @@ from tokenizers.pre_tokenizers import WhitespaceSplit
 from plexmat.llm.bpe import SPACES, byte_alphabet
 from plexmat.llm.common import shared_dir
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids to a shard at least (the last shard of a partition may have fewer); pairs rarer than MIN_COUNT stay as they are.
 SHARD_TOKENS, MIN_COUNT = 1_000_000, 12
 _HEAD = struct.Struct("<4sIIIII")
@@ -51,56 +55,84 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return first + np.arange(total)
 
 
+def _alone(at: np.ndarray) -> np.ndarray:
+    """Of pairs that overlap in a run, every other one, the leftmost first."""
+    place = np.arange(len(at))
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), place, 0))
+    return (place - start) % 2 == 0
+
+
+def _by_cell(symbols: np.ndarray, cell: np.ndarray, at: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """One pair of each cell: the places of `at` that hold it, and the cell as its number."""
+    own = cell[at]
+    chosen = np.zeros(cells, np.int64)
+    chosen[own] = at
+    like = chosen[own]
+    same = (symbols[at] == symbols[like]) & (symbols[at + 1] == symbols[like + 1])
+    return at[same], own[same]
+
+
+def _by_pair(symbols: np.ndarray, at: np.ndarray, least: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The (most frequent) pairs that come `least` times at `at`: their places, and numbers for them."""
+    _, number, times = np.unique(symbols[at].astype(np.int64) << 32 | symbols[at + 1], return_inverse=True, return_counts=True)
+    good = times >= least
+    if most is not None:
+        rank = np.empty(len(times), np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
+        good &= rank < most
+    keep = good[number]
+    return at[keep], number[keep]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, the symbol place after each document, and rules (pairs of symbols; rule r makes symbol base + r).
 
     ids: the ids of all documents of the shard, each below base; ends: the place after each document.
     """
-    symbols, rules, made = ids.astype(np.int32), [], 0
+    symbols, rules, made, few = ids.astype(np.int32), [], 0, False
     last = np.zeros(len(symbols), bool)
     last[ends[ends > 0] - 1] = True
-    room = 65_536 - base if base < 65_536 else 1 << 30  # symbols stay in 16 bits where ids fit
     cells = 1 << max(10, min(20, int(len(symbols)).bit_length()))
-    while len(symbols) > 1 and made < room:
-        # Pairs are counted in cells of a hash. Of the pairs in a full cell one is replaced, and the others wait.
+    while len(symbols) > 1:
+        # Pairs are counted in cells of a hash, which bounds how often each comes; only places in full cells are looked at.
         cell = (symbols[:-1] * np.int32(-1640531527) + symbols[1:] * np.int32(1255595)) & np.int32(cells - 1)
         cell[last[:-1]] = cells
         load = np.bincount(cell, minlength=cells + 1)
         load[cells] = 0
-        full = load >= max(min_count, int(load.max()) // 32)
-        at = np.flatnonzero(full[cell])
-        if not len(at):
+        if load.max() < min_count:
             break
-        own = cell[at]
-        chosen = np.zeros(cells, np.int64)
-        chosen[own] = at
-        like = chosen[own]
-        same = (symbols[at] == symbols[like]) & (symbols[at + 1] == symbols[like + 1])
-        at, own = at[same], own[same]
-        # of pairs that overlap in a run, every other one is replaced, the leftmost first
-        place = np.arange(len(at))
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), place, 0))
-        free = (place - start) % 2 == 0
-        at, own = at[free], own[free]
-        used = np.bincount(own, minlength=cells)
-        worth = np.flatnonzero(used >= max(2, min_count // 2))
-        worth = worth[np.argsort(-used[worth], kind="stable")][: room - made]
-        if not len(worth):
+        often = np.flatnonzero((load >= max(min_count, int(load.max()) // 32))[cell])
+        every = np.flatnonzero((load >= min_count)[cell])
+        ways = (  # the cheapest way that replaces something; the last one only fails if no pair is frequent
+            *(() if few else (lambda often=often, cell=cell: _by_cell(symbols, cell, often, cells),)),
+            lambda every=every: _by_pair(symbols, every, min_count),
+            lambda every=every: _by_pair(symbols, every, min_count, 1),
+        )
+        for way in ways:
+            at, own = way()
+            free = _alone(at)
+            at, own = at[free], own[free]
+            used = np.bincount(own)
+            worth = np.flatnonzero(used >= max(2, min_count // 2))
+            if len(worth):
+                break
+        else:
             break
-        number = np.full(cells, -1, np.int32)
+        worth = worth[np.argsort(-used[worth], kind="stable")]
+        number = np.full(len(used), -1, np.int32)
         number[worth] = base + made + np.arange(len(worth), dtype=np.int32)
         new = number[own]
-        at, new = at[new >= 0], new[new >= 0]
-        rules.append(np.stack([symbols[chosen[worth]], symbols[chosen[worth] + 1]], 1).astype(np.int64))
+        at, own, new = at[new >= 0], own[new >= 0], new[new >= 0]
+        example = np.zeros(len(used), np.int64)
+        example[own] = at
+        rules.append(np.stack([symbols[example[worth]], symbols[example[worth] + 1]], 1).astype(np.int64))
         made += len(worth)
-        few = len(at) < len(symbols) // 64
+        few = few or 64 * len(at) < len(symbols)
         symbols[at] = new
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        if few:  # further rounds would cost more than the symbols they save
-            break
     stops = np.flatnonzero(last) + 1
     # documents without ids end where the one before them ends
     empty = np.diff(np.concatenate([[0], ends])) == 0
@@ -109,6 +141,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
     return symbols, np.maximum.accumulate(after) if len(after) else after, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
+def packed(numbers: np.ndarray, bits: int) -> bytes:
+    """Numbers of `bits` bits each, one after the other."""
+    if bits == 16:
+        return numbers.astype("<u2").tobytes()
+    rows = np.unpackbits(numbers.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(rows[:, 32 - bits :]).tobytes()
+
+
+def unpacked(data: bytes, bits: int, n: int) -> np.ndarray:
+    if bits == 16:
+        return np.frombuffer(data, "<u2", n).astype(np.int64)
+    rows = np.zeros((n, 32), np.uint8)
+    rows[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
+    return np.packbits(rows, axis=1).view(">u4").ravel().astype(np.int64)
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """The number of ids that each rule expands to; a rule only uses rules before it."""
     out = np.ones(base + len(rules), np.int64)
@@ -120,23 +168,23 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 def pack(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
     """The file of a shard."""
     symbols, stops, rules = compress(ids, ends, base)
-    wide = "<u2" if base + len(rules) <= 65_536 else "<u4"
+    bits = max(16, int(base + len(rules) - 1).bit_length())
     known = np.array([i is not None for i in doc_ids], np.uint8)
     parts = [
-        np.array([0 if i is None else i for i in doc_ids], "<i8"), known, ends.astype("<u4"), stops.astype("<u4"),
-        rules.astype(wide), expansion_lengths(rules, base).astype("<u4"), symbols.astype(wide),
+        np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes(), known.tobytes(), ends.astype("<u4").tobytes(), stops.astype("<u4").tobytes(),
+        rules.astype("<u4").tobytes(), expansion_lengths(rules, base).astype("<u4").tobytes(), packed(symbols, bits),
     ]
-    return _HEAD.pack(MAGIC, len(doc_ids), len(rules), len(symbols), base, 2 if wide == "<u2" else 4) + b"".join(p.tobytes() for p in parts)
+    return _HEAD.pack(MAGIC, len(doc_ids), len(rules), len(symbols), base, bits) + b"".join(parts)
 
 
 class Shard:
     """A file that is read back."""
 
     def __init__(self, data: bytes):
-        magic, docs, rules, symbols, self.base, wide = _HEAD.unpack_from(data)
+        magic, docs, rules, symbols, self.base, bits = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a grammar file")
-        at, kind = _HEAD.size, f"<u{wide}"
+        at = _HEAD.size
 
         def take(dtype: str, n: int) -> np.ndarray:
             nonlocal at
@@ -146,8 +194,15 @@ class Shard:
 
         self.doc_ids, self.known = take("<i8", docs), take("u1", docs)
         self.ends, self.stops = take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
-        self.rules = take(kind, 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.lengths, self.symbols = take("<u4", rules).astype(np.int64), take(kind, symbols).astype(np.int64)
+        self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
+        self.lengths = take("<u4", rules).astype(np.int64)
+        self.symbols = unpacked(data[at:], bits, symbols)
+
+    @staticmethod
+    def names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the documents of a file, and whether each is one; nothing else is read."""
+        n = _HEAD.unpack_from(data)[1]
+        return np.frombuffer(data, "<i8", n, _HEAD.size), np.frombuffer(data, "u1", n, _HEAD.size + 8 * n)
 
     def decode(self) -> np.ndarray:
         """All ids of the shard: every rule is expanded once, and the symbols gather the expansions."""
@@ -185,8 +240,22 @@ class Shard:
         return out
 
 
+#: Fixed value: the normaliser and the pre-tokeniser that words are cut and joined for below.
+_KIND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordEncoder(dict):
-    """Encodes by a tokenizer that drops white space; keeps the ids (as bytes) of up to `most` words it has met."""
+    """Encodes by a tokenizer that drops white space and puts texts in lower case; keeps the ids (as bytes) of up to `most`
+    words it has met. Any other tokenizer is given whole texts."""
 
     def __init__(self, definition: str, most: int = 700_000):
         super().__init__()
@@ -201,6 +270,8 @@ class WordEncoder(dict):
         self.closes = np.zeros(size, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words = re.compile(f"[^{SPACES}]+").findall
+        spec = json.loads(definition)
+        self.by_word = {k: spec[k] for k in _KIND} == _KIND and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
 
     def learn(self, words: list[str]) -> None:
         """Plain words (lower-case letters of Latin-1) go to the tokenizer's model together, as the bytes that its
@@ -230,6 +301,9 @@ class WordEncoder(dict):
         return text.lower().split()
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            got = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, np.int64).astype(self.kind).tobytes() for e in got]
         docs = [self.split(t) for t in texts]
         met = set().union(*docs)
         new = met.difference(self)
@@ -299,11 +373,13 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
         if data:
             yield file()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # by a hash of the text too, so that an id which very many rows have is no partition
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    ordered = keyed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
     ordered.mapInPandas(run, "shard_part int, shard_no int, n_tokens long, file binary").write.parquet(path)
 
 
-def read_files(spark, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document: doc_id, start, n_tokens, ids_crc32, decoded from the files."""
     files = spark.read.schema("shard_part int, shard_no int, n_tokens long, file binary").parquet(path)
 
@@ -327,6 +403,36 @@ def read_files(spark, path: str) -> DataFrame:
     return rows.join(offsets, ["shard_part", "shard_no"]).select("doc_id", (F.col("_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Ids start to stop (before stop; null: to the end) of documents: doc_id, start, stop, ids of each row of `wanted`.
+
+    Each range is decoded from its document's own symbols. An id that several documents have gives a row for each.
+    """
+    files = spark.read.schema("shard_part int, shard_no int, n_tokens long, file binary").parquet(path)
+    key = ["shard_part", "shard_no"]
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for part, number, data in zip(x["shard_part"], x["shard_no"], x["file"], strict=True):
+                ids, known = Shard.names(data)
+                place = np.flatnonzero(known)
+                yield pd.DataFrame({"shard_part": part, "shard_no": number, "doc_id": ids[place], "place": place})
+
+    index = files.select(*key, "file").mapInPandas(names, "shard_part int, shard_no int, doc_id long, place int")
+    asked = index.join(wanted.select("doc_id", F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.col("stop").cast("long").alias("stop")), "doc_id")
+    per_shard = asked.groupBy(*key).agg(F.collect_list(F.struct("doc_id", "place", "start", "stop")).alias("asked"))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for data, rows in zip(x["file"], x["asked"], strict=True):
+                shard = Shard(data)
+                ids = [shard.document(r["place"], r["start"], r["stop"]) for r in rows]
+                stops = pd.array([r["stop"] for r in rows], "Int64")
+                yield pd.DataFrame({"doc_id": [r["doc_id"] for r in rows], "start": [r["start"] for r in rows], "stop": stops, "ids": ids})
+
+    return files.select(*key, "file").join(per_shard, key).select("file", "asked").mapInPandas(decode, "doc_id long, start long, stop long, ids array<int>")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes the files of all documents to the shared folder and reads them back."""
     spark = docs.sparkSession

@@ -113,6 +113,43 @@ def test_grammar_random_access():
     assert shard.known.tolist() == [1, 0, 1, 1]
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    for ids in (rng.zipf(1.3, 60_000) % 500, np.zeros(5_000, np.int64), np.tile([1, 2, 3, 1, 2], 4_000), rng.integers(0, 3, 20_000)):
+        ends = np.unique(np.append(rng.integers(1, len(ids), 50), len(ids)))
+        symbols, stops, rules = grammar.compress(ids, ends, 500)
+        left = collections.Counter((a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if i + 1 not in set(stops.tolist()))
+        assert not [p for p, n in left.items() if n >= 2 * grammar.MIN_COUNT or (n >= grammar.MIN_COUNT and p[0] != p[1])]
+        assert grammar.Shard(grammar.pack(list(range(len(ends))), ids, ends, 500)).decode().tolist() == ids.tolist()
+    for bits in (16, 17, 20, 32):
+        numbers = rng.integers(0, 1 << (bits - 1), 1_001)
+        assert grammar.unpacked(grammar.packed(numbers, bits), bits, len(numbers)).tolist() == numbers.tolist()
+
+
+def test_grammar_reads_ranges(spark, docs, tmp_path):
+    path = vocabularies.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    grammar.write_files(clashing(docs), str(tmp_path / "files"), path)
+    texts = {r[0]: r[1] for r in rows()}
+    asked = [(0, 0, None), (0, 3, 9), (48, 500, 520), (42, 0, 5), (47, 2, 2), (7777, 0, 1), (3, None, 4)]
+    got = grammar.read_ranges(spark, str(tmp_path / "files"), spark.createDataFrame(asked, "doc_id long, start long, stop long")).collect()
+    for d, a, b in asked[:-2] + [(3, 0, 4)]:
+        ids = [*library.encode(texts[d] or "", add_special_tokens=False).ids, 1][a:b]
+        assert [r["ids"] for r in got if (r["doc_id"], r["start"], r["stop"]) == (d, a, b)] == [ids]
+    assert not [r for r in got if r["doc_id"] == 7777]
+
+
+def test_tokenizers_of_another_kind(docs):
+    path = vocabularies.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        other = f.read()
+    encoder, library = grammar.WordEncoder(other), Tokenizer.from_file(path)
+    texts = ["It's here,  and there.", None, "A  B"]
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.batch(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with open(vocabularies.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        bpe.ByteBPE(f.read())
+
+
 def test_word_encoder_equals_library():
     path = vocabularies.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
