@@ -7,10 +7,10 @@ a template whose window has the same lowest shingle in any band. The number of b
 alike pair of a whole notice and the window that holds it collides with probability TARGET. Candidates are checked
 exactly: the share of the template's shingles that stand around the window must be at least MIN_CONTAINED.
 
-DataFrame functions only. Two windows can only share a lowest shingle that both hold, so texts that hold none of the lowest
-shingles of the templates' windows are passed over where they stand, and only the hashes of the others are written and
-shuffled. Templates may be many and long: up to LITERALS different lowest shingles are spelled out in the plan, beyond
-that templates are tables like any other and all joins are shuffled.
+DataFrame functions only. Two windows can only share a lowest shingle that both hold, so of a text only the windows that
+hold a lowest shingle of some template window are looked at; they are cut, hashed and checked where the text stands, and
+no text is shuffled. Templates may be many and long: up to LITERALS different lowest shingles are spelled out in the
+plan; beyond that templates are tables like any other, all windows are looked at, and all joins are shuffled.
 
 Null and empty texts, and texts of one word, have no windows; very long texts are scanned whole; every row counts for
 itself, so repeated rows and rows of equal or null id each give their own results; of equal hits of a template in a
@@ -73,25 +73,25 @@ def pair_hashes(words: str) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(F.col(words), i), F.get(F.col(words), i + 1)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def window_minima(grams: DataFrame, key: str, bands: int, named: bool = False, seed: int = 41) -> DataFrame:
-    """For each window of each row: key, _window, and the lowest value m0 .. of its pairs (`_grams`) in every band.
-
-    named: with the pair that has it, as (_value, _gram).
-    """
-    rng = random.Random(seed)
-    factors = [rng.getrandbits(31) | 1 for _ in range(bands)]
-    each = grams.select(key, F.posexplode("_grams").alias("_at", "_hash"))
-    place = F.expr(f"_at div {STRIDE}")
-    both = F.array(place, F.when((place > 0) & (F.col("_at") % STRIDE < WINDOW - 1 - STRIDE), place - 1))
-    each = each.select(key, F.col("_hash").alias("_gram"), F.shiftrightunsigned("_hash", 33).alias("_hash"), F.explode(both).alias("_window")).where("_window is not null")
-    values = [(F.col("_hash") * f).bitwiseAND(_LOW46) for f in factors]
-    lowest = [F.min(F.struct(v.alias("_value"), "_gram") if named else v).alias(f"m{k}") for k, v in enumerate(values)]
-    return each.groupBy(key, "_window").agg(*lowest)
+def windowed(grams: DataFrame, keep: tuple[str, ...], anchors: list[int] | None = None) -> DataFrame:
+    """A row for each window of each row: keep, _grams, _window and its own pairs, _pairs. anchors: only windows that hold one of these."""
+    if anchors is None:
+        places = F.when(F.size("_grams") > 0, F.sequence(F.lit(0), F.floor((F.size("_grams") - 1) / STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    else:
+        at = F.filter(F.transform("_grams", lambda h, i: F.when(h.isin(anchors), i)), lambda i: i.isNotNull())
+        before = lambda i: F.when((i >= STRIDE) & (i % STRIDE < WINDOW - 1 - STRIDE), F.floor(i / STRIDE) - 1)
+        places = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / STRIDE), before(i))))), lambda w: w.isNotNull())
+    each = grams.select(*keep, "_grams", F.explode(F.transform(places, lambda w: w.cast("int"))).alias("_window"))
+    return each.withColumn("_pairs", F.slice("_grams", F.col("_window") * STRIDE + 1, WINDOW - 1))
 
 
-def _bands(minima: DataFrame, key: str, bands: int) -> DataFrame:
-    """One row for each window and band: key, _window, _band, _value."""
-    return minima.select(key, "_window", F.inline(F.array(*[F.struct(F.lit(k).alias("_band"), F.col(f"m{k}").alias("_value")) for k in range(bands)])))
+def by_band(windows: DataFrame, keep: tuple[str, ...], bands: int, seed: int = 41) -> DataFrame:
+    """A row for each band of each window: keep, _band, and the lowest value of the window's pairs with the pair that has it, _low."""
+    rng = random.Random(seed)
+    factors = F.array(*[F.lit(rng.getrandbits(31) | 1).cast("bigint") for _ in range(bands)])
+    value = lambda g, f: (F.shiftrightunsigned(g, 33) * f).bitwiseAND(_LOW46)
+    lows = F.transform(factors, lambda f: F.array_min(F.transform("_pairs", lambda g: F.struct(value(g, f).alias("_value"), g.alias("_gram")))))
+    return windows.select(*keep, F.posexplode(lows).alias("_band", "_low"))
 
 
 class Templates:
@@ -103,36 +103,53 @@ class Templates:
         sizes = [r["_words"] for r in frame.select("_words").distinct().collect()]
         if min(sizes, default=2) < 2:
             raise ValueError("a template needs two words")
-        self.bands = max((bands_for(n) for n in sizes), default=1)
-        named = _bands(window_minima(frame, "license", self.bands, named=True), "license", self.bands)
-        self.index = written(named.select("license", "_band", "_value._value", "_value._gram").distinct(), "templates")
-        found = self.index.select("_gram").distinct().limit(LITERALS + 1).collect()
+        self.bands, self.most = max((bands_for(n) for n in sizes), default=1), max(sizes, default=2)
+        named = by_band(windowed(frame, ("license",)), ("license",), self.bands)
+        index = written(named.select("license", "_band", "_low._value", "_low._gram").distinct(), "templates")
+        found = index.select("_gram").distinct().limit(LITERALS + 1).collect()
         self.anchors = [r["_gram"] for r in found] if len(found) <= LITERALS else None
-        self.index = self.index.drop("_gram")
+        self.index = index.select("license", "_band", "_value")
         self.grams = frame.select("license", "_words", F.array_distinct("_grams").alias("_own"))
 
-    def small(self, df: DataFrame) -> DataFrame:
-        """A table of the templates, broadcast where they are few."""
-        return F.broadcast(df) if self.anchors is not None else df
+
+def _contained(window: Column, around: Column) -> Column:
+    """The share of a template's shingles that stand around a window, and the window's first word."""
+    return F.struct((F.size(F.array_intersect("_own", around)) / F.size("_own")).alias("contained"), (-window * STRIDE).cast("long").alias("before"))
+
+
+def _around(window: Column, words: Column | int, grams: Column) -> Column:
+    begin = F.greatest(window * STRIDE - words, F.lit(0))
+    return F.slice(grams, (begin + 1).cast("int"), F.lit(2) * words + (WINDOW - 1))
+
+
+def _near_few(grams: DataFrame, templates: Templates) -> DataFrame:
+    """Candidates of templates whose lowest shingles are spelled out: doc_id, _row, license, _best; one narrow step."""
+    windows = windowed(grams, ("doc_id", "_row"), templates.anchors).withColumn("_grams", _around(F.col("_window"), templates.most, F.col("_grams")))
+    bands = by_band(windows, ("doc_id", "_row", "_window", "_grams"), templates.bands).withColumn("_value", F.col("_low._value"))
+    met = bands.join(F.broadcast(templates.index), ["_band", "_value"])
+    near = met.join(F.broadcast(templates.grams), "license")
+    # what is left of the window is what the longest template would have; a shorter one sees less of it
+    skip = F.least(F.col("_window") * STRIDE, F.lit(templates.most)) - F.least(F.col("_window") * STRIDE, F.col("_words"))
+    around = F.slice("_grams", (skip + 1).cast("int"), F.col("_words") * 2 + (WINDOW - 1))
+    return near.select("doc_id", "_row", "license", _contained(F.col("_window"), around).alias("_best"))
+
+
+def _near_many(grams: DataFrame, templates: Templates) -> DataFrame:
+    """The same for any number of templates: windows meet templates by shuffle, and the shingles of a text are read once more."""
+    texts = written(grams, "shingles")  # a written row keeps its number
+    bands = by_band(windowed(texts, ("_row",)), ("_row", "_window"), templates.bands).withColumn("_value", F.col("_low._value"))
+    met = bands.join(templates.index, ["_band", "_value"])
+    windows = met.select("_row", "_window", "license").distinct().groupBy("_row", "license").agg(F.collect_list("_window").alias("_windows"))
+    near = windows.join(templates.grams, "license").join(texts, "_row")
+    best = F.array_max(F.transform("_windows", lambda w: _contained(w, _around(w, F.col("_words"), F.col("_grams")))))
+    return near.select("doc_id", "_row", "license", best.alias("_best"))
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, min_contained: float = MIN_CONTAINED) -> DataFrame:
     """One row for each document and template found in it: doc_id, license, contained, first_word (of the first window)."""
     templates = Templates(docs.sparkSession, notices or NOTICES)
-    grams = held(docs.select("doc_id", words_column(F.col("text")).alias("_all")), drop=("_all",), _grams=pair_hashes("_all"))
-    if templates.anchors is not None:
-        grams = grams.where(F.exists("_grams", lambda h: h.isin(templates.anchors)))
-    # a written row keeps its number, whatever is computed again
-    suspects = written(grams.withColumn("_row", F.monotonically_increasing_id()), "suspects")
-    met = _bands(window_minima(suspects.repartition("_row"), "_row", templates.bands), "_row", templates.bands)
-    found = met.join(templates.small(templates.index), ["_band", "_value"]).select("_row", "_window", "license").distinct()
-    # the candidates of a text together, so that its shingles are read once; a template is told by its shingles after that
-    near = found.groupBy("_row", "license").agg(F.sort_array(F.collect_list("_window")).alias("_windows")).join(templates.small(templates.grams), "license").join(suspects, "_row")
-
-    def contained(w: Column) -> Column:
-        begin = F.greatest(w * STRIDE - F.col("_words"), F.lit(0))
-        around = F.slice("_grams", (begin + 1).cast("int"), F.col("_words") * 2 + (WINDOW - 1))
-        return F.struct((F.size(F.array_intersect("_own", around)) / F.size("_own")).alias("contained"), (-w * STRIDE).cast("long").alias("before"))
-
-    hits = held(near.select("doc_id", "_row", "license", "_words", "_own", "_windows", "_grams"), drop=("_windows", "_grams", "_own", "_words"), _best=F.array_max(F.transform("_windows", contained)))
-    return hits.where(F.col("_best")["contained"] >= min_contained).select("doc_id", "license", F.col("_best")["contained"].alias("contained"), (-F.col("_best")["before"]).alias("first_word"))
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), words_column(F.col("text")).alias("_all"))
+    grams = held(words, drop=("_all",), _grams=pair_hashes("_all"))
+    near = (_near_few if templates.anchors is not None else _near_many)(grams, templates).where(F.col("_best")["contained"] >= min_contained)
+    best = near.groupBy("_row", "license").agg(F.first("doc_id").alias("doc_id"), F.max("_best").alias("_best"))
+    return best.select("doc_id", "license", F.col("_best")["contained"].alias("contained"), (-F.col("_best")["before"]).alias("first_word"))
