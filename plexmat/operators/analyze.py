@@ -45,10 +45,24 @@ def hubs(edges: DataFrame, nodes: DataFrame, threshold: float = 0.5, top: int =
 
 
 def clustering(edges: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Of each node with two or more neighbours, the share of neighbour pairs that are linked; 0 for others."""
-    e = above(edges, threshold).where("src <> dst").select("src", "dst")
-    a, b, c = e.select(F.col("src").alias("v"), F.col("dst").alias("x")), e.select(F.col("src").alias("v"), F.col("dst").alias("y")), e.select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    links = a.join(b, "v").where("x <> y").join(c, ["x", "y"]).groupBy(F.col("v").alias("node")).agg(F.count("*").alias("links"))
+    """Of each node with two or more neighbours, the share of neighbour pairs that are linked; 0 for others.
+
+    Triangles are found from their end of lowest degree, so that a hub's pairs of neighbours are never listed; what directions
+    the three edges have decides what a triangle adds to each of its ends.
+    """
+    e = above(edges, threshold).where("src <> dst").select("src", "dst").distinct()
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    e = e.join(ends.select(F.col("node").alias("src"), F.struct("n", F.col("node").alias("v")).alias("s")), "src").join(ends.select(F.col("node").alias("dst"), F.struct("n", F.col("node").alias("v")).alias("d")), "dst")
+    up = F.col("s") < F.col("d")
+    pair = e.select(F.least("s", "d")["v"].alias("lo"), F.greatest("s", "d")["v"].alias("hi"), up.alias("up"))
+    pair = pair.groupBy("lo", "hi").agg(F.bool_or("up").cast("int").alias("up"), F.bool_or(~F.col("up")).cast("int").alias("down"))
+
+    def side(a: str, b: str) -> DataFrame:
+        return pair.select(F.col("lo").alias(a), F.col("hi").alias(b), F.col("up").alias(a + b), F.col("down").alias(b + a))
+
+    found = side("a", "b").join(side("a", "c"), "a").join(side("b", "c"), ["b", "c"])
+    adds = [F.struct(F.col(v).alias("node"), (F.col(v + x) * F.col(v + y) * (F.col(x + y) + F.col(y + x))).alias("n")) for v, x, y in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))]
+    links = found.select(F.inline(F.array(*adds))).groupBy("node").agg(F.sum("n").alias("links"))
     k = degrees(edges.where("src <> dst"), nodes, threshold)
     pairs = F.col("degree") * (F.col("degree") - 1)
     return k.join(links, "node", "left").select("node", F.coalesce(F.when(F.col("degree") >= 2, F.coalesce("links", F.lit(0)) / F.nullif(pairs, F.lit(0))), F.lit(0.0)).alias("coefficient"))

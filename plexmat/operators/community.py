@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.plans.iterate import saved
+from plexmat.plans.iterate import per_run, saved
 
 # ---- sums over edges ------------------------------------------------------------------------------
 
@@ -53,23 +53,29 @@ def conductance(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.10, tol: float = 1e-6, max_iter: int = 100, fixed: int | None = None) -> DataFrame:
     """Personalised PageRank (node, score) over undirected edges; seeds are (node, weight). `fixed` rounds are run without looking."""
+    edges = saved(edges.select("src", "dst", "weight"))
     e = symmetric(edges).where("weight > 0")
     strength = e.groupBy("src").agg(F.sum("weight").alias("_s"))
     step = saved(e.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("_s")).alias("p")))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    total = F.sum("weight").over(Window.partitionBy())
-    v = seeds.groupBy("node").agg(F.sum("weight").alias("weight")).select("node", (F.col("weight") / total).alias("v"))
-    n = nodes.count()
-    base = saved(nodes.join(v, "node", "left").join(strength.select(F.col("src").alias("node"), "_s"), "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("v"), F.col("_s").isNull().alias("dangling"), F.lit(1.0 / n).alias("score")))
-    rank = base
+    sown = seeds.groupBy("node").agg(F.sum("weight").alias("weight"))
+    v = sown.join(F.broadcast(sown.agg(F.sum("weight").alias("_all")))).select("node", (F.col("weight") / F.col("_all")).alias("v"))
+    base = saved(nodes.join(v, "node", "left").join(step.select(F.col("src").alias("node")).distinct().withColumn("_goes", F.lit(True)), "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("v"), F.col("_goes").isNull().alias("dangling")))
+    size = base.agg(F.count("*").alias("n"), F.count_if("dangling").alias("ends")).head()
+    n = size["n"]
+    rank = base.withColumn("score", F.lit(1.0 / max(n, 1)))
     for i in range(fixed or max_iter):
         got = step.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("score")).alias("in"))
-        lost = F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).over(Window.partitionBy())
-        new = (1 - teleport) * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("v")) + teleport * F.col("v")
-        rank = rank.withColumn("lost", lost).join(got, "node", "left").select("node", "v", "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("move"))
-        if fixed is None or i % 5 == 4:
+        both = rank.join(got, "node", "left")
+        flow = F.coalesce("in", F.lit(0.0))
+        if size["ends"]:  # one number a round: what nodes without an edge hand to the seeds
+            both = both.join(F.broadcast(rank.where("dangling").agg(F.sum("score").alias("lost"))))
+            flow = flow + F.col("lost") * F.col("v")
+        new = (1 - teleport) * flow + teleport * F.col("v")
+        rank = both.select("node", "v", "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("move"))
+        if i % 5 == 4:
             rank = saved(rank)
-        if fixed is None and rank.agg(F.sum("move")).head()[0] < n * tol:
+        if fixed is None and i % 5 == 4 and rank.agg(F.sum("move")).head()[0] < n * tol:  # looked at each time that rounds are saved
             break
     return rank.select("node", "score")
 
@@ -84,19 +90,22 @@ def eigenvector(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return _centrality(edges, None, rounds)
 
 
+def _unit(rank: DataFrame) -> DataFrame:
+    """Scores scaled to length 1; the length is one number for all tasks."""
+    length = F.broadcast(rank.agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("_length")))
+    return rank.join(length).select("node", (F.col("score") / F.col("_length")).alias("score"))
+
+
 def _centrality(edges: DataFrame, step, rounds: int) -> DataFrame:
     e = saved(symmetric(edges))
-    rank = saved(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("score", F.lit(1.0)))
-    length = F.sqrt(F.sum(F.col("score") ** 2).over(Window.partitionBy()))
+    rank = saved(e.select(F.col("src").alias("node")).distinct().withColumn("score", F.lit(1.0)))
     for i in range(rounds):
         got = e.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("score")).alias("in"))
-        got = F.coalesce("in", F.lit(0.0)), rank.join(got, "node", "left")
-        rank = got[1].select("node", (step(got[0]) if step else F.col("score") + got[0]).alias("score"))
-        if step is None:
-            rank = rank.withColumn("score", F.col("score") / length)
-        if i % 5 == 4:
-            rank = saved(rank)
-    return rank.withColumn("score", F.col("score") / length)
+        flow = F.coalesce("in", F.lit(0.0))
+        rank = rank.join(got, "node", "left").select("node", (step(flow) if step else F.col("score") + flow).alias("score"))
+        if i % 5 == 4:  # scaling by one number commutes with the rounds, so it is done as often as rounds are saved
+            rank = saved(rank if step else _unit(rank))
+    return _unit(rank)
 
 
 # ---- kernels --------------------------------------------------------------------------------------
@@ -216,7 +225,7 @@ def _with_data(edges: DataFrame, long: DataFrame, target: DataFrame, settings: D
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("feature")).distinct()
     own = long.join(nodes, "feature", "left_semi").join(target, "sample_id").select(F.lit(1).alias("kind"), "sample_id", "feature", "value", "y")
     net = edges.select(F.lit(0).alias("kind"), F.col("src").alias("sample_id"), F.col("dst").alias("feature"), F.col("weight").alias("value"), F.lit(None).cast("double").alias("y"))
-    return net.unionByName(own).join(F.broadcast(settings)).groupBy("run").applyInPandas(run, schema)
+    return per_run(net.unionByName(own), settings, ["run"], run, schema)
 
 
 def _split(p: pd.DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import autodiff as ad
-from plexmat.functions import special
+from plexmat.functions import forest, log, special
 from plexmat.operators import community, select
 from plexmat.operators.community import dense, matrix_of
+from plexmat.plans.iterate import per_run, placed, saved
 
 # ---- node features and labels (plans) -------------------------------------------------------------
 
@@ -199,10 +200,11 @@ def embed_nodes(edges: DataFrame, features: DataFrame, labels: DataFrame, kind:
     return network_table(edges, features, labels).withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "feature string, embedding array<double>")
 
 
-def tune_embedding(edges: DataFrame, features: DataFrame, labels: DataFrame, trials: int = 8, epochs: int = 80, seed: int = 0) -> DataFrame:
-    """(trial, kind, hidden, layers, rate, mse, spread, score): random settings, each a task; the lowest score is best.
+def tune_embedding(edges: DataFrame, features: DataFrame, labels: DataFrame, trials: int = 20, epochs: int = 100, seed: int = 0) -> DataFrame:
+    """(trial, kind, hidden, layers, rate, mse, spread, score, best): random settings, each a task.
 
-    Score: error of a ridge fit of labels on the embedding for held-out nodes, over the mean deviation of its dimensions.
+    mse: a random forest's error on held-out nodes, of labels from the embedding without near-constant dimensions; score: mse
+    over the mean deviation of dimensions. The lowest score among the three lowest errors is best.
     """
     rng = np.random.default_rng(seed)
     rows = [(t, str(rng.choice(["GCN", "GAT", "SAGE", "GIN"])), int(rng.choice([8, 16, 32])), int(rng.choice([2, 3])), float(10 ** rng.uniform(-3, -1.5))) for t in range(trials)]
@@ -215,13 +217,13 @@ def tune_embedding(edges: DataFrame, features: DataFrame, labels: DataFrame, tri
         net.fit(x, *g, y, epochs, float(rate), seed=seed)
         h = net.embed(x, *g).value
         h = h[:, h.std(0) > 1e-5] if (h.std(0) > 1e-5).any() else h
-        test = np.arange(len(y)) % 4 == 0
-        z = np.column_stack([h, np.ones(len(h))])
-        w = np.linalg.solve(z[~test].T @ z[~test] + 1e-3 * np.eye(z.shape[1]), z[~test].T @ y[~test])
-        err, spread = float(((z[test] @ w - y[test]) ** 2).mean()), float(h.std(0).mean())
+        err, spread = -forest.score(h, y, False, seed), float(h.std(0).mean())
         return pd.DataFrame([(key[0], kind, hidden, layers, rate, err, spread, err / (spread + 1e-6))], columns=["trial", "kind", "hidden", "layers", "rate", "mse", "spread", "score"])
 
-    return network_table(edges, features, labels).join(F.broadcast(plan)).groupBy("trial").applyInPandas(run, "trial int, kind string, hidden int, layers int, rate double, mse double, spread double, score double")
+    tried = per_run(network_table(edges, features, labels), plan, ["trial"], run, "trial int, kind string, hidden int, layers int, rate double, mse double, spread double, score double")
+    tried = saved(tried)
+    few = tried.orderBy("mse", "trial").limit(3).agg(F.min_by("trial", F.struct("score", "trial")).alias("_t"))
+    return tried.join(F.broadcast(few)).withColumn("best", F.col("trial") == F.col("_t")).drop("_t")
 
 
 # ---- subject representation -----------------------------------------------------------------------
@@ -292,20 +294,57 @@ def represent(long: DataFrame, embeddings: DataFrame, method: str = "AE", dim: i
     return fuse(long, feature_weights(reduce_embeddings(embeddings, dim, method)), alpha, beta)
 
 
+def tune_representation(long: DataFrame, embeddings: DataFrame, target: DataFrame, trials: int = 20, epochs: int = 100, seed: int = 0) -> DataFrame:
+    """(trial, method, dim, alpha, beta, score): random settings of `represent`, each a task, by what a random forest tells of the
+    phenotype from the reweighted samples: accuracy for up to 20 whole classes, else minus the squared error; 0 where a setting fails."""
+    rng = np.random.default_rng(seed)
+    rows = [(t, str(rng.choice(["PCA", "AE"])), int(rng.choice([1, 2, 4])), float(rng.uniform(0.5, 3)), float(rng.uniform(0, 1))) for t in range(trials)]
+    plan = long.sparkSession.createDataFrame(rows, "trial int, method string, dim int, alpha double, beta double")
+    data = long.join(target.where("y is not null"), "sample_id").select(F.lit(0).alias("kind"), "sample_id", "feature", "value", "y", F.lit(None).cast("array<double>").alias("embedding"))
+    own = embeddings.select(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sample_id"), "feature", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("y"), "embedding")
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        d, e = p[p["kind"] == 0], p[p["kind"] == 1].sort_values("feature")
+        method, dim, alpha, beta = (p[c].iloc[0] for c in ("method", "dim", "alpha", "beta"))
+        names = sorted(set(d["feature"]))
+        x, samples = matrix_of(d, names)
+        y = d.groupby("sample_id")["y"].first().reindex(samples).to_numpy()
+        try:
+            h = np.stack(e["embedding"].to_numpy())
+            h = h - h.mean(0)
+            z = _autoencode(h, int(dim), epochs, seed) if method == "AE" else (lambda u, s, _: (u * s)[:, : int(dim)])(*np.linalg.svd(h, full_matrices=False))
+            span = z.max(0) - z.min(0)
+            m = pd.Series(np.round(np.where(span > 0, (z - z.min(0)) / np.where(span > 0, span, 1), 0).mean(1), 9), index=e["feature"].to_numpy())
+            w = (2 * (m.rank() - 1) / max(len(m) - 1, 1) - 1).reindex(names)
+            factor = (beta + (1 - beta) * alpha * w).fillna(1.0).to_numpy()
+            few = len(np.unique(y)) <= 20 and bool((y == np.round(y)).all())
+            score = forest.score(x * factor, y, few, seed)
+        except (np.linalg.LinAlgError, ValueError):
+            score = 0.0
+        return pd.DataFrame([(key[0], method, dim, alpha, beta, score)], columns=["trial", "method", "dim", "alpha", "beta", "score"])
+
+    return per_run(data.unionByName(own), plan, ["trial"], run, "trial int, method string, dim int, alpha double, beta double, score double")
+
+
 # ---- outcome prediction ---------------------------------------------------------------------------
 
 
 def stratified(target: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """A fold for each sample, classes spread evenly."""
-    order = F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}")))
-    return target.withColumn("fold", (F.row_number().over(Window.partitionBy("y").orderBy(order, "sample_id")) - 1) % k)
+    return _shuffled(target, seed).select(*target.columns, (F.col("_place") % k).cast("int").alias("fold"))
+
+
+def _shuffled(target: DataFrame, seed: int) -> DataFrame:
+    """target with the place of each sample in its class, in a pseudorandom order."""
+    keyed = target.withColumn("_key", F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}"))))
+    return placed(keyed, ["y"], F.substring("_key", 1, 3), ["_key", "sample_id"])
 
 
 def holdout(target: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
     """test boolean for each sample: the first `share` of every class in a pseudorandom order."""
-    w = Window.partitionBy("y")
-    order = F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}")))
-    return target.withColumn("test", F.row_number().over(w.orderBy(order, "sample_id")) <= F.round(share * F.count("*").over(w)))
+    size = target.groupBy(F.col("y").alias("_y")).agg(F.count("*").alias("_all"))
+    both = _shuffled(target, seed).join(size, F.col("y").eqNullSafe(F.col("_y")))
+    return both.select(*target.columns, (F.col("_place") < F.round(share * F.col("_all"))).alias("test"))
 
 
 class Outcome:
@@ -352,43 +391,93 @@ def Var_t(w: ad.Var) -> ad.Var:  # noqa: N802
     return ad.Var(w.value.T, ((w, lambda g: g.T),))
 
 
-def predict(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: DataFrame | None = None, names: list[str] | None = None, kind: str = "GCN", k: int = 3, epochs: int = 60, seed: int = 0, **model) -> DataFrame:
-    """(fold, sample_id, y, class, score): class scores of held-out samples; node features come from training samples only.
+#: What a trial of an outcome model may set, with the values that are used where it doesn't.
+SETTINGS = {"kind": "GCN", "hidden": 16, "layers": 2, "reduction": "ae", "drop": 0.4, "rate": 5e-3, "epochs": 60}
+_TASK = "rep int, trial int, fold int, inner int, kind_of string, hidden int, layers int, reduction string, drop double, rate double, epochs int"
+_KEYS = ["rep", "trial", "fold", "inner"]
 
-    Without clinical variables nodes get random features. Features are the nodes of the network that the matrix has.
+
+def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: DataFrame | None, names: list[str] | None, tasks: list[dict], k: int, inner: int, repeats: int, share: float | None, seed: int) -> DataFrame:
+    """Scores of every task's test samples. Scaling and node features come from the task's training samples alone.
+
+    A task has a repeat, a fold that is set aside and, inside the others, a fold to test on (inner; -1 tests on the one
+    set aside). With a share, the one fold of a repeat is a hold-out of that share of every class.
     """
-    split = stratified(target.where("y is not null"), k, seed)
+    known = target.where("y is not null").select("sample_id", "y")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("feature")).distinct()
-    data = long.join(nodes, "feature", "left_semi").join(split, "sample_id").select(F.lit("d").alias("kind"), F.col("sample_id").alias("src"), F.col("feature").alias("dst"), F.col("value").alias("weight"), "y", F.col("fold").cast("int").alias("own"), F.lit(None).cast("int").alias("held"))
-    none = [F.lit(None).cast("double").alias("y"), F.lit(None).cast("int").alias("own")]
-    parts = data.unionByName(edges.select(F.lit("e").alias("kind"), "src", "dst", "weight", *none, F.lit(None).cast("int").alias("held")))
+    long = long.join(nodes, "feature", "left_semi")
+    if long.isEmpty():
+        raise ValueError("network and matrix share no feature")
+    none = F.lit(None).cast("double")
+    parts = edges.select(F.lit("e").alias("part"), "src", "dst", "weight", none.alias("y"))
+    parts = parts.unionByName(long.join(known, "sample_id").select(F.lit("d").alias("part"), F.col("sample_id").alias("src"), F.col("feature").alias("dst"), F.col("value").alias("weight"), "y"))
+    for r in range(repeats):
+        place = _shuffled(known, seed + r)
+        if share is not None:
+            size = known.groupBy(F.col("y").alias("_y")).agg(F.count("*").alias("_all"))
+            place = place.join(size, F.col("y") == F.col("_y")).withColumn("_place", F.when(F.col("_place") < F.round(share * F.col("_all")), 0).otherwise(F.col("_place") * 2 + 1))
+        parts = parts.unionByName(place.select(F.lit("s").alias("part"), F.col("sample_id").alias("src"), F.lit(str(r)).alias("dst"), F.col("_place").cast("double").alias("weight"), "y"))
     if clinical is not None and names:
-        for f in range(k):
-            feats = adaptive_features(long.join(nodes, "feature", "left_semi"), clinical, names, split.where(F.col("fold") != f))
-            parts = parts.unionByName(feats.select(F.lit("x").alias("kind"), F.col("feature").alias("src"), F.col("variable").alias("dst"), F.col("z").alias("weight"), *none, F.lit(f).alias("held")))
-    tasks = edges.sparkSession.createDataFrame([(f,) for f in range(k)], "fold int")
+        vars_ = F.inline(F.array(*[F.struct(F.lit(c).alias("dst"), F.col(c).cast("double").alias("weight")) for c in names]))
+        parts = parts.unionByName(clinical.select(F.lit("c").alias("part"), F.col("sample_id").alias("src"), vars_, none.alias("y")))
+    rows = [tuple({**SETTINGS, **t}[c] for c in ("rep", "trial", "fold", "inner", *SETTINGS)) for t in tasks]
+    plan = edges.sparkSession.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], float(r[8]), float(r[9]), r[10]) for r in rows], _TASK)
+    cut = 2 if share is not None else k
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        f = int(key[0])
-        d, e, x = p[p["kind"] == "d"], p[p["kind"] == "e"], p[p["kind"] == "x"]
+        rep, _, fold, within = (int(v) for v in key)
+        one = p.iloc[0]
+        e, d, c = (p[p["part"] == x] for x in "edc")
         names_ = sorted({*e["src"], *e["dst"]} & {*d["dst"]})
-        rows, samples = matrix_of(d.rename(columns={"src": "sample_id", "dst": "feature", "weight": "value"}), names_)
+        cells, samples = matrix_of(d.rename(columns={"src": "sample_id", "dst": "feature", "weight": "value"}), names_)
         y = d.groupby("src")["y"].first().reindex(samples).to_numpy()
-        own = d.groupby("src")["own"].first().reindex(samples).to_numpy()
+        place = p[(p["part"] == "s") & (p["dst"] == str(rep))].set_index("src")["weight"].reindex(samples).to_numpy().astype(int)
+        aside = place % cut == fold
+        test = aside if within < 0 else ~aside & (place // cut % inner == within)
+        train = ~aside & ~test
         classes, label = np.unique(y, return_inverse=True)
-        feats = x.pivot_table(index="src", columns="dst", values="weight", aggfunc="first").reindex(names_).fillna(0.0).to_numpy() if len(x) else np.random.default_rng(1998).normal(size=(len(names_), 7))
-        rows = special.zscore(rows)
-        net, g, a = Outcome(kind, feats.shape[1], len(names_), len(classes), seed=seed, **model), _with_loops(dense(e, names_)), own != f
-        net.fit(feats, g, rows[a], label[a], epochs, seed=seed)
-        z = net.scores(feats, g, rows[~a]).value
+        mean, sd = cells[train].mean(0), cells[train].std(0)
+        x = (cells - mean) / np.where(sd > 0, sd, 1)
+        if len(c):
+            own = c.pivot_table(index="src", columns="dst", values="weight", aggfunc="first").reindex(samples).to_numpy()[train]
+            feats = special.zscore(np.arctanh(np.clip([[_training_r(x[train, f], own[:, v]) for v in range(own.shape[1])] for f in range(len(names_))], -0.999999, 0.999999)), ddof=1)
+        else:
+            feats = np.random.default_rng(1998).normal(size=(len(names_), 7))
+        net = Outcome(str(one["kind_of"]), feats.shape[1], len(names_), len(classes), int(one["hidden"]), int(one["layers"]), str(one["reduction"]), drop=float(one["drop"]), seed=seed)
+        g = _with_loops(dense(e, names_))
+        net.fit(feats, g, x[train], label[train], int(one["epochs"]), float(one["rate"]), seed=seed)
+        z = net.scores(feats, g, x[test]).value
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
         i, j = np.indices(z.shape)
-        test = np.array(samples)[~a]
-        return pd.DataFrame({"fold": f, "sample_id": test[i.ravel()], "y": y[~a][i.ravel()], "class": classes[j.ravel()], "score": z.ravel()})
+        out = pd.DataFrame({"sample_id": np.array(samples)[test][i.ravel()], "y": y[test][i.ravel()], "class": classes[j.ravel()], "score": z.ravel()})
+        return out.assign(**dict(zip(_KEYS, key, strict=True)))
+
+    return per_run(parts, plan, _KEYS, run, "rep int, trial int, fold int, inner int, sample_id string, y double, class double, score double")
+
+
+def _training_r(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.isfinite(a) & np.isfinite(b)
+    return float(special.pearson(a[both], b[both])) if both.sum() > 2 else 0.0
+
+
+def predict(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: DataFrame | None = None, names: list[str] | None = None, k: int = 3, repeats: int = 1, share: float | None = None, seed: int = 0, **settings) -> DataFrame:
+    """(rep, fold, sample_id, y, class, score): class scores of held-out samples, by stratified folds or, with a share, hold-outs; repeated.
+
+    Without clinical variables nodes get random features. Features are the nodes of the network that the matrix has.
+    """
+    if set(settings) - set(SETTINGS):
+        raise ValueError(f"unknown settings {sorted(set(settings) - set(SETTINGS))}")
+    tasks = [{"rep": r, "trial": 0, "fold": f, "inner": -1, **settings} for r in range(repeats) for f in range(1 if share is not None else k)]
+    return _outcomes(edges, long, target, clinical, names, tasks, k, 1, repeats, share, seed).drop("trial", "inner")
+
 
-    every = parts.join(F.broadcast(tasks)).where("held is null or held = fold")
-    return every.groupBy("fold").applyInPandas(run, "fold int, sample_id string, y double, class double, score double")
+def evaluate(*args, **options) -> dict[str, DataFrame]:
+    """Scores of `predict`, metrics of each repeat and fold with the most accurate one marked, and their mean and deviation."""
+    scores = saved(predict(*args, **options))
+    per = saved(metrics(scores, ["rep", "fold"]))
+    best = per.agg(F.max_by(F.struct("rep", "fold"), F.struct("accuracy", -F.col("rep"), -F.col("fold"))).alias("_best"))
+    return {"scores": scores, "runs": per.join(F.broadcast(best)).withColumn("best", F.struct("rep", "fold") == F.col("_best")).drop("_best"), "summary": summary(per, ["rep", "fold"])}
 
 
 def metrics(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -416,15 +505,25 @@ def summary(per_fold: DataFrame, keys: list[str]) -> DataFrame:
     return per_fold.select(F.inline(cells)).groupBy("metric").agg(F.avg("v").alias("average"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("deviation"))
 
 
-def tune_outcome(edges: DataFrame, long: DataFrame, target: DataFrame, trials: int = 3, k: int = 3, epochs: int = 30, seed: int = 0) -> DataFrame:
-    """(trial, kind, hidden, reduction, f1_macro): random settings by cross-validation."""
-    rng, out = np.random.default_rng(seed), None
-    for t in range(trials):
-        kind, hidden, red = str(rng.choice(["GCN", "GAT", "SAGE", "GIN"])), int(rng.choice([8, 16])), str(rng.choice(["ae", "linear", "mlp"]))
-        scores = predict(edges, long, target, kind=kind, k=k, epochs=epochs, seed=seed, hidden=hidden, reduction=red)
-        one = metrics(scores, ["fold"]).agg(F.avg("f1_macro").alias("f1_macro")).select(F.lit(t).alias("trial"), F.lit(kind).alias("kind"), F.lit(hidden).alias("hidden"), F.lit(red).alias("reduction"), "f1_macro")
-        out = one if out is None else out.unionByName(one)
-    return out
+def settings_of(trials: int, seed: int = 0) -> list[dict]:
+    """Random settings of an outcome model."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *values: values[int(rng.integers(len(values)))]
+    return [{"kind": pick("GCN", "GAT", "SAGE", "GIN"), "hidden": pick(8, 16, 32), "layers": pick(2, 3), "reduction": pick("ae", "linear", "mlp"), "drop": pick(0.2, 0.4, 0.6), "rate": float(10 ** rng.uniform(-3, -2)), "epochs": pick(30, 60, 120)} for _ in range(trials)]
+
+
+def tune_outcome(edges: DataFrame, long: DataFrame, target: DataFrame, trials: int = 3, k: int = 3, inner: int = 5, seed: int = 0, clinical: DataFrame | None = None, names: list[str] | None = None, settings: list[dict] | None = None) -> dict[str, DataFrame]:
+    """Nested tuning: for every outer fold the trial of the best mean macro F1 over inner folds of the others is fitted on all of
+    them and judged on the fold that was set aside. chosen: (fold, trial, inner_f1, setting), runs: metrics of the outer folds.
+    """
+    tried = settings or settings_of(trials, seed)
+    tasks = [{"rep": 0, "trial": t, "fold": f, "inner": i, **s} for t, s in enumerate(tried) for f in range(k) for i in range(inner)]
+    scores = _outcomes(edges, long, target, clinical, names, tasks, k, inner, 1, None, seed)
+    mean = metrics(scores, ["fold", "trial", "inner"]).groupBy("fold", "trial").agg(F.avg("f1_macro").alias("inner_f1"))
+    best = mean.groupBy("fold").agg(F.max_by(F.struct("trial", "inner_f1"), F.struct("inner_f1", -F.col("trial"))).alias("b")).select("fold", "b.*").orderBy("fold").collect()
+    outer = _outcomes(edges, long, target, clinical, names, [{"rep": 0, "trial": r["trial"], "fold": r["fold"], "inner": -1, **tried[r["trial"]]} for r in best], k, inner, 1, None, seed)
+    chosen = edges.sparkSession.createDataFrame([(r["fold"], r["trial"], r["inner_f1"], str(tried[r["trial"]])) for r in best], "fold int, trial int, inner_f1 double, setting string")
+    return {"chosen": chosen, "runs": metrics(outer, ["fold"])}
 
 
 def baseline(long: DataFrame, target: DataFrame, model: str = "lr", k: int = 3, seed: int = 0) -> DataFrame:
@@ -468,34 +567,79 @@ def proxy_score(x: np.ndarray, y: np.ndarray, folds: int = 5, ridge: float = 1.0
     return float(np.mean(f1))
 
 
-def network_search(long: DataFrame, target: DataFrame, settings: list[dict], weight: float = 0.15, mode: str = "eigenvector") -> DataFrame:
+def parameter_grid(methods: list[str], **values: dict[str, list]) -> list[dict]:
+    """All combinations of the values of each method's parameters, with the method's name."""
+    out = []
+    for m in methods:
+        own = values.get(m, GRIDS[m])
+        out += [{"method": m, **dict(zip(own, v, strict=True))} for v in itertools.product(*own.values())]
+    return out
+
+
+#: What a search tries by default.
+GRIDS = {
+    "gaussian": {"k": list(range(5, 30)), "sigma": [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, None], "mutual_only": [True, False]},
+    "similarity": {"k": list(range(5, 30)), "metric": ["cosine", "gaussian"], "mutual_only": [True, False]},
+    "correlation": {"k": list(range(5, 30)), "by": ["pearson", "spearman"], "signed_map": [False]},
+    "threshold": {"b": [5.0, 5.5, 6.0, 6.25, 6.5, 6.75, 7.0, 7.25, 7.5, 7.75, 8.0, 8.5, 9.0], "k": list(range(5, 30)), "mutual_only": [True, False]},
+}
+
+
+def network_search(long: DataFrame, target: DataFrame, settings: list[dict] | None = None, methods: list[str] | None = None, trials: int | None = None, weight: float = 0.15, mode: str = "eigenvector", seed: int = 1883) -> DataFrame:
     """(config, score, f1, topology): networks by each setting (a builder's name and arguments), scored by how well features
     weighted by centrality (or smoothed, mode laplacian) tell the phenotype, and by the topology of the network.
 
-    A setting that fails is left out; if all fail that is an error.
+    Without settings the grids of the methods are tried, in a pseudorandom order, `trials` of them at most. A setting that
+    fails is logged and left out; if all fail that is an error. `best_network` builds the network of the best.
     """
     from plexmat.operators import analyze
     from plexmat.operators.similarity import BUILDERS, features_of
 
+    if settings is None:
+        grid = parameter_grid(methods or list(GRIDS))
+        settings = [grid[i] for i in np.random.default_rng(seed).permutation(len(grid))[:trials]]
     rows = []
-    nodes = features_of(long).select(F.col("feature").alias("node"), F.col("fpos").alias("npos"))
-    for i, s in enumerate(settings):
-        args = {k: v for k, v in s.items() if k != "method"}
-        edges = BUILDERS[s["method"]](long, self_loops=False, **args)
+    long = saved(long)
+    nodes = saved(features_of(long).select(F.col("feature").alias("node"), F.col("fpos").alias("npos")))
+
+    def measure(s: dict) -> tuple[float, float]:
+        edges = saved(BUILDERS[s["method"]](long, self_loops=False, **_arguments(s)))
         quality = analyze.topology_quality(edges, nodes).head()["quality"]
         if mode == "laplacian":
             cells = analyze.smoothed(long, edges)
         else:
-            c = community.eigenvector(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight")), 20)
-            cells = long.join(F.broadcast(c.select(F.col("node").alias("feature"), F.log1p(F.greatest("score", F.lit(0.0))).alias("c"))), "feature").withColumn("value", F.col("value") * F.col("c")).drop("c")
+            one = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+            c = community.eigenvector(one, 20).select(F.col("node").alias("feature"), F.log1p(F.greatest("score", F.lit(0.0))).alias("c"))
+            cells = long.join(c, "feature").withColumn("value", F.col("value") * F.col("c")).drop("c")
 
         def run(p: pd.DataFrame) -> pd.DataFrame:
             x, samples = matrix_of(p, sorted(set(p["feature"])))
             y = p.groupby("sample_id")["y"].first().reindex(samples).to_numpy()
             return pd.DataFrame({"f1": [proxy_score(special.zscore(x), y)]})
 
-        f1 = cells.join(target, "sample_id").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "f1 double").head()["f1"]
+        return cells.join(target, "sample_id").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "f1 double").head()["f1"], quality
+
+    for i, s in enumerate(settings):
+        try:
+            f1, quality = measure(s)
+        except Exception as why:  # whatever a setting fails by, the others go on
+            log.get_logger(__name__).warning("setting %s left out: %s", s, why)
+            continue
         rows.append((i, str(s), (1 - weight) * f1 + weight * min(max(quality, 0.0), 1.0), f1, quality))
     if not rows:
         raise RuntimeError("no setting gave a network")
     return long.sparkSession.createDataFrame(rows, "config int, setting string, score double, f1 double, topology double")
+
+
+def _arguments(setting: dict) -> dict:
+    """What a builder is called with: the builder's name is `method`, its own argument of that name is `by`."""
+    own = {k: v for k, v in setting.items() if k != "method"}
+    return {**{k: v for k, v in own.items() if k != "by"}, **({"method": own["by"]} if "by" in own else {})}
+
+
+def best_network(long: DataFrame, settings: list[dict], found: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges of the setting of the highest score, and the setting."""
+    from plexmat.operators.similarity import BUILDERS
+
+    best = settings[found.orderBy(F.desc("score"), "config").head()["config"]]
+    return BUILDERS[best["method"]](long, self_loops=False, **_arguments(best)), best

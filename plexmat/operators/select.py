@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import special
 from plexmat.operators import clean, similarity
+from plexmat.plans.iterate import saved
 from plexmat.sources.frames import row_vectors
 
 _KEY = ["fpos", "feature"]
@@ -51,20 +52,42 @@ def pca_top(long: DataFrame, k: int, components: int = 50) -> DataFrame:
     return top(loads.join(F.broadcast(similarity.features_of(long)), "fpos").select(*_KEY, "score"), k)
 
 
-def sample_graph(z: DataFrame, k: int = 5) -> DataFrame:
-    """The symmetric k-nearest-neighbour graph of samples by cosine, as (a, b) in both directions."""
-    rows = row_vectors(z).select("sample_id", "x", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("n"))
-    a, b = rows.select(F.col("sample_id").alias("a"), F.col("x").alias("xa"), F.col("n").alias("na")), rows.select(F.col("sample_id").alias("b"), F.col("x").alias("xb"), F.col("n").alias("nb"))
-    dot = F.aggregate(F.zip_with("xa", "xb", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    sim = a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(dot / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0)), 9).alias("s"))
-    near = sim.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k).select("a", "b")
+def sample_graph(z: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
+    """The symmetric k-nearest-neighbour graph of samples by cosine, as (a, b) in both directions.
+
+    Samples are dealt into blocks, a task compares two blocks by one matrix product and passes on the k nearest of each
+    sample; all pairs of blocks are compared, so the work is the square of the samples, and what is shuffled is each
+    sample once for each block. Ties, after rounding to 9 places, go to the lower id.
+    """
+    rows = row_vectors(z).select("sample_id", "x")
+    blocks = max(1, -(-z.agg(F.count_distinct("sample_id")).head()[0] // block))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("sample_id", "x", F.lit(0).alias("side"), F.col("_block").alias("i"), other.alias("j"))
+    right = rows.select("sample_id", "x", F.lit(1).alias("side"), other.alias("i"), F.col("_block").alias("j"))
+
+    def nearest(p: pd.DataFrame) -> pd.DataFrame:
+        sides = [p[p["side"] == s].sort_values("sample_id") for s in (0, 1)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"a": [], "b": [], "s": []})
+        (ia, ib), (xa, xb) = [s["sample_id"].to_numpy() for s in sides], [np.stack(s["x"].to_numpy()) for s in sides]
+        length = np.outer(np.sqrt((xa * xa).sum(1)), np.sqrt((xb * xb).sum(1)))
+        s = np.where(length > 0, np.round(xa @ xb.T / np.where(length > 0, length, 1), 9), -2.0)
+        s[ia[:, None] == ib[None, :]] = -np.inf
+        pick = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        r, c = np.repeat(np.arange(len(ia)), pick.shape[1]), pick.ravel()
+        good = np.isfinite(s[r, c])
+        return pd.DataFrame({"a": ia[r[good]], "b": ib[c[good]], "s": s[r[good], c[good]]})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(nearest, "a string, b string, s double")
+    near = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k).select("a", "b")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def laplacian_top(long: DataFrame, k: int, neighbors: int = 5) -> DataFrame:
     """The features that vary least along the sample graph (Laplacian score, lowest first)."""
     z = clean.normalize(long, "standard")
-    w = sample_graph(z, neighbors)
+    w = saved(sample_graph(z, neighbors))
     degree = w.groupBy(F.col("a").alias("sample_id")).agg(F.count("*").cast("double").alias("d"))
     zd = z.join(degree, "sample_id")
     mu = zd.groupBy(*_KEY).agg((F.sum(F.col("d") * F.col("value")) / F.sum("d")).alias("mu"))

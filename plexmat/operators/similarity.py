@@ -1,7 +1,9 @@
 """Pairwise similarity of features and the networks built from it.
 
-Similarities are frames (src, dst, s) with both directions and no diagonal. The cross products of features are summed by
-NumPy over batches of samples and added up by Spark, so samples may be many; features number a few thousand at most.
+Similarities are frames (src, dst, s) with both directions and no diagonal. Up to BLOCK features the cross products are
+summed by NumPy over batches of samples, so samples may be very many; beyond that features are cut into blocks, a task
+has two blocks, and no array is larger than CELLS. Networks of nearest neighbours keep the best of each pair of blocks
+in its task, so not all pairs are written.
 """
 
 from __future__ import annotations
@@ -14,21 +16,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.operators import clean
-from plexmat.sources.frames import row_vectors
+
+
+#: Features that one task may hold all pairs of, and numbers in an array of samples by features.
+BLOCK, CELLS = 1024, 1 << 24
+
+
+def _dense(at: pd.Series, v: pd.Series, width: int) -> np.ndarray:
+    """Rows of places and values as a matrix; missing cells are 0."""
+    m, sizes = np.zeros((len(at), width)), [len(a) for a in at]
+    if sum(sizes):
+        m[np.repeat(np.arange(len(at)), sizes), np.concatenate(at.to_numpy())] = np.concatenate(v.to_numpy())
+    return m
+
+
+def _width(long: DataFrame) -> int:
+    return (long.agg(F.max("fpos").alias("m")).head()["m"] or 0) + 1
+
+
+def block_pairs(long: DataFrame, width: int, samples: int | None = None) -> DataFrame:
+    """Samples cut into blocks of features, each sent to all pairs of blocks: i, j (i <= j), part, side, sample, at, v.
+
+    samples: how many samples a part of a pair of blocks has at most; without it a pair has all of them.
+    """
+    blocks = -(-(_width(long)) // width)
+    cut = long.where("value is not null").groupBy("sample_id", F.expr(f"fpos div {width}").cast("int").alias("b")).agg(F.collect_list((F.col("fpos") % width).cast("int")).alias("at"), F.collect_list("value").alias("v"))
+    if samples is None:
+        cut = cut.withColumn("part", F.lit(0))
+    else:
+        parts = -(-long.agg(F.count_distinct("sample_id")).head()[0] // samples)
+        cut = cut.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(max(1, parts))).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.col("b").alias("side")))
+    return cut.select("sample_id", "part", "at", "v", F.inline(to))
+
+
+def _sides(p: pd.DataFrame, i: int, j: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two blocks of a pair as matrices over the same samples."""
+    at = {s: k for k, s in enumerate(pd.unique(p["sample_id"]))}
+    out = []
+    for side in (i, j):
+        own = p[p["side"] == side]
+        m = np.zeros((len(at), width))
+        m[own["sample_id"].map(at).to_numpy(int)] = _dense(own["at"], own["v"], width)
+        out.append(m)
+    return out[0], out[1]
 
 
 def gram(long: DataFrame, features: int | None = None) -> DataFrame:
     """Sums of products (i, j, p) of all pairs of features i <= j; missing cells count as 0."""
-    n = features or (long.agg(F.max("fpos").alias("m")).head()["m"] or 0) + 1
+    n = features or _width(long)
+    if n > BLOCK:
+        def products(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+            i, j = int(key[0]), int(key[1])
+            a, b = _sides(p, i, j, BLOCK)
+            r, c = np.triu_indices(BLOCK) if i == j else (x.ravel() for x in np.indices((BLOCK, BLOCK)))
+            got = (a.T @ b)[r, c]
+            inside = (i * BLOCK + r < n) & (j * BLOCK + c < n)
+            return pd.DataFrame({"i": (i * BLOCK + r[inside]).astype(np.int32), "j": (j * BLOCK + c[inside]).astype(np.int32), "p": got[inside]})
+
+        cut = block_pairs(long, BLOCK, CELLS // BLOCK)
+        return cut.groupBy("i", "j", "part").applyInPandas(products, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("p"))
     rows = long.where("value is not null").groupBy("sample_id").agg(F.collect_list("fpos").alias("at"), F.collect_list("value").alias("v"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, n))
         for x in batches:
-            m = np.zeros((len(x), n))
-            sizes = [len(a) for a in x["at"]]
-            if sum(sizes):
-                m[np.repeat(np.arange(len(x)), sizes), np.concatenate(x["at"].to_numpy())] = np.concatenate(x["v"].to_numpy())
+            m = _dense(x["at"], x["v"], n)
             total += m.T @ m
         i, j = np.triu_indices(n)
         yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "p": total[i, j]})
@@ -36,11 +89,51 @@ def gram(long: DataFrame, features: int | None = None) -> DataFrame:
     return rows.select("at", "v").mapInPandas(run, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("p"))
 
 
+def centred(long: DataFrame) -> DataFrame:
+    """Values less their feature's mean."""
+    return clean.per_feature(long, _m=F.avg("value")).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
+
+
+def nearest_by_blocks(long: DataFrame, k: int, shape=lambda r: r, digits: int = 9) -> DataFrame:
+    """The k most similar others of each feature by shape(r), r = p_ij / sqrt(p_ii p_jj): src, dst, src_pos, dst_pos, s.
+
+    Every pair of blocks is compared in one task over all samples, which passes on the k best of each feature; the best of
+    all are taken by a window over k rows a block. Blocks are as wide as CELLS allows for the number of samples.
+    """
+    samples = max(1, long.agg(F.count_distinct("sample_id")).head()[0])
+    width = max(16, min(2 * BLOCK, CELLS // samples))
+
+    def best(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(key[0]), int(key[1])
+        a, b = _sides(p, i, j, width)
+        there = [np.isin(np.arange(width), np.concatenate(p.loc[p["side"] == s, "at"].to_numpy())) for s in (i, j)]
+        r = a.T @ b / np.maximum(np.sqrt(np.outer((a * a).sum(0), (b * b).sum(0))), 1e-8)
+        s = shape(r)
+        out = []
+        for value, (x, y), (here, others) in ((s, (i, j), there), *(() if i == j else ((s.T, (j, i), there[::-1]),))):
+            order = np.where(others[None, :], np.round(value, digits), -np.inf)
+            if x == y:
+                np.fill_diagonal(order, -np.inf)
+            pick = np.argsort(-order, axis=1, kind="stable")[:, :k]
+            rows, cols = np.repeat(np.arange(width), pick.shape[1]), pick.ravel()
+            good = here[rows] & np.isfinite(order[rows, cols])
+            rows, cols = rows[good], cols[good]
+            out.append(pd.DataFrame({"src_pos": (x * width + rows).astype(np.int32), "dst_pos": (y * width + cols).astype(np.int32), "s": value[rows, cols]}))
+        return pd.concat(out)
+
+    found = block_pairs(long, width).groupBy("i", "j").applyInPandas(best, "src_pos int, dst_pos int, s double")
+    rank = F.row_number().over(Window.partitionBy("src_pos").orderBy(F.desc(F.round("s", digits)), "dst_pos"))
+    names = features_of(long)
+    top = found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    top = top.join(names.select(F.col("fpos").alias("src_pos"), F.col("feature").alias("src")), "src_pos").join(names.select(F.col("fpos").alias("dst_pos"), F.col("feature").alias("dst")), "dst_pos")
+    return top.select("src", "dst", "src_pos", "dst_pos", "s")
+
+
 def _named(pairs: DataFrame, names: DataFrame, value: str) -> DataFrame:
     """(i, j, value) with i < j as (src, dst, s) in both directions, with positions."""
     a = names.select(F.col("fpos").alias("i"), F.col("feature").alias("_a"))
     b = names.select(F.col("fpos").alias("j"), F.col("feature").alias("_b"))
-    both = pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+    both = pairs.join(a, "i").join(b, "j")
     one = F.struct(F.col("_a").alias("src"), F.col("_b").alias("dst"), F.col("i").alias("src_pos"), F.col("j").alias("dst_pos"))
     two = F.struct(F.col("_b").alias("src"), F.col("_a").alias("dst"), F.col("j").alias("src_pos"), F.col("i").alias("dst_pos"))
     return both.select(F.col(value).alias("s"), F.inline(F.array(one, two))).select("src", "dst", "src_pos", "dst_pos", "s")
@@ -52,14 +145,13 @@ def features_of(long: DataFrame) -> DataFrame:
 
 def pearson(long: DataFrame) -> DataFrame:
     """Pearson correlations of centred values, 0 where a feature is constant; missing cells count as the mean."""
-    centred = clean.per_feature(long, _m=F.avg("value")).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
-    return from_gram(gram(centred), features_of(long))
+    return from_gram(gram(centred(long)), features_of(long))
 
 
 def from_gram(products: DataFrame, names: DataFrame) -> DataFrame:
     """p_ij / sqrt(p_ii p_jj), the divisor at least 1e-8."""
     norm = products.where("i = j").select(F.col("i").alias("k"), "p")
-    pairs = products.where("i < j").join(F.broadcast(norm.select(F.col("k").alias("i"), F.col("p").alias("_pi"))), "i").join(F.broadcast(norm.select(F.col("k").alias("j"), F.col("p").alias("_pj"))), "j")
+    pairs = products.where("i < j").join(norm.select(F.col("k").alias("i"), F.col("p").alias("_pi")), "i").join(norm.select(F.col("k").alias("j"), F.col("p").alias("_pj")), "j")
     return _named(pairs.withColumn("r", F.col("p") / F.greatest(F.sqrt(F.col("_pi") * F.col("_pj")), F.lit(1e-8))), names, "r")
 
 
@@ -81,7 +173,7 @@ def squared_distance(long: DataFrame) -> DataFrame:
     """Squared Euclidean distances of features, as s."""
     products = gram(long)
     norm = products.where("i = j").select(F.col("i").alias("k"), "p")
-    pairs = products.where("i < j").join(F.broadcast(norm.select(F.col("k").alias("i"), F.col("p").alias("_pi"))), "i").join(F.broadcast(norm.select(F.col("k").alias("j"), F.col("p").alias("_pj"))), "j")
+    pairs = products.where("i < j").join(norm.select(F.col("k").alias("i"), F.col("p").alias("_pi")), "i").join(norm.select(F.col("k").alias("j"), F.col("p").alias("_pj")), "j")
     return _named(pairs.withColumn("d", F.greatest(F.col("_pi") + F.col("_pj") - 2 * F.col("p"), F.lit(0.0))), features_of(long), "d")
 
 
@@ -162,6 +254,9 @@ def similarity_network(long: DataFrame, k: int = 15, metric: str = "cosine", mut
     """Cosine or Gaussian similarity, k nearest or a global cut."""
     _check(long)
     names = features_of(long)
+    if metric == "cosine" and per_node and _width(long) > BLOCK:
+        pairs = nearest_by_blocks(long, k)
+        return finish(mutual(pairs) if mutual_only else pairs, names, self_loops, normalize)
     pairs = cosine(long) if metric == "cosine" else gaussian(long, eps=1e-8, factor=1.0)
     pairs = nearest(pairs, k) if per_node else weakest_cut(pairs, names, k) if compat else strongest(pairs, k)
     return finish(mutual(pairs) if mutual_only else pairs, names, self_loops, normalize)
@@ -172,6 +267,10 @@ def correlation_network(long: DataFrame, k: int | None = 15, method: str = "pear
     _check(long)
     if k is None and threshold is not None and per_node:
         raise ValueError("a threshold is global: set per_node to False")
+    if k is not None and per_node and _width(long) > BLOCK:
+        shape = (lambda r: (r + 1) / 2) if signed_map else np.abs
+        pairs = nearest_by_blocks(centred(ranks(long) if method == "spearman" else long), k, shape)
+        return finish(mutual(pairs) if mutual_only else pairs, features_of(long), self_loops, normalize)
     pairs = signed(spearman(long) if method == "spearman" else pearson(long), signed_map)
     if k is not None or threshold is not None:
         pairs = nearest(pairs, k) if per_node else at_least(pairs, threshold) if threshold is not None else strongest(pairs, k)
@@ -181,7 +280,7 @@ def correlation_network(long: DataFrame, k: int | None = 15, method: str = "pear
 def threshold_network(long: DataFrame, b: float = 6.0, k: int = 15, mutual_only: bool = False, self_loops: bool = False, normalize: bool = True) -> DataFrame:
     """Soft-thresholded correlations, k nearest."""
     _check(long)
-    pairs = nearest(soft_threshold(pearson(long), b), k)
+    pairs = nearest_by_blocks(centred(long), k, lambda r: np.abs(r) ** b) if _width(long) > BLOCK else nearest(soft_threshold(pearson(long), b), k)
     return finish(mutual(pairs) if mutual_only else pairs, features_of(long), self_loops, normalize)
 
 
@@ -197,17 +296,20 @@ BUILDERS = {"similarity": similarity_network, "correlation": correlation_network
 
 
 def profile_correlation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pearson correlation of nodes' adjacency columns, zeros included; constant columns give 0."""
-    n = F.broadcast(nodes.agg(F.count("*").cast("double").alias("n")))
-    sums = edges.groupBy(F.col("dst").alias("v")).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") ** 2).alias("q"))
-    a, b = edges.select("src", F.col("dst").alias("a"), F.col("weight").alias("wa")), edges.select("src", F.col("dst").alias("b"), F.col("weight").alias("wb"))
-    cross = a.join(b, "src").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p"))
-    grid = nodes.select(F.col("node").alias("a")).join(nodes.select(F.col("node").alias("b")), F.col("a") != F.col("b"))
-    full = grid.join(cross, ["a", "b"], "left").join(sums.select(F.col("v").alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), "a", "left").join(sums.select(F.col("v").alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b", "left").na.fill(0.0).join(n)
-    var = F.sqrt((F.col("n") * F.col("qa") - F.col("sa") ** 2) * (F.col("n") * F.col("qb") - F.col("sb") ** 2))
-    r = (F.col("n") * F.col("p") - F.col("sa") * F.col("sb")) / F.when(var > 1e-12, var)
-    return full.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.coalesce(r, F.lit(0.0)).alias("s"))
-
-
-def vectors(long: DataFrame) -> DataFrame:
-    return row_vectors(long)
+    """Pearson correlation of nodes' adjacency columns, zeros included; constant columns give 0.
+
+    The columns are a matrix of nodes by nodes, mostly zeros, whose products are taken as those of features are.
+    """
+    place = nodes.select(F.col("node").alias("dst"), F.col("npos").alias("fpos"))
+    cells = edges.groupBy("src", "dst").agg(F.sum("weight").alias("value")).join(place, "dst").select(F.col("src").alias("sample_id"), "fpos", "value")
+    size = nodes.agg(F.count("*").alias("n"), F.max("npos").alias("m")).head()
+    n = float(size["n"])
+    products = gram(cells, (size["m"] or 0) + 1)
+    sums = cells.groupBy("fpos").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q"))
+    full = nodes.select(F.col("npos").alias("fpos"), "node").join(sums, "fpos", "left").na.fill(0.0)
+    a, b = (full.select(F.col("fpos").alias(p), F.col("node").alias(f"_{p}"), F.col("s").alias(f"s{p}"), F.col("q").alias(f"q{p}")) for p in "ij")
+    both = products.where("i < j").join(a, "i").join(b, "j")
+    var = F.sqrt((n * F.col("qi") - F.col("si") ** 2) * (n * F.col("qj") - F.col("sj") ** 2))
+    r = F.coalesce((n * F.col("p") - F.col("si") * F.col("sj")) / F.when(var > 1e-12, var), F.lit(0.0))
+    ways = F.array(F.struct(F.col("_i").alias("src"), F.col("_j").alias("dst")), F.struct(F.col("_j").alias("src"), F.col("_i").alias("dst")))
+    return both.select(r.alias("s"), F.inline(ways)).select("src", "dst", "s")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
+from plexmat.operators import align, analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
 from plexmat.sources import frames
 from plexmat.sources.frames import rounded
 from plexmat.streaming import profile as stream_profile
@@ -363,7 +363,7 @@ query("regression_f", "SELECT feature, {R(r * r / (1 - r * r) * (n - 2))R} AS f
 query("select_f_classification")(lambda s, d: tidy(select.f_top(frames.emb(s, d), frames.emb_label(s, d), 20).select("fpos", "feature", "f", "p", "q", "significant")))
 query("select_f_regression")(lambda s, d: tidy(select.f_top(frames.emb(s, d), frames.emb_label(s, d), 20, task="regression").select("fpos", "feature", "f", "p", "q", "significant")))
 query("select_pca")(lambda s, d: tidy(select.pca_top(frames.emb(s, d), 20)))
-query("select_forest")(lambda s, d: tidy(select.forest_top(frames.emb(s, d), frames.emb_label(s, d), 20, trees=20)))
+query("select_forest")(lambda s, d: tidy(select.forest_top(frames.emb(s, d), frames.emb_label(s, d), 20)))
 query("select_in_both", "SELECT feature FROM (SELECT feature FROM (SELECT fpos, feature, var_pop(value) AS score FROM x GROUP BY 1, 2) ORDER BY round(score, 9) DESC, fpos LIMIT 32) INTERSECT SELECT feature FROM (SELECT fpos, feature, coalesce(abs(r), 0) AS score FROM ry ORDER BY round(score, 9) DESC, fpos LIMIT 32)", "ry")(lambda s, d: select.in_both(select.variance_top(frames.emb(s, d), 32), select.correlation_top(frames.emb(s, d), frames.emb_label(s, d), 32)))
 query("pearson_pvalues")(lambda s, d: tidy(select.pearson_with(frames.emb(s, d), frames.emb_label(s, d)).select("feature", "r", special.pearson_pvalue("r", F.col("n").cast("double")).alias("p"))))
 
@@ -458,10 +458,10 @@ query(
 query("cv_folds", "SELECT sample_id, (ntile(5) OVER (ORDER BY md5(sample_id || ':0'), sample_id) - 1)::INTEGER AS fold FROM y", "y")(lambda s, d: cca.folds(frames.emb_label(s, d).select("sample_id"), 5))
 query("stratified_folds", "SELECT sample_id, y, ((row_number() OVER (PARTITION BY y ORDER BY md5(sample_id || ':0'), sample_id) - 1) % 5)::INTEGER AS fold FROM y", "y")(lambda s, d: learn.stratified(frames.emb_label(s, d), 5))
 query("holdout_split", "SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(sample_id || ':0'), sample_id) <= round(0.3 * count(*) OVER (PARTITION BY y)) AS test FROM y", "y")(lambda s, d: learn.holdout(frames.emb_label(s, d), 0.3))
-query("cca_weights")(lambda s, d: tidy(cca.robust_weights(with_modality(s, d), frames.emb_label(s, d), [0.3] * 4, subsamples=10)))
-query("cca_weights_binary")(lambda s, d: tidy(cca.robust_weights(with_modality(s, d), two_classes(s, d), [0.3] * 4, subsamples=6, binary=True)))
-query("cca_tuning")(lambda s, d: tidy(cca.tune(with_modality(s, d).where("fpos < 32"), frames.emb_label(s, d), [[0.2, 0.2], [0.4, 0.4]], k=3)))
-query("cca_auto_network")(lambda s, d: tidy(cca.auto_network(with_modality(s, d).where("fpos < 32"), frames.emb_label(s, d), tuning=2, k=3, subsamples=10)["pruned"]))
+query("cca_weights")(lambda s, d: tidy(cca.robust_weights(with_modality(s, d), frames.emb_label(s, d), [0.3] * 4, subsamples=100)))
+query("cca_weights_binary")(lambda s, d: tidy(cca.robust_weights(with_modality(s, d), two_classes(s, d), [0.3] * 4, subsamples=100, binary=True)))
+query("cca_tuning")(lambda s, d: tidy(cca.tune(with_modality(s, d), frames.emb_label(s, d), [[p] * 4 for p in (0.1, 0.2, 0.3, 0.4, 0.5)], k=5)))
+query("cca_auto_network")(lambda s, d: tidy(cca.auto_network(with_modality(s, d), frames.emb_label(s, d), tuning=2, k=5, subsamples=100)["pruned"]))
 
 # ---- learning -------------------------------------------------------------------------------------
 
@@ -520,23 +520,38 @@ def node_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 for _m in ("GCN", "GAT", "SAGE", "GIN"):
-    query(f"embed_{_m.lower()}")(lambda s, d, m=_m: learn.embed_nodes(*node_inputs(s, d), kind=m, epochs=40))
-query("embed_tuning")(lambda s, d: tidy(learn.tune_embedding(*node_inputs(s, d), trials=4, epochs=20)))
-query("subject_representation_pca")(lambda s, d: cells(learn.represent(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d), epochs=20), "PCA")))
-query("subject_representation_ae")(lambda s, d: cells(learn.represent(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d), epochs=20), "AE")))
-query("outcome_prediction")(lambda s, d: tidy(learn.metrics(learn.predict(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), clin_vars(s, d), ["b"], epochs=10), ["fold"])))
-query("outcome_tuning")(lambda s, d: tidy(learn.tune_outcome(emb_net(s, d), frames.emb(s, d), two_classes(s, d), trials=2, k=2, epochs=5)))
-query("baseline_logistic")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "lr", k=2)))
-query("baseline_tree")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "dt", k=2)))
+    query(f"embed_{_m.lower()}")(lambda s, d, m=_m: learn.embed_nodes(*node_inputs(s, d), kind=m))
+query("embed_tuning")(lambda s, d: tidy(learn.tune_embedding(*node_inputs(s, d))))
+query("subject_representation_pca")(lambda s, d: cells(learn.represent(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d)), "PCA")))
+query("subject_representation_ae")(lambda s, d: cells(learn.represent(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d)), "AE")))
+query("outcome_prediction")(lambda s, d: tidy(learn.evaluate(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), clin_vars(s, d), ["b"], k=5)["runs"]))
+query("outcome_holdout")(lambda s, d: tidy(learn.evaluate(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), clin_vars(s, d), ["b"], share=0.3, repeats=3)["summary"]))
+query("outcome_tuning")(lambda s, d: tidy(learn.tune_outcome(emb_net(s, d), frames.emb(s, d), two_classes(s, d), trials=3, k=3)["runs"]))
+query("representation_tuning")(lambda s, d: tidy(learn.tune_representation(frames.emb(s, d), learn.embed_nodes(*node_inputs(s, d)), frames.emb_label(s, d))))
+query("discriminant_weights")(lambda s, d: tidy(cca.discriminant_weights(frames.emb(s, d), two_classes(s, d))))
+query("baseline_logistic")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "lr")))
+query("baseline_tree")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "dt")))
+query("baseline_forest")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "rf")))
+query("baseline_boosting")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), two_classes(s, d), "gbt")))
+query("baseline_perceptron")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "mlp")))
+query("baseline_vectors")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), two_classes(s, d), "svm")))
 query("network_search")(lambda s, d: tidy(learn.network_search(frames.emb(s, d), frames.emb_label(s, d), [{"method": "correlation", "k": 5}, {"method": "similarity", "k": 5}])))
 
 # ---- alignment ------------------------------------------------------------------------------------
 
-query("align_inner", "SELECT sample_id, feature, {R(value)R} AS value, y FROM x JOIN y USING (sample_id) WHERE fpos < 4 AND y > 4", "x", "y")(lambda s, d: tidy(frames.emb(s, d).where("fpos < 4").join(frames.emb_label(s, d).where("y > 4"), "sample_id").select("sample_id", "feature", "value", "y"), "value"))
-query("align_left", "SELECT sample_id, priority, y FROM clin LEFT JOIN y USING (sample_id)", "clin", "y")(lambda s, d: frames.clinical(s, d).select("sample_id", "priority").join(frames.emb_label(s, d), "sample_id", "left"))
-query("missing_features", "SELECT DISTINCT feature FROM x WHERE feature NOT IN (SELECT feature FROM x WHERE fpos < 60)", "x")(lambda s, d: frames.emb(s, d).select("feature").distinct().join(frames.emb(s, d).where("fpos < 60").select("feature").distinct(), "feature", "left_anti"))
-query("bind_modalities", "SELECT sample_id, 'e' AS modality, feature, {R(value)R} AS value FROM x WHERE fpos < 2 UNION ALL SELECT sample_id, 'v', feature, {R(value)R} FROM ev WHERE fpos < 2", "x", "ev")(lambda s, d: tidy(frames.emb(s, d).where("fpos < 2").select("sample_id", F.lit("e").alias("modality"), "feature", "value").unionByName(frames.evt(s, d).where("fpos < 2").select("sample_id", F.lit("v").alias("modality"), "feature", "value"))))
-query("wide_matrix", "SELECT sample_id, " + ", ".join(f"{R}max(value) FILTER (fpos = {i}))R}} AS f00{i}" for i in range(4)) + " FROM x GROUP BY 1", "x")(lambda s, d: tidy(frames.to_wide(frames.emb(s, d), [f"f00{i}" for i in range(4)])))
+query("align_inner", "SELECT sample_id, feature, {R(value)R} AS value, y FROM x JOIN y USING (sample_id)", "x", "y")(lambda s, d: tidy(align.inner(frames.emb(s, d), frames.emb_label(s, d)).select("sample_id", "feature", "value", "y"), "value"))
+query("align_left", "SELECT sample_id, priority, y FROM clin LEFT JOIN y USING (sample_id)", "clin", "y")(lambda s, d: align.left(frames.clinical(s, d).select("sample_id", "priority"), frames.emb_label(s, d)))
+query("missing_features", "SELECT DISTINCT feature FROM x WHERE feature NOT IN (SELECT feature FROM ev)", "x", "ev")(lambda s, d: align.missing(frames.emb(s, d), frames.evt(s, d)))
+query("bind_modalities", "SELECT sample_id, 'e' AS modality, feature, {R(value)R} AS value FROM x UNION ALL SELECT sample_id, 'v', feature, {R(value)R} FROM ev", "x", "ev")(lambda s, d: tidy(align.bind(e=frames.emb(s, d), v=frames.evt(s, d))))
+query("wide_matrix", "SELECT sample_id, " + ", ".join(f"{R}max(value) FILTER (fpos = {i}))R}} AS f{i:03d}" for i in range(64)) + " FROM x GROUP BY 1", "x")(lambda s, d: tidy(frames.to_wide(frames.emb(s, d), [f"f{i:03d}" for i in range(64)])))
 query("variance_histogram", "SELECT b AS bin, {R(lo + b * (hi - lo) / 10)R} AS low, n FROM (SELECT least(floor((v - lo) / ((hi - lo) / 10)), 9)::INTEGER AS b, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n FROM (SELECT v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM (SELECT var_samp(value) AS v FROM x GROUP BY feature)) GROUP BY 1)", "x")(lambda s, d: tidy(profile.variance_histogram(frames.emb(s, d))))
 query("variance_by_feature", "SELECT feature, {R(var_samp(value))R} AS variance FROM x GROUP BY 1", "x")(lambda s, d: tidy(frames.emb(s, d).groupBy("feature").agg(F.var_samp("value").alias("variance"))))
 query("stream_profile", "SELECT event_type, count(value) AS n, {R(avg(value))R} AS mean, {R(var_samp(value))R} AS variance FROM events GROUP BY 1")(lambda s, d: tidy(stream_profile.merged(stream_profile.windowed(frames.table(s, d, "events")))))
+query("align_all", "SELECT sample_id FROM x INTERSECT SELECT sample_id FROM ev INTERSECT SELECT sample_id FROM clin", "x", "ev", "clin")(lambda s, d: align.common(frames.emb(s, d), frames.evt(s, d), frames.clinical(s, d)))
+query("map_sample_keys", "SELECT user_id::VARCHAR AS sample_id, event_type AS name, count(*) AS n FROM events JOIN (SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events WHERE event_type IS NOT NULL GROUP BY 1) USING (user_id) GROUP BY 1, 2".replace("event_type AS name, count(*)", "m AS name, count(*)").replace("AS event_type FROM events WHERE", "AS m FROM events WHERE"))(
+    lambda s, d: align.map_keys(frames.table(s, d, "events").select("user_id", "ts"), frames.table(s, d, "events").select("user_id", F.col("event_type").alias("name"), "ts", "event_id"), "user_id", "name", ["ts", "event_id"]).groupBy(F.col("user_id").cast("string").alias("sample_id"), "name").agg(F.count("*").alias("n"))
+)
+query("network_on_matrix", "SELECT src, dst, {R(weight)R} AS weight FROM tr WHERE src IN (SELECT n_name FROM nation WHERE n_regionkey < 3) AND dst IN (SELECT n_name FROM nation WHERE n_regionkey < 3)", "tr")(
+    lambda s, d: net(align.network_and_matrix(frames.trade(s, d), frames.table(s, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("feature")))[0])
+)
+query("labels", "SELECT sample_id, y FROM y", "y")(lambda s, d: align.labels_of(s, frames.emb_label(s, d)))

@@ -1,12 +1,15 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and running places over whole tables."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -22,3 +25,45 @@ def saved(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, conf, ignore_errors=True)
         sc.setCheckpointDir(conf)
     return df.checkpoint(eager=True)
+
+
+def placed(df: DataFrame, keys: list[str], bucket: Column, order: list, weight: Column | None = None, out: str = "_place") -> DataFrame:
+    """Adds `out`: the sum of weight (1 without one) over the rows of the same keys that come before by (bucket, order).
+
+    Two levels: sums of buckets are few and run in one place, rows run within their bucket; so neither a table without
+    keys nor a key that most rows have comes together in one task. bucket must not decrease along the order.
+    """
+    weighed = df.withColumns({"_b": bucket, "_w": F.lit(1).cast("long") if weight is None else weight})
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = weighed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = weighed.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    on = F.lit(True)
+    for k in [*keys, "_b"]:
+        on = on & local[k].eqNullSafe(base[k])
+    return local.join(base, on).select(*[local[c] for c in df.columns], (F.col("_base") + F.col("_local")).alias(out))
+
+
+#: Cells of a table that is handed to all runs at once.
+SHARED_CELLS = 1 << 24
+
+
+def per_run(data: DataFrame, runs: DataFrame, keys: list[str], kernel: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """kernel(key, data with the run's columns) for every row of runs, a task each.
+
+    Every run reads all of data. A table of up to SHARED_CELLS cells is broadcast once, whatever the number of runs; a larger
+    one is shuffled to the runs, a copy for each.
+    """
+    if data.count() * len(data.columns) > SHARED_CELLS:
+        return data.join(F.broadcast(runs)).groupBy(*keys).applyInPandas(kernel, schema)
+    shared = data.sparkSession.sparkContext.broadcast(data.toPandas())
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for row in x.to_dict("records"):
+                own = shared.value.copy(deep=False)
+                for c, v in row.items():
+                    own[c] = pd.Series([v] * len(own), index=own.index)
+                yield kernel(tuple(row[k] for k in keys), own)
+
+    return runs.repartition(max(1, runs.count())).mapInPandas(go, schema)
