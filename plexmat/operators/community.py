@@ -61,7 +61,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.10, tol: fl
     sown = seeds.groupBy("node").agg(F.sum("weight").alias("weight"))
     v = sown.join(F.broadcast(sown.agg(F.sum("weight").alias("_all")))).select("node", (F.col("weight") / F.col("_all")).alias("v"))
     base = saved(nodes.join(v, "node", "left").join(step.select(F.col("src").alias("node")).distinct().withColumn("_goes", F.lit(True)), "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("v"), F.col("_goes").isNull().alias("dangling")))
-    size = base.agg(F.count("*").alias("n"), F.count_if("dangling").alias("ends")).head()
+    size = base.agg(F.count("*").alias("n"), F.count_if("dangling").alias("ends"), F.count_if(F.col("v") > 0).alias("seeds")).head()
+    if not size["seeds"]:
+        raise ValueError("no seed is a node of the network")
     n = size["n"]
     rank = base.withColumn("score", F.lit(1.0 / max(n, 1)))
     for i in range(fixed or max_iter):

@@ -28,7 +28,7 @@ def set_correlations(long: DataFrame, target: DataFrame, sets: DataFrame, standa
 
     A set's matrix is built in one task each: sets are meant to be small groups of features. Missing cells are 0.
     """
-    cells = long.join(F.broadcast(target.where("y is not null")), "sample_id").join(F.broadcast(sets.select("set_id", "feature").distinct()), "feature").select("set_id", "sample_id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"), "y")
+    cells = long.join(target.where("y is not null"), "sample_id").join(sets.select("set_id", "feature").distinct(), "feature").select("set_id", "sample_id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"), "y")
 
     def one(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         m = p.pivot_table(index="sample_id", columns="feature", values="value", aggfunc="first").fillna(0.0).sort_index()

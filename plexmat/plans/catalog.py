@@ -387,12 +387,12 @@ _NEEDS |= {"und": ["tr"], "sy": ["und"], "sc": ["sy", "nodes"]}
 query("modularity", "SELECT {R(sum(i / m - (t / m) ** 2))R} AS modularity FROM (SELECT c1, sum(weight) AS t, sum(weight) FILTER (c1 = c2) AS i, sum(sum(weight)) OVER () AS m FROM sc GROUP BY c1)", "sc")(lambda s, d: tidy(community.modularity(trade_undirected(s, d), by_region(s, d))))
 query("contract", "SELECT c1 AS src, c2 AS dst, {R(sum(weight))R} AS weight FROM sc GROUP BY 1, 2", "sc")(lambda s, d: net(community.contract(trade_undirected(s, d), by_region(s, d))))
 query("conductance", "SELECT {R(sum(weight) FILTER (c1 = 'ASIA' AND c2 <> 'ASIA') / least(sum(w) FILTER (c1 = 'ASIA'), sum(w) FILTER (c1 <> 'ASIA')))R} AS conductance FROM (SELECT *, CASE WHEN src = dst THEN 2 * weight ELSE weight END AS w FROM sc)", "sc")(lambda s, d: tidy(community.conductance(trade_undirected(s, d), by_region(s, d).where("community = 'ASIA'").select("node"))))
-_PR = ", v AS (SELECT node, CASE WHEN node IN ('CHINA', 'INDIA') THEN 0.5 ELSE 0 END::DOUBLE AS v FROM nodes), st AS (SELECT src, sum(weight) AS t FROM sy GROUP BY 1), p AS (SELECT sy.src, dst, weight / t AS p FROM sy JOIN st USING (src)), r0 AS (SELECT node, 1.0 / 25 AS score FROM nodes)"
+_PR = ", v AS (SELECT node, CASE WHEN node IN ('NATION_7', 'NATION_13') THEN 0.5 ELSE 0 END::DOUBLE AS v FROM nodes), st AS (SELECT src, sum(weight) AS t FROM sy GROUP BY 1), p AS (SELECT sy.src, dst, weight / t AS p FROM sy JOIN st USING (src)), r0 AS (SELECT node, 1.0 / 25 AS score FROM nodes)"
 for _i in range(10):
     _PR += f", r{_i + 1} AS (SELECT node, 0.9 * coalesce(g, 0) + 0.1 * v AS score FROM v LEFT JOIN (SELECT dst, sum(p * score) AS g FROM p JOIN r{_i} ON src = node GROUP BY 1) ON dst = node)"
-query("pagerank", "SELECT node, {R(score)R} AS score FROM r10", "sy", "nodes")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("CHINA", 1.0), ("INDIA", 1.0)], "node string, weight double"), fixed=10)))
+query("pagerank", "SELECT node, {R(score)R} AS score FROM r10", "sy", "nodes")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("NATION_7", 1.0), ("NATION_13", 1.0)], "node string, weight double"), fixed=10)))
 ORACLES["pagerank"] = ORACLES["pagerank"].replace(" SELECT node, (round(score", _PR + " SELECT node, (round(score")
-query("pagerank_converged")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("CHINA", 1.0)], "node string, weight double"))))
+query("pagerank_converged")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("NATION_7", 1.0)], "node string, weight double"))))
 _KZ = ", k0 AS (SELECT node, 1.0::DOUBLE AS score FROM nodes)"
 for _i in range(5):
     _KZ += f", k{_i + 1} AS (SELECT nodes.node, 1 + 0.1 * coalesce(g, 0) AS score FROM nodes LEFT JOIN (SELECT dst, sum(weight * score) AS g FROM sy JOIN k{_i} ON src = node GROUP BY 1) ON dst = nodes.node)"
@@ -555,3 +555,116 @@ query("network_on_matrix", "SELECT src, dst, {R(weight)R} AS weight FROM tr WHER
     lambda s, d: net(align.network_and_matrix(frames.trade(s, d), frames.table(s, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("feature")))[0])
 )
 query("labels", "SELECT sample_id, y FROM y", "y")(lambda s, d: align.labels_of(s, frames.emb_label(s, d)))
+
+# ---- SQL of what needs more than one statement's worth: reports, tails, first components, rounds of ranks ----------
+
+
+def _oracle(name: str, text: str, *parts: str) -> None:
+    ORACLES[name] = sql(text, *parts)
+
+
+_STATS = ("mean", "median", "min", "max", "std")
+_LONG = " UNION ALL ".join("SELECT '%s_" + m + "' AS metric, " + f + "::DOUBLE AS value FROM %s" for m, f in zip(_STATS, ("avg(v)", "median(v)", "min(v)", "max(v)", "stddev_samp(v)"), strict=True))
+_PER = {"variance": ("pv", "count(*) FILTER (v < 0.0001)"), "zero": ("pz", "count(*) FILTER (v > 0.5)"), "mean": ("pm", "max(0)"), "correlation": ("pc", "max(0)")}
+PARTS |= {
+    "pv": "SELECT var_samp(value) AS v FROM x GROUP BY feature",
+    "pz": "SELECT count(*) FILTER (value = 0) / count(*) AS v FROM x GROUP BY feature",
+    "pm": "SELECT avg(value) AS v FROM x GROUP BY feature",
+    "pc": "SELECT max(abs(s)) AS v FROM pear GROUP BY src",
+    "rep": " UNION ALL ".join([_LONG % tuple(w for _ in _STATS for w in (n, t)) + f" UNION ALL SELECT '{n}_flagged', {f}::DOUBLE FROM {t}" for n, (t, f) in _PER.items()]) + " UNION ALL SELECT 'missing_pct', 100.0 * count(*) FILTER (value IS NULL) / count(*) FROM x",
+}
+_NEEDS |= {"pv": ["x"], "pz": ["x"], "pm": ["x"], "pc": ["pear"], "rep": ["pv", "pz", "pm", "pc"]}
+_oracle("profile_report", "SELECT metric, {R(value)R} AS value FROM rep UNION ALL SELECT 'advice', CASE WHEN max(value) FILTER (metric = 'missing_pct') > 30 THEN 1 WHEN max(value) FILTER (metric = 'mean_min') >= 0 AND max(value) FILTER (metric = 'mean_max') <= 1 THEN 2 WHEN max(value) FILTER (metric = 'zero_flagged') > 0 THEN 3 ELSE 0 END::DOUBLE FROM rep", "rep")
+
+_CODE = "CASE lower(trim(priority)) WHEN '1-urgent' THEN 1::DOUBLE WHEN '2-high' THEN 2 WHEN '3-medium' THEN 3 WHEN '4-not specified' THEN 4 END"
+PARTS |= {"clo": f"SELECT sample_id, segment, balance::DOUBLE AS balance, nation::DOUBLE AS nation, coalesce(code, median(code) OVER ()) AS priority FROM (SELECT *, {_CODE} AS code FROM clin)"}
+_NEEDS |= {"clo": ["clin"]}
+_SCALED = "(({0} - median({0}) OVER ()) / coalesce(nullif(quantile_cont({0}, 0.75) OVER () - quantile_cont({0}, 0.25) OVER (), 0), 1))::FLOAT AS {0}"
+_oracle("clinical_assemble", "SELECT sample_id, " + ", ".join(_SCALED.format(c) for c in ("balance", "nation", "priority")) + ", " + ", ".join(f"(CASE WHEN lower(trim(segment)) = '{x}' THEN 1 ELSE 0 END)::FLOAT AS \"segment_{x}\"" for x in ("building", "furniture", "household", "machinery")) + " FROM clo", "clo")
+
+
+def betainc(x: str, a: str, b: str, steps: int = 4000) -> str:
+    """The regularised incomplete beta function as SQL: Simpson's rule over the angle whose squared sine is the variable."""
+    inside = f"exp((2 * ({a}) - 1) * ln(greatest(sin(h * i), 1e-300)) + (2 * ({b}) - 1) * ln(greatest(cos(h * i), 1e-300)) + lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b}))"
+    return f"(SELECT 2 * sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {inside}) * any_value(h) / 3 FROM (SELECT i, asin(sqrt(least(greatest({x}, 0), 1))) / {steps} AS h FROM range({steps + 1}) t(i)))"
+
+
+_oracle("pearson_pvalues", "SELECT feature, {R(r)R} AS r, {R(" + betainc("1 - r * r", "(n - 2) / 2.0", "0.5") + ")R} AS p FROM ry", "ry")
+PARTS |= {
+    "fc": "SELECT fpos, feature, between / d1 / (within / d2) AS f, d1, d2 FROM (SELECT fpos, feature, sum(n * (m - gm) ** 2) AS between, sum(n * v) AS within, (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2 FROM (SELECT fpos, feature, y, count(*) AS n, avg(value) AS m, var_pop(value) AS v, sum(sum(value)) OVER (PARTITION BY feature) / sum(count(*)) OVER (PARTITION BY feature) AS gm FROM x JOIN y USING (sample_id) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+    "fr": "SELECT fpos, feature, r * r / (1 - r * r) * (n - 2) AS f, 1.0::DOUBLE AS d1, (n - 2)::DOUBLE AS d2 FROM ry",
+}
+_NEEDS |= {"fc": ["x", "y"], "fr": ["ry"]}
+for _n, _t in (("classification", "fc"), ("regression", "fr")):
+    _p = f"SELECT *, {betainc('d2 / (d2 + d1 * f)', 'd2 / 2', 'd1 / 2')} AS p FROM {_t}"
+    _q = f"SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, fpos) AS k, count(*) OVER () AS m FROM ({_p}))"
+    _oracle(f"select_f_{_n}", "SELECT fpos, feature, {R(f)R} AS f, {R(p)R} AS p, {R(q)R} AS q, q < 0.05 AS significant FROM (" + _q + ") ORDER BY q < 0.05 DESC, round(f, 6) DESC, fpos LIMIT 20", _t)
+
+
+def first_components(sets: str, scale: bool, doublings: int = 18) -> list[tuple[str, str]]:
+    """Named parts for `comp` (set_id, size, n, r): |r| of the first component of each set of features with y.
+
+    The leading direction is a column of a high power of the set's covariance, which is squared again and again.
+    """
+    unit = "/ coalesce(nullif(stddev_pop(value) OVER p, 0), 1)" if scale else ""
+    parts = [("sets", sets), ("cc", f"SELECT set_id, sample_id, feature, y, (value - avg(value) OVER p) {unit} AS c FROM x JOIN sets USING (feature) JOIN y USING (sample_id) WINDOW p AS (PARTITION BY set_id, feature)")]
+    scaled = "SELECT set_id, i, j, v / sum(v) FILTER (i = j) OVER (PARTITION BY set_id) AS v FROM ({})"
+    parts.append(("m0", scaled.format("SELECT a.set_id, a.feature AS i, b.feature AS j, sum(a.c * b.c) AS v FROM cc a JOIN cc b USING (set_id, sample_id) GROUP BY 1, 2, 3")))
+    parts += [(f"m{k + 1}", scaled.format(f"SELECT a.set_id, a.i, b.j, sum(a.v * b.v) AS v FROM m{k} a JOIN m{k} b ON a.set_id = b.set_id AND a.j = b.i GROUP BY 1, 2, 3")) for k in range(doublings)]
+    parts.append(("lead", f"SELECT m.set_id, m.i AS feature, m.v FROM m{doublings} m JOIN (SELECT set_id, arg_max(i, v) AS j FROM m{doublings} WHERE i = j GROUP BY 1) USING (set_id, j)"))
+    parts.append(("comp", "SELECT set_id, any_value(size) AS size, count(*) AS n, abs(corr(pc, y)) AS r FROM (SELECT set_id, sample_id, any_value(y) AS y, count(*) AS size, sum(c * v) AS pc FROM cc JOIN lead USING (set_id, feature) GROUP BY 1, 2) GROUP BY 1"))
+    return parts
+
+
+def _with_components(name: str, body: str, sets: str, scale: bool = False, doublings: int = 18, before: tuple[str, ...] = (), more: str = "") -> None:
+    head = sql("", "x", "y", *before)[len("WITH ") :].strip()
+    own = ", ".join(f"{n} AS MATERIALIZED ({t})" for n, t in first_components(sets, scale, doublings))
+    ORACLES[name] = f"WITH {head}, {own}{more} " + body.replace("{R(", "(round(").replace(")R}", ", 6) + 0.0)")
+
+
+_TAIL = "{R(" + betainc("1 - r * r", "(n - 2) / 2.0", "0.5") + ")R} AS p"
+_BLOCKS = "SELECT DISTINCT (fpos // 16)::BIGINT AS set_id, feature FROM x"
+_with_components("phenotype_correlation", "SELECT {R(r)R} AS r, " + _TAIL + " FROM comp", "SELECT DISTINCT 0::BIGINT AS set_id, feature FROM x", True)
+_with_components("phenotype_sets", "SELECT set_id, size, {R(r)R} AS r, " + _TAIL + " FROM comp", _BLOCKS)
+_with_components("phenotype_cluster", "SELECT size, {R(r)R} AS r, " + _TAIL + " FROM comp", "SELECT DISTINCT 0::BIGINT AS set_id, feature FROM x WHERE feature IN ('f000', 'f001', 'f002')")
+_RANKED = "(SELECT row_number() OVER (ORDER BY size DESC, set_id) AS rank, size AS size{0}, {{R(r)R}} AS r{0} FROM comp{1})"
+_with_components("phenotype_compare_sets", "SELECT * FROM " + _RANKED.format(1, "") + " JOIN " + _RANKED.format(2, " WHERE set_id < 2") + " USING (rank)", _BLOCKS)
+
+
+def by_block(s: SparkSession, d: str) -> DataFrame:
+    """The four blocks of features as communities, each with the correlation of its first component."""
+    sets = blocks_of(s, d)
+    rho = phenotype.set_correlations(frames.emb(s, d), frames.emb_label(s, d), sets).select("set_id", F.col("r").alias("rho"))
+    return sets.join(rho, "set_id").select(F.col("feature").alias("node"), F.col("set_id").alias("community"), "rho")
+
+
+query("top_communities_of_blocks")(lambda s, d: tidy(community.top_communities(by_block(s, d), 2), "rho"))
+_with_components("top_communities_of_blocks", "SELECT set_id AS community, size, {R(r)R} AS rho, (SELECT list(feature ORDER BY feature) FROM sets WHERE sets.set_id = comp.set_id) AS nodes FROM comp ORDER BY r DESC, set_id LIMIT 2", _BLOCKS, True)
+PARTS |= {
+    "k5": f"SELECT src, dst, s FROM {_KNN % ('(SELECT src, dst, src_pos, dst_pos, abs(s) AS s FROM pear)', 5)}",
+    "en": "SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(s) AS weight FROM k5 GROUP BY 1, 2",
+    "es": "SELECT src, dst, weight FROM en UNION ALL SELECT dst, src, weight FROM en WHERE src <> dst",
+}
+_NEEDS |= {"k5": ["pear"], "en": ["k5"], "es": ["en"]}
+query("combined_quality_of_blocks")(lambda s, d: tidy(community.combined_quality(emb_net(s, d), by_block(s, d))))
+_with_components(
+    "combined_quality_of_blocks",
+    "SELECT {R(0.2 * (SELECT sum(i / m - (t / m) ** 2) FROM (SELECT a.set_id, sum(weight) AS t, coalesce(sum(weight) FILTER (a.set_id = b.set_id), 0) AS i, sum(sum(weight)) OVER () AS m FROM es JOIN sets a ON a.feature = src JOIN sets b ON b.feature = dst GROUP BY 1)) + 0.8 * (SELECT avg(r) FROM comp))R} AS quality",
+    _BLOCKS,
+    True,
+    before=("es",),
+)
+query("network_of_features")(lambda s, d: net(emb_net(s, d)))
+_oracle("network_of_features", "SELECT src, dst, {R(weight)R} AS weight FROM en", "en")
+
+_EV = ", v0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS score FROM nodes)"
+for _i in range(20):
+    _EV += f", v{_i + 1} AS MATERIALIZED (SELECT node, score / sqrt(sum(score * score) OVER ()) AS score FROM (SELECT nodes.node, any_value(v{_i}.score) + coalesce(sum(weight * w.score), 0) AS score FROM nodes JOIN v{_i} ON v{_i}.node = nodes.node LEFT JOIN sy ON dst = nodes.node LEFT JOIN v{_i} w ON w.node = sy.src GROUP BY 1))"
+ORACLES["eigenvector"] = sql("", "sy", "nodes").strip() + _EV + " SELECT node, round(score, 6) + 0.0 AS score FROM v20"
+_RANKS = 60
+_PC = ", v AS (SELECT node, (node = 'NATION_7')::INTEGER::DOUBLE AS v FROM nodes), st AS (SELECT src, sum(weight) AS t FROM sy GROUP BY 1), p AS MATERIALIZED (SELECT sy.src, dst, weight / t AS p FROM sy JOIN st USING (src)), r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / 25 AS score, 1e9::DOUBLE AS move FROM nodes)"
+for _i in range(_RANKS):
+    _PC += f", r{_i + 1} AS MATERIALIZED (SELECT node, new AS score, sum(abs(new - old)) OVER () AS move FROM (SELECT v.node, r{_i}.score AS old, 0.9 * coalesce(g, 0) + 0.1 * v AS new FROM v JOIN r{_i} ON r{_i}.node = v.node LEFT JOIN (SELECT dst, sum(p * score) AS g FROM p JOIN r{_i} ON src = node GROUP BY 1) ON dst = v.node))"
+# rounds are looked at every fifth time; the first that has come to rest is the result
+_PC += ", looks AS (" + " UNION ALL ".join(f"SELECT {_i} AS i, * FROM r{_i}" for _i in range(5, _RANKS + 1, 5)) + ")"
+ORACLES["pagerank_converged"] = sql("", "sy", "nodes").strip() + _PC + " SELECT node, round(score, 6) + 0.0 AS score FROM looks WHERE i = (SELECT min(i) FROM looks WHERE move < 25e-6)"
