@@ -84,55 +84,71 @@ def _by_pair(symbols: np.ndarray, at: np.ndarray, least: int, most: int | None =
     return at[keep], number[keep]
 
 
+class _Shard:
+    """Symbols of a shard while pairs are replaced; last marks the last symbol of each document."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, base: int):
+        self.symbols, self.last, self.base, self.made = ids.astype(np.int32), np.zeros(len(ids), bool), base, 0
+        self.last[ends[ends > 0] - 1] = True
+        self.rules: list[np.ndarray] = []
+
+    def replace(self, at: np.ndarray, own: np.ndarray, least: int) -> int:
+        """Replaces the pairs at `at`, numbered by own, that come often enough without overlapping; how many places that were."""
+        free = _alone(at)
+        at, own = at[free], own[free]
+        used = np.bincount(own)
+        worth = np.flatnonzero(used >= least)
+        if not len(worth):
+            return 0
+        worth = worth[np.argsort(-used[worth], kind="stable")]
+        number = np.full(len(used), -1, np.int32)
+        number[worth] = self.base + self.made + np.arange(len(worth), dtype=np.int32)
+        new = number[own]
+        at, own, new = at[new >= 0], own[new >= 0], new[new >= 0]
+        example = np.zeros(len(used), np.int64)
+        example[own] = at
+        self.rules.append(np.stack([self.symbols[example[worth]], self.symbols[example[worth] + 1]], 1).astype(np.int64))
+        self.made += len(worth)
+        self.symbols[at] = new
+        self.last[at] = self.last[at + 1]
+        keep = np.ones(len(self.symbols), bool)
+        keep[at + 1] = False
+        self.symbols, self.last = self.symbols[keep], self.last[keep]
+        return len(at)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, the symbol place after each document, and rules (pairs of symbols; rule r makes symbol base + r).
 
     ids: the ids of all documents of the shard, each below base; ends: the place after each document.
     """
-    symbols, rules, made, few = ids.astype(np.int32), [], 0, False
-    last = np.zeros(len(symbols), bool)
-    last[ends[ends > 0] - 1] = True
-    cells = 1 << max(10, min(20, int(len(symbols)).bit_length()))
-    while len(symbols) > 1:
-        # Pairs are counted in cells of a hash, which bounds how often each comes; only places in full cells are looked at.
+    shard, least = _Shard(ids, ends, base), max(2, min_count // 2)
+    cells = 1 << max(10, min(20, int(len(ids)).bit_length()))
+    found, few = np.zeros(0, np.int64), False  # places of pairs that may be frequent
+    while len(shard.symbols) > 1:
+        # Pairs are counted in cells of a hash, which bounds how often each comes; of a full cell one pair is replaced a round.
+        symbols = shard.symbols
         cell = (symbols[:-1] * np.int32(-1640531527) + symbols[1:] * np.int32(1255595)) & np.int32(cells - 1)
-        cell[last[:-1]] = cells
+        cell[shard.last[:-1]] = cells
         load = np.bincount(cell, minlength=cells + 1)
         load[cells] = 0
-        if load.max() < min_count:
+        if few:  # what is left is too little for rounds over all symbols
+            found = np.flatnonzero((load >= min_count)[cell])
             break
-        often = np.flatnonzero((load >= max(min_count, int(load.max()) // 32))[cell])
-        every = np.flatnonzero((load >= min_count)[cell])
-        ways = (  # the cheapest way that replaces something; the last one only fails if no pair is frequent
-            *(() if few else (lambda often=often, cell=cell: _by_cell(symbols, cell, often, cells),)),
-            lambda every=every: _by_pair(symbols, every, min_count),
-            lambda every=every: _by_pair(symbols, every, min_count, 1),
-        )
-        for way in ways:
-            at, own = way()
-            free = _alone(at)
-            at, own = at[free], own[free]
-            used = np.bincount(own)
-            worth = np.flatnonzero(used >= max(2, min_count // 2))
-            if len(worth):
-                break
-        else:
+        at = np.flatnonzero((load >= max(min_count, int(load.max()) // 32))[cell])
+        few = not len(at) or 64 * shard.replace(*_by_cell(symbols, cell, at, cells), least) < len(symbols)
+    # What is left is counted exactly: a pair that is frequent now was so in the round before, or holds a symbol made since.
+    while len(found):
+        at, own = _by_pair(shard.symbols, found, min_count)
+        if not len(at):
             break
-        worth = worth[np.argsort(-used[worth], kind="stable")]
-        number = np.full(len(used), -1, np.int32)
-        number[worth] = base + made + np.arange(len(worth), dtype=np.int32)
-        new = number[own]
-        at, own, new = at[new >= 0], own[new >= 0], new[new >= 0]
-        example = np.zeros(len(used), np.int64)
-        example[own] = at
-        rules.append(np.stack([symbols[example[worth]], symbols[example[worth] + 1]], 1).astype(np.int64))
-        made += len(worth)
-        few = few or 64 * len(at) < len(symbols)
-        symbols[at] = new
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        live, before = np.zeros(base + shard.made + len(at), bool), base + shard.made
+        live[shard.symbols[at]] = live[shard.symbols[at + 1]] = True
+        if not shard.replace(at, own, least) and not shard.replace(*_by_pair(shard.symbols, at, min_count, 1), least):
+            break
+        left, right = shard.symbols[:-1], shard.symbols[1:]
+        found = np.flatnonzero(~shard.last[:-1] & ((np.maximum(left, right) >= before) | (live[left] & live[right])))
+    symbols, last, rules = shard.symbols, shard.last, shard.rules
     stops = np.flatnonzero(last) + 1
     # documents without ids end where the one before them ends
     empty = np.diff(np.concatenate([[0], ends])) == 0
