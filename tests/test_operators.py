@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plexmat.functions import autodiff as ad
 from plexmat.functions import special
-from plexmat.operators import analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
+from plexmat.operators import align, analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
+from plexmat.plans import iterate
 from plexmat.sources import frames
 
 INF = float("inf")
@@ -221,3 +223,92 @@ def test_loaders(spark, tmp_path):
     raw = frames.read_csv(spark, str(tmp_path / "a.csv"))
     assert raw.columns[0] == "sample_id" and columns(frames.from_wide(raw, "sample_id")) == {"f": [1.5, 2.0], "g": [None, 3.0]}
     assert frames.read_csv(spark, str(tmp_path / "a.csv"), index=False).count() == 2
+
+
+def test_blocks_of_features_equal_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = matrix(spark, **{f"f{i:02d}": rng.normal(size=30).round(3).tolist() if i != 7 else [1.0] * 30 for i in range(37)})
+    key = lambda df: sorted((r["src"], r["dst"], round(r["weight"], 9)) for r in df.collect())
+    calls = [
+        lambda: similarity.similarity_network(x, k=4),
+        lambda: similarity.correlation_network(x, k=4),
+        lambda: similarity.correlation_network(x, k=4, signed_map=False, method="spearman", mutual_only=True),
+        lambda: similarity.threshold_network(x, b=2.0, k=3),
+        lambda: similarity.correlation_network(x, k=None),
+    ]
+    whole = [key(c()) for c in calls]
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "CELLS", 480)
+    assert [key(c()) for c in calls] == whole
+
+
+def test_thresholds_against_bisection():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 40):
+        for size in (1.0, 1.3, 2.0, 5.0):
+            v = rng.normal(size=n)
+            if n > 3:
+                v[:2] = 3.0  # ties at the top
+            d = cca.threshold_for(v, size)
+            norm = lambda t, v=v: np.abs(cca.soft(v, t)).sum() / max(np.linalg.norm(cca.soft(v, t)), 1e-12)
+            if d == 0:
+                assert norm(0.0) <= size + 1e-9
+            elif size**2 >= (np.abs(v) >= np.abs(v).max() - 1e-12).sum():
+                assert norm(d) == pytest.approx(size, abs=1e-6)
+
+
+def test_running_places(spark):
+    df = spark.createDataFrame([(k, i) for k in (0, 1, None) for i in range(40)], "k int, i int")
+    got = iterate.placed(df, ["k"], F.floor(F.col("i") / 7), ["i"]).collect()
+    assert len(got) == 120 and all(r["_place"] == r["i"] for r in got)
+    assert sorted(r["_place"] for r in iterate.placed(df, [], F.floor(F.col("i") / 7), ["i", "k"]).collect()) == list(range(120))
+
+
+def test_runs_share_or_shuffle_the_same_table(spark, monkeypatch):
+    data = spark.createDataFrame([(i, float(i)) for i in range(10)], "i int, v double")
+    runs = spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0])], "run int, p array<double>")
+    kernel = lambda key, p: pd.DataFrame({"run": [key[0]], "s": [p["v"].sum() * sum(p["p"].iloc[0])]})
+    shared = sorted(map(tuple, iterate.per_run(data, runs, ["run"], kernel, "run int, s double").collect()))
+    monkeypatch.setattr(iterate, "SHARED_CELLS", 1)
+    assert shared == sorted(map(tuple, iterate.per_run(data, runs, ["run"], kernel, "run int, s double").collect())) == [(0, 45.0), (1, 225.0)]
+
+
+def test_alignment(spark):
+    a, b, c = (spark.createDataFrame([(i,) for i in ids], "sample_id string") for ids in (["1", "2", "3", None], ["2", "3", "3"], ["3", "2", None]))
+    assert sorted(r[0] for r in align.common(a, b, c).collect()) == ["2", "3"]
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("z", 3)], "key string, v int")
+    names = spark.createDataFrame([("a", "late", 2), ("a", "first", 1), ("b", None, 1), ("c", "other", 1)], "key string, name string, o int")
+    assert [(r["key"], r["name"]) for r in align.map_keys(rows, names, "key", "name", ["o"]).collect()] == [("a", "first")]
+    e, x = net(spark, ("p", "q", 1.0), ("q", "r", 1.0)), matrix(spark, p=[1, 2], q=[3, 4], s=[5, 6])
+    edges, kept = align.network_and_matrix(e, x)
+    assert [(r["src"], r["dst"]) for r in edges.collect()] == [("p", "q")] and set(columns(kept)) == {"p", "q"}
+    with pytest.raises(ValueError):
+        align.network_and_matrix(e, x, strict=True)
+    assert {r["sample_id"]: r["y"] for r in align.labels_of(spark, {"s": 1, "t": 0}).collect()} == {"s": 1.0, "t": 0.0}
+
+
+def test_evaluation_and_search(spark):
+    rng = np.random.default_rng(7)
+    y = np.arange(48) % 2
+    x = matrix(spark, **{f"n{i}": (rng.normal(size=48) + (2 * y if i < 3 else 0)).tolist() for i in range(6)})
+    e, t = net(spark, *[(f"n{i}", f"n{j}", 0.5) for i in range(6) for j in range(i)]), target(spark, y.tolist())
+    got = learn.evaluate(e, x, t, share=0.25, repeats=3, epochs=30)
+    assert got["scores"].count() == 3 * 12 * 2 and got["runs"].count() == 3 and got["runs"].where("best").count() == 1
+    assert {r["metric"] for r in got["summary"].collect()} >= {"accuracy", "f1_macro", "auc", "aupr"}
+    tuned = learn.tune_outcome(e, x, t, k=2, inner=2, settings=[{"epochs": 1, "rate": 1e-6}, {"epochs": 40}])
+    assert [r["trial"] for r in tuned["chosen"].collect()] == [1, 1] and tuned["runs"].count() == 2
+    with pytest.raises(ValueError):
+        learn.predict(e, x, t, unknown=1)
+    settings = [{"method": "correlation", "k": 2}, {"method": "correlation", "k": 2, "threshold": "bad", "other": 1}]
+    found = learn.network_search(x, t, settings)
+    assert [r["config"] for r in found.collect()] == [0]
+    edges, best = learn.best_network(x, settings, found)
+    assert edges.count() == 12 and best == settings[0]
+    with pytest.raises(RuntimeError):
+        learn.network_search(x, t, settings[1:])
+    assert len(learn.parameter_grid(["gaussian", "similarity", "correlation", "threshold"])) == 400 + 100 + 50 + 650
+    emb = spark.createDataFrame([(f"n{i}", rng.normal(size=4).tolist()) for i in range(6)], "feature string, embedding array<double>")
+    tried = learn.tune_representation(x, emb, t, trials=3, epochs=5).collect()
+    assert len(tried) == 3 and all(0 <= r["score"] <= 1 for r in tried)
+    w = cca.discriminant_weights(x, t, subsamples=5).collect()
+    assert w and all(r["w"] > 0 for r in w)
