@@ -108,12 +108,14 @@ class Scorer:
             self.seen.update(zip(new, map(value.__getitem__, plain), strict=True))
         sizes = np.array([len(ws) for ws in docs])
         values = np.fromiter((v for ws in docs for v in map(self.seen.__getitem__, ws)), float, int(sizes.sum()))
-        sums = np.concatenate([[0.0], np.cumsum(values)])
+        values = np.append(values, 0.0)
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         begins = [windows(n) for n in sizes]
         starts = np.concatenate([a + s for a, s in zip(at, begins, strict=True)])
         ends = np.concatenate([a + np.minimum(s + WINDOW, n) for a, s, n in zip(at, begins, sizes, strict=True)])
-        z = self.model.bias + (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1)
+        # word by word, so that equal texts have equal scores whatever stands before them
+        sums = sum(np.where(starts + k < ends, values[np.minimum(starts + k, len(values) - 1)], 0.0) for k in range(WINDOW))
+        z = self.model.bias + sums / np.maximum(ends - starts, 1)
         none = np.bincount(np.repeat(np.arange(len(docs)), [len(s) for s in begins]), weights=np.logaddexp(0, z), minlength=len(docs))
         return np.clip(-np.expm1(-none), 0.0, 1.0)
 

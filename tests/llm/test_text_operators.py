@@ -351,6 +351,16 @@ def test_toxicity_held_out_and_misspellings(spark, empty):
     assert toxicity.score_documents(empty, labels).count() == 0
 
 
+def test_scores_of_repeated_and_very_long_texts(spark):
+    for kind, score in (("quality", rule_ensemble.score_documents), ("toxic", toxicity.score_documents)):
+        docs, labels = labelled(spark, kind)
+        long = prose(random.Random(4), 2_000) * 100
+        more = spark.createDataFrame([(7000, long, "en", "s", 0), (7000, long, "en", "s", 0), (3, "another text of id three", "en", "s", 0)], SCHEMA)
+        found = by_id(score(docs.unionByName(more).unionByName(docs.where("doc_id = 1")), labels.unionByName(labels)))
+        assert len(found[7000]) == 2 and len({r["score"] for r in found[7000]}) == 1 and 0 <= found[7000][0]["score"] <= 1
+        assert len(found[1]) == 2 and len({r["score"] for r in found[1]}) == 1 and len(found[3]) == 2
+
+
 # ---- licences
 
 
