@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Null and empty texts fail the rules; null ids and repeated rows, very long texts, tables without rows and extra columns are
+what each stage's operator says of them.
 """
 
 from __future__ import annotations
