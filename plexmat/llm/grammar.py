@@ -15,6 +15,7 @@ run by the library on whole texts.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -25,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +44,10 @@ _HEAD = struct.Struct("<4sIIIII")
 #: Characters past Latin Extended-B, separators that are no white space here, and a letter whose lower case is two.
 _ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]").search
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
-#: The letters that stand for the bytes of a character.
-_BYTES = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+#: Punctuation that ends words; an apostrophe may begin a contraction.
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: The letters that stand for the bytes of UTF-8; ASCII stays, spaces among it.
+_BYTES = "".join(chr(b) if b < 0x80 else byte_alphabet()[b] for b in range(256))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 
@@ -51,8 +56,9 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    first = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return first + np.arange(total)
+    first = starts - np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    kind = np.int32 if total < 2**31 and int(np.abs(first).max()) < 2**31 - total else np.int64
+    return np.repeat(first.astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
 def _alone(at: np.ndarray) -> np.ndarray:
@@ -296,8 +302,8 @@ class WordEncoder(dict):
         plain = [w for w in words if _PLAIN(w)]
         done = False
         if plain:
-            lines = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
-            got = self.bare.encode_batch_fast([x if x.isascii() else x.translate(_BYTES) for x in lines], add_special_tokens=False)
+            lines = [" ".join(plain[i : i + 5000]) for i in range(0, len(plain), 5000)]
+            got = self.bare.encode_batch_fast([x if x.isascii() else codecs.charmap_decode(x.encode(), "strict", _BYTES)[0] for x in lines], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
             stops = np.flatnonzero(self.closes[ids]) + 1
             if done := len(stops) == len(plain):
@@ -308,32 +314,43 @@ class WordEncoder(dict):
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, np.int64).astype(self.kind).tobytes()
 
-    def split(self, text: str | None) -> list[str]:
-        """The words of a text. Letters of Latin scripts are put in lower case first, as the tokenizer does with all."""
-        if not text:
-            return []
-        if "<|" in text or _ODD(text):  # special tokens are matched before case is changed
-            return self.words(text)
-        return text.lower().split()
+    def meet(self, words: list[str]) -> list[bytes]:
+        """The ids of the words of one batch, new ones among them."""
+        data = list(map(self.get, words))
+        new = [w for w, d in zip(words, data, strict=True) if d is None]
+        if not new:
+            return data
+        if len(self) + len(new) > self.most:  # the words of this batch stay, frequent ones among them
+            kept = {w: d for w, d in zip(words, data, strict=True) if d is not None}
+            self.clear()
+            self.update(kept)
+        # Letters with punctuation after them have the ids of both.
+        parts = [(w, w.rstrip(_MARKS)) for w in new if w[-1:] in _MARKS]
+        parts = [(w, stem, w[len(stem) :]) for w, stem in parts if stem.isalpha() and not _ODD(stem)]
+        need = set(new).difference([w for w, _, _ in parts]).union(*[p[1:] for p in parts])
+        self.learn([w for w in need if w not in self])
+        self.update([(w, self[stem] + self[tail]) for w, stem, tail in parts])
+        return [self[w] if d is None else d for w, d in zip(words, data, strict=True)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             got = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(e.ids, np.int64).astype(self.kind).tobytes() for e in got]
-        docs = [self.split(t) for t in texts]
-        met = set().union(*docs)
-        new = met.difference(self)
-        if len(self) + len(new) > self.most:  # the words of this batch stay, frequent ones among them
-            kept = {w: self[w] for w in met.intersection(self)}
-            self.clear()
-            self.update(kept)
-        # A word with a comma or full stop after it has the ids of both.
-        tails = {w: w[:-1] for w in new if w[-1] in ",." and w[:-1].isalpha()}
-        need = new.difference(tails).union(tails.values(), ",.")
-        self.learn([w for w in need if w not in self])
-        for w, stem in tails.items():
-            self[w] = self[stem] + self[w[-1]]
-        return [b"".join(map(self.__getitem__, ws)) for ws in docs]
+        # Special tokens are matched before case is changed, and few letters change case by rules of their own.
+        odd = {i: self.words(t) for i, t in enumerate(texts) if t and ("<|" in t or _ODD(t))}
+        plain = pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.large_string())
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        met = cut.flatten().dictionary_encode()
+        data, wide = self.meet(met.dictionary.to_pylist()), np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // wide
+        firsts, place = np.cumsum(sizes) - sizes, met.indices.to_numpy()
+        ids = np.frombuffer(b"".join(data), self.kind)[spans(firsts[place], sizes[place])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[place])])[cut.offsets.to_numpy()] * wide
+        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i, ws in odd.items():
+            own = list(dict.fromkeys(ws))
+            out[i] = b"".join(map(dict(zip(own, self.meet(own), strict=True)).__getitem__, ws))
+        return out
 
 
 _LAST: dict[int, WordEncoder] = {}

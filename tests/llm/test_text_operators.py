@@ -155,7 +155,7 @@ def test_word_encoder_equals_library():
     with open(path, encoding="utf-8") as f:
         encoder = grammar.WordEncoder(f.read(), most=50)
     library = Tokenizer.from_file(path)
-    texts = ["It's <|endoftext|> x<|endoftext|>", "a\x1cb \x85 c\xa0d", "Don't I'M 12 345 6, İstanbul ΑΣ.", "é é ̈a", "日本", "<|ENDOFTEXT|> Word, word. WORD.", "", None]
+    texts = ["It's <|endoftext|> x<|endoftext|>", "a\x1cb \x85 c\xa0d", "Don't I'M 12 345 6, İstanbul ΑΣ.", "é é ̈a", "日本", "<|ENDOFTEXT|> Word, word. WORD.", "İ& \u0958&! ñandú$$$ ÿ,&& x's, a-b.c- ªº#", "  lead\ttrail \x85", "", None]
     for _ in range(2):
         got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.batch(texts)]
         assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
