@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexmat.llm.common import SPACE_CLASS, written
+from plexmat.llm.common import SPACE_CLASS, kept_in_worker, written
 
 WORDS, THRESHOLD_NUM, THRESHOLD_DEN = 5, 4, 5  # Jaccard >= 4/5
 #: Tokens that a set chooses on average; largest bucket that is compared at once; sets to a block; deepest level.
@@ -81,11 +81,8 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
-
-
 def word_hashes() -> WordHashes:
-    return _HASHES
+    return kept_in_worker("word_hashes", WordHashes)
 
 
 def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What this worker keeps from one task to the next: one operator's table, as the stages of a pipeline run in the same workers.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The table that this worker keeps under key, made if it isn't there; any other goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def keep_nothing() -> None:
+    """For operators without a table: that of the stage before goes."""
+    _KEPT.clear()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+")

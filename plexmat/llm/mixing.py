@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from plexmat.llm.common import SPACE_CLASS, key_text, running_offsets, written
+from plexmat.llm.common import SPACE_CLASS, keep_nothing, key_text, running_offsets, written
 
 BLOCK = 256
 #: Fixed values of the query: weights in turn, words taken of all words, most of a source's own size.
@@ -188,6 +188,7 @@ def mix_documents(docs: DataFrame, **law) -> DataFrame:
 @F.pandas_udf(StringType())
 def take_words(texts: pd.Series, runs: pd.Series) -> pd.Series:
     """The runs of words of a text, each as it stands in the text; runs that touch stay together, others are joined by a line end."""
+    keep_nothing()
     find, out = re.compile(f"[^{SPACE_CLASS}]+").finditer, []
     for text, own in zip(texts, runs, strict=True):
         marks = [m.span() for m in find(text)]

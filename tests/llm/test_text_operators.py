@@ -6,14 +6,16 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as vocabularies
 import pytest
 from tokenizers import Tokenizer
 
-from plexmat.llm import bpe, chosen_path, grammar, iblt, license_scan, line_rules, mixing, rule_ensemble, sharding, toxicity
+from plexmat.llm import bpe, chosen_path, common, grammar, iblt, license_scan, line_rules, mixing, rule_ensemble, sharding, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,6 +166,36 @@ def test_word_encoder_equals_library():
 # ---- BPE
 
 
+def test_bpe_keeps_no_more_than_its_bytes(spark):
+    path = vocabularies.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        definition = f.read()
+    library, room = Tokenizer.from_file(path), 200_000
+    own = bpe.ByteBPE(definition, most_bytes=room)
+    rng = random.Random(3)
+    odd = ["don't x's 'sound, (word) e.g. a-b_c", "d\u00e9j\u00e0, vu\u00b2 x\u00b2. e\u0301t\u00e9, \u00aao \u00d7y \u02afz \u02b0q", "caf\u00e9's\u4e2d\u6587, na\u00efve\u0416\u0418 3a4 a3,  b", "a\u00a0b, c\n\nd. "]
+    for k in range(300):
+        text = " the, " + " ".join("".join(rng.choice("ab\u00e9\u4e2d\u6587\U0001f600,1'") for _ in range(rng.randrange(1, 60))) for _ in range(6)) + " " + odd[k % len(odd)]
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        held = sum(sys.getsizeof(c) + sys.getsizeof(i) for table in (own, own.recent) for c, i in table.items())
+        assert held <= own.bytes + own.recent_bytes <= room
+    assert " the" in own  # met in every text, so it outlasts what was met once
+
+    words = chosen_path.word_hashes()
+    words["a"]
+    shared = spark.sparkContext.broadcast(definition)
+    kept = bpe.worker_tokenizer(shared)
+    assert bpe.worker_tokenizer(shared) is kept and chosen_path.word_hashes() is not words  # one operator's table at a time
+    mixing.take_words.func(pd.Series(["a b"]), pd.Series([[{"from": 0, "upto": 1}]]))
+    assert not common._KEPT
+
+
+def test_bpe_keeps_large_ids_beside_null_ones(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a"), (None, "b"), (-(2**60) - 1, None)], "doc_id long, text string")
+    found = bpe.digest_documents(docs.coalesce(1), vocabularies.path("byte_bpe_50k.json")).collect()
+    assert {r["doc_id"] for r in found} == {2**60 + 1, None, -(2**60) - 1}
+
+
 def test_bpe_equals_library_and_decodes(docs, empty):
     path = vocabularies.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
