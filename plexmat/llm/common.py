@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
+from sys import getsizeof
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,6 +59,45 @@ def keep_nothing() -> None:
     _KEPT.clear()
 
 
+class Remembered(dict):
+    """What make() says of the words met lately, up to a fixed number of bytes with the words themselves, whatever the texts.
+
+    Two generations: when the newer one has half of the bytes it becomes the older one, and words met again come back
+    from there. Words of more than KEEP_CHARS characters are made anew each time.
+    """
+
+    KEEP_CHARS = 64
+    #: Fixed value: bytes of a dict for each entry, at most, beside key and value.
+    ENTRY_BYTES = 100
+
+    def __init__(self, most_bytes: int = 48 << 20):
+        super().__init__()
+        self.most_bytes, self.bytes = most_bytes, 0
+        self.older: dict[str, Any] = {}
+
+    def make(self, word: str) -> Any:
+        raise NotImplementedError
+
+    def size(self, value: Any) -> int:
+        return getsizeof(value)
+
+    def __missing__(self, word: str) -> Any:
+        value = self.older.pop(word, None)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= self.KEEP_CHARS:
+            self.remember(word, value)
+        return value
+
+    def remember(self, word: str, value: Any) -> None:
+        more = getsizeof(word) + self.size(value) + self.ENTRY_BYTES
+        if 2 * (self.bytes + more) > self.most_bytes:
+            self.older, self.bytes = dict(self), 0
+            self.clear()
+        self[word] = value
+        self.bytes += more
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+")

@@ -85,6 +85,29 @@ def op10_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_quantised_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor among all embeddings."""
+    from plexmat.llm import hard_negatives
+
+    return hard_negatives.mine_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_duckdb_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-the-middle form and of the text restored from it."""
+    from plexmat.llm import fim
+
+    return fim.digest_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_offset_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids, the spans and the decoded text of every document."""
+    from public_tokenizers import path
+
+    from plexmat.llm import pieces
+
+    return pieces.digest_documents(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_repair_token_files": op2_repair_token_files,
@@ -96,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_iblt_fingerprints": op8_iblt_fingerprints,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_block_mixture": op10_block_mixture,
+    "op11_quantised_hard_negatives": op11_quantised_hard_negatives,
+    "op12_duckdb_fill_in_middle": op12_duckdb_fill_in_middle,
+    "op13_offset_sentencepiece": op13_offset_sentencepiece,
 }
 
 #: crc32 has no built-in in DuckDB: the bytes of a text are folded over the 256 remainders of its polynomial.
@@ -152,7 +178,48 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 FROM judged
 """
 
+#: Every product of an anchor and a row; doubles hold these whole numbers exactly.
+_OP11_SQL = """
+WITH items AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM items a JOIN items b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5),
+pairs AS (
+    SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id, n.b) AS rank
+    FROM positives p JOIN scored n ON p.a = n.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 3
+"""
+
+#: The parts are cut by their lengths here, and a restored text must be the text.
+_OP12_SQL = rf"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda u: length(u)) AS sizes,
+        list_transform(range(4), lambda k: ('0x' || substr(sha256('42:' || doc_id), (8 * k + 1)::INTEGER, 8))::BIGINT) AS h
+    FROM documents
+),
+drawn AS (
+    SELECT doc_id, text, len(sizes) AS n, coalesce(list_sum(sizes[:least(h[1] % (len(sizes) + 1), h[2] % (len(sizes) + 1))]), 0)::BIGINT AS first,
+        coalesce(list_sum(sizes[:greatest(h[1] % (len(sizes) + 1), h[2] % (len(sizes) + 1))]), 0)::BIGINT AS last,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN first END AS prefix_chars, CASE WHEN form <> 'plain' THEN last - first END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || substr(text, 1, first) || '<S>' || substr(text, last + 1) || '<M>' || substr(text, first + 1, last - first)
+        ELSE '<S>' || substr(text, last + 1) || '<P>' || substr(text, 1, first) || '<M>' || substr(text, first + 1, last - first) END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM drawn
+"""
+
 ORACLES: dict[str, str] = {
     "op1_rendezvous_sharding": _OP1_SQL,
     "op4_line_frequency_rules": _OP4_SQL,
+    "op11_quantised_hard_negatives": _OP11_SQL,
+    "op12_duckdb_fill_in_middle": _OP12_SQL,
 }
