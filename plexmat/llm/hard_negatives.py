@@ -36,7 +36,8 @@ SUBSPACE, CODEWORDS, SAMPLE, ROUNDS = 2, 256, 8192, 8
 ANCHORS, ROWS, PARTS, STEP_ANCHORS, STEP_ROWS = 4096, 4096, 4096, 128, 4096
 #: Candidates that are multiplied at once.
 PRODUCTS = 1 << 15
-_NO_ID = np.iinfo(np.int64).max
+#: Stands for a null id within tasks, where it sorts last.
+_NO_ID = int(np.iinfo(np.int64).max)
 
 _ITEM = "num long, vec_id long, label long, vec binary, codes binary, rest float"
 
@@ -183,10 +184,9 @@ def _search_negatives(block: Block, best: Best, x: pd.DataFrame, windows: np.nda
 
 
 def _arrays(x: pd.DataFrame, subspaces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids = x["vec_id"].fillna(_NO_ID).astype("int64") if x["vec_id"].isna().any() else x["vec_id"]
     y = np.frombuffer(b"".join(x["vec"]), "<i4").reshape(len(x), -1)
     codes = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), subspaces)
-    return x["num"].to_numpy(), ids.to_numpy(), y, codes, x["rest"].to_numpy()
+    return x["num"].to_numpy(), x["vec_id"].to_numpy(), y, codes, x["rest"].to_numpy()
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bool, pd.DataFrame]]:
@@ -221,7 +221,7 @@ class Index:
                 codes, rest = encode(y, books)
                 yield pd.DataFrame({"num": x["num"], "vec_id": x["vec_id"], "label": x["label"], "vec": [v.tobytes() for v in y.astype("<i4")], "codes": [c.tobytes() for c in codes], "rest": rest})
 
-        own = rows.select(F.monotonically_increasing_id().alias("num"), F.col("vec_id").cast("long"), F.col("label").cast("long"), "vec")
+        own = rows.select(F.monotonically_increasing_id().alias("num"), F.coalesce(F.col("vec_id").cast("long"), F.lit(_NO_ID)).alias("vec_id"), F.col("label").cast("long"), "vec")
         self.rows = written(own.mapInPandas(run, _ITEM), "pq-rows")
         self.count = self.rows.count()
 
@@ -325,7 +325,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     positive_score, negative_score.
     """
     index = Index(rows, scale)
-    anchors = index.rows.where(F.coalesce(is_anchor, F.lit(False)))
+    anchors = index.rows.where((F.col("vec_id") != _NO_ID) & is_anchor)
     n = anchors.count()
     found = written(index.positives(anchors, n, positives), "pq-positives")
     # percent * s / 100, rounded towards the inside of the window
