@@ -202,21 +202,42 @@ def take_words(texts: pd.Series, runs: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _row_key() -> Column:
+    return key_text(F.struct("doc_id").cast("string"))
+
+
+def _dealt_to_equal_rows(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """A plan to a row: both are numbered within their group of equal rows and joined by the number, so that a group of any
+    size is spread over all tasks. Rows are numbered within the input partition that they come from, plans within buckets;
+    which of its equal rows gets which plan makes no difference but for columns beside id, source and text, by whose hash rows are ordered.
+    """
+    group = F.concat_ws("\x01", "_key", "_source", F.col("_text_key").cast("string"))
+    part = Window.partitionBy("_group", "_part").orderBy(F.md5(F.to_json(F.struct("_own")).cast("binary")))
+    # Written, since a row's partition need not be the same when it is computed again.
+    rows = written(rows.select(group.alias("_group"), "_part", "_own"), "mix-equal").withColumn("_place", F.row_number().over(part) - 1)
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_group", "_part").agg(F.count("*").alias("_n")).select("_group", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows = rows.join(base, ["_group", "_part"]).select("_group", (F.col("_base") + F.col("_place")).alias("_turn"), "_own")
+    plans = running_offsets(plans.select(group.alias("_group"), "start", "passes"), "_group", "start", F.lit(1), "_turn")
+    return rows.join(plans, ["_group", "_turn"]).select("_own", F.col("passes").alias("_passes"))
+
+
 def apply_mix(docs: DataFrame, **law) -> DataFrame:
     """The mixed documents, with the columns of docs: a row for each pass over its source that reads words of it, with
     those words as text (all of it where the pass is whole); n_chars follows the text. Documents without words go.
     """
     mix = Mixture(docs, **law)
     runs = mix.pieces().groupBy("doc_id", "_source", "_text_key", "start", "_pass").agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("runs"))
-    runs = runs.withColumn("_key", key_text(F.struct("doc_id").cast("string"))).groupBy("_key", "_source", "_text_key", "start").agg(F.collect_list("runs").alias("passes"))
-    plans = runs.groupBy("_key", "_source", "_text_key").agg(F.sort_array(F.collect_list(F.struct("start", "passes"))).alias("_plans"))
-    own = docs.select(key_text(F.struct("doc_id").cast("string")).alias("_key"), _source_key().alias("_source"), _text_key().alias("_text_key"), F.struct(*docs.columns).alias("_own"))
-    found = own.join(plans, ["_key", "_source", "_text_key"])
-    alone = found.where(F.size("_plans") == 1).select("_own", F.col("_plans")[0]["passes"].alias("_passes"))
-    equal = found.where(F.size("_plans") > 1)  # equal rows have a plan each
-    turn = F.row_number().over(Window.partitionBy("_key", "_source", "_text_key").orderBy("_key"))
-    equal = equal.withColumn("_turn", turn).select("_own", F.get("_plans", F.col("_turn") - 1)["passes"].alias("_passes")).where("_passes is not null")
-    each = alone.unionByName(equal).select("_own", F.explode("_passes").alias("_runs"))
+    keys = ["_key", "_source", "_text_key"]
+    plans = runs.withColumn("_key", _row_key()).groupBy(*keys, "start").agg(F.collect_list("runs").alias("passes"))
+    rows_of = mix.docs.groupBy(_row_key().alias("_key"), "_source", "_text_key").agg(F.count("*").alias("_rows"))
+    plans = written(plans.join(rows_of, keys), "mix-plans")
+    own = docs.select(_row_key().alias("_key"), _source_key().alias("_source"), _text_key().alias("_text_key"), F.spark_partition_id().cast("string").alias("_part"), F.struct(*docs.columns).alias("_own"))
+    each = own.join(plans.where("_rows = 1"), keys).select("_own", F.col("passes").alias("_passes"))
+    equal = plans.where("_rows > 1")
+    if not equal.isEmpty():
+        each = each.unionByName(_dealt_to_equal_rows(own.join(equal.select(*keys).distinct(), keys, "left_semi"), equal))
+    each = each.select("_own", F.explode("_passes").alias("_runs"))
     each = each.select("_own", take_words(F.col("_own")["text"], F.col("_runs")).alias("_text"))
     given = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return each.select(*[(given[c] if c in given else F.col("_own")[c]).alias(c) for c in docs.columns])
