@@ -38,7 +38,7 @@ WINDOW, ROWS, GRAMS = 2, 1 << 17, (3, 4, 5)
 #: Training documents that a row of the table must be touched by; share of n-grams dropped; share of labelled documents kept from the fit.
 MIN_DOCS, DROP, KEPT_OUT = 5, 0.2, 0.2
 #: Labelled documents to fit on at most, of either class, chosen by a hash of their id; and the characters that they may have together.
-SAMPLE, MOST_CHARS = 3_000, 30_000_000
+SAMPLE, MOST_CHARS = 3_000, 15_000_000
 _WORD = re.compile(f"[^{SPACE_CLASS}]+")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _OUTER = ".,;:!?\"'()[]{}|#*$%&<>-"
@@ -240,10 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, samp
     parts = [known.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    # One row an id, however often it comes; documents whose turn is past MOST_CHARS are left out whole.
+    # One row an id, however often it comes. Either class has MOST_CHARS to learn from: longer texts are passed over, and
+    # documents whose turn in their class is past it are left out whole.
     texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y")), "labelled")
-    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    turn = texts.select("doc_id", F.coalesce(so_far, F.lit(0)).alias("_before")).where(F.col("_before") < MOST_CHARS)
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    turn = texts.where(F.length("text") <= MOST_CHARS).select("doc_id", so_far.alias("_upto")).where(F.col("_upto") <= MOST_CHARS)
     rows = texts.join(F.broadcast(turn.select("doc_id")), "doc_id").toPandas().sort_values("doc_id")
     y = rows["_y"].to_numpy(float)
     weight = np.array([counts.get(int(k), 1) / max(1, int((y == k).sum())) for k in y])
