@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexmat.llm.common import SPACE_CLASS, kept_in_worker, written
+from plexmat.llm.common import SPACE_CLASS, Remembered, kept_in_worker, written
 
 WORDS, THRESHOLD_NUM, THRESHOLD_DEN = 5, 4, 5  # Jaccard >= 4/5
 #: Tokens that a set chooses on average; largest bucket that is compared at once; sets to a block; deepest level.
@@ -67,18 +67,11 @@ def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
-class WordHashes(dict):
-    """Hashes of words, kept for up to `most` of them."""
+class WordHashes(Remembered):
+    """Hashes of words."""
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def make(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def word_hashes() -> WordHashes:
@@ -384,8 +377,12 @@ class Join:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: its class, the first document with its text, links to different texts, copies."""
-    return Join(docs).result().select("doc_id", "class_id", "rep", "n_links", "n_copies")
+    """One row for each document: its class, the first document with its text, links to different texts, copies.
+
+    class_id is the lowest id in the class, null where that id is; class_key, the digest of the class's first text, tells
+    classes apart even where ids are null or shared.
+    """
+    return Join(docs).result().select("doc_id", "class_id", F.col("_first").alias("class_key"), "rep", "n_links", "n_copies")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
