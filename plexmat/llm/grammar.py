@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from plexmat.llm.bpe import SPACES, byte_alphabet
-from plexmat.llm.common import shared_dir
+from plexmat.llm.common import kept_in_worker, shared_dir
 
 MAGIC = b"RPG2"
 #: Ids to a shard at least (the last shard of a partition may have fewer); pairs rarer than MIN_COUNT stay as they are.
@@ -276,12 +276,14 @@ _KIND = {
 
 
 class WordEncoder(dict):
-    """Encodes by a tokenizer that drops white space and puts texts in lower case; keeps the ids (as bytes) of up to `most`
-    words it has met. Any other tokenizer is given whole texts."""
+    """Encodes by a tokenizer that drops white space and puts texts in lower case; keeps the ids (as bytes) of words it has
+    met, up to a fixed number of them and of bytes whatever the texts, and none of over KEEP_CHARS characters. Any other tokenizer is given whole texts."""
 
-    def __init__(self, definition: str, most: int = 700_000):
+    KEEP_CHARS = 64
+
+    def __init__(self, definition: str, most: int = 700_000, most_bytes: int = 160 << 20):
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        self.tokenizer, self.most, self.most_bytes, self.bytes = Tokenizer.from_str(definition), most, most_bytes, 0
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.bare = Tokenizer(self.tokenizer.model)
@@ -295,11 +297,12 @@ class WordEncoder(dict):
         spec = json.loads(definition)
         self.by_word = {k: spec[k] for k in _KIND} == _KIND and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
 
-    def learn(self, words: list[str]) -> None:
-        """Plain words (lower-case letters of Latin-1) go to the tokenizer's model together, as the bytes that its
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words. Plain words (lower-case letters of Latin-1) go to the tokenizer's model together, as the bytes that its
         normaliser would make of them, and are told apart by the ids that close a word; others go through all of it, alone.
         """
         plain = [w for w in words if _PLAIN(w)]
+        found: dict[str, bytes] = {}
         done = False
         if plain:
             lines = [" ".join(plain[i : i + 5000]) for i in range(0, len(plain), 5000)]
@@ -309,10 +312,11 @@ class WordEncoder(dict):
             if done := len(stops) == len(plain):
                 data, wide = ids.astype(self.kind).tobytes(), 2 if self.kind == "<u2" else 4
                 ends = (stops * wide).tolist()
-                self.update(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        rest = [w for w in words if w not in self] if done else words
+                found = dict(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = [w for w in words if w not in found] if done else words
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, np.int64).astype(self.kind).tobytes()
+            found[w] = np.array(e.ids, np.int64).astype(self.kind).tobytes()
+        return found
 
     def meet(self, words: list[str]) -> list[bytes]:
         """The ids of the words of one batch, new ones among them."""
@@ -320,17 +324,32 @@ class WordEncoder(dict):
         new = [w for w, d in zip(words, data, strict=True) if d is None]
         if not new:
             return data
-        if len(self) + len(new) > self.most:  # the words of this batch stay, frequent ones among them
-            kept = {w: d for w, d in zip(words, data, strict=True) if d is not None}
-            self.clear()
-            self.update(kept)
         # Letters with punctuation after them have the ids of both.
         parts = [(w, w.rstrip(_MARKS)) for w in new if w[-1:] in _MARKS]
         parts = [(w, stem, w[len(stem) :]) for w, stem in parts if stem.isalpha() and not _ODD(stem)]
         need = set(new).difference([w for w, _, _ in parts]).union(*[p[1:] for p in parts])
-        self.learn([w for w in need if w not in self])
-        self.update([(w, self[stem] + self[tail]) for w, stem, tail in parts])
-        return [self[w] if d is None else d for w, d in zip(words, data, strict=True)]
+        found = {w: d for w in need if (d := self.get(w)) is not None}
+        found |= self.learn([w for w in need if w not in found])
+        found |= {w: found[stem] + found[tail] for w, stem, tail in parts}
+        data = [found[w] if d is None else d for w, d in zip(words, data, strict=True)]
+        self.remember(found, dict(zip(words, data, strict=True)))
+        return data
+
+    def remember(self, found: dict[str, bytes], batch: dict[str, bytes]) -> None:
+        """Keeps what was found; where there is no room, the words of this batch, frequent ones among them, stay alone."""
+        for words, fresh in ((found, False), (batch, True)):
+            words = {w: d for w, d in words.items() if len(w) <= self.KEEP_CHARS and (fresh or w not in self)}
+            # an entry takes at most 160 bytes beside its word's characters and its ids
+            size = 160 * len(words) + 4 * sum(map(len, words)) + sum(map(len, words.values()))
+            if not fresh and self.bytes + size <= self.most_bytes and len(self) + len(words) <= self.most:
+                self.update(words)
+                self.bytes += size
+                return
+        self.clear()
+        self.bytes = 0
+        if size <= self.most_bytes:
+            self.update(words)
+            self.bytes = size
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
@@ -353,15 +372,8 @@ class WordEncoder(dict):
         return out
 
 
-_LAST: dict[int, WordEncoder] = {}
-
-
 def worker_encoder(shared: Broadcast) -> WordEncoder:
-    key = zlib.crc32(shared.value.encode())
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = WordEncoder(shared.value)
-    return _LAST[key]
+    return kept_in_worker(("words", zlib.crc32(shared.value.encode())), lambda: WordEncoder(shared.value))
 
 
 def _chunks(texts: list[str | None], most: int = 3_000_000) -> Iterator[slice]:
