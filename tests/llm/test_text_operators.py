@@ -648,3 +648,79 @@ def test_permutation_and_plans():
         assert plan["passes"] * size + sum(lengths) == int(np.floor(target + 0.5))
     dealt = mixing.deal([100, 7, 0, 3], 8, 1)
     assert dealt.sum(0).tolist() == [100, 7, 0, 3] and (dealt >= 0).all()
+
+
+# ---- hot groups, odd ids, long texts and words
+
+
+def test_mixing_deals_plans_to_thousands_of_equal_rows(spark):
+    hot = [(7, "a b c d e f g h", "en", "s", 15)] * 6000 + [(7, "a b c d e f g h", "de", "s", 15)] * 2000
+    rest = [(100 + i, f"x y z {i}", "en", "t", 8) for i in range(500)]
+    docs = spark.createDataFrame([*hot, *rest], SCHEMA).repartition(7)
+    taken = {r["source_size"]: r["n"] for r in mixing.mix_documents(docs).groupBy("source_size").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    made = collections.Counter()
+    passes = collections.Counter()
+    for r in mixing.apply_mix(docs).collect():
+        made[r["source"]] += len(WORD.findall(r["text"]))
+        passes[r["doc_id"], r["lang"]] += 1
+    assert made == {"s": taken[64_000], "t": taken[2000]}
+    assert sum(n for (i, _), n in passes.items() if i == 7) <= 2 * 8000 and passes[7, "en"] > passes[7, "de"] > 0
+
+
+def test_mixing_takes_an_equal_row_no_oftener_than_planned(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 3 + [(2, "c " * 4000, "en", "s", 8000)], SCHEMA)
+    per = mixing.mix_documents(docs, share=0.01).groupBy("doc_id").agg({"taken": "sum"}).collect()
+    made = collections.Counter()
+    for r in mixing.apply_mix(docs, share=0.01).collect():
+        made[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert {r[0]: r[1] for r in per if r[1]} == dict(made)
+
+
+def test_classes_have_keys_where_ids_are_null_or_shared(spark):
+    rng = random.Random(9)
+    groups = []
+    for i in range(3):
+        base = prose(rng, 200)
+        groups.append([(None, base, "en", "s", 1), (i + 10, base + " more", "en", "s", 1)])
+    groups.append([(None, prose(rng, 150), "en", "s", 1)])
+    found = chosen_path.near_duplicates(spark.createDataFrame([r for g in groups for r in g], SCHEMA)).collect()
+    assert len({r["class_key"] for r in found}) == 4
+    assert sorted(collections.Counter(r["class_key"] for r in found).values()) == [1, 2, 2, 2]
+    assert sorted(r["n_links"] for r in found) == [0, 1, 1, 1, 1, 1, 1]
+
+
+def test_one_very_long_labelled_text_leaves_the_fit_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    bad = ["grolf", "snarb", "zwick"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [w for w in prose(rng, 30).split()] + ([rng.choice(bad)] * 2 if i % 4 == 0 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+    def accuracy(rows, labels) -> float:
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+        return sum(got[i] == int(i % 4 == 0) for i in held) / len(held)
+
+    plain = accuracy(rows, labels)
+    assert plain > 0.9
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 200_000)
+    long = [(1000 + i, "word " * 100_000, "en", "s", 1) for i in range(8)]
+    assert accuracy([*rows, *long], [*labels, *[(1000 + i, 1, i % 2) for i in range(8)]]) == plain
+
+
+def test_kept_words_are_bounded_by_bytes():
+    with open(vocabularies.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    coder, plain = grammar.WordEncoder(definition, most_bytes=1 << 16), Tokenizer.from_str(definition)
+    rng = random.Random(2)
+    for _ in range(40):
+        words = ["".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["".join(rng.choice("etaoin") for _ in range(2000))]
+        got = coder.batch([" ".join(words)])[0]
+        assert np.frombuffer(got, coder.kind).tolist() == plain.encode(" ".join(words), add_special_tokens=False).ids
+        assert coder.bytes <= 1 << 16 and all(len(w) <= coder.KEEP_CHARS for w in coder)
+        assert sum(sys.getsizeof(w) + sys.getsizeof(d) for w, d in coder.items()) <= coder.bytes
+    hashes = chosen_path.WordHashes(1 << 16)
+    assert [hashes[f"w{i % 900}"] == hashes[f"w{i % 900}"] for i in range(3000)] == [True] * 3000 and hashes.bytes <= 1 << 15
