@@ -1,7 +1,7 @@
 """Communities: Louvain, its phenotype-aware form, personalised PageRank with sweep cuts, and their combination.
 
-Moves of Louvain are sequential, so one partition is found by one NumPy kernel on the edges of one network (a few
-thousand nodes); many seeds, weights or networks run side by side, a task each. What is a sum over edges or nodes
+Louvain runs on edge lists (`louvain.py`). In its phenotype-aware form moves are sequential, so that one partition is found by
+one NumPy kernel on the edges of one network (a few thousand nodes), a task for each weight. What is a sum over edges or nodes
 (modularity, conductance, contraction, rank iterations, prefix volumes) is a Spark plan.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
+from plexmat.operators import louvain as parallel
 from plexmat.plans.iterate import per_run, saved
 
 # ---- sums over edges ------------------------------------------------------------------------------
@@ -203,23 +204,14 @@ def matrix_of(cells: pd.DataFrame, nodes: list[str]) -> tuple[np.ndarray, list[s
 
 
 def louvain(edges: DataFrame, seeds: list[int] = [0], max_passes: int = 100, min_delta: float = 1e-10) -> DataFrame:  # noqa: B006
-    """(seed, node, community) for undirected edges; each seed is a task."""
-    tasks = edges.join(F.broadcast(edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))
-
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*p["src"], *p["dst"]})
-        c, _ = louvain_kernel(dense(p, nodes), int(key[0]), max_passes=max_passes, min_delta=min_delta)
-        return pd.DataFrame({"seed": key[0], "node": nodes, "community": c})
-
-    return tasks.groupBy("seed").applyInPandas(run, "seed int, node string, community long")
+    """(seed, node, community) for undirected edges, a run for each seed, all in the same jobs."""
+    return parallel.numbered(parallel.parallel(edges, seeds, max_passes, min_delta)[0])
 
 
 def louvain_history(edges: DataFrame, seed: int = 0) -> DataFrame:
     """What each level of a run did."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(louvain_kernel(dense(p, sorted({*p["src"], *p["dst"]})), seed)[1])
-
-    return edges.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "level long, nodes_at_level long, moves long, communities long")
+    rows = [(h["level"], h["nodes_at_level"], h["moves"], h["communities"]) for h in parallel.parallel(edges, [seed])[1]]
+    return edges.sparkSession.createDataFrame(rows, "level long, nodes_at_level long, moves long, communities long")
 
 
 def _with_data(edges: DataFrame, long: DataFrame, target: DataFrame, settings: DataFrame, run, schema: str) -> DataFrame:

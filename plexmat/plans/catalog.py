@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import align, analyze, cca, clean, clinical, community, learn, phenotype, profile, select, similarity
+from plexmat.operators import align, analyze, cca, clean, clinical, community, learn, louvain, phenotype, profile, select, similarity
 from plexmat.sources import frames
 from plexmat.sources.frames import rounded
 from plexmat.streaming import profile as stream_profile
@@ -407,6 +407,19 @@ def emb_net(s: SparkSession, d: str) -> DataFrame:
 
 
 query("louvain")(lambda s, d: community.louvain(emb_net(s, d), [0, 1, 2]))
+_WISH = """, ks AS (SELECT src AS node, sum(weight) AS k FROM sy GROUP BY 1), m AS (SELECT sum(weight) AS m2 FROM sy),
+o AS (SELECT sy.src AS node, dst, a.k, round(weight - a.k * b.k / m2, 12) AS offer FROM sy JOIN ks a ON sy.src = a.node JOIN ks b ON dst = b.node, m WHERE sy.src <> dst),
+w AS (SELECT node, dst AS t, k, offer AS net, md5(node || ':0:0.0') AS turn FROM o QUALIFY row_number() OVER (PARTITION BY node ORDER BY offer DESC, dst DESC) = 1),
+wish AS (SELECT * FROM w, m WHERE net > 1e-10 * m2 / 2),
+lost AS (SELECT u.node, sum(weight) AS lost FROM sy JOIN wish u ON sy.src = u.node JOIN wish v ON dst = v.node WHERE sy.src <> dst AND v.turn < u.turn AND (v.node = u.t OR v.t = u.node) GROUP BY 1)
+"""
+query(
+    "louvain_first_round",
+    "SELECT node, t AS \"to\", {R(net * 2 / m2)R} AS gain, {R(sure * 2 / m2)R} AS sure, sure > 1e-10 * m2 / 2 AS goes FROM (SELECT *, net - coalesce(lost, 0) - k * coalesce(sum(k) OVER (PARTITION BY t ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / m2 AS sure FROM wish LEFT JOIN lost USING (node))",
+    "sy",
+)(lambda s, d: tidy(louvain.first_round(trade_undirected(s, d))))
+ORACLES["louvain_first_round"] = ORACLES["louvain_first_round"].replace(' SELECT node, t AS "to"', _WISH + ' SELECT node, t AS "to"')
+query("louvain_quality")(lambda s, d: tidy(community.modularity(emb_net(s, d), community.louvain(emb_net(s, d)))))
 query("louvain_history")(lambda s, d: community.louvain_history(emb_net(s, d)))
 query("correlated_louvain")(lambda s, d: tidy(community.correlated_louvain(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d), [0.2, 0.8])))
 query("top_communities")(lambda s, d: tidy(community.top_communities(community.correlated_louvain(emb_net(s, d), frames.emb(s, d), frames.emb_label(s, d)), 3)))

@@ -5,17 +5,24 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the session names (spark.checkpoint.dir), so that a lost executor costs no
     recomputation; where none is set, as in local runs, a temporary one is made."""
-    sc = df.sparkSession.sparkContext
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, set if it isn't yet."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         conf = sc.getConf().get("spark.checkpoint.dir")
         if conf is None:
@@ -24,7 +31,15 @@ def saved(df: DataFrame) -> DataFrame:
             conf = tempfile.mkdtemp(prefix="plexmat-")
             atexit.register(shutil.rmtree, conf, ignore_errors=True)
         sc.setCheckpointDir(conf)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: lineage ends there as with saved(), and joins know the table's size, so that Spark broadcasts what it finds small enough."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/plexmat/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def placed(df: DataFrame, keys: list[str], bucket: Column, order: list, weight: Column | None = None, out: str = "_place") -> DataFrame:
