@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexmat.plans.iterate import saved
+from plexmat.operators import ranks
+from plexmat.plans.iterate import saved, written
 
 
 def above(edges: DataFrame, threshold: float) -> DataFrame:
@@ -87,12 +88,18 @@ def upper(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.where("src_pos < dst_pos")
 
 
+_ABOVE = {f"above_{str(t).replace('.', '_')}": t for t in (0.001, 0.1, 0.3, 0.5, 0.7, 0.8, 0.9)}
+
+
 def edge_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distribution of the positive weights above the diagonal."""
     e, w = upper(edges, nodes).where("weight > 0"), F.col("weight")
-    cuts = [F.percentile(w, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75, 90, 95, 99)]
-    counts = [F.count_if(w > t).alias(f"above_{str(t).replace('.', '_')}") for t in (0.001, 0.1, 0.3, 0.5, 0.7, 0.8, 0.9)]
-    return e.agg(F.count("*").alias("n"), F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.median(w).alias("median"), F.min(w).alias("min"), F.max(w).alias("max"), *cuts, *counts)
+    at = (25, 50, 75, 90, 95, 99)
+    e = written(e.select("weight"), "weights")
+    found = ranks.quantiles(e, [], "weight", [p / 100 for p in at])
+    cuts = [F.col("quantiles")[i].alias(f"p{p}") for i, p in enumerate(at)]
+    counts = [F.count_if(w > t).alias(name) for name, t in _ABOVE.items()]
+    return e.agg(F.count("*").alias("n"), F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.min(w).alias("min"), F.max(w).alias("max"), *counts).join(F.broadcast(found.select("quantiles")), how="left").select("n", "mean", "std", F.col("quantiles")[1].alias("median"), "min", "max", *cuts, *_ABOVE)
 
 
 def strongest_edges(edges: DataFrame, nodes: DataFrame, top: int = 50) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexmat.operators import ranks
+
 _INF = float("inf")
 
 
@@ -28,8 +30,13 @@ def impute_simple(long: DataFrame, method: str = "mean") -> DataFrame:
         return long.na.fill(0.0, ["value"])
     if method not in ("mean", "median"):
         raise ValueError(f"unknown method {method!r}")
-    fill = F.avg("value") if method == "mean" else F.median("value")
-    return per_feature(long, _fill=fill).withColumn("value", F.coalesce("value", "_fill")).drop("_fill")
+    if method == "mean":
+        return per_feature(long, _fill=F.avg("value")).withColumn("value", F.coalesce("value", "_fill")).drop("_fill")
+    gaps = long.where("value is null").select("feature").distinct()
+    if gaps.isEmpty():
+        return long
+    fill = ranks.medians(long.join(gaps, "feature", "left_semi"), ["feature"], "value", "_fill")
+    return long.join(fill, "feature", "left").select("feature", *[F.coalesce("value", "_fill").alias(c) if c == "value" else c for c in long.columns if c != "feature"])
 
 
 def impute_knn(long: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
@@ -126,7 +133,7 @@ def sparse_filter(long: DataFrame, missing: float = 0.20) -> DataFrame:
 def variation_filter(long: DataFrame, quantile: float = 0.5) -> DataFrame:
     """Features whose coefficient of variation (mean 0 counts as 1) is above a quantile of all."""
     cv = long.groupBy("feature").agg(F.abs(F.stddev_samp("value") / F.when(F.avg("value") == 0, 1.0).otherwise(F.avg("value"))).alias("cv"))
-    cut = cv.agg(F.percentile("cv", F.lit(quantile)).alias("cut"))
+    cut = ranks.quantiles(cv, [], "cv", [quantile]).select(F.col("quantiles")[0].alias("cut"))
     return long.join(cv.join(F.broadcast(cut)).where("cv > cut"), "feature", "left_semi")
 
 
@@ -192,7 +199,7 @@ def prune(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 def prune_quantile(edges: DataFrame, quantile: float = 0.5) -> DataFrame:
     """Edges of at least a quantile of all weights (linear interpolation)."""
-    cut = edges.agg(F.percentile("weight", F.lit(quantile)).alias("_cut"))
+    cut = ranks.quantiles(edges, [], "weight", [quantile]).select(F.col("quantiles")[0].alias("_cut"))
     return edges.join(F.broadcast(cut)).where((F.col("_cut") <= 0) | (F.col("weight") >= F.col("_cut"))).drop("_cut")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexmat.operators import ranks
+
 
 def _medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return F.broadcast(df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns]))
@@ -26,16 +28,16 @@ def ordinal(df: DataFrame, maps: dict[str, dict[str, float]], impute: bool = Fal
 def numeric(df: DataFrame, columns: list[str], impute: bool = True, scale: bool = False) -> DataFrame:
     """Columns cast to numbers (what is none is missing), medians for missing ones, and (v - median) / (q75 - q25) on demand."""
     out = df.withColumns({c: F.col(c).try_cast("double") for c in columns})
-    stats = F.broadcast(out.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns]))
-    out = out.join(stats)
+    cells = out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns]))) if columns else None
+    found = {r["column"]: r["quantiles"] for r in ranks.quantiles(cells, ["column"], "v", [0.25, 0.5, 0.75]).collect()} if columns else {}  # a row for each named column
     for c in columns:
-        q, v = F.col(f"_q_{c}"), F.col(c)
+        q, v = [F.lit(x).cast("double") for x in found.get(c, [None] * 3)], F.col(c)
         if impute:
             v = F.coalesce(v, q[1])
         if scale:
             v = (v - q[1]) / F.coalesce(F.nullif(q[2] - q[0], F.lit(0.0)), F.lit(1.0))
         out = out.withColumn(c, v)
-    return out.drop(*[f"_q_{c}" for c in columns])
+    return out
 
 
 def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:

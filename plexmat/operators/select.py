@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import clean, similarity
+from plexmat.operators import clean, ranks, similarity
 from plexmat.plans.iterate import saved
 from plexmat.sources.frames import row_vectors
 
@@ -28,8 +28,8 @@ def variance_top(long: DataFrame, k: int = 1000, ddof: int = 0) -> DataFrame:
 
 def mad_top(long: DataFrame, k: int) -> DataFrame:
     """By median absolute deviation."""
-    dev = clean.per_feature(long, _m=F.median("value")).select(*_KEY, F.abs(F.col("value") - F.col("_m")).alias("d"))
-    return top(dev.groupBy(*_KEY).agg(F.median("d").alias("score")), k)
+    dev = long.join(ranks.medians(long, ["feature"], "value", "_m"), "feature").select(*_KEY, F.abs(F.col("value") - F.col("_m")).alias("d"))
+    return top(ranks.medians(dev, _KEY, "d", "score"), k)
 
 
 def pca_top(long: DataFrame, k: int, components: int = 50) -> DataFrame:

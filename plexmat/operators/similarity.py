@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.operators import clean
-
+from plexmat.operators.ranks import order_statistics
+from plexmat.plans.iterate import written
 
 #: Features that one task may hold all pairs of, and numbers in an array of samples by features.
 BLOCK, CELLS = 1024, 1 << 24
@@ -180,7 +181,8 @@ def squared_distance(long: DataFrame) -> DataFrame:
 def median_distance(distances: DataFrame, names: DataFrame) -> DataFrame:
     """The lower median of the full square of distances, diagonal zeros included (one row, column m)."""
     square = distances.select("s").unionByName(names.select(F.lit(0.0).alias("s")))
-    return square.agg(F.expr("percentile_disc(0.5) within group (order by s)").alias("m"))
+    found = order_statistics(square, [], "s", lambda n: F.array(F.floor((n - 1) / 2)))
+    return found.select(F.col("values")[0].alias("m"))
 
 
 def gaussian(long: DataFrame, sigma: float | None = None, eps: float = 0.0, factor: float = 2.0) -> DataFrame:
@@ -188,6 +190,7 @@ def gaussian(long: DataFrame, sigma: float | None = None, eps: float = 0.0, fact
     d = squared_distance(long)
     if sigma is not None:
         return d.withColumn("s", F.exp(-F.col("s") / (factor * sigma + eps)))
+    d = written(d, "distances")
     m = median_distance(d, features_of(long))
     return d.join(F.broadcast(m)).withColumn("s", F.exp(-F.col("s") / (factor * F.col("m") + eps))).drop("m")
 
@@ -212,16 +215,21 @@ def nearest(pairs: DataFrame, k: int = 15, digits: int = 9) -> DataFrame:
 
 def strongest(pairs: DataFrame, k: int = 15) -> DataFrame:
     """Entries of at least the value just below the k * N strongest of all (so a few more than that many)."""
-    n = pairs.agg(F.count_distinct("src").alias("n")).head()["n"]
-    cut = pairs.select("s").orderBy(F.desc("s")).offset(k * n).limit(1).select(F.col("s").alias("_cut"))
+    pairs = written(pairs, "pairs")
+    size = pairs.agg(F.count_distinct("src").alias("n"), F.count("s").alias("all")).head()
+    if size["all"] <= k * size["n"]:
+        return pairs
+    found = order_statistics(pairs, [], "s", lambda n: F.array(n - 1 - k * size["n"]))
+    cut = found.select(F.col("values")[0].alias("_cut"))
     return pairs.join(F.broadcast(cut), how="left").where(F.col("_cut").isNull() | (F.col("s") >= F.col("_cut"))).drop("_cut")
 
 
 def weakest_cut(pairs: DataFrame, names: DataFrame, k: int = 15, self_similarity: float = 1.0) -> DataFrame:
     """The compatible cut of the similarity network: entries of at least the (k * N)-th smallest of all N squared."""
-    n = names.count()
+    n, pairs = names.count(), written(pairs, "pairs")
     every = pairs.select("s").unionByName(names.select(F.lit(self_similarity).alias("s")))
-    cut = every.orderBy("s").offset(k * n - 1).limit(1).select(F.col("s").alias("_cut"))
+    found = order_statistics(every, [], "s", lambda held: F.filter(F.array(F.lit(k * n - 1)), lambda r: r < held))
+    cut = found.where(F.size("values") > 0).select(F.col("values")[0].alias("_cut"))
     return pairs.join(F.broadcast(cut)).where(F.col("s") >= F.col("_cut")).drop("_cut")
 
 
