@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from sys import getsizeof
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +55,25 @@ def kept_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     """The table that this worker keeps under key, made if it isn't there; any other goes."""
     if key not in _KEPT:
         _KEPT.clear()
+        _give_back()  # also what stages without a table have left
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def keep_nothing() -> None:
     """For operators without a table: that of the stage before goes."""
-    _KEPT.clear()
+    if _KEPT:
+        _KEPT.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Returns free memory to the system: an executor's workers outlive the stages of a pipeline, and what one stage has freed counts until then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):  # another C library has nothing to trim
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Remembered(dict):
