@@ -332,24 +332,22 @@ class WordEncoder(dict):
         found |= self.learn([w for w in need if w not in found])
         found |= {w: found[stem] + found[tail] for w, stem, tail in parts}
         data = [found[w] if d is None else d for w, d in zip(words, data, strict=True)]
-        self.remember(found, dict(zip(words, data, strict=True)))
+        if not self.remember(found):  # no room: the words of this batch, frequent ones among them, stay alone
+            self.clear()
+            self.bytes = 0
+            self.remember(dict(zip(words, data, strict=True)))
         return data
 
-    def remember(self, found: dict[str, bytes], batch: dict[str, bytes]) -> None:
-        """Keeps what was found; where there is no room, the words of this batch, frequent ones among them, stay alone."""
-        for words, fresh in ((found, False), (batch, True)):
-            words = {w: d for w, d in words.items() if len(w) <= self.KEEP_CHARS and (fresh or w not in self)}
-            # an entry takes at most 160 bytes beside its word's characters and its ids
-            size = 160 * len(words) + 4 * sum(map(len, words)) + sum(map(len, words.values()))
-            if not fresh and self.bytes + size <= self.most_bytes and len(self) + len(words) <= self.most:
-                self.update(words)
-                self.bytes += size
-                return
-        self.clear()
-        self.bytes = 0
-        if size <= self.most_bytes:
-            self.update(words)
-            self.bytes = size
+    def remember(self, found: dict[str, bytes]) -> bool:
+        """Keeps what was found, if there is room for it."""
+        new = {w: d for w, d in found.items() if len(w) <= self.KEEP_CHARS and w not in self}
+        # an entry takes at most 160 bytes beside its word's characters and its ids
+        size = 160 * len(new) + 4 * sum(map(len, new)) + sum(map(len, new.values()))
+        if self.bytes + size > self.most_bytes or len(self) + len(new) > self.most:
+            return False
+        self.update(new)
+        self.bytes += size
+        return True
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
