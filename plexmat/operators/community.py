@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import special
 from plexmat.operators import louvain as parallel
-from plexmat.plans.iterate import per_run, saved
+from plexmat.plans.iterate import per_run, placed, saved, written
 
 # ---- sums over edges ------------------------------------------------------------------------------
 
@@ -83,6 +83,32 @@ def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.10, tol: fl
     return rank.select("node", "score")
 
 
+def sweep_cuts(edges: DataFrame, scores: DataFrame, cells: int = 256) -> DataFrame:
+    """Prefixes of the nodes by score over strength: (place, node, cut, volume, conductance), the first place being 1.
+
+    Each edge counts for its later end, so that cut and volume of every prefix are running sums of what its nodes add. They run over
+    buckets of the order, between `cells` approximate quantiles, so no task has all nodes. Ties go to the higher name. Nodes
+    without a positive score are left out; conductance is null for prefixes that leave no volume on one side.
+    """
+    e = written(symmetric(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "sweep-edges")
+    strength = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("loop"))
+    total = strength.agg(F.sum("k")).head()[0] or 0.0
+    nodes = written(scores.where("score > 0").join(strength, "node").select("node", "k", "loop", (F.col("score") / F.greatest("k", F.lit(1e-12))).alias("ratio")), "sweep-nodes")
+    cuts = nodes.agg(F.percentile_approx("ratio", F.array(*[F.lit(i / cells) for i in range(1, cells)]), 10_000)).head()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c > F.col("ratio"))) if cuts else F.lit(0)
+    order = [F.desc("ratio"), F.desc("node")]
+    at = written(placed(nodes.withColumn("_bucket", bucket), [], F.col("_bucket"), order, out="place"), "sweep-places")
+    ends = at.select("node", "place")
+    before = e.where("src <> dst").join(ends.select(F.col("node").alias("src"), "place"), "src").join(ends.select(F.col("node").alias("dst"), F.col("place").alias("place2")), "dst").where("place2 < place")
+    inner = before.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("inner"))
+    adds = written(at.join(inner, "node", "left").withColumn("add", F.col("k") - F.col("loop") - 2 * F.coalesce("inner", F.lit(0.0))), "sweep-adds")
+    ran = placed(placed(adds, [], F.col("_bucket"), order, F.col("add"), "_cut"), [], F.col("_bucket"), order, F.col("k"), "_vol")
+    cut, vol = F.col("_cut") + F.col("add"), F.col("_vol") + F.col("k")
+    least = F.least("volume", F.lit(float(total)) - F.col("volume"))
+    out = ran.select((F.col("place") + 1).alias("place"), "node", cut.alias("cut"), vol.alias("volume"))
+    return out.withColumn("conductance", F.when(least > 1e-12 * total, F.col("cut") / least))
+
+
 def katz(edges: DataFrame, alpha: float = 0.1, rounds: int = 50) -> DataFrame:
     """Katz centrality x = alpha A x + 1, scaled to length 1."""
     return _centrality(edges, lambda got: alpha * got + 1.0, rounds)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import clean, ranks, similarity
+from plexmat.operators import clean, neighbours, ranks, similarity
+from plexmat.operators.components import Components
 from plexmat.plans.iterate import saved
 from plexmat.sources.frames import row_vectors
 
@@ -33,54 +32,19 @@ def mad_top(long: DataFrame, k: int) -> DataFrame:
 
 
 def pca_top(long: DataFrame, k: int, components: int = 50) -> DataFrame:
-    """By the largest loading times explained share over the leading components of z-scores; from the Gram of features."""
-    z = clean.normalize(long, "standard")
-    n = long.agg(F.count_distinct("sample_id").alias("n")).head()["n"]
-
-    def load(p: pd.DataFrame) -> pd.DataFrame:
-        d = int(p["j"].max()) + 1
-        c = np.zeros((d, d))
-        c[p["i"], p["j"]] = p["p"]
-        c = np.triu(c) + np.triu(c, 1).T
-        val, vec = np.linalg.eigh(c)
-        m = min(components, n, d)
-        val, vec = val[::-1][:m], vec[:, ::-1][:, :m]
-        score = (np.abs(vec) * (val / max(np.trace(c), 1e-12))).max(1)
-        return pd.DataFrame({"fpos": np.arange(d, dtype=np.int32), "score": score})
-
-    loads = similarity.gram(z).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(load, "fpos int, score double")
-    return top(loads.join(F.broadcast(similarity.features_of(long)), "fpos").select(*_KEY, "score"), k)
+    """By the largest loading times explained share over the leading components of z-scores (`components`)."""
+    found = Components(clean.normalize(long, "standard"), components)
+    names = similarity.features_of(long)
+    if found.loads is None:
+        return top(names.withColumn("score", F.lit(0.0)), k)
+    share = F.array(*[F.lit(float(v) / found.total) for v in found.values])
+    best = F.array_max(F.zip_with("v", share, lambda a, b: F.abs(a) * b))
+    return top(names.join(found.loads.select("fpos", best.alias("score")), "fpos", "left").select(*_KEY, F.coalesce("score", F.lit(0.0)).alias("score")), k)
 
 
 def sample_graph(z: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
-    """The symmetric k-nearest-neighbour graph of samples by cosine, as (a, b) in both directions.
-
-    Samples are dealt into blocks, a task compares two blocks by one matrix product and passes on the k nearest of each
-    sample; all pairs of blocks are compared, so the work is the square of the samples, and what is shuffled is each
-    sample once for each block. Ties, after rounding to 9 places, go to the lower id.
-    """
-    rows = row_vectors(z).select("sample_id", "x")
-    blocks = max(1, -(-z.agg(F.count_distinct("sample_id")).head()[0] // block))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("sample_id", "x", F.lit(0).alias("side"), F.col("_block").alias("i"), other.alias("j"))
-    right = rows.select("sample_id", "x", F.lit(1).alias("side"), other.alias("i"), F.col("_block").alias("j"))
-
-    def nearest(p: pd.DataFrame) -> pd.DataFrame:
-        sides = [p[p["side"] == s].sort_values("sample_id") for s in (0, 1)]
-        if not all(map(len, sides)):
-            return pd.DataFrame({"a": [], "b": [], "s": []})
-        (ia, ib), (xa, xb) = [s["sample_id"].to_numpy() for s in sides], [np.stack(s["x"].to_numpy()) for s in sides]
-        length = np.outer(np.sqrt((xa * xa).sum(1)), np.sqrt((xb * xb).sum(1)))
-        s = np.where(length > 0, np.round(xa @ xb.T / np.where(length > 0, length, 1), 9), -2.0)
-        s[ia[:, None] == ib[None, :]] = -np.inf
-        pick = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        r, c = np.repeat(np.arange(len(ia)), pick.shape[1]), pick.ravel()
-        good = np.isfinite(s[r, c])
-        return pd.DataFrame({"a": ia[r[good]], "b": ib[c[good]], "s": s[r[good], c[good]]})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(nearest, "a string, b string, s double")
-    near = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k).select("a", "b")
+    """The symmetric k-nearest-neighbour graph of samples by cosine, as (a, b) in both directions; ties go to the lower id (`neighbours`)."""
+    near = neighbours.nearest(row_vectors(z).select(F.col("sample_id").alias("id"), "x"), k, block).select("a", "b")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import align, analyze, cca, clean, clinical, community, learn, louvain, phenotype, profile, select, similarity
+from plexmat.operators import align, analyze, cca, clean, clinical, community, glm, learn, louvain, phenotype, profile, select, similarity
 from plexmat.sources import frames
 from plexmat.sources.frames import rounded
 from plexmat.streaming import profile as stream_profile
@@ -363,6 +363,13 @@ query("regression_f", "SELECT feature, {R(r * r / (1 - r * r) * (n - 2))R} AS f
 query("select_f_classification")(lambda s, d: tidy(select.f_top(frames.emb(s, d), frames.emb_label(s, d), 20).select("fpos", "feature", "f", "p", "q", "significant")))
 query("select_f_regression")(lambda s, d: tidy(select.f_top(frames.emb(s, d), frames.emb_label(s, d), 20, task="regression").select("fpos", "feature", "f", "p", "q", "significant")))
 query("select_pca")(lambda s, d: tidy(select.pca_top(frames.emb(s, d), 20)))
+_GLM = ", gx AS (SELECT value AS x, (y >= 5)::INTEGER AS y FROM x JOIN y USING (sample_id) WHERE feature = 'f000'), w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"
+for _i in range(8):
+    _GLM += f", s{_i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(v) + 1e-8 AS h11, sum(v * x) AS h12, sum(v * x * x) + 1e-8 AS h22, sum(y - p) AS g1, sum(x * (y - p)) AS g2 FROM (SELECT *, p * (1 - p) + 1e-12 AS v FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM gx, w{_i}))), w{_i + 1} AS (SELECT a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM s{_i})"
+query("binomial_glm", "SELECT unnest(['(intercept)', 'f000']) AS term, unnest([{R(a)R}, {R(b)R}]) AS coefficient FROM w8", "x", "y")(
+    lambda s, d: tidy(glm.binomial(frames.emb(s, d).where("feature = 'f000'").join(frames.emb_label(s, d), "sample_id").select(F.col("value").alias("f000"), (F.col("y") >= 5).cast("double").alias("y")), ["f000"], intercept=True).select("term", "coefficient"))
+)
+ORACLES["binomial_glm"] = ORACLES["binomial_glm"].replace(" SELECT unnest(", _GLM + " SELECT unnest(", 1)
 query("select_forest")(lambda s, d: tidy(select.forest_top(frames.emb(s, d), frames.emb_label(s, d), 20)))
 query("select_in_both", "SELECT feature FROM (SELECT feature FROM (SELECT fpos, feature, var_pop(value) AS score FROM x GROUP BY 1, 2) ORDER BY round(score, 9) DESC, fpos LIMIT 32) INTERSECT SELECT feature FROM (SELECT fpos, feature, coalesce(abs(r), 0) AS score FROM ry ORDER BY round(score, 9) DESC, fpos LIMIT 32)", "ry")(lambda s, d: select.in_both(select.variance_top(frames.emb(s, d), 32), select.correlation_top(frames.emb(s, d), frames.emb_label(s, d), 32)))
 query("pearson_pvalues")(lambda s, d: tidy(select.pearson_with(frames.emb(s, d), frames.emb_label(s, d)).select("feature", "r", special.pearson_pvalue("r", F.col("n").cast("double")).alias("p"))))
@@ -392,6 +399,13 @@ for _i in range(10):
     _PR += f", r{_i + 1} AS (SELECT node, 0.9 * coalesce(g, 0) + 0.1 * v AS score FROM v LEFT JOIN (SELECT dst, sum(p * score) AS g FROM p JOIN r{_i} ON src = node GROUP BY 1) ON dst = node)"
 query("pagerank", "SELECT node, {R(score)R} AS score FROM r10", "sy", "nodes")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("NATION_7", 1.0), ("NATION_13", 1.0)], "node string, weight double"), fixed=10)))
 ORACLES["pagerank"] = ORACLES["pagerank"].replace(" SELECT node, (round(score", _PR + " SELECT node, (round(score")
+query(
+    "sweep_cuts",
+    "SELECT place, node, {R(cut)R} AS cut, {R(volume)R} AS volume, CASE WHEN least(volume, total - volume) > 1e-12 * total THEN {R(cut / least(volume, total - volume))R} END AS conductance FROM (SELECT place, node, sum(k - coalesce(loop, 0) - 2 * coalesce(inner_w, 0)) OVER o AS cut, sum(k) OVER o AS volume, (SELECT sum(weight) FROM sy) AS total FROM ord LEFT JOIN (SELECT a.node, sum(weight) AS inner_w FROM sy JOIN ord a ON sy.src = a.node JOIN ord b ON sy.dst = b.node WHERE b.place < a.place GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, weight AS loop FROM sy WHERE src = dst) USING (node) WINDOW o AS (ORDER BY place))",
+    "sy",
+    "nodes",
+)(lambda s, d: tidy(community.sweep_cuts(trade_undirected(s, d), community.pagerank(trade_undirected(s, d), s.createDataFrame([("NATION_7", 1.0), ("NATION_13", 1.0)], "node string, weight double"), fixed=10))))
+ORACLES["sweep_cuts"] = ORACLES["sweep_cuts"].replace(" SELECT place, node, (round(cut", _PR + ", ord AS (SELECT node, t AS k, row_number() OVER (ORDER BY score / t DESC, node DESC) AS place FROM r10 JOIN st ON src = node WHERE score > 0) SELECT place, node, (round(cut")
 query("pagerank_converged")(lambda s, d: tidy(community.pagerank(trade_undirected(s, d), s.createDataFrame([("NATION_7", 1.0)], "node string, weight double"))))
 _KZ = ", k0 AS (SELECT node, 1.0::DOUBLE AS score FROM nodes)"
 for _i in range(5):
