@@ -281,7 +281,7 @@ class WordEncoder(dict):
 
     KEEP_CHARS = 64
 
-    def __init__(self, definition: str, most: int = 700_000, most_bytes: int = 160 << 20):
+    def __init__(self, definition: str, most: int = 700_000, most_bytes: int = 224 << 20):
         super().__init__()
         self.tokenizer, self.most, self.most_bytes, self.bytes = Tokenizer.from_str(definition), most, most_bytes, 0
         self.tokenizer.no_padding()
@@ -297,12 +297,11 @@ class WordEncoder(dict):
         spec = json.loads(definition)
         self.by_word = {k: spec[k] for k in _KIND} == _KIND and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words. Plain words (lower-case letters of Latin-1) go to the tokenizer's model together, as the bytes that its
+    def learn(self, words: list[str]) -> None:
+        """Plain words (lower-case letters of Latin-1) go to the tokenizer's model together, as the bytes that its
         normaliser would make of them, and are told apart by the ids that close a word; others go through all of it, alone.
         """
         plain = [w for w in words if _PLAIN(w)]
-        found: dict[str, bytes] = {}
         done = False
         if plain:
             lines = [" ".join(plain[i : i + 5000]) for i in range(0, len(plain), 5000)]
@@ -312,11 +311,10 @@ class WordEncoder(dict):
             if done := len(stops) == len(plain):
                 data, wide = ids.astype(self.kind).tobytes(), 2 if self.kind == "<u2" else 4
                 ends = (stops * wide).tolist()
-                found = dict(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        rest = [w for w in words if w not in found] if done else words
+                self.update(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = [w for w in words if w not in self] if done else words
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[w] = np.array(e.ids, np.int64).astype(self.kind).tobytes()
-        return found
+            self[w] = np.array(e.ids, np.int64).astype(self.kind).tobytes()
 
     def meet(self, words: list[str]) -> list[bytes]:
         """The ids of the words of one batch, new ones among them."""
@@ -328,26 +326,27 @@ class WordEncoder(dict):
         parts = [(w, w.rstrip(_MARKS)) for w in new if w[-1:] in _MARKS]
         parts = [(w, stem, w[len(stem) :]) for w, stem in parts if stem.isalpha() and not _ODD(stem)]
         need = set(new).difference([w for w, _, _ in parts]).union(*[p[1:] for p in parts])
-        found = {w: d for w in need if (d := self.get(w)) is not None}
-        found |= self.learn([w for w in need if w not in found])
-        found |= {w: found[stem] + found[tail] for w, stem, tail in parts}
-        data = [found[w] if d is None else d for w, d in zip(words, data, strict=True)]
-        if not self.remember(found):  # no room: the words of this batch, frequent ones among them, stay alone
+        fresh = [w for w in need if w not in self]
+        self.learn(fresh)
+        self.update([(w, self[stem] + self[tail]) for w, stem, tail in parts])
+        out = [self[w] if d is None else d for w, d in zip(words, data, strict=True)]
+        added = fresh + [p[0] for p in parts]
+        if max(map(len, added)) > self.KEEP_CHARS:
+            for w in added:
+                if len(w) > self.KEEP_CHARS:
+                    del self[w]
+            added = [w for w in added if len(w) <= self.KEEP_CHARS]
+        self.bytes += self.size(added)
+        if self.bytes > self.most_bytes or len(self) > self.most:  # those of the batch that were there before stay, frequent ones among them
             self.clear()
-            self.bytes = 0
-            self.remember(dict(zip(words, data, strict=True)))
-        return data
-
-    def remember(self, found: dict[str, bytes]) -> bool:
-        """Keeps what was found, if there is room for it."""
-        new = {w: d for w, d in found.items() if len(w) <= self.KEEP_CHARS and w not in self}
-        # an entry takes at most 160 bytes beside its word's characters and its ids
-        size = 160 * len(new) + 4 * sum(map(len, new)) + sum(map(len, new.values()))
-        if self.bytes + size > self.most_bytes or len(self) + len(new) > self.most:
-            return False
-        self.update(new)
-        self.bytes += size
-        return True
+            self.update({w: d for w, d in zip(words, data, strict=True) if d is not None})
+            self.bytes = self.size(list(self))
+        return out
+
+    @staticmethod
+    def size(words: list[str]) -> int:
+        """Bytes that the entries of words take at most: of a word's characters, 4, and of an id for each of its bytes, 12."""
+        return 160 * len(words) + 16 * sum(map(len, words))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
