@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.operators import ranks
-from plexmat.plans.iterate import saved, written
+from plexmat.plans.iterate import placed, saved, written
 
 
 def above(edges: DataFrame, threshold: float) -> DataFrame:
@@ -121,8 +121,8 @@ def components(edges: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> Da
         if labels.where("label <> was").isEmpty():
             break
         labels = labels.select("npos", "label")
-    number = F.dense_rank().over(Window.orderBy("label")) - 1
-    return labels.join(pos, "npos").select("node", number.alias("component"))
+    number = placed(labels.select("label").distinct(), [], F.floor(F.col("label") / 4096), [F.col("label")], out="component")
+    return labels.join(number, "label").join(pos, "npos").select("node", F.col("component").cast("int").alias("component"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -149,5 +149,6 @@ def node_table(edges: DataFrame, nodes: DataFrame, threshold: float = 0.0) -> Da
     kept = edges.where(F.abs("weight") >= threshold) if threshold > 0 else edges
     ends = kept.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     deg = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    row = F.row_number().over(Window.orderBy(F.desc("degree"), "npos"))
-    return nodes.join(deg, "node").select(row.alias("index"), "node", "modality", "degree")
+    found = written(nodes.join(deg, "node").select("npos", "node", "modality", "degree"), "node-table")
+    row = placed(found, [], F.struct(-F.col("degree"), F.floor(F.col("npos") / 4096)), [F.col("npos")], out="index")
+    return row.select((F.col("index") + 1).cast("int").alias("index"), "node", "modality", "degree")

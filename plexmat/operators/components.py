@@ -13,16 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexmat.plans.iterate import written
 
-#: R factors that one task merges.
-MERGED = 64
+#: R factors that one task merges; rank up to which as many directions are taken, so that the result is exact.
+MERGED, EXACT = 64, 128
 
 
-def _signs(n: int, seed: int) -> F.Column:
+def _signs(n: int, seed: int) -> Column:
     """n pseudorandom signs of a feature."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.xxhash64("fpos", i, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0))
 
@@ -84,7 +84,8 @@ class Components:
         cells = long.where("value is not null and value <> 0").select("sample_id", "fpos", "value")
         size = cells.agg(F.count_distinct("sample_id"), F.count_distinct("fpos"), F.sum(F.col("value") ** 2)).head()
         n, d, self.total = int(size[0]), int(size[1]), float(size[2] or 0.0)
-        wide = min(most, n, d) + oversample if min(n, d) else 0  # signs of as many directions as rank may depend on one another
+        whole = min(n, d) <= EXACT
+        wide = (min(n, d) if whole else min(most, n, d)) + oversample if min(n, d) else 0  # signs of as many directions as rank may depend on one another
         if not wide:
             self.values, self.loads, self.scores = np.zeros(0), None, None
             return

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import autodiff as ad
 from plexmat.functions import forest, log, special
-from plexmat.operators import community, select
+from plexmat.operators import search, select
 from plexmat.operators.community import dense, matrix_of
-from plexmat.plans.iterate import per_run, placed, saved
+from plexmat.plans.iterate import per_run, placed, saved, written
 
 # ---- node features and labels (plans) -------------------------------------------------------------
 
@@ -50,8 +50,9 @@ def statistical_features(long: DataFrame, target: DataFrame) -> DataFrame:
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns minus their mean over their sample deviation (1e-8 for 0)."""
-    w = Window.partitionBy()
-    return df.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.when(F.stddev_samp(c).over(w) > 0, F.stddev_samp(c).over(w)).otherwise(F.lit(1e-8)) for c in columns})
+    stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    out = df.join(F.broadcast(stats))  # one row
+    return out.select(*[((F.col(c) - F.col(f"_mean_{c}")) / F.when(F.col(f"_sd_{c}") > 0, F.col(f"_sd_{c}")).otherwise(F.lit(1e-8))).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def node_labels(long: DataFrame, target: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def feature_weights(reduced: DataFrame) -> DataFrame:
 def fuse(long: DataFrame, weights: DataFrame, alpha: float = 2.0, beta: float = 0.5) -> DataFrame:
     """x * (beta + (1 - beta) * alpha * w); features without a weight are left as they are."""
     factor = F.coalesce(beta + (1 - beta) * alpha * F.col("w"), F.lit(1.0))
-    return long.join(F.broadcast(weights), "feature", "left").select("sample_id", "fpos", "feature", (F.col("value") * factor).alias("value"))
+    return long.join(weights, "feature", "left").select("sample_id", "fpos", "feature", (F.col("value") * factor).alias("value"))
 
 
 def represent(long: DataFrame, embeddings: DataFrame, method: str = "AE", dim: int = 2, alpha: float = 1.0, beta: float = 0.8) -> DataFrame:
@@ -590,7 +591,8 @@ def network_search(long: DataFrame, target: DataFrame, settings: list[dict] | No
     weighted by centrality (or smoothed, mode laplacian) tell the phenotype, and by the topology of the network.
 
     Without settings the grids of the methods are tried, in a pseudorandom order, `trials` of them at most. A setting that
-    fails is logged and left out; if all fail that is an error. `best_network` builds the network of the best.
+    fails is logged and left out; if all fail that is an error. `best_network` builds the network of the best. Weighted by
+    centrality, all settings are one plan (`search`); smoothed, one is tried after another.
     """
     from plexmat.operators import analyze
     from plexmat.operators.similarity import BUILDERS, features_of
@@ -598,19 +600,26 @@ def network_search(long: DataFrame, target: DataFrame, settings: list[dict] | No
     if settings is None:
         grid = parameter_grid(methods or list(GRIDS))
         settings = [grid[i] for i in np.random.default_rng(seed).permutation(len(grid))[:trials]]
-    rows = []
     long = saved(long)
+    if mode == "eigenvector":
+        plans = []
+        for i, s in enumerate(settings):
+            try:
+                plans.append(search.plan_of(i, s))
+            except (ValueError, TypeError) as why:
+                log.get_logger(__name__).warning("setting %s left out: %s", s, why)
+        found = written(search.search(long, target, plans, weight, proxy_score), "search") if plans else None
+        if found is None or found.isEmpty():
+            raise RuntimeError("no setting gave a network")
+        names = long.sparkSession.createDataFrame([(i, str(s)) for i, s in enumerate(settings)], "config int, setting string")
+        return found.join(names, "config").select("config", "setting", "score", "f1", "topology")
+    rows = []
     nodes = saved(features_of(long).select(F.col("feature").alias("node"), F.col("fpos").alias("npos")))
 
     def measure(s: dict) -> tuple[float, float]:
         edges = saved(BUILDERS[s["method"]](long, self_loops=False, **_arguments(s)))
         quality = analyze.topology_quality(edges, nodes).head()["quality"]
-        if mode == "laplacian":
-            cells = analyze.smoothed(long, edges)
-        else:
-            one = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
-            c = community.eigenvector(one, 20).select(F.col("node").alias("feature"), F.log1p(F.greatest("score", F.lit(0.0))).alias("c"))
-            cells = long.join(c, "feature").withColumn("value", F.col("value") * F.col("c")).drop("c")
+        cells = analyze.smoothed(long, edges)
 
         def run(p: pd.DataFrame) -> pd.DataFrame:
             x, samples = matrix_of(p, sorted(set(p["feature"])))

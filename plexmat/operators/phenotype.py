@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
+from plexmat.operators import clean
+from plexmat.operators.components import Components
+from plexmat.plans.iterate import written
 
 
 def component(x: np.ndarray, y: np.ndarray, standardize: bool) -> tuple[float | None, float | None]:
@@ -43,8 +46,20 @@ def omics_correlation(long: DataFrame, target: DataFrame) -> DataFrame:
     """|r| and p of the first component of all (standardised) features."""
     if target.isEmpty():
         raise ValueError("the phenotype is empty")
-    every = long.select(F.lit(0).cast("long").alias("set_id"), "feature").distinct()
-    return set_correlations(long, target, every).select("r", "p")
+    cells = long.join(target.where("y is not null"), "sample_id").select("sample_id", "fpos", "feature", F.coalesce("value", F.lit(0.0)).alias("value"), "y")
+    cells = written(cells, "with-y")
+    found = Components(clean.normalize(cells.drop("y"), "standard"), 1)
+    size = cells.agg(F.count_distinct("sample_id").alias("n"), F.count_distinct("feature").alias("d")).head()
+    r = p = None
+    if found.scores is not None and size["d"] >= 2 and size["n"] >= 3:
+        # a sample without a score is one whose standardised values are all 0
+        y = cells.groupBy("sample_id").agg(F.first("y").alias("y"))
+        both = y.join(found.scores.select("sample_id", F.col("v")[0].alias("t")), "sample_id", "left").na.fill(0.0, ["t"])
+        sums = both.agg(F.corr("t", "y").alias("r"), F.stddev_pop("t").alias("st"), F.stddev_pop("y").alias("sy")).head()
+        if sums["st"] >= 1e-10 and sums["sy"] >= 1e-12:
+            r = abs(sums["r"])
+            p = special.pearson_tail(r, size["n"])
+    return long.sparkSession.createDataFrame([(r, p)], "r double, p double")
 
 
 def cluster_correlation(long: DataFrame, target: DataFrame, features: Iterable[str]) -> DataFrame:

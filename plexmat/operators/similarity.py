@@ -21,6 +21,8 @@ from plexmat.plans.iterate import written
 
 #: Features that one task may hold all pairs of, and numbers in an array of samples by features.
 BLOCK, CELLS = 1024, 1 << 24
+#: Least width of a block; products of parts of the samples that one task adds up.
+NARROW, MERGED = 256, 64
 
 
 def _dense(at: pd.Series, v: pd.Series, width: int) -> np.ndarray:
@@ -95,34 +97,86 @@ def centred(long: DataFrame) -> DataFrame:
     return clean.per_feature(long, _m=F.avg("value")).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
 
 
-def nearest_by_blocks(long: DataFrame, k: int, shape=lambda r: r, digits: int = 9) -> DataFrame:
-    """The k most similar others of each feature by shape(r), r = p_ij / sqrt(p_ii p_jj): src, dst, src_pos, dst_pos, s.
+def _pick(i: int, j: int, r: np.ndarray, there: list[np.ndarray], k: int, shape, digits: int) -> pd.DataFrame:
+    """The k best of each feature of either block in the other; there tells which places of the blocks are features."""
+    s, width, out = shape(r), len(r), []
+    for value, (x, y), (here, others) in ((s, (i, j), there), *(() if i == j else ((s.T, (j, i), there[::-1]),))):
+        order = np.where(others[None, :], np.round(value, digits), -np.inf)
+        if x == y:
+            np.fill_diagonal(order, -np.inf)
+        pick = np.argsort(-order, axis=1, kind="stable")[:, :k]
+        rows, cols = np.repeat(np.arange(width), pick.shape[1]), pick.ravel()
+        good = here[rows] & np.isfinite(order[rows, cols])
+        rows, cols = rows[good], cols[good]
+        out.append(pd.DataFrame({"src_pos": (x * width + rows).astype(np.int32), "dst_pos": (y * width + cols).astype(np.int32), "s": value[rows, cols]}))
+    return pd.concat(out)
 
-    Every pair of blocks is compared in one task over all samples, which passes on the k best of each feature; the best of
-    all are taken by a window over k rows a block. Blocks are as wide as CELLS allows for the number of samples.
-    """
-    samples = max(1, long.agg(F.count_distinct("sample_id")).head()[0])
-    width = max(16, min(2 * BLOCK, CELLS // samples))
 
+def _present(p: pd.DataFrame, side: int, width: int) -> np.ndarray:
+    return np.isin(np.arange(width), np.concatenate([*p.loc[p["side"] == side, "at"].to_numpy(), np.zeros(0, int)]))
+
+
+def _scaled(p: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    return p / np.maximum(np.sqrt(np.outer(aa, bb)), 1e-8)
+
+
+_PICKED = "src_pos int, dst_pos int, s double"
+
+
+def _picked_at_once(long: DataFrame, k: int, shape, digits: int, width: int) -> DataFrame:
+    """A pair of blocks in one task with all its samples."""
     def best(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[0]), int(key[1])
         a, b = _sides(p, i, j, width)
-        there = [np.isin(np.arange(width), np.concatenate(p.loc[p["side"] == s, "at"].to_numpy())) for s in (i, j)]
-        r = a.T @ b / np.maximum(np.sqrt(np.outer((a * a).sum(0), (b * b).sum(0))), 1e-8)
-        s = shape(r)
-        out = []
-        for value, (x, y), (here, others) in ((s, (i, j), there), *(() if i == j else ((s.T, (j, i), there[::-1]),))):
-            order = np.where(others[None, :], np.round(value, digits), -np.inf)
-            if x == y:
-                np.fill_diagonal(order, -np.inf)
-            pick = np.argsort(-order, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(width), pick.shape[1]), pick.ravel()
-            good = here[rows] & np.isfinite(order[rows, cols])
-            rows, cols = rows[good], cols[good]
-            out.append(pd.DataFrame({"src_pos": (x * width + rows).astype(np.int32), "dst_pos": (y * width + cols).astype(np.int32), "s": value[rows, cols]}))
-        return pd.concat(out)
-
-    found = block_pairs(long, width).groupBy("i", "j").applyInPandas(best, "src_pos int, dst_pos int, s double")
+        return _pick(i, j, _scaled(a.T @ b, (a * a).sum(0), (b * b).sum(0)), [_present(p, side, width) for side in (i, j)], k, shape, digits)
+
+    return block_pairs(long, width).groupBy("i", "j").applyInPandas(best, _PICKED)
+
+
+def _picked_by_parts(long: DataFrame, k: int, shape, digits: int, width: int) -> DataFrame:
+    """A pair of blocks in many tasks, each with some of the samples; their products are added up in rounds, MERGED at a time."""
+    schema = "i int, j int, part int, p binary, aa binary, bb binary"
+
+    def products(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(key[0]), int(key[1])
+        a, b = _sides(p, i, j, width)
+        # places without a feature are told by a square sum below 0
+        aa, bb = (np.where(_present(p, side, width), (m * m).sum(0), -1.0) for side, m in ((i, a), (j, b)))
+        return pd.DataFrame({"i": [i], "j": [j], "part": [int(key[2])], "p": [(a.T @ b).tobytes()], "aa": [aa.tobytes()], "bb": [bb.tobytes()]})
+
+    def squares(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return np.where((one < 0) | (two < 0), np.maximum(one, two), one + two)
+
+    def merge(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        total, aa, bb = np.zeros(width * width), np.full(width, -1.0), np.full(width, -1.0)
+        for x, y, z in zip(p["p"], p["aa"], p["bb"], strict=True):
+            total += np.frombuffer(x)
+            aa, bb = squares(aa, np.frombuffer(y)), squares(bb, np.frombuffer(z))
+        return pd.DataFrame({"i": [int(key[0])], "j": [int(key[1])], "part": [int(key[2])], "p": [total.tobytes()], "aa": [aa.tobytes()], "bb": [bb.tobytes()]})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for i, j, p, aa, bb in zip(x["i"], x["j"], x["p"], x["aa"], x["bb"], strict=True):
+                aa, bb = np.frombuffer(aa), np.frombuffer(bb)
+                r = _scaled(np.frombuffer(p).reshape(width, width), np.maximum(aa, 0), np.maximum(bb, 0))
+                yield _pick(i, j, r, [aa >= 0, bb >= 0], k, shape, digits)
+
+    found = written(block_pairs(long, width, CELLS // width).groupBy("i", "j", "part").applyInPandas(products, schema), "part-products")
+    while (found.agg(F.max("part")).head()[0] or 0) > 0:
+        found = written(found.groupBy("i", "j", F.expr(f"part div {MERGED}")).applyInPandas(merge, schema), "part-products")
+    return found.mapInPandas(best, _PICKED)
+
+
+def nearest_by_blocks(long: DataFrame, k: int, shape=lambda r: r, digits: int = 9) -> DataFrame:
+    """The k most similar others of each feature by shape(r), r = p_ij / sqrt(p_ii p_jj): src, dst, src_pos, dst_pos, s.
+
+    Every pair of blocks is compared in one task, which passes on the k best of each feature; the best of all are taken by
+    a window over k rows a block. Blocks are as wide as CELLS allows for the number of samples; where that is less than NARROW
+    they have that width, and the samples are cut into parts whose products are added up first.
+    """
+    samples = max(1, long.agg(F.count_distinct("sample_id")).head()[0])
+    width = min(2 * BLOCK, CELLS // samples)
+    found = _picked_at_once(long, k, shape, digits, width) if width >= NARROW else _picked_by_parts(long, k, shape, digits, NARROW)
     rank = F.row_number().over(Window.partitionBy("src_pos").orderBy(F.desc(F.round("s", digits)), "dst_pos"))
     names = features_of(long)
     top = found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")

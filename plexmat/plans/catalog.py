@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import special
 from plexmat.operators import align, analyze, cca, clean, clinical, community, glm, learn, louvain, phenotype, profile, select, similarity
+from plexmat.plans import iterate
 from plexmat.sources import frames
 from plexmat.sources.frames import rounded
 from plexmat.streaming import profile as stream_profile
@@ -562,6 +564,49 @@ query("baseline_forest")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), fram
 query("baseline_boosting")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), two_classes(s, d), "gbt")))
 query("baseline_perceptron")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), frames.emb_label(s, d), "mlp")))
 query("baseline_vectors")(lambda s, d: tidy(learn.baseline(frames.emb(s, d), two_classes(s, d), "svm")))
+def _scratch(s: SparkSession, name: str) -> str:
+    return f"{iterate.checkpoint_dir(s)}/plexmat/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT sample_id, fpos::INTEGER AS fpos, feature, {R(value)R} AS value FROM x", "x")
+def _(s, d):
+    """The matrix of embeddings written as index-first CSV and read back."""
+    path = _scratch(s, "csv")
+    frames.write_matrix_csv(frames.emb(s, d), path)
+    return tidy(frames.from_wide(frames.read_csv(s, path), "sample_id"), "value")
+
+
+@query(
+    "folds_round_trip",
+    "SELECT fold::INTEGER AS fold, part, count(*) AS n, {R(sum(y))R} AS y, {R(sum(total))R} AS total FROM (SELECT f + 1 AS fold, CASE WHEN f = own THEN 'test' ELSE 'train' END AS part, y, total FROM (SELECT sample_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5(sample_id || ':0'), sample_id) - 1) % 3 AS own FROM y) JOIN (SELECT sample_id, sum(value) AS total FROM x GROUP BY 1) USING (sample_id), range(3) r(f)) GROUP BY 1, 2",
+    "x",
+    "y",
+)
+def _(s, d):
+    """Stratified folds written in their folders and read back: rows, classes and values of each table."""
+    base = _scratch(s, "folds")
+    frames.write_folds(base, [frames.emb(s, d)], learn.stratified(frames.emb_label(s, d), 3))
+    back = frames.read_folds(s, base, 1, 3)
+    out = None
+    for part in ("train", "test"):
+        x = back[f"X_{part}_Omics_1"]
+        total = sum((F.col(c) for c in x.columns if c not in ("sample_id", "fold")), F.lit(0.0))
+        both = x.select("fold", "sample_id", total.alias("total")).join(back[f"Y_{part}"], ["fold", "sample_id"])
+        own = both.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("total").alias("total")).select("fold", F.lit(part).alias("part"), "n", F.col("y").cast("double").alias("y"), "total")
+        out = own if out is None else out.unionByName(own)
+    return tidy(out)
+
+
+@query("bundle_round_trip", "SELECT src, dst, {R(weight)R} AS weight, modality FROM tr JOIN nodes ON src = node", "tr", "nodes")
+def _(s, d):
+    """A bundle loaded by name, written table by table and read back by its schemas."""
+    found = frames.load(s, " Trade ", d)
+    folder = _scratch(s, "bundle")
+    frames.write_frames(found.tables, folder, "json")
+    back = frames.read_frames(s, folder, {k: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema) for k, t in found.tables.items()}, "json")
+    return tidy(back["edges"].join(back["nodes"].select(F.col("node").alias("src"), "modality"), "src").select("src", "dst", "weight", "modality"))
+
+
 query("network_search")(lambda s, d: tidy(learn.network_search(frames.emb(s, d), frames.emb_label(s, d), [{"method": "correlation", "k": 5}, {"method": "similarity", "k": 5}])))
 
 # ---- alignment ------------------------------------------------------------------------------------

@@ -57,8 +57,41 @@ def read_csv(spark: SparkSession, path: str, index: bool = True) -> DataFrame:
     raw = spark.read.csv(path, header=True, inferSchema=True)
     if index:
         return raw.withColumnRenamed(raw.columns[0], "sample_id").withColumn("sample_id", F.col("sample_id").cast("string"))
-    order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
-    return raw.withColumn("sample_id", order.cast("string"))
+    # a row's id tells its partition (upper bits) and its place there; the partitions before it are few numbers
+    own = raw.withColumn("_row", F.monotonically_increasing_id())
+    part = F.shiftright("_row", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.col("_row") - F.shiftleft(F.col("_part"), 33)
+    return own.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("sample_id", place.cast("string")).drop("_row", "_part", "_base")
+
+
+def write_matrix_csv(long: DataFrame, path: str) -> None:
+    """A matrix as CSV files with a header, the sample id first, its features in order."""
+    names = [r["feature"] for r in long.select("fpos", "feature").distinct().orderBy("fpos").collect()]  # the header
+    to_wide(long, names).write.option("header", True).csv(path)
+
+
+def write_folds(base: str, matrices: list[DataFrame], folds: DataFrame) -> None:
+    """Folds (sample_id, y, fold) of some matrices in the layout that read_folds reads; fold 0 is folder fold_1.
+
+    A sample is in the test tables of its fold and in the training tables of all others. layout says how many there are.
+    """
+    spark = folds.sparkSession
+    own = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    key = folds.select("sample_id", "y", "fold")
+    for k in own:
+        test = F.col("fold") == k
+        for side, rows in (("train", key.where(~test)), ("test", key.where(test))):
+            for j, m in enumerate(matrices, 1):
+                write_matrix_csv(m.join(rows.select("sample_id"), "sample_id", "left_semi"), f"{base}/fold_{k + 1}/X_{side}_Omics_{j}.csv")
+            rows.select("sample_id", "y").write.option("header", True).csv(f"{base}/fold_{k + 1}/Y_{side}.csv")
+    spark.createDataFrame([(len(own), len(matrices))], "folds int, modalities int").write.json(f"{base}/layout")
+
+
+def read_frames(spark: SparkSession, folder: str, schemas: dict[str, str], kind: str = "parquet") -> dict[str, DataFrame]:
+    """What write_frames wrote, each frame by its schema, so that no file is read to find one out."""
+    return {name: getattr(spark.read.schema(schema).option("header", True), kind)(f"{folder}/{name}") for name, schema in schemas.items()}
 
 
 def read_folds(spark: SparkSession, base: str, modalities: int, folds: int = 5) -> dict[str, DataFrame]:

@@ -239,7 +239,11 @@ def test_blocks_of_features_equal_one_block(spark, monkeypatch):
     whole = [key(c()) for c in calls]
     monkeypatch.setattr(similarity, "BLOCK", 16)
     monkeypatch.setattr(similarity, "CELLS", 480)
+    monkeypatch.setattr(similarity, "NARROW", 16)
     assert [key(c()) for c in calls] == whole
+    monkeypatch.setattr(similarity, "NARROW", 20)  # wider than all samples leave room for: they are cut into parts
+    monkeypatch.setattr(similarity, "MERGED", 2)
+    assert [key(c()) for c in calls[:1]] == whole[:1]
 
 
 def test_thresholds_against_bisection():
