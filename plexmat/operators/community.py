@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
+from plexmat.operators import condense
 from plexmat.operators import louvain as parallel
 from plexmat.plans.iterate import per_run, placed, saved, written
 
@@ -241,9 +242,14 @@ def louvain_history(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _with_data(edges: DataFrame, long: DataFrame, target: DataFrame, settings: DataFrame, run, schema: str) -> DataFrame:
-    """Runs a kernel for every row of settings (run long, ...) over the edges, the data of their nodes and the phenotype."""
+    """Runs a kernel for every row of settings (run long, ...) over the edges, the data of their nodes and the phenotype.
+
+    Many samples are condensed; the column samples says how many they were (-1 where the data are the samples themselves).
+    """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("feature")).distinct()
-    own = long.join(nodes, "feature", "left_semi").join(target, "sample_id").select(F.lit(1).alias("kind"), "sample_id", "feature", "value", "y")
+    long, target, n = condense.few(long.join(nodes, "feature", "left_semi"), target)
+    settings = settings.withColumn("samples", F.lit(-1 if n is None else n))
+    own = long.join(target, "sample_id").select(F.lit(1).alias("kind"), "sample_id", "feature", "value", "y")
     net = edges.select(F.lit(0).alias("kind"), F.col("src").alias("sample_id"), F.col("dst").alias("feature"), F.col("weight").alias("value"), F.lit(None).cast("double").alias("y"))
     return per_run(net.unionByName(own), settings, ["run"], run, schema)
 
@@ -307,8 +313,8 @@ def pagerank_kernel(a: np.ndarray, v: np.ndarray, teleport: float, tol: float =
     return x
 
 
-def sweep_kernel(a: np.ndarray, score: np.ndarray, x: np.ndarray, y: np.ndarray, k_p: float, least: int = 2) -> dict:
-    """The prefix of nodes by score over strength that is best by k_p * conductance - (1 - k_p) * |rho|, compared at 4 decimals."""
+def sweep_kernel(a: np.ndarray, score: np.ndarray, x: np.ndarray, y: np.ndarray, k_p: float, least: int = 2, n: int | None = None) -> dict:
+    """The prefix of nodes by score over strength that is best by k_p * conductance - (1 - k_p) * |rho|, compared at 4 decimals. n: how many samples the rows stand for."""
     deg = a.sum(1)
     order = sorted((i for i in range(len(a)) if score[i] > 0), key=lambda i: (-score[i] / max(deg[i], 1e-12), -i))
     rho, best = CorrelationMemo(x, y), {}
@@ -322,7 +328,7 @@ def sweep_kernel(a: np.ndarray, score: np.ndarray, x: np.ndarray, y: np.ndarray,
         phi, r = cut / min(vol, total - vol), rho(frozenset(order[:k]))
         value = round(k_p * phi - (1 - k_p) * r, 4)
         if not best or value < best["composite"]:
-            best = {"members": order[:k], "conductance": round(phi, 4), "correlation": round(r, 4), "composite": value, "p": special.pearson_tail(r, len(y))}
+            best = {"members": order[:k], "conductance": round(phi, 4), "correlation": round(r, 4), "composite": value, "p": special.pearson_tail(r, n or len(y))}
     return best
 
 
@@ -339,17 +345,22 @@ def correlated_pagerank(edges: DataFrame, long: DataFrame, target: DataFrame, se
         missing = set(seeds) - set(nodes)
         if missing:
             raise ValueError(f"seeds that aren't in the network: {sorted(missing)}")
-        found = _cut_around(a, x, y, [nodes.index(s) for s in seeds], teleport, k_p, least)
+        found = _cut_around(a, x, y, [nodes.index(s) for s in seeds], teleport, k_p, least, _samples(p))
         own = found.pop("members", [])
         return pd.DataFrame({"node": [nodes[i] for i in own], **{k: found.get(k) for k in ("conductance", "correlation", "composite", "p")}})
 
     return _with_data(edges, long, target, settings, run, "node string, conductance double, correlation double, composite double, p double")
 
 
-def _cut_around(a, x, y, seeds, teleport, k_p, least) -> dict:
+def _samples(p: pd.DataFrame) -> int | None:
+    n = int(p["samples"].iloc[0])
+    return None if n < 0 else n
+
+
+def _cut_around(a, x, y, seeds, teleport, k_p, least, n=None) -> dict:
     v = np.zeros(len(a))
     v[seeds] = seed_weights(x, y, seeds)
-    return sweep_kernel(a, pagerank_kernel(a, v / v.sum(), teleport), x, y, k_p, least)
+    return sweep_kernel(a, pagerank_kernel(a, v / v.sum(), teleport), x, y, k_p, least, n)
 
 
 def hybrid(edges: DataFrame, long: DataFrame, target: DataFrame, k_l: float = 0.8, teleport: float = 0.05, k_p: float = 0.7, max_iter: int = 10, min_nodes: int = 3, seed: int = 0) -> DataFrame:
@@ -371,7 +382,7 @@ def hybrid(edges: DataFrame, long: DataFrame, target: DataFrame, k_l: float = 0.
             c, _ = louvain_kernel(sub, seed, rho, k_l, 50, 1e-6)
             groups = [np.flatnonzero(c == g).tolist() for g in np.unique(c)]
             groups = sorted((g for g in groups if len(g) >= 2), key=lambda g: -rho(frozenset(g)))
-            found = _cut_around(sub, sx, y, groups[0], teleport, k_p, 2) if groups else {}
+            found = _cut_around(sub, sx, y, groups[0], teleport, k_p, 2, _samples(p)) if groups else {}
             if not found:
                 break
             new = keep[sorted(found["members"])]

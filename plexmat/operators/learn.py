@@ -17,7 +17,7 @@ from plexmat.functions import autodiff as ad
 from plexmat.functions import forest, log, special
 from plexmat.operators import search, select
 from plexmat.operators.community import dense, matrix_of
-from plexmat.plans.iterate import per_run, placed, saved, written
+from plexmat.plans.iterate import packed, per_run, placed, saved, unpacked, written
 
 # ---- node features and labels (plans) -------------------------------------------------------------
 
@@ -301,17 +301,16 @@ def tune_representation(long: DataFrame, embeddings: DataFrame, target: DataFram
     rng = np.random.default_rng(seed)
     rows = [(t, str(rng.choice(["PCA", "AE"])), int(rng.choice([1, 2, 4])), float(rng.uniform(0.5, 3)), float(rng.uniform(0, 1))) for t in range(trials)]
     plan = long.sparkSession.createDataFrame(rows, "trial int, method string, dim int, alpha double, beta double")
-    data = long.join(target.where("y is not null"), "sample_id").select(F.lit(0).alias("kind"), "sample_id", "feature", "value", "y", F.lit(None).cast("array<double>").alias("embedding"))
-    own = embeddings.select(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sample_id"), "feature", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("y"), "embedding")
+    rows, names = packed(long, target.where("y is not null"))
+    data = rows.select(F.lit(0).alias("kind"), "sample_id", "y", "at", "v", F.lit(None).cast("string").alias("feature"))
+    own = embeddings.select(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sample_id"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("array<int>").alias("at"), F.col("embedding").alias("v"), "feature")
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         d, e = p[p["kind"] == 0], p[p["kind"] == 1].sort_values("feature")
         method, dim, alpha, beta = (p[c].iloc[0] for c in ("method", "dim", "alpha", "beta"))
-        names = sorted(set(d["feature"]))
-        x, samples = matrix_of(d, names)
-        y = d.groupby("sample_id")["y"].first().reindex(samples).to_numpy()
+        x, y, _ = unpacked(d, len(names))
         try:
-            h = np.stack(e["embedding"].to_numpy())
+            h = np.stack(e["v"].to_numpy())
             h = h - h.mean(0)
             z = _autoencode(h, int(dim), epochs, seed) if method == "AE" else (lambda u, s, _: (u * s)[:, : int(dim)])(*np.linalg.svd(h, full_matrices=False))
             span = z.max(0) - z.min(0)
@@ -324,7 +323,7 @@ def tune_representation(long: DataFrame, embeddings: DataFrame, target: DataFram
             score = 0.0
         return pd.DataFrame([(key[0], method, dim, alpha, beta, score)], columns=["trial", "method", "dim", "alpha", "beta", "score"])
 
-    return per_run(data.unionByName(own), plan, ["trial"], run, "trial int, method string, dim int, alpha double, beta double, score double")
+    return per_run(written(data.unionByName(own), "representation-rows"), plan, ["trial"], run, "trial int, method string, dim int, alpha double, beta double, score double", 2 * len(names))
 
 
 # ---- outcome prediction ---------------------------------------------------------------------------
@@ -410,17 +409,19 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
     if long.isEmpty():
         raise ValueError("network and matrix share no feature")
     none = F.lit(None).cast("double")
+    rows, names_ = packed(long, known)
     parts = edges.select(F.lit("e").alias("part"), "src", "dst", "weight", none.alias("y"))
-    parts = parts.unionByName(long.join(known, "sample_id").select(F.lit("d").alias("part"), F.col("sample_id").alias("src"), F.col("feature").alias("dst"), F.col("value").alias("weight"), "y"))
+    parts = parts.withColumns({"at": F.lit(None).cast("array<int>"), "v": F.lit(None).cast("array<double>")})
+    parts = parts.unionByName(rows.select(F.lit("d").alias("part"), F.col("sample_id").alias("src"), "y", "at", "v"), allowMissingColumns=True)
     for r in range(repeats):
         place = _shuffled(known, seed + r)
         if share is not None:
             size = known.groupBy(F.col("y").alias("_y")).agg(F.count("*").alias("_all"))
             place = place.join(size, F.col("y") == F.col("_y")).withColumn("_place", F.when(F.col("_place") < F.round(share * F.col("_all")), 0).otherwise(F.col("_place") * 2 + 1))
-        parts = parts.unionByName(place.select(F.lit("s").alias("part"), F.col("sample_id").alias("src"), F.lit(str(r)).alias("dst"), F.col("_place").cast("double").alias("weight"), "y"))
+        parts = parts.unionByName(place.select(F.lit("s").alias("part"), F.col("sample_id").alias("src"), F.lit(str(r)).alias("dst"), F.col("_place").cast("double").alias("weight"), "y"), allowMissingColumns=True)
     if clinical is not None and names:
         vars_ = F.inline(F.array(*[F.struct(F.lit(c).alias("dst"), F.col(c).cast("double").alias("weight")) for c in names]))
-        parts = parts.unionByName(clinical.select(F.lit("c").alias("part"), F.col("sample_id").alias("src"), vars_, none.alias("y")))
+        parts = parts.unionByName(clinical.select(F.lit("c").alias("part"), F.col("sample_id").alias("src"), vars_, none.alias("y")), allowMissingColumns=True)
     rows = [tuple({**SETTINGS, **t}[c] for c in ("rep", "trial", "fold", "inner", *SETTINGS)) for t in tasks]
     plan = edges.sparkSession.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], float(r[8]), float(r[9]), r[10]) for r in rows], _TASK)
     cut = 2 if share is not None else k
@@ -429,9 +430,7 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
         rep, _, fold, within = (int(v) for v in key)
         one = p.iloc[0]
         e, d, c = (p[p["part"] == x] for x in "edc")
-        names_ = sorted({*e["src"], *e["dst"]} & {*d["dst"]})
-        cells, samples = matrix_of(d.rename(columns={"src": "sample_id", "dst": "feature", "weight": "value"}), names_)
-        y = d.groupby("src")["y"].first().reindex(samples).to_numpy()
+        cells, y, samples = unpacked(d.rename(columns={"src": "sample_id"}), len(names_))
         place = p[(p["part"] == "s") & (p["dst"] == str(rep))].set_index("src")["weight"].reindex(samples).to_numpy().astype(int)
         aside = place % cut == fold
         test = aside if within < 0 else ~aside & (place // cut % inner == within)
@@ -454,7 +453,7 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
         out = pd.DataFrame({"sample_id": np.array(samples)[test][i.ravel()], "y": y[test][i.ravel()], "class": classes[j.ravel()], "score": z.ravel()})
         return out.assign(**dict(zip(_KEYS, key, strict=True)))
 
-    return per_run(parts, plan, _KEYS, run, "rep int, trial int, fold int, inner int, sample_id string, y double, class double, score double")
+    return per_run(written(parts, "outcome-rows"), plan, _KEYS, run, "rep int, trial int, fold int, inner int, sample_id string, y double, class double, score double", len(names_))
 
 
 def _training_r(a: np.ndarray, b: np.ndarray) -> float:

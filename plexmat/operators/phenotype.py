@@ -10,33 +10,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import clean
+from plexmat.operators import clean, condense
 from plexmat.operators.components import Components
 from plexmat.plans.iterate import written
 
 
-def component(x: np.ndarray, y: np.ndarray, standardize: bool) -> tuple[float | None, float | None]:
-    """|r| of the first component with y, and its p-value; None for fewer than 2 features or 3 samples, or no variance."""
+def component(x: np.ndarray, y: np.ndarray, standardize: bool, n: int | None = None) -> tuple[float | None, float | None]:
+    """|r| of the first component with y, and its p-value; None for fewer than 2 features or 3 samples, or no variance. n: how many samples the rows stand for."""
     if x.shape[1] < 2 or len(x) < 3:
         return None, None
     pc, _ = special.first_component(special.zscore(x) if standardize else x)
     if pc.std() < 1e-10 or y.std() < 1e-12:
         return None, None
     r = abs(special.pearson(pc, y))
-    return r, special.pearson_tail(r, len(x))
+    return r, special.pearson_tail(r, n or len(x))
 
 
 def set_correlations(long: DataFrame, target: DataFrame, sets: DataFrame, standardize: bool = True) -> DataFrame:
     """For each set (set_id, feature): its size, |r| of its first component with y (by sample, not by place), and p.
 
-    A set's matrix is built in one task each: sets are meant to be small groups of features. Missing cells are 0.
+    A set's matrix is built in one task each, from a few rows that stand for the samples where there are many (`condense`):
+    sets are meant to be small groups of features. Missing cells are 0.
     """
+    long, target, n = condense.few(long, target, empty=True)
     cells = long.join(target.where("y is not null"), "sample_id").join(sets.select("set_id", "feature").distinct(), "feature").select("set_id", "sample_id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"), "y")
 
     def one(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         m = p.pivot_table(index="sample_id", columns="feature", values="value", aggfunc="first").fillna(0.0).sort_index()
         y = p.groupby("sample_id")["y"].first().sort_index().to_numpy()
-        r, pv = component(m.to_numpy(), y, standardize)
+        r, pv = component(m.to_numpy(), y, standardize, n)
         return pd.DataFrame({"set_id": [key[0]], "size": [m.shape[1]], "r": [r], "p": [pv]})
 
     return cells.groupBy("set_id").applyInPandas(one, "set_id long, size long, r double, p double")

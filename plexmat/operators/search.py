@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import special
 from plexmat.operators import similarity
-from plexmat.operators.community import matrix_of
-from plexmat.plans.iterate import per_run, written
+from plexmat.plans.iterate import packed, per_run, unpacked, written
 
 _SETTING = "config int, kind string, shape string, k int, sigma double, b double, signed boolean, mutual boolean"
 #: What a setting of each method may hold, besides the method.
@@ -130,19 +129,20 @@ def proxies(long: DataFrame, target: DataFrame, central: DataFrame, score) -> Da
     """(config, f1): how well features, weighted by log(1 + centrality), tell the phenotype; null where that fails."""
     weighed = central.groupBy("config").agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("feature"), F.log1p(F.greatest("score", F.lit(0.0))).alias("c")))).alias("given"))
     runs = weighed.select("config", F.col("given.feature").alias("names"), F.col("given.c").alias("c"))
-    data = long.join(target, "sample_id").select("sample_id", "feature", "value", "y")
+    data, every = packed(long, target)
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         names, c = list(p["names"].iloc[0]), np.asarray(p["c"].iloc[0])
-        x, samples = matrix_of(p[["sample_id", "feature", "value"]], names)
-        y = p.groupby("sample_id")["y"].first().reindex(samples).to_numpy()
+        cells, y, _ = unpacked(p, len(every))
+        at = {f: i for i, f in enumerate(every)}
+        x = np.column_stack([cells[:, at[f]] if f in at else np.zeros(len(y)) for f in names])
         try:
             f1 = score(special.zscore(x * c), y)
         except np.linalg.LinAlgError:
             f1 = None
         return pd.DataFrame({"config": [int(key[0])], "f1": pd.Series([f1], dtype="float64")})
 
-    return per_run(data, runs, ["config"], run, "config int, f1 double")
+    return per_run(written(data, "search-rows"), runs, ["config"], run, "config int, f1 double", 2 * len(every))
 
 
 def search(long: DataFrame, target: DataFrame, rows: list[tuple], weight: float, score) -> DataFrame:

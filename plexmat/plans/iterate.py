@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,13 +64,31 @@ def placed(df: DataFrame, keys: list[str], bucket: Column, order: list, weight:
 SHARED_CELLS = 1 << 24
 
 
-def per_run(data: DataFrame, runs: DataFrame, keys: list[str], kernel: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def packed(long: DataFrame, target: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Samples with a value as rows (sample_id, y, at, v), at being places in the sorted names of the features, which come beside; a
+    table of cells takes a task some twenty times the memory. Samples that target lacks are left out."""
+    names = sorted(r["feature"] for r in long.select("feature").distinct().collect())
+    places = F.broadcast(long.sparkSession.createDataFrame(list(enumerate(names)), "_at int, feature string"))
+    rows = long.where("value is not null").join(places, "feature").groupBy("sample_id").agg(F.collect_list("_at").alias("at"), F.collect_list("value").alias("v"))
+    return rows.join(target.groupBy("sample_id").agg(F.first("y").alias("y")), "sample_id").select("sample_id", "y", "at", "v"), names
+
+
+def unpacked(p: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The matrix of packed rows, samples in order, missing cells 0; y; and the samples."""
+    p = p.sort_values("sample_id")
+    m = np.zeros((len(p), width))
+    for i, (at, v) in enumerate(zip(p["at"], p["v"], strict=True)):
+        m[i, at] = v
+    return m, p["y"].to_numpy(float), p["sample_id"].tolist()
+
+
+def per_run(data: DataFrame, runs: DataFrame, keys: list[str], kernel: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str, width: int = 0) -> DataFrame:
     """kernel(key, data with the run's columns) for every row of runs, a task each.
 
     Every run reads all of data. A table of up to SHARED_CELLS cells is broadcast once, whatever the number of runs; a larger
-    one is shuffled to the runs, a copy for each.
+    one is shuffled to the runs, a copy for each. width: numbers that a row has in arrays.
     """
-    if data.count() * len(data.columns) > SHARED_CELLS:
+    if data.count() * (len(data.columns) + width) > SHARED_CELLS:
         return data.join(F.broadcast(runs)).groupBy(*keys).applyInPandas(kernel, schema)
     shared = data.sparkSession.sparkContext.broadcast(data.toPandas())
 
