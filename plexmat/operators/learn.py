@@ -381,10 +381,74 @@ class Outcome:
         """Cross-entropy by Adam with a cosine-annealed rate."""
         opt, rng = ad.Adam(self.params, rate, decay), np.random.default_rng(seed)
         for t in range(epochs):
-            loss = ad.cross_entropy(self.scores(x, g, rows, rng), label)
-            loss.backward()
+            self.slope(self.weights(x, g, rng), rows, label)
             opt.step(1e-6 + (rate - 1e-6) * (1 + np.cos(np.pi * t / epochs)) / 2)
 
+    def slope(self, weights: ad.Var, rows: np.ndarray, label: np.ndarray) -> None:
+        """Gradients of the cross-entropy of all rows, as `scores` and `backward` give them, PART rows at a time: of what lies between, only
+        the standardised layers and their gradients are kept for all rows."""
+        n, w, (one, two, last) = len(rows), weights.value[:, 0], self.head
+        parts = [slice(i, i + PART) for i in range(0, n, PART)]
+        z1, z2 = np.empty((n, one.w.value.shape[1])), np.empty((n, two.w.value.shape[1]))
+        g1, g2 = np.empty_like(z1), np.empty_like(z2)
+        (scale1, shift1, _), (scale2, shift2, _) = self.norm
+
+        def standardise(z: np.ndarray, stats: dict, eps: float = 1e-5) -> np.ndarray:
+            m = sum(z[p].sum(0) for p in parts) / n
+            s = sum(((z[p] - m) ** 2).sum(0) for p in parts) / n
+            stats["m"], stats["s"] = 0.9 * stats.get("m", m) + 0.1 * m, 0.9 * stats.get("s", s) + 0.1 * s
+            inv = 1 / np.sqrt(s + eps)
+            for p in parts:
+                z[p] = (z[p] - m) * inv
+            return inv
+
+        for p in parts:
+            z1[p] = (rows[p] * w) @ one.w.value + one.b.value
+        inv1 = standardise(z1, self.norm[0][2])
+        for p in parts:
+            z2[p] = np.maximum(z1[p] * scale1.value + shift1.value, 0) @ two.w.value + two.b.value
+        inv2 = standardise(z2, self.norm[1][2])
+        for v in (one.w, one.b, two.w, two.b, last.w, last.b, scale1, shift1, scale2, shift2):
+            v.grad = np.zeros_like(v.value)
+        mean, along = np.zeros(z2.shape[1]), np.zeros(z2.shape[1])
+        for p in parts:
+            h = np.maximum(z2[p] * scale2.value + shift2.value, 0)
+            d = h @ last.w.value + last.b.value
+            d = np.exp(d - d.max(1, keepdims=True))
+            d /= d.sum(1, keepdims=True)
+            d[np.arange(len(d)), label[p]] -= 1
+            d /= n
+            last.w.grad += h.T @ d
+            last.b.grad += d.sum(0)
+            mean, along = _through(d @ last.w.value.T * (h > 0), z2[p], scale2, shift2, g2[p], mean, along)
+        mean1, along1 = np.zeros(z1.shape[1]), np.zeros(z1.shape[1])
+        for p in parts:
+            h = np.maximum(z1[p] * scale1.value + shift1.value, 0)
+            d = inv2 * (g2[p] - mean / n - z2[p] * (along / n))
+            two.w.grad += h.T @ d
+            two.b.grad += d.sum(0)
+            mean1, along1 = _through(d @ two.w.value.T * (h > 0), z1[p], scale1, shift1, g1[p], mean1, along1)
+        cross = np.zeros_like(one.w.value)
+        for p in parts:
+            d = inv1 * (g1[p] - mean1 / n - z1[p] * (along1 / n))
+            cross += rows[p].T @ d
+            one.b.grad += d.sum(0)
+        one.w.grad = w[:, None] * cross
+        own = (cross * one.w.value).sum(1, keepdims=True)
+        ad.Var(0.0, ((weights, lambda g: g * own),)).backward()
+
+
+#: Samples whose layers are worked out at a time.
+PART = 4096
+
+
+def _through(g: np.ndarray, z: np.ndarray, scale: ad.Var, shift: ad.Var, out: np.ndarray, mean: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Takes a gradient through scale and shift into out; the sums that the standardisation before them needs."""
+    scale.grad += (g * z).sum(0)
+    shift.grad += g.sum(0)
+    out[:] = g * scale.value
+    return mean + out.sum(0), along + (out * z).sum(0)
+
 
 def Var_t(w: ad.Var) -> ad.Var:  # noqa: N802
     """The transpose of a variable."""
@@ -408,20 +472,19 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
     long = long.join(nodes, "feature", "left_semi")
     if long.isEmpty():
         raise ValueError("network and matrix share no feature")
-    none = F.lit(None).cast("double")
     rows, names_ = packed(long, known)
-    parts = edges.select(F.lit("e").alias("part"), "src", "dst", "weight", none.alias("y"))
-    parts = parts.withColumns({"at": F.lit(None).cast("array<int>"), "v": F.lit(None).cast("array<double>")})
-    parts = parts.unionByName(rows.select(F.lit("d").alias("part"), F.col("sample_id").alias("src"), "y", "at", "v"), allowMissingColumns=True)
+    places = known.select("sample_id").distinct()
     for r in range(repeats):
         place = _shuffled(known, seed + r)
         if share is not None:
             size = known.groupBy(F.col("y").alias("_y")).agg(F.count("*").alias("_all"))
             place = place.join(size, F.col("y") == F.col("_y")).withColumn("_place", F.when(F.col("_place") < F.round(share * F.col("_all")), 0).otherwise(F.col("_place") * 2 + 1))
-        parts = parts.unionByName(place.select(F.lit("s").alias("part"), F.col("sample_id").alias("src"), F.lit(str(r)).alias("dst"), F.col("_place").cast("double").alias("weight"), "y"), allowMissingColumns=True)
+        places = places.join(place.select("sample_id", F.col("_place").cast("long").alias(f"_{r}")), "sample_id")
+    rows = rows.join(places.select("sample_id", F.array(*[f"_{r}" for r in range(repeats)]).alias("place")), "sample_id")
     if clinical is not None and names:
-        vars_ = F.inline(F.array(*[F.struct(F.lit(c).alias("dst"), F.col(c).cast("double").alias("weight")) for c in names]))
-        parts = parts.unionByName(clinical.select(F.lit("c").alias("part"), F.col("sample_id").alias("src"), vars_, none.alias("y")), allowMissingColumns=True)
+        rows = rows.join(clinical.groupBy("sample_id").agg(*[F.first(F.col(c).cast("double"), True).alias(f"_{i}") for i, c in enumerate(sorted(names))]).select("sample_id", F.array(*[F.coalesce(f"_{i}", F.lit(float("nan"))) for i in range(len(names))]).alias("clinical")), "sample_id", "left")
+    # one row a sample, with all that tasks need of it
+    parts = rows.select(F.lit("d").alias("part"), F.col("sample_id").alias("src"), *[c for c in rows.columns if c != "sample_id"]).unionByName(edges.select(F.lit("e").alias("part"), "src", "dst", "weight"), allowMissingColumns=True)
     rows = [tuple({**SETTINGS, **t}[c] for c in ("rep", "trial", "fold", "inner", *SETTINGS)) for t in tasks]
     plan = edges.sparkSession.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], float(r[8]), float(r[9]), r[10]) for r in rows], _TASK)
     cut = 2 if share is not None else k
@@ -429,24 +492,28 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         rep, _, fold, within = (int(v) for v in key)
         one = p.iloc[0]
-        e, d, c = (p[p["part"] == x] for x in "edc")
-        cells, y, samples = unpacked(d.rename(columns={"src": "sample_id"}), len(names_))
-        place = p[(p["part"] == "s") & (p["dst"] == str(rep))].set_index("src")["weight"].reindex(samples).to_numpy().astype(int)
+        e, d = p[p["part"] == "e"], p[p["part"] == "d"].sort_values("src")
+        x, y, samples = unpacked(d.rename(columns={"src": "sample_id"}), len(names_))
+        place = np.stack(d["place"].to_numpy())[:, rep]
         aside = place % cut == fold
         test = aside if within < 0 else ~aside & (place // cut % inner == within)
         train = ~aside & ~test
         classes, label = np.unique(y, return_inverse=True)
-        mean, sd = cells[train].mean(0), cells[train].std(0)
-        x = (cells - mean) / np.where(sd > 0, sd, 1)
-        if len(c):
-            own = c.pivot_table(index="src", columns="dst", values="weight", aggfunc="first").reindex(samples).to_numpy()[train]
+        mean, sd = _spread(x, train)
+        x -= mean
+        x /= np.where(sd > 0, sd, 1)
+        if "clinical" in d:
+            empty = np.full(len(names), np.nan)
+            own = np.stack([v if v is not None else empty for v in d["clinical"]])
+            own = own[train][:, np.isfinite(own).any(0)]
             feats = special.zscore(np.arctanh(np.clip([[_training_r(x[train, f], own[:, v]) for v in range(own.shape[1])] for f in range(len(names_))], -0.999999, 0.999999)), ddof=1)
         else:
             feats = np.random.default_rng(1998).normal(size=(len(names_), 7))
         net = Outcome(str(one["kind_of"]), feats.shape[1], len(names_), len(classes), int(one["hidden"]), int(one["layers"]), str(one["reduction"]), drop=float(one["drop"]), seed=seed)
         g = _with_loops(dense(e, names_))
         net.fit(feats, g, x[train], label[train], int(one["epochs"]), float(one["rate"]), seed=seed)
-        z = net.scores(feats, g, x[test]).value
+        held = np.flatnonzero(test)
+        z = np.concatenate([net.scores(feats, g, x[held[i : i + PART]]).value for i in range(0, max(1, len(held)), PART)])
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
         i, j = np.indices(z.shape)
@@ -456,6 +523,12 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
     return per_run(written(parts, "outcome-rows"), plan, _KEYS, run, "rep int, trial int, fold int, inner int, sample_id string, y double, class double, score double", len(names_))
 
 
+def _spread(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the columns over some rows, a column at a time."""
+    both = [(c.mean(), c.std()) for c in (x[rows, j] for j in range(x.shape[1]))]
+    return np.array([m for m, _ in both]), np.array([s for _, s in both])
+
+
 def _training_r(a: np.ndarray, b: np.ndarray) -> float:
     both = np.isfinite(a) & np.isfinite(b)
     return float(special.pearson(a[both], b[both])) if both.sum() > 2 else 0.0
@@ -518,10 +591,10 @@ def tune_outcome(edges: DataFrame, long: DataFrame, target: DataFrame, trials: i
     """
     tried = settings or settings_of(trials, seed)
     tasks = [{"rep": 0, "trial": t, "fold": f, "inner": i, **s} for t, s in enumerate(tried) for f in range(k) for i in range(inner)]
-    scores = _outcomes(edges, long, target, clinical, names, tasks, k, inner, 1, None, seed)
+    scores = saved(_outcomes(edges, long, target, clinical, names, tasks, k, inner, 1, None, seed))  # metrics reads them more than once
     mean = metrics(scores, ["fold", "trial", "inner"]).groupBy("fold", "trial").agg(F.avg("f1_macro").alias("inner_f1"))
     best = mean.groupBy("fold").agg(F.max_by(F.struct("trial", "inner_f1"), F.struct("inner_f1", -F.col("trial"))).alias("b")).select("fold", "b.*").orderBy("fold").collect()
-    outer = _outcomes(edges, long, target, clinical, names, [{"rep": 0, "trial": r["trial"], "fold": r["fold"], "inner": -1, **tried[r["trial"]]} for r in best], k, inner, 1, None, seed)
+    outer = saved(_outcomes(edges, long, target, clinical, names, [{"rep": 0, "trial": r["trial"], "fold": r["fold"], "inner": -1, **tried[r["trial"]]} for r in best], k, inner, 1, None, seed))
     chosen = edges.sparkSession.createDataFrame([(r["fold"], r["trial"], r["inner_f1"], str(tried[r["trial"]])) for r in best], "fold int, trial int, inner_f1 double, setting string")
     return {"chosen": chosen, "runs": metrics(outer, ["fold"])}
 
