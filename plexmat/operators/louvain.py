@@ -129,7 +129,9 @@ def numbered(found: DataFrame) -> DataFrame:
 
 def first_round(edges: DataFrame, seed: int = 0, min_delta: float = 1e-10) -> DataFrame:
     """What the nodes of a network, each alone, wish and are granted: (node, to, gain, sure, goes), in modularity."""
-    e, state = start(edges, [seed])
+    e, _ = start(edges, [seed])
+    e = written(e, "louvain-edges")  # what the edges come from may be far larger than they are
+    state = alone(e)
     m2 = e.agg(F.sum("weight")).head()[0] or 0.0
     if not m2 > 0:
         return state.select("node", F.col("community").alias("to"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("sure"), F.lit(False).alias("goes")).where(F.lit(False))
