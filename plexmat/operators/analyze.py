@@ -140,8 +140,20 @@ def smoothed(long: DataFrame, edges: DataFrame) -> DataFrame:
     """Features smoothed along a network: x + x D^-1/2 A D^-1/2, over features."""
     deg = edges.groupBy("src").agg(F.sum("weight").alias("d")).where("d > 0")
     norm = edges.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("d2"))).alias("w"))
-    moved = long.join(norm, F.col("feature") == F.col("src")).groupBy("sample_id", F.col("dst").alias("feature")).agg(F.sum(F.col("value") * F.col("w")).alias("_add"))
-    return long.join(moved, ["sample_id", "feature"], "left").select("sample_id", "fpos", "feature", (F.col("value") + F.coalesce("_add", F.lit(0.0))).alias("value"))
+    norm = written(norm, "smoothing")
+    if norm.select("src").distinct().count() > SMOOTHED:
+        moved = long.join(norm, F.col("feature") == F.col("src")).groupBy("sample_id", F.col("dst").alias("feature")).agg(F.sum(F.col("value") * F.col("w")).alias("_add"))
+        return long.join(moved, ["sample_id", "feature"], "left").select("sample_id", "fpos", "feature", (F.col("value") + F.coalesce("_add", F.lit(0.0))).alias("value"))
+    # a sample's cells come together once; what they send to each other stays in their task
+    rows = written(long.groupBy("sample_id").agg(F.collect_list(F.struct("fpos", "feature", "value")).alias("_c")), "smoothing-rows").repartition("sample_id")
+    sent = rows.select("sample_id", F.inline("_c")).join(F.broadcast(norm), F.col("feature") == F.col("src")).groupBy("sample_id", "dst").agg(F.sum(F.col("value") * F.col("w")).alias("_add"))
+    adds = sent.where("_add is not null").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("dst", "_add"))).alias("_adds"))
+    own = rows.join(adds, "sample_id", "left").select("sample_id", "_adds", F.inline("_c"))
+    return own.select("sample_id", "fpos", "feature", (F.col("value") + F.coalesce(F.col("_adds")[F.col("feature")], F.lit(0.0))).alias("value"))
+
+
+#: Nodes up to which a network is handed to all tasks that smooth along it.
+SMOOTHED = 1024
 
 
 def node_table(edges: DataFrame, nodes: DataFrame, threshold: float = 0.0) -> DataFrame:
