@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import autodiff as ad
 from plexmat.functions import forest, log, special
-from plexmat.operators import search, select
+from plexmat.operators import ridge, search, select
 from plexmat.operators.community import dense, matrix_of
 from plexmat.plans.iterate import packed, per_run, placed, saved, unpacked, written
 
@@ -691,7 +691,11 @@ def network_search(long: DataFrame, target: DataFrame, settings: list[dict] | No
     def measure(s: dict) -> tuple[float, float]:
         edges = saved(BUILDERS[s["method"]](long, self_loops=False, **_arguments(s)))
         quality = analyze.topology_quality(edges, nodes).head()["quality"]
-        cells = analyze.smoothed(long, edges)
+        cells = written(analyze.smoothed(long, edges), "search-smoothed")
+        data, names = packed(cells, target)
+        found = ridge.macro_f1(written(data, "search-rows"), names, [(0, names)])
+        if found is not None:
+            return found.head()["f1"], quality
 
         def run(p: pd.DataFrame) -> pd.DataFrame:
             x, samples = matrix_of(p, sorted(set(p["feature"])))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions import special
-from plexmat.operators import similarity
+from plexmat.operators import ridge, similarity
 from plexmat.plans.iterate import packed, per_run, unpacked, written
 
 _SETTING = "config int, kind string, shape string, k int, sigma double, b double, signed boolean, mutual boolean"
@@ -126,10 +126,17 @@ def topology(edges: DataFrame, n_nodes: int) -> DataFrame:
 
 
 def proxies(long: DataFrame, target: DataFrame, central: DataFrame, score) -> DataFrame:
-    """(config, f1): how well features, weighted by log(1 + centrality), tell the phenotype; null where that fails."""
+    """(config, f1): how well features, weighted by log(1 + centrality), tell the phenotype; null where that fails.
+
+    `ridge` adds up what classifiers need over the samples; where it can't (very many features or classes), a task takes a setting and all samples."""
     weighed = central.groupBy("config").agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("feature"), F.log1p(F.greatest("score", F.lit(0.0))).alias("c")))).alias("given"))
     runs = weighed.select("config", F.col("given.feature").alias("names"), F.col("given.c").alias("c"))
     data, every = packed(long, target)
+    data = written(data, "search-rows")
+    # a column that is standardised doesn't tell its weight, only whether it has one
+    found = ridge.macro_f1(data, every, [(r["config"], [c["feature"] for c in r["given"] if c["c"] > 0]) for r in weighed.toLocalIterator()])
+    if found is not None:
+        return found
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         names, c = list(p["names"].iloc[0]), np.asarray(p["c"].iloc[0])
@@ -142,7 +149,7 @@ def proxies(long: DataFrame, target: DataFrame, central: DataFrame, score) -> Da
             f1 = None
         return pd.DataFrame({"config": [int(key[0])], "f1": pd.Series([f1], dtype="float64")})
 
-    return per_run(written(data, "search-rows"), runs, ["config"], run, "config int, f1 double", 2 * len(every))
+    return per_run(data, runs, ["config"], run, "config int, f1 double", 2 * len(every))
 
 
 def search(long: DataFrame, target: DataFrame, rows: list[tuple], weight: float, score) -> DataFrame:
