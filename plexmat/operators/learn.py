@@ -7,6 +7,7 @@ kernel on one network (about a thousand nodes); trials, folds and seeds are rows
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -302,28 +303,57 @@ def tune_representation(long: DataFrame, embeddings: DataFrame, target: DataFram
     rows = [(t, str(rng.choice(["PCA", "AE"])), int(rng.choice([1, 2, 4])), float(rng.uniform(0.5, 3)), float(rng.uniform(0, 1))) for t in range(trials)]
     plan = long.sparkSession.createDataFrame(rows, "trial int, method string, dim int, alpha double, beta double")
     rows, names = packed(long, target.where("y is not null"))
-    data = rows.select(F.lit(0).alias("kind"), "sample_id", "y", "at", "v", F.lit(None).cast("string").alias("feature"))
-    own = embeddings.select(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sample_id"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("array<int>").alias("at"), F.col("embedding").alias("v"), "feature")
-
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        d, e = p[p["kind"] == 0], p[p["kind"] == 1].sort_values("feature")
-        method, dim, alpha, beta = (p[c].iloc[0] for c in ("method", "dim", "alpha", "beta"))
-        x, y, _ = unpacked(d, len(names))
+    given = embeddings.orderBy("feature").toPandas()  # nodes of one network
+    data, n, kind = _laid_out(rows, len(names))
+    out = "trial int, method string, dim int, alpha double, beta double, score double"
+    if not n:
+        return plan.withColumn("score", F.lit(0.0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y, own = np.zeros((n, len(names)), kind, order="F"), np.empty(n), None
+        for b in batches:
+            for i in range(0, len(b), PART):
+                c = b.iloc[i : i + PART]
+                x[c["place"]] = np.frombuffer(b"".join(c["x"]), kind).reshape(len(c), len(names))
+                y[c["place"]] = c["y"]
+            own = b.iloc[0] if own is None and len(b) else own
+        if own is None:
+            return
+        method, dim, alpha, beta = (own[c] for c in ("method", "dim", "alpha", "beta"))
         try:
-            h = np.stack(e["v"].to_numpy())
+            h = np.stack(given["embedding"].to_numpy())
             h = h - h.mean(0)
             z = _autoencode(h, int(dim), epochs, seed) if method == "AE" else (lambda u, s, _: (u * s)[:, : int(dim)])(*np.linalg.svd(h, full_matrices=False))
             span = z.max(0) - z.min(0)
-            m = pd.Series(np.round(np.where(span > 0, (z - z.min(0)) / np.where(span > 0, span, 1), 0).mean(1), 9), index=e["feature"].to_numpy())
+            m = pd.Series(np.round(np.where(span > 0, (z - z.min(0)) / np.where(span > 0, span, 1), 0).mean(1), 9), index=given["feature"].to_numpy())
             w = (2 * (m.rank() - 1) / max(len(m) - 1, 1) - 1).reindex(names)
             factor = (beta + (1 - beta) * alpha * w).fillna(1.0).to_numpy()
             few = len(np.unique(y)) <= 20 and bool((y == np.round(y)).all())
-            score = forest.score(x * factor, y, few, seed)
+            score = forest.score(x, y, few, seed, scale=factor)
         except (np.linalg.LinAlgError, ValueError):
             score = 0.0
-        return pd.DataFrame([(key[0], method, dim, alpha, beta, score)], columns=["trial", "method", "dim", "alpha", "beta", "score"])
+        yield pd.DataFrame([(own["trial"], method, dim, alpha, beta, score)], columns=["trial", "method", "dim", "alpha", "beta", "score"])
+
+    # a partition for each trial, and none for two
+    return data.join(F.broadcast(plan)).repartitionById(trials, F.col("trial")).mapInPandas(run, out)
+
+
+def _laid_out(rows: DataFrame, width: int) -> tuple[DataFrame, int, str]:
+    """(place, y, x) of packed rows: their place in the order of the samples, and their values as bytes, missing cells 0; how many
+    rows there are, and the type of a value: single precision where that loses nothing."""
+    spread = written(rows.repartitionByRange("sample_id").withColumn("_range", F.spark_partition_id()), "rows-in-ranges")
+    size = spread.agg(F.count("*").alias("n"), F.bool_and(F.forall("v", lambda v: v.cast("float").cast("double") == v)).alias("single")).head()
+    kind = "<f4" if size["single"] else "<f8"
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.zeros((len(b), width), kind)
+            for i, (at, v) in enumerate(zip(b["at"], b["v"], strict=True)):
+                x[i, at] = v
+            yield pd.DataFrame({"place": b["place"], "y": b["y"], "x": [r.tobytes() for r in x]})
 
-    return per_run(written(data.unionByName(own), "representation-rows"), plan, ["trial"], run, "trial int, method string, dim int, alpha double, beta double, score double", 2 * len(names))
+    own = placed(spread, [], F.col("_range"), ["sample_id"], out="place")
+    return written(own.select("place", F.col("y").cast("double").alias("y"), "at", "v").mapInPandas(lay, "place long, y double, x binary"), "rows-laid-out"), int(size["n"]), kind
 
 
 # ---- outcome prediction ---------------------------------------------------------------------------
