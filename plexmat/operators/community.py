@@ -244,10 +244,10 @@ def louvain_history(edges: DataFrame, seed: int = 0) -> DataFrame:
 def _with_data(edges: DataFrame, long: DataFrame, target: DataFrame, settings: DataFrame, run, schema: str) -> DataFrame:
     """Runs a kernel for every row of settings (run long, ...) over the edges, the data of their nodes and the phenotype.
 
-    Many samples are condensed; the column samples says how many they were (-1 where the data are the samples themselves).
+    Many samples are condensed, cells that they lack being 0 to the kernels anyway; the column samples says how many they were (-1 where the data are the samples themselves).
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("feature")).distinct()
-    long, target, n = condense.few(long.join(nodes, "feature", "left_semi"), target)
+    long, target, n = condense.few(long.join(nodes, "feature", "left_semi"), target, fill=True)
     settings = settings.withColumn("samples", F.lit(-1 if n is None else n))
     own = long.join(target, "sample_id").select(F.lit(1).alias("kind"), "sample_id", "feature", "value", "y")
     net = edges.select(F.lit(0).alias("kind"), F.col("src").alias("sample_id"), F.col("dst").alias("feature"), F.col("weight").alias("value"), F.lit(None).cast("double").alias("y"))

@@ -113,9 +113,10 @@ def with_y(b: pd.DataFrame) -> np.ndarray:
     return np.column_stack([np.stack(b["x"].to_numpy()), b["y"].to_numpy(float)])
 
 
-def condensed(long: DataFrame, target: DataFrame, empty: bool = False) -> Condensed | None:
+def condensed(long: DataFrame, target: DataFrame, empty: bool = False, fill: bool = False) -> Condensed | None:
     """The samples with a y as rows; None where rows can't stand for them: more than BLOCK features, samples that lack cells or
-    have some twice, or fewer samples than LEAST for each feature. Null cells are 0; features and samples without any value are left out, unless `empty`."""
+    have some twice, or fewer samples than LEAST for each feature. Null cells are 0; features and samples without any value are left out, unless `empty`.
+    `fill`: cells that a sample lacks are 0 too, and of cells that it has twice one counts."""
     columns = [c for c in long.columns if c not in ("sample_id", "value", "y")]
     features = long.groupBy(*columns).agg(F.count("value").alias("_n")).limit(BLOCK + 1).toPandas()
     if not 0 < len(features) <= BLOCK or features["fpos"].duplicated().any():
@@ -129,7 +130,14 @@ def condensed(long: DataFrame, target: DataFrame, empty: bool = False) -> Conden
     rows = long.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("fpos", "value"))).alias("_c"))
     if not empty:
         rows = rows.where(F.exists("_c", lambda c: c["value"].isNotNull()))
-    rows = rows.join(y, "sample_id").select("sample_id", "y", F.transform("_c", lambda c: F.coalesce(c["value"], F.lit(0.0))).alias("x"), whole.alias("whole"))
+    x = F.transform("_c", lambda c: F.coalesce(c["value"], F.lit(0.0)))
+    if fill:
+        given = F.filter("_c", lambda c: c["value"].isNotNull())
+        places = F.transform(given, lambda c: c["fpos"].cast("int"))
+        once = F.map_from_entries(F.filter(F.transform(given, lambda c, i: F.when(F.array_position(places, c["fpos"].cast("int")) == i + 1, F.struct(c["fpos"].cast("int"), c["value"]))), lambda c: c.isNotNull()))
+        x = F.when(whole, x).otherwise(F.transform(F.array(*[F.lit(int(f)) for f in features["fpos"]]), lambda f: F.coalesce(once[f], F.lit(0.0))))
+        whole = F.lit(True)
+    rows = rows.join(y, "sample_id").select("sample_id", "y", x.alias("x"), whole.alias("whole"))
     rows = written(rows, "rows")
     size = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("whole")).alias("cut")).head()
     if size["cut"] or size["n"] < LEAST * (len(features) + 1):
@@ -137,9 +145,9 @@ def condensed(long: DataFrame, target: DataFrame, empty: bool = False) -> Conden
     return Condensed(rows.drop("whole"), int(size["n"]), features)
 
 
-def few(long: DataFrame, target: DataFrame, empty: bool = False) -> tuple[DataFrame, DataFrame, int | None]:
+def few(long: DataFrame, target: DataFrame, empty: bool = False, fill: bool = False) -> tuple[DataFrame, DataFrame, int | None]:
     """Matrix and phenotype, few rows standing for the samples, and how many these were; as they are (and None) where rows can't."""
-    c = condensed(long, target, empty)
+    c = condensed(long, target, empty, fill)
     if c is None:
         return long, target, None
     cells = c.long(stand_in(c.sums()[0], c.first()))

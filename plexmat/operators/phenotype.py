@@ -30,9 +30,12 @@ def set_correlations(long: DataFrame, target: DataFrame, sets: DataFrame, standa
     """For each set (set_id, feature): its size, |r| of its first component with y (by sample, not by place), and p.
 
     A set's matrix is built in one task each, from a few rows that stand for the samples where there are many (`condense`):
-    sets are meant to be small groups of features. Missing cells are 0.
+    sets are meant to be small groups of features. Missing cells are 0; a sample without any cell of a set, not even a null one, takes no part in it.
     """
-    long, target, n = condense.few(long, target, empty=True)
+    small, y, n = condense.few(long, target, empty=True)
+    if n is None and _in_all_sets(long, sets):
+        small, y, n = condense.few(long, target, empty=True, fill=True)
+    long, target = small, y
     cells = long.join(target.where("y is not null"), "sample_id").join(sets.select("set_id", "feature").distinct(), "feature").select("set_id", "sample_id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"), "y")
 
     def one(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -44,6 +47,13 @@ def set_correlations(long: DataFrame, target: DataFrame, sets: DataFrame, standa
     return cells.groupBy("set_id").applyInPandas(one, "set_id long, size long, r double, p double")
 
 
+def _in_all_sets(long: DataFrame, sets: DataFrame) -> bool:
+    """Whether each sample has a cell of each set, so that those it lacks may be written as 0."""
+    named = sets.select("set_id", "feature").distinct().join(long.select("feature").distinct(), "feature", "left_semi")
+    per_sample = long.select("sample_id", "feature").join(F.broadcast(named), "feature", "left").groupBy("sample_id").agg(F.count_distinct("set_id").alias("n"))
+    return per_sample.agg(F.min("n")).head()[0] == named.agg(F.count_distinct("set_id")).head()[0]
+
+
 def omics_correlation(long: DataFrame, target: DataFrame) -> DataFrame:
     """|r| and p of the first component of all (standardised) features."""
     if target.isEmpty():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plexmat.operators import cca, community, condense, phenotype
 
@@ -96,6 +97,32 @@ def test_same_results_and_no_task_has_the_samples(spark, monkeypatch, calls, nam
     assert seen and max(seen) < 40  # of 160 samples
 
 
+def test_samples_that_lack_cells_are_condensed_where_these_are_zeros(spark, monkeypatch):
+    x, y = data()
+    long, _ = tables(spark, x, y)
+    long = long.where("sample_id not in ('s000', 's007') or fpos not in (1, 6)").withColumn("value", F.when(F.expr("sample_id <> 's003' or fpos <> 2"), F.col("value")))
+    long = long.unionByName(long.where("sample_id = 's001' and fpos = 2"))
+    score = spark.createDataFrame([(f"s{i:03d}", float(v)) for i, v in enumerate(x[:, 2] + y)], "sample_id string, y double")
+    sets = spark.createDataFrame([(j // 3, f"f{j}") for j in range(8)], "set_id long, feature string")
+    edges = spark.createDataFrame([(f"f{i}", f"f{j}", 1.0 + (i + j) % 3) for i in range(8) for j in range(i + 1, 8) if (i + j) % 3], "src string, dst string, weight double")
+    calls = [lambda: phenotype.set_correlations(long, score, sets), lambda: community.correlated_louvain(edges, long, score, [0.2, 0.8]), lambda: community.correlated_pagerank(edges, long, score, ["f0", "f1"]), lambda: community.hybrid(edges, long, score)]
+    with monkeypatch.context() as m:
+        as_they_are(m)
+        want = [found(c()) for c in calls]
+    seen = []
+    real = condense.Condensed.long
+    monkeypatch.setattr(condense.Condensed, "long", lambda self, matrix, **more: seen.append(len(matrix)) or real(self, matrix, **more))
+    for c, w in zip(calls, want, strict=True):
+        equal(found(c()), w)
+    assert len(seen) == 4 and max(seen) < 40
+    # a sample without any cell of a set has no row in it, so that zeros can't stand for its cells
+    cut = long.where("sample_id <> 's009' or fpos > 2")
+    sizes = {r["set_id"]: r["p"] for r in phenotype.set_correlations(cut, score, sets).collect()}
+    with monkeypatch.context() as m:
+        as_they_are(m)
+        assert sizes == pytest.approx({r["set_id"]: r["p"] for r in phenotype.set_correlations(cut, score, sets).collect()}, abs=1e-7)
+
+
 def test_threshold_at_a_magnitude():
     for second in (0.5, 0.9995, 1 - 1e-7):
         v = np.array([1.0, second, -0.3 * second, 0.1])
