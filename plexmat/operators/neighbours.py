@@ -6,8 +6,10 @@ angles differ. Each block is compared with itself first, which bounds the k-th n
 compared with those blocks only that the bounds let be nearer. Where bounds leave nothing out all blocks are compared, as without
 them, and the result is the same in every case.
 
-A comparison is one matrix product of two blocks in a task, which passes on the k best of each row. Ties, after
-rounding to DIGITS places, go to the lower id. Rows of length 0 have the similarity -2 to all others.
+A task has some of the blocks twice, as GROUPS groups of them at most (more where a group would be over CELLS numbers), so that a row is sent
+on about GROUPS times however many rows there are. Blocks are multiplied in single precision, and exactly what may be among the k best of a
+row so far; a task passes on the k best of each row. Ties, after rounding to DIGITS places, go to the lower id. Rows of length 0
+have the similarity -2 to all others.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from plexmat.plans.iterate import placed, written
 BLOCK, PIVOTS, DIGITS = 1000, 512, 9
 #: What angles may be off by, near 0, for the rounding of their cosines.
 SLACK = 1e-7
+#: Groups of blocks; numbers in a group at most; pairs that are multiplied exactly at once.
+GROUPS, CELLS, EXACT = 10, 1 << 23, 1 << 15
 
 _FOUND = "a string, b string, s double"
 
@@ -37,6 +41,47 @@ def _compare(ia: np.ndarray, xa: np.ndarray, ib: np.ndarray, xb: np.ndarray, k:
     return pd.DataFrame({"a": ia[r[good]], "b": ib[c[good]], "s": s[r[good], c[good]]})
 
 
+class _Block:
+    """A block in a task: its rows, and the k best (rounded similarity, rank of the id) of each so far; new tells which were found there."""
+
+    def __init__(self, row, rank: dict[str, int], k: int):
+        n = len(row.ids)
+        self.rank = np.array([rank[i] for i in row.ids])
+        self.x = np.frombuffer(row.x).reshape(n, -1)
+        self.fast = self.x.astype(np.float32)
+        self.s = np.frombuffer(row.s).reshape(n, k).copy()
+        at = np.frombuffer(row.at, np.int64).reshape(n, k)
+        self.who = np.where(at >= 0, self.rank[at], len(rank))
+        self.new = np.zeros((n, k), bool)
+
+    def meet(self, other: _Block, fast: np.ndarray) -> None:
+        """Takes in the best of the other's rows; fast: all similarities in single precision."""
+        low, k = self.s[:, -1], self.s.shape[1]
+        off = (self.x.shape[1] + 8) * 1.2e-7
+        r, c = np.divmod(np.flatnonzero(fast >= (low - off).astype(np.float32)[:, None]), fast.shape[1])
+        if not len(r):
+            return
+        if len(r) > fast.size // 16:
+            v = np.round(self.x @ other.x.T, DIGITS)[r, c]
+        else:
+            v = np.concatenate([np.round(np.einsum("ij,ij->i", self.x[r[i : i + EXACT]], other.x[c[i : i + EXACT]]), DIGITS) for i in range(0, len(r), EXACT)])
+        good = v >= low[r]
+        r, c, v = r[good], c[good], v[good]
+        if not len(r):
+            return
+        who = other.rank[c]
+        order = np.lexsort((who, -v, r))
+        r, v, who = r[order], v[order], who[order]
+        rows, start, place = np.unique(r, return_index=True, return_inverse=True)
+        nth = np.arange(len(r)) - start[place]
+        own = nth < k
+        s, w = np.full((len(rows), k), -np.inf), np.full((len(rows), k), np.iinfo(np.int64).max)
+        s[place[own], nth[own]], w[place[own], nth[own]] = v[own], who[own]
+        s, w, new = np.hstack([self.s[rows], s]), np.hstack([self.who[rows], w]), np.hstack([self.new[rows], np.ones(s.shape, bool)])
+        pick = np.lexsort((w, -s), axis=1)[:, :k]
+        self.s[rows], self.who[rows], self.new[rows] = (np.take_along_axis(m, pick, 1) for m in (s, w, new))
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
     return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
@@ -103,18 +148,32 @@ class Neighbours:
         ring = F.concat(F.lpad(F.floor(F.col("angle") * 4096).cast("string"), 5, "0"), F.substring(mark, 1, 2))
         dealt = placed(dealt, ["cell"], ring, [mark], out="_place")
         dealt = written(dealt.select("id", "x", "cell", "angle", F.expr(f"_place div {self.block}").cast("int").alias("part")), "blocks-rows")
-        own = written(dealt.groupBy("cell", "part").applyInPandas(self._alone(), _FOUND), "own-block")
-        blocks = self._blocks(dealt, own)
+        packed = written(dealt.groupBy("cell", "part").applyInPandas(self._packed(), "cell int, part int, n long, near double, far double, bound double, ids array<string>, x binary, s binary, at binary, a array<string>, b array<string>, found array<double>"), "packed-blocks")
+        blocks = packed.select("cell", "part", "n", "near", "far", "bound")
         pairs = written(self._pairs(blocks, centres), "pairs")
         sums = pairs.agg(F.sum(F.col("n") * F.col("n2"))).head()[0] or 0
         self.compared = int(sums + blocks.agg(F.sum(F.col("n") * F.col("n"))).head()[0])
-        return own.unionByName(self._across(dealt, pairs))
+        own = packed.select(F.inline(F.arrays_zip("a", "b", F.col("found").alias("s")))).toDF("a", "b", "s")
+        return own.unionByName(self._across(packed, pairs, centres.shape[1]))
+
+    def _packed(self):
+        """A block as one row: sizes, least and greatest angle to the pivot, the least similarity that a row's k-th neighbour has so
+        far; ids and rows; the k best within the block, by place (s, at) and by id (a, b, found)."""
+        k = self.k
+
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("id")
+            ids, x = p["id"].to_numpy(), np.ascontiguousarray(np.stack(p["x"].to_numpy()), float)
+            own, place = _compare(ids, x, ids, x, k), {i: j for j, i in enumerate(ids)}
+            s, at = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1)
+            nth = own.groupby("a").cumcount().to_numpy()
+            r = own["a"].map(place).to_numpy(int)
+            s[r, nth], at[r, nth] = own["s"], own["b"].map(place).to_numpy(int)
+            bound = np.maximum(s[:, -1], -2.0).min()
+            one = {"cell": p["cell"].iloc[0], "part": p["part"].iloc[0], "n": len(ids), "near": p["angle"].min(), "far": p["angle"].max(), "bound": bound, "ids": ids, "x": x.tobytes(), "s": s.tobytes(), "at": at.astype(np.int64).tobytes(), "a": own["a"].to_numpy(), "b": own["b"].to_numpy(), "found": own["s"].to_numpy()}
+            return pd.DataFrame([one])
 
-    def _blocks(self, dealt: DataFrame, own: DataFrame) -> DataFrame:
-        """(cell, part, n, near, far, bound): sizes, least and greatest angle to the pivot, and the least similarity that a row's k-th neighbour has so far."""
-        kth = own.groupBy("a").agg(F.count("*").alias("held"), F.min("s").alias("s")).select(F.col("a").alias("id"), F.when(F.col("held") >= self.k, F.col("s")).otherwise(-2.0).alias("s"))
-        bound = dealt.select("id", "cell", "part", "angle").join(kth, "id", "left")
-        return written(bound.groupBy("cell", "part").agg(F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"), F.min(F.coalesce("s", F.lit(-2.0))).alias("bound")), "blocks")
+        return run
 
     def _pairs(self, blocks: DataFrame, centres: np.ndarray) -> DataFrame:
         """Pairs of different blocks of which the second may hold a neighbour of a row of the first: first by cells, then by blocks."""
@@ -136,17 +195,38 @@ class Neighbours:
         met = wide.join(other, "cell2").where(((F.col("cell") != F.col("cell2")) | (F.col("part") != F.col("part2"))) & (least <= F.col("limit")))
         return met.select("cell", "part", "cell2", "part2", "n", "n2")
 
-    def _across(self, dealt: DataFrame, pairs: DataFrame) -> DataFrame:
+    def _across(self, packed: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+        """The best of each row in other blocks. A task has the blocks of two groups (or one) that meet, each once, and multiplies them both ways at once."""
         k = self.k
-        key = ["cell", "part", "cell2", "part2"]
-        first = dealt.join(pairs.select(*key), ["cell", "part"]).select(*key, F.lit(0).alias("side"), "id", "x")
-        second = dealt.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), "id", "x").join(pairs.select(*key), ["cell2", "part2"]).select(*key, F.lit(1).alias("side"), "id", "x")
-
-        def run(p: pd.DataFrame) -> pd.DataFrame:
-            (ia, xa), (ib, xb) = [((q := p[p["side"] == side].sort_values("id"))["id"].to_numpy(), np.stack(q["x"].to_numpy())) for side in (0, 1)]
-            return _compare(ia, xa, ib, xb, k)
-
-        return first.unionByName(second).groupBy(*key).applyInPandas(run, _FOUND)
+        size = max(1, min(-(-self.count // GROUPS), CELLS // max(1, width)))
+        before = F.sum("n").over(Window.orderBy("cell", "part")) - F.col("n")  # a row a block
+        group = packed.select("cell", "part", F.floor(before / size).cast("int").alias("g"))
+        met = pairs.join(F.broadcast(group), ["cell", "part"]).join(F.broadcast(group.toDF("cell2", "part2", "h")), ["cell2", "part2"])
+        met = written(met.select(F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "cell", "part", "cell2", "part2"), "group-pairs")
+        need = met.select("i", "j", "cell", "part").unionByName(met.select("i", "j", F.col("cell2").alias("cell"), F.col("part2").alias("part"))).distinct()
+        sent = packed.select("cell", "part", "ids", "x", "s", "at").join(written(need, "blocks-of-groups"), ["cell", "part"])
+
+        def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            ids = np.array(sorted(i for own in p["ids"] for i in own), object)
+            rank = {i: n for n, i in enumerate(ids)}
+            blocks = {(r.cell, r.part): _Block(r, rank, k) for r in p.itertuples()}
+            todo = dict.fromkeys(zip(zip(q["cell"], q["part"], strict=True), zip(q["cell2"], q["part2"], strict=True), strict=True))
+            for one, two in sorted(todo):
+                back = (two, one) in todo
+                if back and two < one:
+                    continue  # multiplied already
+                a, b = blocks[one], blocks[two]
+                fast = a.fast @ b.fast.T
+                a.meet(b, fast)
+                if back:
+                    b.meet(a, fast.T)
+            out = []
+            for b in blocks.values():
+                r, c = np.nonzero(b.new & np.isfinite(b.s))
+                out.append(pd.DataFrame({"a": ids[b.rank[r]], "b": ids[b.who[r, c]], "s": b.s[r, c]}))
+            return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": []})
+
+        return sent.groupBy("i", "j").cogroup(met.groupBy("i", "j")).applyInPandas(run, _FOUND)
 
 
 def nearest(rows: DataFrame, k: int, block: int | None = None) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plexmat.functions import special
 from plexmat.operators import clean, neighbours, ranks, similarity
 from plexmat.operators.components import Components
-from plexmat.plans.iterate import saved
+from plexmat.plans.iterate import written
 from plexmat.sources.frames import row_vectors
 
 _KEY = ["fpos", "feature"]
@@ -44,23 +49,62 @@ def pca_top(long: DataFrame, k: int, components: int = 50) -> DataFrame:
 
 def sample_graph(z: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """The symmetric k-nearest-neighbour graph of samples by cosine, as (a, b) in both directions; ties go to the lower id (`neighbours`)."""
-    near = neighbours.nearest(row_vectors(z).select(F.col("sample_id").alias("id"), "x"), k, block).select("a", "b")
+    return _graph(row_vectors(z), k, block)
+
+
+def _graph(rows: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    near = neighbours.nearest(rows.select(F.col("sample_id").alias("id"), "x"), k, block).select("a", "b")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def laplacian_top(long: DataFrame, k: int, neighbors: int = 5) -> DataFrame:
-    """The features that vary least along the sample graph (Laplacian score, lowest first)."""
-    z = clean.normalize(long, "standard")
-    w = saved(sample_graph(z, neighbors))
-    degree = w.groupBy(F.col("a").alias("sample_id")).agg(F.count("*").cast("double").alias("d"))
-    zd = z.join(degree, "sample_id")
-    mu = zd.groupBy(*_KEY).agg((F.sum(F.col("d") * F.col("value")) / F.sum("d")).alias("mu"))
-    x = zd.join(mu, _KEY).select("sample_id", *_KEY, "d", (F.col("value") - F.col("mu")).alias("x"))
-    den = x.groupBy(*_KEY).agg(F.sum(F.col("d") * F.col("x") ** 2).alias("den"))
-    xa = x.select(F.col("sample_id").alias("a"), *_KEY, F.col("x").alias("xa"))
-    xb = x.select(F.col("sample_id").alias("b"), "fpos", F.col("x").alias("xb"))
-    both = xa.join(w, "a").join(xb, ["b", "fpos"]).groupBy(*_KEY).agg(F.sum(F.col("xa") * F.col("xb")).alias("num"))
-    return top(den.join(both, _KEY).select(*_KEY, ((F.col("den") - F.col("num")) / (F.col("den") + 1e-8)).alias("score")), k, ascending=True)
+    """The features that vary least along the sample graph (Laplacian score, lowest first).
+
+    Samples go as rows of all features, each edge of the graph once; sums over both are vectors of a number a feature.
+    """
+    names = similarity.features_of(long).select(*_KEY).orderBy("fpos")
+    rows = written(row_vectors(clean.normalize(long, "standard")), "z-rows")
+    w = written(_graph(rows, neighbors), "sample-graph")
+    zd = written(rows.join(w.groupBy(F.col("a").alias("sample_id")).agg(F.count("*").cast("double").alias("d")), "sample_id"), "z-degrees")
+    pairs = w.where("a < b").join(zd.select(F.col("sample_id").alias("a"), F.col("x").alias("xa")), "a").join(zd.select(F.col("sample_id").alias("b"), F.col("x").alias("xb")), "b")
+    total, found, first = _sums(zd, ["x", "d"], lambda p: (p["d"].sum(), *_parts(p, "x", lambda x, d: (~np.isnan(x), d * x), p["d"])))
+    spark, schema = long.sparkSession, [*names.schema.fields, StructField("score", DoubleType())]
+    if not total:
+        return spark.createDataFrame([], StructType(schema))
+    mu = first / total
+    den = _sums(zd, ["x", "d"], lambda p: (0.0, *_parts(p, "x", lambda x, d: (~np.isnan(x), d * (x - mu) ** 2), p["d"])))[2]
+    num = 2 * _sums(pairs, ["xa", "xb"], lambda p: (0.0, *_parts(p, "xa", lambda a, b: (~np.isnan(a), (a - mu) * (b - mu)), _matrix(p["xb"]))))[2]
+    score = np.where(found > 0, (den - num) / (den + 1e-8), np.nan)
+    scores = [(r["fpos"], r["feature"], None if np.isnan(v) else float(v)) for r, v in zip(names.collect(), score, strict=True)]
+    return top(spark.createDataFrame(scores, StructType(schema)), k, ascending=True)
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(r, float) for r in rows])
+
+
+def _parts(p: pd.DataFrame, column: str, f, other) -> tuple[np.ndarray, np.ndarray]:
+    x = _matrix(p[column])
+    there, value = f(x, other if isinstance(other, np.ndarray) else other.to_numpy()[:, None])
+    return there.sum(0).astype(float), np.nansum(value, 0)
+
+
+def _sums(df: DataFrame, columns: list[str], part) -> tuple[float, np.ndarray, np.ndarray]:
+    """The sum of a number and of two vectors over all batches; a task gives one row."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = None
+        for p in batches:
+            if len(p):
+                own = part(p)
+                got = own if got is None else tuple(a + b for a, b in zip(got, own, strict=True))
+        if got is not None:
+            yield pd.DataFrame({"n": [got[0]], "u": [got[1].tobytes()], "v": [got[2].tobytes()]})
+
+    n, u, v = 0.0, np.zeros(1), np.zeros(1)
+    for r in df.select(*columns).mapInPandas(add, "n double, u binary, v binary").toLocalIterator():
+        n, u, v = n + r["n"], u + np.frombuffer(r["u"]), v + np.frombuffer(r["v"])
+    return n, u, v
 
 
 def pearson_with(long: DataFrame, target: DataFrame) -> DataFrame:

@@ -43,3 +43,17 @@ def test_few_rows(spark):
         df = spark.createDataFrame(rows, "id string, x array<double>")
         want = brute([r[0] for r in rows], np.array([r[1] for r in rows]).reshape(-1, 2), 2) if rows else set()
         assert {(r["a"], r["b"]) for r in neighbours.nearest(df, 2).collect()} == want
+
+
+def test_a_block_is_sent_to_few_tasks_and_copies_are_ranked_by_id(spark, monkeypatch):
+    x = clusters(400, 6, 3, 3.0, 2)
+    x[200:] = x[np.random.default_rng(3).integers(0, 25, 200)]
+    ids = [f"s{(i * 7) % 400:04d}" for i in range(len(x))]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id string, x array<double>").repartition(3)
+    tables, real = {}, neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    monkeypatch.setattr(neighbours, "GROUPS", 3)
+    search = neighbours.Neighbours(df, 4, block=8, pivots=6)
+    assert {(r["a"], r["b"]) for r in search.result().collect()} == brute(ids, x, 4)
+    blocks, pairs, sent = (tables[n].count() for n in ("packed-blocks", "pairs", "blocks-of-groups"))
+    assert blocks > 50 and pairs > 0.5 * blocks**2 and sent <= blocks * 4
