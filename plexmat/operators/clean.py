@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.operators import ranks
+from plexmat.plans.iterate import written
 
 _INF = float("inf")
 
@@ -39,12 +40,101 @@ def impute_simple(long: DataFrame, method: str = "mean") -> DataFrame:
     return long.join(fill, "feature", "left").select("feature", *[F.coalesce("value", "_fill").alias(c) if c == "value" else c for c in long.columns if c != "feature"])
 
 
+#: Groups of blocks with gaps, numbers in a group of donors, and numbers that are compared exactly at once.
+GROUPS, CELLS, EXACT = 24, 1 << 22, 1 << 20
+
+
+class _Gaps:
+    """The samples of a block and, for each cell that one lacks, its k nearest donors so far: distance, rank of the id, and value."""
+
+    def __init__(self, x: np.ndarray, own: np.ndarray, k: int):
+        self.x, self.own, self.there = x, own, ~np.isnan(x)
+        self.row, self.col = np.nonzero(~self.there)
+        self.at = np.full(x.shape, -1)
+        self.at[self.row, self.col] = np.arange(len(self.row))
+        n = len(self.row)
+        self.dist, self.who, self.given = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), np.nan)
+
+    def distances(self, r: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distances of rows r and donors c, which broadcast, over the features that both have; infinite without any."""
+        square, both = np.zeros(np.broadcast_shapes(r.shape, c.shape)), np.zeros(np.broadcast_shapes(r.shape, c.shape))
+        for f in range(y.shape[1]):
+            d = self.x[r, f] - y[c, f]
+            there = ~np.isnan(d)
+            square += np.where(there, d * d, 0.0)
+            both += there
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.round(np.sqrt(np.where(both > 0, y.shape[1] / both * square, np.inf)), 9)
+
+    def take(self, gap: np.ndarray, dist: np.ndarray, who: np.ndarray, given: np.ndarray) -> None:
+        good = dist <= self.dist[gap, -1]
+        good &= np.isfinite(dist)
+        gap, dist, who, given = gap[good], dist[good], who[good], given[good]
+        if not len(gap):
+            return
+        order = np.lexsort((who, dist, gap))
+        gap, dist, who, given = gap[order], dist[order], who[order], given[order]
+        gaps, start, place = np.unique(gap, return_index=True, return_inverse=True)
+        nth, k = np.arange(len(gap)) - start[place], self.dist.shape[1]
+        own = nth < k
+        more = [np.full((len(gaps), k), v) for v in (np.inf, np.iinfo(np.int64).max, np.nan)]
+        for m, v in zip(more, (dist, who, given), strict=True):
+            m[place[own], nth[own]] = v[own]
+        both = [np.hstack([m[gaps], n]) for m, n in zip((self.dist, self.who, self.given), more, strict=True)]
+        pick = np.lexsort((both[1], both[0]), axis=1)[:, :k]
+        for m, n in zip((self.dist, self.who, self.given), both, strict=True):
+            m[gaps] = np.take_along_axis(n, pick, 1)
+
+    def meet(self, y: np.ndarray, rank: np.ndarray, wide: np.ndarray) -> None:
+        """Takes in a block of donors; wide: their presence, squares and values side by side, 0 where missing."""
+        there, open_ = ~np.isnan(y), ~np.isfinite(self.dist[:, -1])
+        limit = np.full(len(self.x), -1.0)
+        np.maximum.at(limit, self.row[~open_], self.dist[~open_, -1])
+        if open_.any():  # gaps with fewer donors than k so far, as all have at first
+            cols = np.flatnonzero(there[:, np.unique(self.col[open_])].any(1))
+            rows = np.unique(self.row[open_])
+            part = max(1, EXACT // max(1, len(cols)))
+            for i in range(0, len(rows) if len(cols) else 0, part):
+                own = rows[i : i + part]
+                d = self.distances(own[:, None], cols[None, :], y)
+                d[self.own[own][:, None] == rank[cols][None, :]] = np.inf
+                for f in np.unique(self.col[open_]):
+                    have = np.flatnonzero(there[cols, f])
+                    gap = self.at[own, f]
+                    need = np.flatnonzero((gap >= 0) & open_[gap])
+                    if len(need) and len(have):
+                        sub = d[np.ix_(need, have)]
+                        pick = np.argsort(sub, axis=1, kind="stable")[:, : self.dist.shape[1]]
+                        c = cols[have[pick]]
+                        self.take(np.repeat(gap[need], pick.shape[1]), np.take_along_axis(sub, pick, 1).ravel(), rank[c].ravel(), y[c, f].ravel())
+        rows = np.flatnonzero(limit >= 0)
+        if not len(rows):
+            return
+        x, m = np.nan_to_num(self.x[rows]), self.there[rows].astype(float)
+        least = (limit[rows] + 2e-9) ** 2 / y.shape[1]
+        # the square of a distance less what a donor among the k nearest may have
+        test = np.hstack([x * x - least[:, None] * m, m, -2 * x]) @ wide.T
+        slack = 1e-12 * ((x * x).sum(1) + least * y.shape[1] + (wide * wide).sum(1).max(initial=0.0))
+        r, c = np.divmod(np.flatnonzero(test <= slack[:, None]), len(y))
+        step = max(1, EXACT // max(1, y.shape[1]))
+        for i in range(0, len(r), step):
+            own, donor = rows[r[i : i + step]], c[i : i + step]
+            d = self.distances(own, donor, y)
+            good = (d <= limit[own]) & (self.own[own] != rank[donor])
+            own, donor, d = own[good], donor[good], d[good]
+            h, f = np.nonzero(~self.there[own] & there[donor])
+            gap = self.at[own[h], f]
+            h, f, gap = h[~open_[gap]], f[~open_[gap]], gap[~open_[gap]]
+            self.take(gap, d[h], rank[donor[h]], y[donor[h], f])
+
+
 def impute_knn(long: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """Missing cells filled by the mean of the k nearest samples that have the feature; the feature's mean if none does.
 
-    The distance of two samples is over features that both have, scaled up to all features. Samples are dealt into blocks
-    and a task compares two blocks by matrix products; it passes on the k nearest donors of each gap, and the nearest
-    of all are averaged. Ties, after rounding to 9 places, go to the lower donor id.
+    The distance of two samples is over features that both have, scaled up to all features. All samples are compared with all, by
+    blocks; a task has a group of blocks with gaps and one of donors, so that a sample is sent to few tasks. A product of
+    two blocks tells which donors may be among the k nearest so far; these are compared exactly. A task passes on the k nearest
+    donors of each gap, and the nearest of all are averaged. Ties, after rounding to 9 places, go to the lower donor id.
     """
     size = long.agg(F.count_distinct("feature").alias("d"), F.count_distinct("sample_id").alias("n")).head()
     blocks = max(1, -(-size["n"] // block))
@@ -52,35 +142,34 @@ def impute_knn(long: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     cells = F.sort_array(F.collect_list(F.struct("_col", "value")))
     rows = long.join(F.broadcast(names), "fpos").groupBy("sample_id").agg(F.transform(cells, lambda c: c["value"]).alias("x"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.where(F.exists("x", lambda v: v.isNull())).select("sample_id", "x", F.lit(0).alias("side"), F.col("_block").alias("i"), other.alias("j"))
-    right = rows.select("sample_id", "x", F.lit(1).alias("side"), F.col("_block").alias("j"), other.alias("i")).select("sample_id", "x", "side", "i", "j")
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("sample_id")
+        x = np.stack([np.array(v, float) for v in p["x"]])
+        return pd.DataFrame([{"b": p["_block"].iloc[0], "ids": p["sample_id"].to_numpy(), "x": x.tobytes()}])
+
+    packed = written(rows.groupBy("_block").applyInPandas(pack, "b int, ids array<string>, x binary"), "impute-blocks")
+    lefts, rights = min(blocks, GROUPS), min(blocks, max(1, -(-size["n"] * size["d"] // CELLS)))
+    left = packed.select("b", "ids", "x", F.lit(0).alias("side"), F.expr(f"b % {lefts}").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(rights - 1))).alias("j"))
+    right = packed.select("b", "ids", "x", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("i"), F.expr(f"(b div {lefts}) % {rights}").cast("int").alias("j"))
 
     def nearest(p: pd.DataFrame) -> pd.DataFrame:
-        sides = [p[p["side"] == s].sort_values("sample_id") for s in (0, 1)]
-        out = {c: [] for c in ("sample_id", "_col", "dist", "donor", "given")}
-        if all(map(len, sides)):
-            a, b = (np.stack([np.array(v, float) for v in s["x"]]) for s in sides)
-            ma, mb = ~np.isnan(a), ~np.isnan(b)
-            fa, fb = np.nan_to_num(a), np.nan_to_num(b)
-            both = ma.astype(float) @ mb.T
-            square = np.maximum((fa**2) @ mb.T + ma @ (fb**2).T - 2 * fa @ fb.T, 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.round(np.sqrt(np.where(both > 0, a.shape[1] / both * square, np.inf)), 9)
-            ia, ib = sides[0]["sample_id"].to_numpy(), sides[1]["sample_id"].to_numpy()
-            dist[ia[:, None] == ib[None, :]] = np.inf
-            for f in range(a.shape[1]):
-                need, have = np.flatnonzero(~ma[:, f]), np.flatnonzero(mb[:, f])
-                if not len(need) or not len(have):
-                    continue
-                sub = dist[np.ix_(need, have)]
-                pick = np.argsort(sub, axis=1, kind="stable")[:, :k]
-                own = np.take_along_axis(sub, pick, 1)
-                r, c = np.nonzero(np.isfinite(own))
-                donor = have[pick[r, c]]
-                for name, v in zip(out, (ia[need[r]], np.full(len(r), f), own[r, c], ib[donor], b[donor, f]), strict=True):
-                    out[name].append(v)
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+        sides = [[(r.ids, np.frombuffer(r.x).reshape(len(r.ids), -1)) for r in p[p["side"] == s].sort_values("b").itertuples()] for s in (0, 1)]
+        ids = np.array(sorted(i for own, _ in sides[1] for i in own), object)
+        rank, out = {i: n for n, i in enumerate(ids)}, [pd.DataFrame({c: [] for c in ("sample_id", "_col", "dist", "donor", "given")})]
+        donors = []
+        for own, y in sides[1]:
+            z = np.nan_to_num(y)
+            donors.append((y, np.array([rank[i] for i in own]), np.hstack([~np.isnan(y), z * z, z])))
+        for own, x in sides[0]:
+            some = np.isnan(x).any(1)
+            own, g = own[some], _Gaps(x[some], np.array([rank.get(i, -1) for i in own[some]], int), k)
+            if len(g.row):
+                for d in donors:
+                    g.meet(*d)
+                r, c = np.nonzero(np.isfinite(g.dist))
+                out.append(pd.DataFrame({"sample_id": own[g.row[r]], "_col": g.col[r], "dist": g.dist[r, c], "donor": ids[g.who[r, c]], "given": g.given[r, c]}))
+        return pd.concat(out[1:] or out)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(nearest, "sample_id string, _col int, dist double, donor string, given double")
     rank = F.row_number().over(Window.partitionBy("sample_id", "_col").orderBy("dist", "donor"))
