@@ -6,13 +6,16 @@ kernel on one network (about a thousand nodes); trials, folds and seeds are rows
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from plexmat.functions import autodiff as ad
 from plexmat.functions import forest, log, special
@@ -629,6 +632,10 @@ def tune_outcome(edges: DataFrame, long: DataFrame, target: DataFrame, trials: i
     return {"chosen": chosen, "runs": metrics(outer, ["fold"])}
 
 
+#: Fits that run beside each other.
+FITS = 3
+
+
 def baseline(long: DataFrame, target: DataFrame, model: str = "lr", k: int = 3, seed: int = 0) -> DataFrame:
     """(fold, accuracy, f1) of a Spark ML classifier: lr, rf, dt, gbt (two classes), mlp or svm (two classes)."""
     from pyspark.ml import classification as ml
@@ -640,10 +647,15 @@ def baseline(long: DataFrame, target: DataFrame, model: str = "lr", k: int = 3,
     data = row_vectors(long).join(stratified(target, k, seed), "sample_id").select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "fold").cache()
     size, classes = len(data.head()["features"]), int(data.agg(F.max("label")).head()[0]) + 1
     make = {"lr": lambda: ml.LogisticRegression(maxIter=50), "rf": lambda: ml.RandomForestClassifier(numTrees=50, seed=seed), "dt": lambda: ml.DecisionTreeClassifier(seed=seed), "gbt": lambda: ml.GBTClassifier(maxIter=20, seed=seed), "mlp": lambda: ml.MultilayerPerceptronClassifier(layers=[size, 32, classes], seed=seed), "svm": lambda: ml.LinearSVC(maxIter=50)}
-    rows = []
-    for f in range(k):
+
+    def fold(f: int) -> tuple:
         guess = make[model]().fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))
-        rows.append((f, *[float(MulticlassClassificationEvaluator(metricName=m).evaluate(guess)) for m in ("accuracy", "f1")]))
+        return (f, *[float(MulticlassClassificationEvaluator(metricName=m).evaluate(guess)) for m in ("accuracy", "f1")])
+
+    # a fit is many short jobs one after the other, so a few folds are fitted beside each other
+    with ThreadPool(min(k, FITS)) as pool:
+        fits = [inheritable_thread_target(long.sparkSession)(functools.partial(fold, f)) for f in range(k)]
+        rows = pool.map(lambda fit: fit(), fits, chunksize=1)
     data.unpersist()
     return long.sparkSession.createDataFrame(rows, "fold int, accuracy double, f1 double")
 
