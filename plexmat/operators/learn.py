@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.util import inheritable_thread_target
 
 from plexmat.functions import autodiff as ad
 from plexmat.functions import forest, log, special
-from plexmat.operators import ridge, search, select
+from plexmat.operators import ridge, search, select, together
 from plexmat.operators.community import dense, matrix_of
 from plexmat.plans.iterate import packed, per_run, placed, saved, unpacked, written
 
@@ -419,7 +419,8 @@ class Outcome:
 
     def slope(self, weights: ad.Var, rows: np.ndarray, label: np.ndarray) -> None:
         """Gradients of the cross-entropy of all rows, as `scores` and `backward` give them, PART rows at a time: of what lies between, only
-        the standardised layers and their gradients are kept for all rows."""
+        the standardised layers and their gradients are kept for all rows. What is added before standardising has no gradient: what rounding
+        leaves of one, Adam would make steps of."""
         n, w, (one, two, last) = len(rows), weights.value[:, 0], self.head
         parts = [slice(i, i + PART) for i in range(0, n, PART)]
         z1, z2 = np.empty((n, one.w.value.shape[1])), np.empty((n, two.w.value.shape[1]))
@@ -459,13 +460,11 @@ class Outcome:
             h = np.maximum(z1[p] * scale1.value + shift1.value, 0)
             d = inv2 * (g2[p] - mean / n - z2[p] * (along / n))
             two.w.grad += h.T @ d
-            two.b.grad += d.sum(0)
             mean1, along1 = _through(d @ two.w.value.T * (h > 0), z1[p], scale1, shift1, g1[p], mean1, along1)
         cross = np.zeros_like(one.w.value)
         for p in parts:
             d = inv1 * (g1[p] - mean1 / n - z1[p] * (along1 / n))
             cross += rows[p].T @ d
-            one.b.grad += d.sum(0)
         one.w.grad = w[:, None] * cross
         own = (cross * one.w.value).sum(1, keepdims=True)
         ad.Var(0.0, ((weights, lambda g: g * own),)).backward()
@@ -492,13 +491,16 @@ def Var_t(w: ad.Var) -> ad.Var:  # noqa: N802
 SETTINGS = {"kind": "GCN", "hidden": 16, "layers": 2, "reduction": "ae", "drop": 0.4, "rate": 5e-3, "epochs": 60}
 _TASK = "rep int, trial int, fold int, inner int, kind_of string, hidden int, layers int, reduction string, drop double, rate double, epochs int"
 _KEYS = ["rep", "trial", "fold", "inner"]
+#: Cells of a matrix that a task takes as a whole.
+WHOLE = 1 << 22
 
 
-def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: DataFrame | None, names: list[str] | None, tasks: list[dict], k: int, inner: int, repeats: int, share: float | None, seed: int) -> DataFrame:
-    """Scores of every task's test samples. Scaling and node features come from the task's training samples alone.
+def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: DataFrame | None, names: list[str] | None, k: int, inner: int, repeats: int, share: float | None, seed: int) -> Callable[[list[dict]], DataFrame]:
+    """What gives scores of every task's test samples. Scaling and node features come from the task's training samples alone.
 
     A task has a repeat, a fold that is set aside and, inside the others, a fold to test on (inner; -1 tests on the one
-    set aside). With a share, the one fold of a repeat is a hold-out of that share of every class.
+    set aside). With a share, the one fold of a repeat is a hold-out of that share of every class. Tasks of a matrix of up to WHOLE
+    cells are Spark's; those of a larger one are fitted together, over blocks of the samples.
     """
     known = target.where("y is not null").select("sample_id", "y")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("feature")).distinct()
@@ -518,8 +520,6 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
         rows = rows.join(clinical.groupBy("sample_id").agg(*[F.first(F.col(c).cast("double"), True).alias(f"_{i}") for i, c in enumerate(sorted(names))]).select("sample_id", F.array(*[F.coalesce(f"_{i}", F.lit(float("nan"))) for i in range(len(names))]).alias("clinical")), "sample_id", "left")
     # one row a sample, with all that tasks need of it
     parts = rows.select(F.lit("d").alias("part"), F.col("sample_id").alias("src"), *[c for c in rows.columns if c != "sample_id"]).unionByName(edges.select(F.lit("e").alias("part"), "src", "dst", "weight"), allowMissingColumns=True)
-    rows = [tuple({**SETTINGS, **t}[c] for c in ("rep", "trial", "fold", "inner", *SETTINGS)) for t in tasks]
-    plan = edges.sparkSession.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], float(r[8]), float(r[9]), r[10]) for r in rows], _TASK)
     cut = 2 if share is not None else k
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -527,10 +527,7 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
         one = p.iloc[0]
         e, d = p[p["part"] == "e"], p[p["part"] == "d"].sort_values("src")
         x, y, samples = unpacked(d.rename(columns={"src": "sample_id"}), len(names_))
-        place = np.stack(d["place"].to_numpy())[:, rep]
-        aside = place % cut == fold
-        test = aside if within < 0 else ~aside & (place // cut % inner == within)
-        train = ~aside & ~test
+        train, test = together.sides(np.stack(d["place"].to_numpy())[:, rep], fold, within, cut, inner)
         classes, label = np.unique(y, return_inverse=True)
         mean, sd = _spread(x, train)
         x -= mean
@@ -539,9 +536,9 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
             empty = np.full(len(names), np.nan)
             own = np.stack([v if v is not None else empty for v in d["clinical"]])
             own = own[train][:, np.isfinite(own).any(0)]
-            feats = special.zscore(np.arctanh(np.clip([[_training_r(x[train, f], own[:, v]) for v in range(own.shape[1])] for f in range(len(names_))], -0.999999, 0.999999)), ddof=1)
+            feats = together.node_features(np.array([[_training_r(x[train, f], own[:, v]) for v in range(own.shape[1])] for f in range(len(names_))]))
         else:
-            feats = np.random.default_rng(1998).normal(size=(len(names_), 7))
+            feats = _random_features(len(names_))
         net = Outcome(str(one["kind_of"]), feats.shape[1], len(names_), len(classes), int(one["hidden"]), int(one["layers"]), str(one["reduction"]), drop=float(one["drop"]), seed=seed)
         g = _with_loops(dense(e, names_))
         net.fit(feats, g, x[train], label[train], int(one["epochs"]), float(one["rate"]), seed=seed)
@@ -553,13 +550,40 @@ def _outcomes(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Da
         out = pd.DataFrame({"sample_id": np.array(samples)[test][i.ravel()], "y": y[test][i.ravel()], "class": classes[j.ravel()], "score": z.ravel()})
         return out.assign(**dict(zip(_KEYS, key, strict=True)))
 
-    return per_run(written(parts, "outcome-rows"), plan, _KEYS, run, "rep int, trial int, fold int, inner int, sample_id string, y double, class double, score double", len(names_))
+    data = written(parts, "outcome-rows")
+    given = data.where("part = 'd'").drop("part", "dst", "weight").withColumnRenamed("src", "sample_id")
+
+    @functools.cache
+    def samples() -> together.Samples:
+        return together.Samples(given, len(names_), len(names) if "clinical" in given.columns else 0, repeats, cut, inner)
+
+    def fit(tasks: list[dict]) -> DataFrame:
+        settings = {tuple(t[c] for c in _KEYS): {**SETTINGS, **t} for t in tasks}
+        if given.count() * len(names_) > WHOLE:
+            g = _with_loops(dense(data.where("part = 'e'").select("src", "dst", "weight").toPandas(), names_))
+
+            def made(key: together.Run, of: together.Training) -> together.Fit:
+                t = settings[key]
+                feats = together.node_features(of.r) if "clinical" in given.columns else _random_features(len(names_))
+                net = Outcome(t["kind"], feats.shape[1], len(names_), len(samples().classes), t["hidden"], t["layers"], t["reduction"], drop=t["drop"], seed=seed)
+                return together.Fit(net, feats, g, of, t["epochs"], t["rate"], seed)
+
+            return together.scored(samples(), list(settings), together.fitted(samples(), list(settings), made))
+        rows = [(*key, t["kind"], t["hidden"], t["layers"], t["reduction"], float(t["drop"]), float(t["rate"]), t["epochs"]) for key, t in settings.items()]
+        plan = edges.sparkSession.createDataFrame(rows, _TASK)
+        return per_run(data, plan, _KEYS, run, "rep int, trial int, fold int, inner int, sample_id string, y double, class double, score double", len(names_))
+
+    return fit
+
+
+def _random_features(n: int) -> np.ndarray:
+    return np.random.default_rng(1998).normal(size=(n, 7))
 
 
 def _spread(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of the columns over some rows, a column at a time."""
-    both = [(c.mean(), c.std()) for c in (x[rows, j] for j in range(x.shape[1]))]
-    return np.array([m for m, _ in both]), np.array([s for _, s in both])
+    """Mean and deviation of the columns over some rows, a column at a time; columns of one value, but for rounding, have none."""
+    both = np.array([(c.mean(), c.std()) for c in (x[rows, j] for j in range(x.shape[1]))]).reshape(-1, 2)
+    return both[:, 0], np.where(both[:, 1] <= 1e-13 * np.abs(both[:, 0]), 0.0, both[:, 1])
 
 
 def _training_r(a: np.ndarray, b: np.ndarray) -> float:
@@ -575,7 +599,7 @@ def predict(edges: DataFrame, long: DataFrame, target: DataFrame, clinical: Data
     if set(settings) - set(SETTINGS):
         raise ValueError(f"unknown settings {sorted(set(settings) - set(SETTINGS))}")
     tasks = [{"rep": r, "trial": 0, "fold": f, "inner": -1, **settings} for r in range(repeats) for f in range(1 if share is not None else k)]
-    return _outcomes(edges, long, target, clinical, names, tasks, k, 1, repeats, share, seed).drop("trial", "inner")
+    return _outcomes(edges, long, target, clinical, names, k, 1, repeats, share, seed)(tasks).drop("trial", "inner")
 
 
 def evaluate(*args, **options) -> dict[str, DataFrame]:
@@ -624,10 +648,11 @@ def tune_outcome(edges: DataFrame, long: DataFrame, target: DataFrame, trials: i
     """
     tried = settings or settings_of(trials, seed)
     tasks = [{"rep": 0, "trial": t, "fold": f, "inner": i, **s} for t, s in enumerate(tried) for f in range(k) for i in range(inner)]
-    scores = saved(_outcomes(edges, long, target, clinical, names, tasks, k, inner, 1, None, seed))  # metrics reads them more than once
+    fit = _outcomes(edges, long, target, clinical, names, k, inner, 1, None, seed)
+    scores = saved(fit(tasks))  # metrics reads them more than once
     mean = metrics(scores, ["fold", "trial", "inner"]).groupBy("fold", "trial").agg(F.avg("f1_macro").alias("inner_f1"))
     best = mean.groupBy("fold").agg(F.max_by(F.struct("trial", "inner_f1"), F.struct("inner_f1", -F.col("trial"))).alias("b")).select("fold", "b.*").orderBy("fold").collect()
-    outer = saved(_outcomes(edges, long, target, clinical, names, [{"rep": 0, "trial": r["trial"], "fold": r["fold"], "inner": -1, **tried[r["trial"]]} for r in best], k, inner, 1, None, seed))
+    outer = saved(fit([{"rep": 0, "trial": r["trial"], "fold": r["fold"], "inner": -1, **tried[r["trial"]]} for r in best]))
     chosen = edges.sparkSession.createDataFrame([(r["fold"], r["trial"], r["inner_f1"], str(tried[r["trial"]])) for r in best], "fold int, trial int, inner_f1 double, setting string")
     return {"chosen": chosen, "runs": metrics(outer, ["fold"])}
 
