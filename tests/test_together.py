@@ -44,6 +44,19 @@ def test_scores_are_those_of_fits_of_the_whole_table(spark, monkeypatch, options
     assert max(abs(whole[k] - parts[k]) for k in whole) < 2e-5  # Adam makes steps of what rounding leaves of gradients that are 0
 
 
+def test_tuning_fits_no_whole_table(spark, monkeypatch):
+    edges, long, target, _ = given(spark)
+    settings = [{"epochs": 1, "rate": 1e-6}, {"epochs": 12}]
+    whole = learn.tune_outcome(edges, long, target, k=2, inner=2, settings=settings)
+    monkeypatch.setattr(learn, "WHOLE", 0, raising=False)
+    monkeypatch.setattr(learn, "per_run", refused)
+    monkeypatch.setattr(together, "MERGED", 2)
+    parts = learn.tune_outcome(edges, long, target, k=2, inner=2, settings=settings)
+    for name in ("chosen", "runs"):
+        for a, b in zip(whole[name].orderBy("fold").collect(), parts[name].orderBy("fold").collect(), strict=True):
+            assert all(u == (pytest.approx(v, abs=1e-6) if isinstance(v, float) else v) for u, v in zip(a, b, strict=True))
+
+
 def test_a_pass_keeps_sums_alone():
     rng = np.random.default_rng(1)
     x, label = rng.normal(size=(4096, 12)), rng.integers(0, 3, 4096)
